@@ -1,0 +1 @@
+"""streaming of the variant-table library."""
