@@ -49,8 +49,8 @@ ORACLE_SQL = {
     "op10_exact_topk": """
 WITH v AS (SELECT vec_id, embedding AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
- w AS (SELECT vec_id, list_transform(e, x -> floor(1024 * CAST(x AS DOUBLE))) AS z FROM v),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ w AS (SELECT vec_id, list_transform(e, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z FROM v),
  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
   FROM w q JOIN w c ON c.vec_id <> q.vec_id AND len(c.z) = len(q.z) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (

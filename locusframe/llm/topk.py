@@ -89,7 +89,7 @@ def _search(k: int):
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(queries):
-            m = _matrix(pd.concat([points["v"], queries["v"]]))
+            m = _matrix(pd.concat([points["v"], queries["q"]]))
             tree = KDTree(m[: len(points)])
             ids = points["vec_id"].to_numpy()[tree.order]
             for q, own, least in zip(m[len(points) :], queries["query_id"], queries["least"], strict=True):
@@ -110,14 +110,14 @@ def topk(vectors: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 102
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     points = v.withColumn("shard", shard("vec_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = v.where(F.col("vec_id") % query_mod == 0).dropDuplicates(["vec_id"]).select(
-        F.col("vec_id").alias("query_id"), "v", "d", shard("vec_id").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(groups)).cast("int").alias("part"))
-    keys = ["d", "shard", "part"]
-    none = F.lit(None).cast("bigint")
-    at_home = queries.withColumns({"shard": F.col("home"), "least": none})
-    first = points.groupBy(*keys).cogroup(at_home.groupBy(*keys)).applyInPandas(_search(k), FOUND)
-    least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    others = queries.join(least, "query_id", "left").withColumn("shard", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("home"))))
-    rest = points.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_search(k), FOUND)
+        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("d").alias("qd"), shard("vec_id").alias("home"),
+        F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(groups)).cast("int").alias("qpart"))
+    held = points.groupBy("d", "shard", "part")
+    search = lambda asked: held.cogroup(asked.groupBy("qd", "qshard", "qpart")).applyInPandas(_search(k), FOUND)
+    first = search(queries.withColumns({"qshard": F.col("home"), "least": F.lit(None).cast("bigint")}))
+    least = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    others = queries.join(least, F.col("query_id") == F.col("id"), "left").drop("id")
+    rest = search(others.withColumn("qshard", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("home")))))
     found = first.unionByName(rest) if shards > 1 else first
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
