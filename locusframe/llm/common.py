@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from itertools import islice
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+class HashedWords:
+    """Texts to arrays of 64-bit word hashes. A word is hashed once; the memory of words is emptied between batches at `bound`."""
+
+    def __init__(self, bound: int = 1_000_000):
+        self.bound = bound
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: defaultdict = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.hashes = np.zeros(0, np.uint64)
+
+    def batch(self, texts_) -> list[np.ndarray]:
+        if len(self.ids) > self.bound:
+            self._clear()
+        get = self.ids.__getitem__
+        found = [np.array(list(map(get, words_of(t))), np.int32) for t in texts_]
+        if len(self.ids) > len(self.hashes):
+            new = [xxhash.xxh3_64_intdigest(w) for w in islice(self.ids, len(self.hashes), None)]
+            self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
+        return [self.hashes[x] for x in found]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, vectorised."""
     x = x ^ (x >> np.uint64(30))

@@ -27,38 +27,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import mix, texts, words_of, written
+from locusframe.llm.common import HashedWords, mix, texts, written
 from locusframe.llm.components import components
 
 SIGNED = "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>"
 
 
-class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes; word hashes are remembered, up to a bound."""
-
-    def __init__(self, n: int, memo: int = 500_000):
-        self.n, self.bound, self.memo = n, memo, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        ws = words_of(text)
-        if not ws:
-            return np.zeros(0, np.uint64)
-        m = self.memo
-        if len(m) > self.bound:
-            m.clear()
-        for w in set(ws) - m.keys():
-            m[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([m[w] for w in ws], np.uint64)
-        k = min(self.n, len(h))
-        out = np.zeros(len(h) - k + 1, np.uint64) + np.uint64(k if k < self.n else 0)
-        for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
-        return np.unique(out)
+def shingles_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's word hashes."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    k = min(n, len(h))
+    out = np.zeros(len(h) - k + 1, np.uint64) + np.uint64(k if k < n else 0)
+    for i in range(k):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
+    return np.unique(out)
 
 
 def probes(bins: int) -> np.ndarray:
     """For each bin the order in which it looks at the bins when it is empty (densification): fixed, the same for all texts."""
-    i, k = np.meshgrid(np.arange(bins, dtype=np.uint64), np.arange(1, 8 * bins + 1, dtype=np.uint64), indexing="ij")
+    i, k = np.meshgrid(np.arange(bins, dtype=np.uint64), np.arange(1, 2 * bins + 1, dtype=np.uint64), indexing="ij")
     return (mix(i * np.uint64(0x100000001B3) + k) % np.uint64(bins)).astype(np.int64)
 
 
@@ -73,19 +61,19 @@ def signature(shingles: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~has)
         got = has[order[empty]]
         pick = order[empty, got.argmax(1)]
-        pick[~got.any(1)] = full[0]
+        pick[~got.any(1)] = full[0]  # a handful of shingles that no probe hit
         sig[empty] = sig[pick]
     return sig
 
 
 def signed(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
     def run(batches):
-        order, shingle = probes(bins), Shingler(n)
+        order, words = probes(bins), HashedWords()
         salt = mix(np.arange(1, bins // rows + 1, dtype=np.uint64))
         for b in batches:
             out = []
-            for doc, t in zip(b["doc_id"], b["text"], strict=True):
-                s = shingle(t)
+            for doc, h in zip(b["doc_id"], words.batch(b["text"]), strict=True):
+                s = shingles_of(h, n)
                 if not len(s):
                     out.append((doc, 0, b"", []))
                     continue
@@ -102,9 +90,9 @@ def signed(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        shingle = Shingler(n)
+        words = HashedWords()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingle(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingles_of(h, n).tobytes() for h in words.batch(b["text"])]})
 
     return docs.mapInPandas(run, "doc_id bigint, s binary")
 

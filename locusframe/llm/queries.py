@@ -5,6 +5,18 @@ from __future__ import annotations
 from locusframe.llm.common import table
 
 
+def op1_ngram_lm(spark, sf_dir):
+    from locusframe.llm.ngram_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_near_dup(spark, sf_dir):
+    from locusframe.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op4_bpe_codec(spark, sf_dir):
     import public_tokenizers
 
@@ -43,7 +55,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op8_html_text, op9_quality_model, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op8_html_text, op9_quality_model, op10_exact_topk)}
 
 ORACLE_SQL = {
     "op10_exact_topk": """
