@@ -17,6 +17,12 @@ def op2_near_dup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op3_personal_data(spark, sf_dir):
+    from locusframe.llm.pii import op3_personal_data as run
+
+    return run(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark, sf_dir):
     import public_tokenizers
 
@@ -55,7 +61,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op8_html_text, op9_quality_model, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op8_html_text, op9_quality_model, op10_exact_topk)}
 
 ORACLE_SQL = {
     "op10_exact_topk": """
