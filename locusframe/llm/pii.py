@@ -91,13 +91,13 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """uid, doc_id, base (seed occurrences by start and kind) and more (candidates that overlap no base span)."""
-    d = texts(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    d = d.select("uid", "doc_id", "text", *[occurrences(F.col("text"), k, p, True).alias(f"b_{k}") for k, p in BASE.items()],
+    d = texts(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    d = d.select("uid", "doc_id", "text_hash", *[occurrences(F.col("text"), k, p, True).alias(f"b_{k}") for k, p in BASE.items()],
                  *[occurrences(F.col("text"), k, p, False).alias(f"s_{k}") for k, p in SHAPES.items()])
     by_place = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("a"), x["kind"].alias("b"), x["end"].alias("c"), x.alias("x")))), lambda y: y["x"])
-    d = d.select("uid", "doc_id", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("more"))
+    d = d.select("uid", "doc_id", "text_hash", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("more"))
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return d.select("uid", "doc_id", "base", F.filter("more", apart).alias("more"))
+    return d.select("uid", "doc_id", "text_hash", "base", F.filter("more", apart).alias("more"))
 
 
 def scored_instances(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.5) -> DataFrame:
@@ -118,7 +118,7 @@ def scored_instances(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, confid
 
 
 def find_pii(docs: DataFrame, accept: float = 0.9, rounds: int = 3) -> DataFrame:
-    """doc_id, base and spans: arrays of OCCURRENCE; spans holds the base and what the graph adds, by start and kind."""
+    """doc_id, text_hash, base and spans: arrays of OCCURRENCE; spans holds the base and what the graph adds, by start and kind."""
     d = written(scanned(docs), "pii-scan")
     both = d.select("uid", F.explode(F.concat("base", "more")).alias("o")).select("uid", "o.*")
     good = scored_instances(both, rounds).where(F.col("score") >= accept).select("kind", "value")
@@ -126,7 +126,7 @@ def find_pii(docs: DataFrame, accept: float = 0.9, rounds: int = 3) -> DataFrame
     new = both.where("not seed").join(good, ["kind", "value"]).groupBy("uid").agg(F.array_sort(F.collect_set(one)).alias("new"))
     shaped = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"), x["seed"].alias("seed")))
     merged = F.array_sort(F.concat(shaped(F.col("base")), F.coalesce(F.col("new"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,right:string,seed:boolean>>"))))
-    return d.join(new, "uid", "left").select("doc_id", "base", merged.alias("spans"))
+    return d.join(new, "uid", "left").select("doc_id", "text_hash", "base", merged.alias("spans"))
 
 
 def shown(spans: Column) -> Column:

@@ -43,6 +43,12 @@ def op6_quality_rules(spark, sf_dir):
     return run(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    from locusframe.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark, sf_dir):
     from locusframe.llm.html_text import main_text
 
@@ -61,7 +67,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op8_html_text, op9_quality_model, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op7_suffix_dedup, op8_html_text, op9_quality_model, op10_exact_topk)}
 
 ORACLE_SQL = {
     "op10_exact_topk": """
