@@ -55,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
 class HashedWords:
     """Texts to arrays of 64-bit word hashes. A word is hashed once; the memory of words is emptied between batches at `bound`."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 300_000):
         self.bound = bound
         self._clear()
 

@@ -343,7 +343,7 @@ def _score(n: int, v: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_mod: int = 5, held: int = 1, block_words: int = 3_000_000, shard_chars: int = 24_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_mod: int = 5, held: int = 1, block_words: int = 1_000_000, shard_chars: int = 12_000_000) -> DataFrame:
     """Scores of all documents under the model learnt from those whose crc32(doc_id) mod held_mod is not `held`.
 
     block_words and shard_chars bound what a task holds; the number of shards follows the text's size.
