@@ -254,7 +254,7 @@ def test_op10_equals_brute_force(spark):
 
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(700)]
-    rows += [(700, rows[3][1]), (800, None), (801, [1.0, None, 0, 0, 0, 0]), (900, [float("nan")] * 6), (None, rows[0][1]), (1000, [1.0, 2.0]), (1001, [0.5, -2.0]), (5, rows[5][1])]
+    rows += [(700, rows[3][1]), (800, None), (801, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (None, rows[0][1]), (1000, [1.0, 2.0]), (1001, [0.5, -2.0]), (5, rows[5][1])]
     v = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<double>, score string")
     got = topk(v, shard_rows=150).toPandas().sort_values(["query_id", "rank"])
     good = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
