@@ -143,8 +143,8 @@ def _of_anchors(block: Block, shards: int):
 
 
 def _of_suffixes(block: Block, code: np.ndarray, splitters: np.ndarray):
-    """The open suffixes of a block: those of anchors with more than one territory."""
-    at = block.suffixes(np.flatnonzero(code & 2))
+    """The open suffixes of a block: those of anchors with more than one territory; of equal territories the first asks for all."""
+    at = block.suffixes(np.flatnonzero((code & 6) == 6))
     lead, print_ = block.lead(at), block.hash(at, block.size)
     lo, hi = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
     shard = lo + (print_ % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
@@ -152,7 +152,7 @@ def _of_suffixes(block: Block, code: np.ndarray, splitters: np.ndarray):
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: sort by (a, b) and compare neighbours. Code 1: (a, b) occurs twice; 2: a occurs with different b."""
+    """One bucket: sort by (a, b) and compare neighbours. Code 1: (a, b) occurs twice; 2: a occurs with different b; 4: the first row of its (a, b)."""
     rows = rows.sort_values("block", ignore_index=True)
     a, b = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c]]) for c in "ab")
     n = 1 + np.concatenate([np.frombuffer(x, np.uint8) for x in rows["twice"]]).astype(np.int64)
@@ -165,7 +165,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     twice = np.bincount(number, n[order])[number] > 1
     mixed = np.bincount(owner, new)[owner] > 1
     code = np.empty(len(a), np.uint8)
-    code[order] = twice + 2 * mixed.astype(np.uint8)
+    code[order] = twice + 2 * mixed.astype(np.uint8) + 4 * new.astype(np.uint8)
     ends = np.cumsum([len(c) for c in rows["twice"]])
     return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "code": [code[e - len(t) : e].tobytes() for e, t in zip(ends, rows["twice"], strict=True)]})
 
@@ -224,7 +224,7 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 4_000_000, shard_chars: int = 24_000_000, samples: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 2_500_000, shard_chars: int = 16_000_000, samples: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. gram: at most size; block_bytes and shard_chars bound what a task holds."""
     shards = max(1, -(-input_chars(docs) // shard_chars))
     packed = texts(docs).mapInPandas(_pack(block_bytes), PACKED)
