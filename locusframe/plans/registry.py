@@ -32,7 +32,7 @@ def query(name: str, sql: str | None, *tables: str):
 
 
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
-vid = K.variant_id(*[F.col(c) for c in ALLELES])
+vid = lambda: K.variant_id(*[F.col(c) for c in ALLELES])
 VID = "CONCAT(chr, ':', CAST(pos AS STRING), ':', ref, ':', alt)"
 
 # --- keys and scalar functions ---------------------------------------------------------------------------------------
@@ -40,7 +40,7 @@ VID = "CONCAT(chr, ':', CAST(pos AS STRING), ':', ref, ':', alt)"
 
 @query("P1_parse_variant", f"SELECT {VID} AS variant_id, {AL}, COUNT(*) AS n FROM fx_pip GROUP BY ALL", "fx_pip")
 def _(d):
-    return K.parse_variant(d.select(vid.alias("variant_id"))).groupBy("variant_id", *ALLELES).agg(F.count("*").alias("n"))
+    return K.parse_variant(d.select(vid().alias("variant_id"))).groupBy("variant_id", *ALLELES).agg(F.count("*").alias("n"))
 
 
 @query("P2_variant_features", """SELECT length_diff, CAST(length_diff = 0 AS INT) AS is_snp, CAST(length_diff <> 0 AS INT) AS is_indel, CAST(length_diff > 0 AS INT) AS is_insertion,
@@ -396,7 +396,7 @@ def _(d):
 @query("U1_unique_variants", f"SELECT DISTINCT {VID} AS variant_id, {AL} FROM fx_pip", "fx_pip")
 def _(d):
     a, b = (d.where(F.col("cell") == c) for c in ("cell0", "cell1"))
-    return a.unionByName(b).unionByName(d.where("cell = 'cell2'")).select(vid.alias("variant_id"), *ALLELES).distinct()
+    return a.unionByName(b).unionByName(d.where("cell = 'cell2'")).select(vid().alias("variant_id"), *ALLELES).distinct()
 
 
 @query("U2_other_genes", """WITH a AS (SELECT DISTINCT gene_id FROM fx_pip WHERE cell = 'cell0' AND pip > 0.98), b AS (SELECT DISTINCT gene_id FROM fx_pip WHERE cell = 'cell1' AND pip > 0.98),
