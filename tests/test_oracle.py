@@ -8,7 +8,7 @@ import pytest
 from locusframe.functions import keys as K
 from locusframe.operators import aggregates as A
 from locusframe.operators import joins as J
-from locusframe.plans import registry, study_queries  # noqa: F401 (the import registers its queries)
+from locusframe.plans import feature_queries, registry, study_queries  # noqa: F401 (the import registers its queries)
 
 D = "/root/testdata/sf0.001"
 
