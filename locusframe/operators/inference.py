@@ -29,8 +29,8 @@ def bootstrap_deltas(df: DataFrame, keys: list[str], row: list[str], label: str,
     d = d.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight([F.col(c) for c in row], F.col("replicate"), seed))
     d = d.where("_w > 0").groupBy(*keys, "replicate", label, a, b).agg(F.sum("_w").cast("double").alias("_w"))
     by = [*keys, "replicate"]
-    ap = lambda s: average_precision(d, by, label, s, F.col("_w")).select(*by, F.col("ap").alias(f"ap_{s}"))
-    return ap(a).join(ap(b), by).select(*by, (F.col(f"ap_{a}") - F.col(f"ap_{b}")).alias("delta"))
+    ap = lambda s, name: average_precision(d, by, label, s, F.col("_w")).select(*by, F.col("ap").alias(name))
+    return ap(a, "_ap1").join(ap(b, "_ap2"), by).select(*by, (F.col("_ap1") - F.col("_ap2")).alias("delta"))
 
 
 def paired_bootstrap(df: DataFrame, keys: list[str], row: list[str], label: str, a: str, b: str, replicates: int = 1000, seed: int = 9448) -> DataFrame:

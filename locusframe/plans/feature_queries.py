@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusframe.operators import aggregates as A
+from locusframe.operators import assemblies as M
 from locusframe.operators import features as X
+from locusframe.operators import folds
 from locusframe.operators import inference as I
 from locusframe.plans.registry import AL, ALLELES, VID, query, r6, vid
 
@@ -173,3 +176,58 @@ def _(d):
  COUNT(DISTINCT {VID}) AS variants FROM fx_pip WHERE cs95 > 0 GROUP BY chr""", "fx_pip")
 def _(d):
     return I.release_counts(_released(d), ["CHROM"])
+
+
+_ANN = {"promo": "PROMO BURNISHED COPPER", "economy": "ECONOMY ANODIZED STEEL"}
+_BEST = f"v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, {AL} ORDER BY pip DESC, src_order, src_line) AS r FROM fx_pip) t WHERE r = 1)"
+_ORDER = ["src_order", "src_line"]
+
+
+@query("M1_variant_annotations", f"""WITH v AS (SELECT DISTINCT {AL} FROM fx_pip),
+ i AS (SELECT {", ".join("v." + c for c in ALLELES)}, MAX(CAST(annotation = '{_ANN["promo"]}' AS INT)) AS promo, MAX(CAST(annotation = '{_ANN["economy"]}' AS INT)) AS economy
+  FROM v JOIN fx_interval i ON i.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos AND annotation IN ('{_ANN["promo"]}', '{_ANN["economy"]}') GROUP BY ALL),
+ t AS (SELECT {AL}, MAX(pip - 0.5) AS tf_max_c, MIN(pip - 0.5) AS tf_min_c, MAX(ABS(pip - 0.5)) AS tf_max_abs_c FROM fx_pip WHERE src_line < 4 GROUP BY ALL)
+SELECT v.*, COALESCE(promo, 0) AS promo, COALESCE(economy, 0) AS economy, tf_max_c, tf_min_c, tf_max_abs_c, COALESCE(promo, 0) * tf_max_abs_c AS promo_x_c, COALESCE(economy, 0) * tf_max_abs_c AS economy_x_c
+FROM v LEFT JOIN i USING ({AL}) LEFT JOIN t USING ({AL})""", "fx_pip", "fx_interval")
+def _(d, i):
+    lists = d.where("src_line < 4").select(F.col("src_line").alias("track")).distinct().withColumn("cell", F.lit("c"))
+    return M.variant_annotations(d, i, _ANN, d.select(*ALLELES, F.col("src_line").alias("track"), (F.col("pip") - 0.5).alias("v")), lists, ["c"])
+
+
+_LINK = lambda name, cell: f"""{name} AS (SELECT k.gene_id, k.chr, k.pos, k.ref, k.alt, MAX(abc_score) AS {name} FROM k JOIN fx_gene_link l ON l.gene_id = k.gene_id AND l.chr = k.chr AND l.cell = '{cell}'
+ AND k.pos BETWEEN l.start_pos - 1024 AND l.end_pos + 1024 GROUP BY ALL)"""
+
+
+@query("M2_gene_feature_table", f"""WITH {_BEST}, k AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM fx_interval i WHERE i.chr = v.chr AND v.pos BETWEEN i.start_pos AND i.end_pos)),
+ t AS (SELECT gene_id, AVG(gene_tss) AS tss FROM fx_gene GROUP BY 1), {_LINK("abc_urgent", "1-URGENT")}, {_LINK("abc_low", "5-LOW")}
+SELECT gene_id, {AL}, src_order, src_line, ROUND(pos - tss, 3) AS distance_TSS, ROUND(ABS(pos - tss), 3) AS abs_distance_TSS, ROUND(COALESCE(abc_urgent, 0), 6) AS abc_urgent, ROUND(COALESCE(abc_low, 0), 6) AS abc_low
+FROM k LEFT JOIN t USING (gene_id) LEFT JOIN abc_urgent USING (gene_id, {AL}) LEFT JOIN abc_low USING (gene_id, {AL})""", "fx_pip", "fx_interval", "fx_gene", "fx_gene_link")
+def _(d, i, g, links):
+    t = M.gene_feature_table(d, [F.col(c) for c in _ORDER], i, g, links, {"abc_urgent": "1-URGENT", "abc_low": "5-LOW"})
+    return t.select("gene_id", *ALLELES, *_ORDER, F.round("distance_TSS", 3).alias("distance_TSS"), F.round("abs_distance_TSS", 3).alias("abs_distance_TSS"), r6("abc_urgent"), r6("abc_low"))
+
+
+@query("M3_training_set", f"""WITH x AS (SELECT *, CAST(SIGN(LENGTH(alt) - LENGTH(ref)) AS INT) AS variant_type FROM fx_pip), top AS (SELECT cell, gene_id, cs95 FROM fx_pip WHERE cs95 > 0 GROUP BY ALL HAVING MAX(pip) > 0.10),
+ p AS (SELECT x.* FROM x JOIN top USING (cell, gene_id, cs95) WHERE pip > 0.05 UNION ALL SELECT * FROM x WHERE cs95 = 0 AND pip > 0.50), need AS (SELECT gene_id, variant_type, COUNT(*) AS k FROM p GROUP BY ALL),
+ n AS (SELECT x.*, ROW_NUMBER() OVER (PARTITION BY gene_id, variant_type ORDER BY src_order % 97, src_order, src_line) AS r FROM x WHERE pip < 0.001)
+SELECT gene_id, {AL}, src_order, src_line, variant_type, 1 AS label FROM p UNION ALL SELECT n.gene_id, {AL}, src_order, src_line, n.variant_type, 0 FROM n JOIN need USING (gene_id, variant_type) WHERE r <= k""", "fx_pip")
+def _(d):
+    order = [F.col("src_order") % 97, F.col("src_order"), F.col("src_line")]
+    return M.training_set(A.training_positives(d), d.where("pip < 0.001"), order, per=1).select("gene_id", *ALLELES, *_ORDER, "variant_type", "label")
+
+
+@query("M4_feature_matrix", """SELECT gene_id, src_order, src_line, CAST(LENGTH(ref) - LENGTH(alt) AS DOUBLE) AS f0, CAST(LENGTH(ref) = LENGTH(alt) AS DOUBLE) AS f1, ABS(post_mean) AS f2, CAST(0 AS DOUBLE) AS f3
+FROM fx_pip LEFT JOIN (SELECT gene_id, MAX(post_mean) AS post_mean FROM fx_gene GROUP BY 1) g USING (gene_id)""", "fx_pip", "fx_gene")
+def _(d, g):
+    j = d.join(g.groupBy("gene_id").agg(F.max("post_mean").alias("gene_lof")), "gene_id", "left")
+    m = M.feature_matrix(j, ["length_diff", "is_SNP", "gene_lof", "gnomad_MAF"], ["gene_lof"])
+    return m.select("gene_id", *_ORDER, *[F.col("features")[k].alias(f"f{k}") for k in range(4)])
+
+
+@query("M7_score_folds", None, "fx_scored")
+def _(d):
+    """Four folds of chromosomes; the fitted trees differ by platform, so there is no SQL."""
+    d = d.withColumn("fold", F.substring("chrom", 4, 2).cast("int") % 4).withColumn("w", F.lit(1.0))
+    d = folds.assembled(d, ["pred_a", "pred_b"], "pred_b")
+    models = folds.train_folds(d, "fold", [0, 1, 2, 3], "y_true", "w", maxIter=3)
+    return folds.score_folds(d, "fold", models, ["chrom", "l_orderkey", "l_linenumber", "y_true"])
