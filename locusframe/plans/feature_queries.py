@@ -178,7 +178,7 @@ def _(d):
     return I.release_counts(_released(d), ["CHROM"])
 
 
-_ANN = {"promo": "PROMO BURNISHED COPPER", "economy": "ECONOMY ANODIZED STEEL"}
+_ANN = {"promo": "PROMO", "economy": "ECONOMY"}
 _BEST = f"v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, {AL} ORDER BY pip DESC, src_order, src_line) AS r FROM fx_pip) t WHERE r = 1)"
 _ORDER = ["src_order", "src_line"]
 

@@ -29,7 +29,7 @@ FROM (SELECT *, CAST((l_orderkey * 7919 + l_linenumber * 104729) % 10007 AS DOUB
  CAST(MIN(l_orderkey * 10 + l_linenumber) % 3 AS INT) AS dosage FROM lineitem GROUP BY 1, 2""",
     "fx_tile": """SELECT DISTINCT chr, tile, TRANSLATE(MD5(CONCAT(chr, '-', CAST(tile AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM (
  SELECT CONCAT('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr, CAST(FLOOR((l_partkey * 500 + 999) / 32) AS BIGINT) + l_linenumber % 3 - 1 AS tile FROM lineitem) t""",
-    "fx_dictionary": """SELECT p_type AS feature, CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'distance' WHEN 1 THEN 'ABC' WHEN 2 THEN 'celltype' WHEN 3 THEN 'baseline'
+    "fx_dictionary": """SELECT CONCAT(p_type, '_', CAST(p_partkey % 97 AS STRING)) AS feature, CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'distance' WHEN 1 THEN 'ABC' WHEN 2 THEN 'celltype' WHEN 3 THEN 'baseline'
  WHEN 4 THEN 'chrombpnet_positive' WHEN 5 THEN 'diff' ELSE 'tf_positive' END AS grp, MIN(p_partkey) AS position FROM part GROUP BY 1, 2""",
     "fx_run": """SELECT CONCAT('cell', CAST(o_custkey % 3 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '_ems' ELSE '_uniform' END, '_pip0.', CAST(o_orderkey % 9 AS STRING), '_', LOWER(o_orderstatus)) AS run,
  o_orderkey AS row_id, o_totalprice AS enrichment FROM orders""",
