@@ -75,7 +75,7 @@ def _(d):
     return X.category_of(_present(d), d)
 
 
-@query("M10_category_attribution", f"""WITH {_CAT} SELECT gene_id, {AL}, category, ROUND(SUM(ABS(src_line - 3.5)), 6) AS attribution FROM fx_pip
+@query("M10_category_attribution", f"""WITH {_CAT} SELECT gene_id, {AL}, category, ROUND(SUM(ABS(src_line - CAST(3.5 AS DOUBLE))), 6) AS attribution FROM fx_pip
  JOIN fx_dictionary f ON f.position * 500 + 1000 = pos JOIN cat ON cat.feature = f.feature WHERE pip > 0.1 GROUP BY ALL""", "fx_pip", "fx_dictionary")
 def _(d, f):
     long = d.join(f.select("feature", (F.col("position") * 500 + 1000).alias("pos")), "pos").select("gene_id", *ALLELES, F.col("pip").alias("score"), "feature", (F.col("src_line") - 3.5).alias("attribution"))
