@@ -1,9 +1,10 @@
 """HTML extraction by tag-path ratios (operator 8).
 
-A page is cut into text nodes, each with its root-to-leaf tag path. Per path the text length and punctuation are totalled over
-its nodes; a path's ratios (characters a node, punctuation a node) are smoothed along the tree, by sharing them with the
-container that the path hangs from, and fused by product. The container with the highest fused score holds the article;
-its paths above the threshold are content, nested boilerplate elements (menus, adverts, forms, comments, ...) are not.
+A page is cut into blocks of text, each with its root-to-leaf path of block tags; nested boilerplate elements (menus, adverts,
+forms, comments, ...) are left out. The container with the most text of high ratio holds the article. Per tag path in it,
+characters and punctuation a block are fused by product and smoothed along the tree, by sharing them with the box (div,
+section, ...) that the path hangs from; blocks that are all links count nothing. Paths above the threshold, a share of the best
+path's score, are content; the others (unnamed adverts, link lists, notices) are not.
 
 Pages are independent rows: Spark deals them out, nothing is shuffled, and a task holds one Arrow batch.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +40,9 @@ BOILERPLATE_NAMES = re.compile(
     r"|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I,
 )
 CONTAINERS = set("article main section div td body blockquote".split())
+#: Elements that hold something of their own; lists, tables, quotations and figures belong to what they stand in.
+BOXES = set("article main section div body".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，]")
 WHITE = re.compile(r"\s+")
 
@@ -85,29 +90,33 @@ def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
     return out
 
 
-def extract(page: str | None, threshold: float = 0.05, smoothing: float = 0.5) -> str:
+def upto(path: tuple, tags: set) -> tuple:
+    return path[: next((k + 1 for k in range(len(path) - 1, -1, -1) if path[k][0] in tags), 0)]
+
+
+def ratio(chars: float, marks: float, blocks: float) -> float:
+    """Characters a block times punctuation a block; both are bounded, so that one long listing does not dwarf the paragraphs."""
+    return min(chars / blocks, 200) * (1 + min(marks / blocks, 4))
+
+
+def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5) -> str:
     nodes = [x for x in text_nodes(page or "") if not any(bad for _, _, bad in x[0])]
-    shown = [(path, block, html.unescape(s)) for path, block, s in nodes]
-    # Totals per tag path inside its container: characters, punctuation, nodes.
-    paths: dict[tuple, list[float]] = {}
-    keys = []
-    for path, _, s in shown:
-        depth = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] in CONTAINERS), -1)
-        key = (path[: depth + 1], tuple(t for t, _, _ in path[depth + 1 :]))
-        keys.append(key)
-        if chars := len(s.strip()):
-            p = paths.setdefault(key, [0.0, 0.0, 0.0])
-            p[0] += chars
-            p[1] += len(PUNCTUATION.findall(s))
-            p[2] += 1
-    if not paths:
+    # Blocks: path of block elements, text, characters, punctuation, and whether all of it is links (a heading may be one).
+    blocks = []
+    for _, run in groupby(nodes, key=lambda x: x[1]):
+        run = [(path, html.unescape(s)) for path, _, s in run]
+        chars = sum(len(s.strip()) for _, s in run)
+        if chars:
+            path = tuple(e for e in next(p for p, s in run if s.strip()) if e[0] not in INLINE)
+            linked = sum(len(s.strip()) for p, s in run if any(e[0] == "a" for e in p))
+            link = linked >= 0.8 * chars and not any(e[0] in HEADINGS for e in path)
+            blocks.append((path, "".join(s for _, s in run), chars, sum(len(PUNCTUATION.findall(s)) for _, s in run), link))
+    if not blocks:
         return ""
-    # Fused ratios: characters and punctuation a node, times the path's share of the page.
-    total = sum(p[0] for p in paths.values())
-    own = {k: (c / n) * (1 + q / n) * (c / total) for k, (c, q, n) in paths.items()}
     held: dict[tuple, float] = {}
-    for (box, _), v in own.items():
-        held[box] = held.get(box, 0.0) + v
+    for path, _, c, q, link in blocks:
+        box = upto(path, CONTAINERS)
+        held[box] = held.get(box, 0.0) + (0 if link else c * ratio(c, q, 1))
     best = max(held, key=lambda b: (held[b], -len(b)))
     # The article is the outermost article or main element above the best container, if there is one.
     root = next((best[: k + 1] for k, (t, _, _) in enumerate(best) if t in ("article", "main")), best)
@@ -116,17 +125,27 @@ def extract(page: str | None, threshold: float = 0.05, smoothing: float = 0.5) -
         up = root[:-1]
         near = sum(v for b, v in held.items() if b[: len(up)] == up)
         root = up if up and up[-1][0] in CONTAINERS and up[-1][0] != "body" and near > 1.5 * held[best] else root
-    smooth = {k: (1 - smoothing) * v + smoothing * held[k[0]] for k, v in own.items()}
-    top = max(smooth.values())
-    inside = {k for k, v in smooth.items() if k[0][: len(root)] == root and (v >= threshold * top or k[0] == root or k[0][len(root) : len(root) + 1])}
-    blocks: list[list] = []
-    for (_, block, s), key in zip(shown, keys, strict=True):
-        if key in inside or (not s.strip() and key[0][: len(root)] == root):
-            if blocks and blocks[-1][0] == block:
-                blocks[-1][1].append(s)
-            else:
-                blocks.append([block, [s]])
-    lines = (WHITE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
+    blocks = [b for b in blocks if b[0][: len(root)] == root]
+    # Totals per tag path; blocks of links are a path of their own, and worth nothing.
+    keys = [(tuple(t for t, _, _ in path), link) for path, _, _, _, link in blocks]
+    paths: dict[tuple, list[float]] = {}
+    for key, (_, _, c, q, _) in zip(keys, blocks, strict=True):
+        p = paths.setdefault(key, [0.0, 0.0, 0.0])
+        p[0], p[1], p[2] = p[0] + c, p[1] + q, p[2] + 1
+    own = {k: 0.0 if k[1] else ratio(*p) for k, p in paths.items()}
+    # The ratio of a box, one element: the mean over the text in it, by characters.
+    boxes: dict[tuple, list[float]] = {}
+    for key, (path, _, c, _, _) in zip(keys, blocks, strict=True):
+        for d in range(len(root), len(path) + 1):
+            if d == len(root) or path[d - 1][0] in BOXES:
+                b = boxes.setdefault(path[:d], [0.0, 0.0])
+                b[0], b[1] = b[0] + c * own[key], b[1] + c
+    smooth = []
+    for key, (path, *_) in zip(keys, blocks, strict=True):
+        value, chars = boxes[next(path[:d] for d in range(len(path), -1, -1) if path[:d] in boxes)]
+        smooth.append(0.0 if key[1] else (1 - smoothing) * own[key] + smoothing * value / chars)
+    top = max(smooth)
+    lines = (WHITE.sub(" ", text).strip() for v, (_, text, *_) in zip(smooth, blocks, strict=True) if v >= threshold * top)
     return "\n".join(x for x in lines if x)
 
 

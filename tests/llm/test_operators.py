@@ -237,6 +237,17 @@ def test_op8_main_text(spark):
     assert [(r.page_id, r.n_chars) for r in main_text(pages).orderBy("page_id").collect()] == [(1, 70), (1, 70), (2, 0)]
 
 
+def test_op8_paths_decide_about_unnamed_boilerplate():
+    from locusframe.llm.html_text import extract
+
+    long = "The town lies by a river, and its people, who are many, have always lived by trade; so it was then. {}"
+    paragraphs = [long.format(k) for k in range(6)]
+    page = ("<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs[:3]) + "<div>Buy phones now!</div><ul><li>flax</li><li>salt</li></ul>"
+            "<ul><li><a href=1>Ten other towns</a></li><li><a href=2>Five rivers</a></li></ul><div><p>Site moves in May.</p></div>"
+            "<div class=x><pre>a = b</pre><section><h2>Later</h2>" + "".join(f"<p>{x}</p>" for x in paragraphs[3:]) + "</section></div></article>")
+    assert extract(page).split("\n") == ["Title", *paragraphs[:3], "flax", "salt", "a = b", "Later", *paragraphs[3:]]
+
+
 def test_op9_held_out_accuracy(spark, docs, none):
     from locusframe.llm.quality_model import quality_model
 
