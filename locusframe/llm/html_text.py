@@ -1,10 +1,11 @@
 """HTML extraction by tag-path ratios (operator 8).
 
 A page is cut into blocks of text, each with its root-to-leaf path of block tags; nested boilerplate elements (menus, adverts,
-forms, comments, ...) are left out. The container with the most text of high ratio holds the article. Per tag path in it,
+forms, comments, ..., by tag or by a whole class, id or role token) are left out, unless one holds the text of the page. The container with the most text of high ratio holds the article. Per tag path in it,
 characters and punctuation a block are fused by product and smoothed along the tree, by sharing them with the box (div,
 section, ...) that the path hangs from; blocks that are all links count nothing. Paths above the threshold, a share of the best
-path's score, are content; the others (unnamed adverts, link lists, notices) are not.
+path's score, are content; the others (unnamed adverts, link lists, notices) are not. On pages without article or main,
+boxes around the best container join it if their paths' scores compare with its best one.
 
 Pages are independent rows: Spark deals them out, nothing is shuffled, and a task holds one Arrow batch.
 
@@ -34,21 +35,25 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 #: Elements that an opening tag ends, unless one of the bounds comes first.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOUNDS = set("ul ol dl table article section div main body td th blockquote nav aside footer header form".split())
-BOILERPLATE_TAGS = set("nav header footer aside form script style button input select textarea noscript iframe menu dialog template head title svg object".split())
+#: Not believed of an element that holds the text of the page, nor is a name; the other tags always are.
+DOUBTFUL_TAGS = set("header aside form".split())
+BOILERPLATE_TAGS = DOUBTFUL_TAGS | set("nav footer script style button input select textarea noscript iframe menu dialog template head title svg object".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?"
-    r"|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I,
+    r"(?<!\S)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?"
+    r"|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?!\S)", re.I,
 )
 CONTAINERS = set("article main section div td body blockquote".split())
 #: Elements that hold something of their own; lists, tables, quotations and figures belong to what they stand in.
 BOXES = set("article main section div body".split())
+#: Measure of a container that may be the text of a page against its name: that of a line of 200 characters without punctuation.
+MUCH = 200.0 * 200
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，]")
 WHITE = re.compile(r"\s+")
 
 
 def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
-    """(path of (tag, serial, boilerplate) from the root, block number, raw text), in page order."""
+    """(path of (tag, serial, boilerplate) from the root, block number, raw text), in page order. boilerplate: 2 certain, 1 doubtful, 0 no."""
     out, stack, serial, block, at = [], [], 0, 0, 0
 
     def text(s: str) -> None:
@@ -84,48 +89,61 @@ def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
         serial += 1
         names = " ".join(x or y or z for x, y, z in NAMED.findall(m[4])) if "=" in m[4] else ""
         inside = any(t in ("article", "main") for t, _, _ in stack)
-        bad = bool(tag in BOILERPLATE_TAGS and not (tag == "header" and inside) or names and tag not in ("body", "html", "article", "main") and BOILERPLATE_NAMES.search(names))
+        bad = 0
+        if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
+            bad = 1 if tag in DOUBTFUL_TAGS else 2
+        elif names and tag not in ("body", "html", "article", "main") and BOILERPLATE_NAMES.search(names):
+            bad = 1
         stack.append((tag, serial, bad))
     text(page[at:])
     return out
 
 
-def upto(path: tuple, tags: set) -> tuple:
-    return path[: next((k + 1 for k in range(len(path) - 1, -1, -1) if path[k][0] in tags), 0)]
-
-
 def ratio(chars: float, marks: float, blocks: float) -> float:
     """Characters a block times punctuation a block; both are bounded, so that one long listing does not dwarf the paragraphs."""
     return min(chars / blocks, 200) * (1 + min(marks / blocks, 4))
 
 
-def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5) -> str:
-    nodes = [x for x in text_nodes(page or "") if not any(bad for _, _, bad in x[0])]
+def best_container(blocks: list) -> tuple[tuple, float]:
+    """The container (or doubtful element) with the most text of high ratio, and that measure."""
+    held: dict[tuple, float] = {}
+    for path, _, c, q, link in blocks:
+        box = path[: next((k + 1 for k in range(len(path) - 1, -1, -1) if path[k][2] or path[k][0] in CONTAINERS), 0)]
+        held[box] = held.get(box, 0.0) + (0 if link else c * ratio(c, q, 1))
+    best = max(held, key=lambda b: (held[b], -len(b)), default=())
+    return best, held.get(best, -1.0)
+
+
+def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5, grow: float = 0.3, doubt: float = 4.0) -> str:
+    nodes = [x for x in text_nodes(page or "") if not any(bad == 2 for _, _, bad in x[0])]
     # Blocks: path of block elements, text, characters, punctuation, and whether all of it is links (a heading may be one).
-    blocks = []
-    for _, run in groupby(nodes, key=lambda x: x[1]):
+    found = []
+    for (_, doubts), run in groupby(nodes, key=lambda x: (x[1], tuple(n for _, n, bad in x[0] if bad))):
         run = [(path, html.unescape(s)) for path, _, s in run]
         chars = sum(len(s.strip()) for _, s in run)
         if chars:
             path = tuple(e for e in next(p for p, s in run if s.strip()) if e[0] not in INLINE)
             linked = sum(len(s.strip()) for p, s in run if any(e[0] == "a" for e in p))
             link = linked >= 0.8 * chars and not any(e[0] in HEADINGS for e in path)
-            blocks.append((path, "".join(s for _, s in run), chars, sum(len(PUNCTUATION.findall(s)) for _, s in run), link))
+            found.append((doubts, (path, "".join(s for _, s in run), chars, sum(len(PUNCTUATION.findall(s)) for _, s in run), link)))
+    # Doubtful elements are boilerplate, unless one holds an article or much text, and far more than any container elsewhere.
+    blocks = [b for doubts, b in found if not doubts]
+    best, most = best_container(blocks)
+    most_of_all, value = best_container([b for _, b in found])
+    right = {n for _, n, bad in most_of_all if bad}
+    article = lambda box: any(t in ("article", "main") for t, _, _ in box)
+    if right and value > doubt * most and (article(most_of_all) or value >= MUCH and not article(best)):
+        blocks = [b for doubts, b in found if right.issuperset(doubts)]
+        best, _ = best_container(blocks)
     if not blocks:
         return ""
-    held: dict[tuple, float] = {}
-    for path, _, c, q, link in blocks:
-        box = upto(path, CONTAINERS)
-        held[box] = held.get(box, 0.0) + (0 if link else c * ratio(c, q, 1))
-    best = max(held, key=lambda b: (held[b], -len(b)))
-    # The article is the outermost article or main element above the best container, if there is one.
+    # The article is the outermost article or main element above the best container; without one, the best container and what it grows to.
     root = next((best[: k + 1] for k, (t, _, _) in enumerate(best) if t in ("article", "main")), best)
-    if root and root[-1][0] not in ("article", "main"):
-        # Otherwise sections beside each other belong together if the parent's share grows by them.
-        up = root[:-1]
-        near = sum(v for b, v in held.items() if b[: len(up)] == up)
-        root = up if up and up[-1][0] in CONTAINERS and up[-1][0] != "body" and near > 1.5 * held[best] else root
-    blocks = [b for b in blocks if b[0][: len(root)] == root]
+    alone = not article(root)
+    within = [b[0][: len(root)] == root for b in blocks]
+    if not alone:
+        blocks = [b for b, i in zip(blocks, within, strict=True) if i]
+        within = [True] * len(blocks)
     # Totals per tag path; blocks of links are a path of their own, and worth nothing.
     keys = [(tuple(t for t, _, _ in path), link) for path, _, _, _, link in blocks]
     paths: dict[tuple, list[float]] = {}
@@ -133,19 +151,29 @@ def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5) ->
         p = paths.setdefault(key, [0.0, 0.0, 0.0])
         p[0], p[1], p[2] = p[0] + c, p[1] + q, p[2] + 1
     own = {k: 0.0 if k[1] else ratio(*p) for k, p in paths.items()}
-    # The ratio of a box, one element: the mean over the text in it, by characters.
+    # The ratio of a box, one element: the mean over the text in it, by characters. What surrounds the root counts by its own text only.
     boxes: dict[tuple, list[float]] = {}
-    for key, (path, _, c, _, _) in zip(keys, blocks, strict=True):
-        for d in range(len(root), len(path) + 1):
-            if d == len(root) or path[d - 1][0] in BOXES:
-                b = boxes.setdefault(path[:d], [0.0, 0.0])
+    nearest = []
+    for key, (path, _, c, _, _), i in zip(keys, blocks, within, strict=True):
+        ends = [d for d in range(len(path), -1, -1) if (d >= len(root) if i else True) and (d == (len(root) if i else 0) or path[d - 1][0] in (BOXES if i else CONTAINERS))]
+        nearest.append((i, path[: ends[0]]))
+        for d in ends:
+            if i or d == ends[0] or path[:d] != root[:d]:
+                b = boxes.setdefault((i, path[:d]), [0.0, 0.0])
                 b[0], b[1] = b[0] + c * own[key], b[1] + c
-    smooth = []
-    for key, (path, *_) in zip(keys, blocks, strict=True):
-        value, chars = boxes[next(path[:d] for d in range(len(path), -1, -1) if path[:d] in boxes)]
-        smooth.append(0.0 if key[1] else (1 - smoothing) * own[key] + smoothing * value / chars)
-    top = max(smooth)
-    lines = (WHITE.sub(" ", text).strip() for v, (_, text, *_) in zip(smooth, blocks, strict=True) if v >= threshold * top)
+    mean = {b: value / chars for b, (value, chars) in boxes.items()}
+    smooth = [0.0 if key[1] else (1 - smoothing) * own[key] + smoothing * mean[b] for key, b in zip(keys, nearest, strict=True)]
+    top = max(v for v, i in zip(smooth, within, strict=True) if i)
+    # The root grows over boxes whose paths compare with its best one, and that have some ratio themselves.
+    kept = [v >= threshold * top if i else not key[1] and v >= grow * top and mean[b] >= grow / 2 * top for v, key, b, i in zip(smooth, keys, nearest, within, strict=True)]
+    if alone:
+        # Around the root a heading goes with what it heads, and the last h1 before the root is its headline.
+        heads = [k for k, (tags, _) in enumerate(keys) if not within[k] and any(t in HEADINGS for t in tags)]
+        for k in reversed(heads):
+            kept[k] = kept[k] or k + 1 < len(kept) and kept[k + 1]
+        for k in [k for k in heads if k < within.index(True) and "h1" in keys[k][0]][-1:]:
+            kept[k] = True
+    lines = (WHITE.sub(" ", text).strip() for k, (_, text, *_) in zip(kept, blocks, strict=True) if k)
     return "\n".join(x for x in lines if x)
 
 

@@ -248,6 +248,27 @@ def test_op8_paths_decide_about_unnamed_boilerplate():
     assert extract(page).split("\n") == ["Title", *paragraphs[:3], "flax", "salt", "a = b", "Later", *paragraphs[3:]]
 
 
+def test_op8_pages_of_divs_only():
+    from locusframe.llm.html_text import extract
+
+    long = "The town lies by a river, and its people, who are many, have always lived by trade; so it was then. {}"
+    lines = [long.format(k) for k in range(10)]
+    some = lambda a, b: "".join(f"<p>{x}</p>" for x in lines[a:b])
+    menu, foot = "<div><a href=1>Home</a> <a href=2>Contact</a></div>", "<div>All rights reserved.</div>"
+    for page in (
+        f"<body>{menu}<div>{some(0, 7)}</div><div>{some(7, 10)}</div>{foot}</body>",
+        f"<body>{menu}<div><div>{some(0, 7)}</div><div>{some(7, 10)}</div></div>{foot}</body>",
+        f"<body>{menu}<div><section>{some(0, 3)}</section><div>{some(3, 10)}</div></div>{foot}</body>",
+        *(f'<body>{menu}<div class="{c}">{w}{some(0, 10)}{v}</div>{foot}</body>' for c in ("content with-sidebar", "no-sidebar", "has-banner", "banner", "x widget") for w, v in (("", ""), ("<article>", "</article>"))),
+        f"<body><form>{menu}{some(0, 10)}</form></body>",
+    ):
+        assert extract(page).split("\n") == lines, page
+    page = f'<body><div><h1>Title</h1><div>By me</div><div>{some(0, 7)}</div><h2>Later</h2><div>{some(7, 10)}</div><div class="x comments">{some(0, 9)}</div></div></body>'
+    assert extract(page).split("\n") == ["Title", *lines[:7], "Later", *lines[7:]]
+    assert extract('<body><div class="ad">Buy a phone, now. It is good, is it not?</div><article><h1>Short.</h1></article></body>') == "Short."
+    assert extract('<body><div class="ad">Buy a phone, now. It is good, is it not?</div></body>') == ""
+
+
 def test_op9_held_out_accuracy(spark, docs, none):
     from locusframe.llm.quality_model import quality_model
 
