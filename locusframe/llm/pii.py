@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction (operator 3; built-in functions only).
 
-Base patterns give the seeds: e-mail and IP addresses, payment cards, phone numbers. Looser shapes (a number with separators, a
-word with an @, a dotted or coloned address) give candidates. Each occurrence, seed or candidate, has two lexical patterns:
+Base patterns give the seeds: e-mail and IP addresses, payment cards, phone numbers. Looser shapes (a number with separators or
+plain, a card number whatever its check digit, a word with an @, a coloned address) give candidates. Each occurrence, seed or candidate, has two lexical patterns:
 (kind, side, neighbouring word). Patterns and instances (kind, value) form a bipartite graph that Spark scores by turns: a
-pattern's confidence is the mean score of the instances it occurs with, damped when few seeds support it; a candidate's score
-is the noisy-or of its confident patterns. Candidates that end above the threshold are new spans; base spans always stay.
+pattern's confidence is the mean score of all instances it occurs with, damped when few seeds or accepted candidates support
+it; a candidate's score is the noisy-or of its confident patterns, 0 without one. Candidates that end above the threshold are
+new spans, of those that overlap the best; base spans always stay.
 
 A document is scanned once, natively; only its occurrences, not its text, go into the graph. Groups are reduced by partial
 aggregates and joins on hot neighbouring words are left to AQE's skew split.
@@ -36,12 +37,14 @@ BASE = {
 SHAPES = {
     "email": r"(?:\G|(?<![^\x20\x09-\x0D]))[\p{L}0-9._%+-]++(?:@|\(at\)|\[at\])[\p{L}0-9.-]++",
     "ip": r"(?:\G|(?<![0-9A-Fa-f:]))[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}+",
-    "phone": r"(?:\G|(?<![0-9A-Za-z_.#=\"-]))\(?[0-9]{2,5}+\)?(?:[\x20.-][0-9]{2,5}+){2,5}+(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z_.#=\"/-])[0-9](?:[\x20._/-]?[0-9]){11,18}+(?![0-9A-Za-z_])",
+    "phone": r"(?:\G|(?<![0-9A-Za-z_.#=\"-]))(?:\(?[0-9]{2,5}+\)?(?:[\x20.-][0-9]{2,5}+){2,5}+|[0-9]{7,15}+)(?![0-9A-Za-z])",
 }
 #: What a text must hold for a pattern to match in it at all: cheap to test, and absent from most texts.
 NEEDED = {
     ("email", True): "@", ("ip", True): r"[0-9]\.[0-9]", ("card", True): r"[0-9](?:[\x20-]?[0-9]){11}", ("phone", True): r"\+[0-9]",
-    ("email", False): r"@|\(at\)|\[at\]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f:]", ("phone", False): r"[0-9]{2}\)?[\x20.-][0-9]{2}",
+    ("email", False): r"@|\(at\)|\[at\]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f:]", ("card", False): r"[0-9](?:[\x20._/-]?[0-9]){11}",
+    ("phone", False): r"[0-9]{2}\)?[\x20.-][0-9]{2}|[0-9]{7}",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPACED = r"[\x20\x09-\x0D]"
@@ -100,20 +103,22 @@ def scanned(docs: DataFrame) -> DataFrame:
     return d.select("uid", "doc_id", "text_hash", "base", F.filter("more", apart).alias("more"))
 
 
-def scored_instances(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.5) -> DataFrame:
-    """(kind, value, score) of candidate instances. occ: kind, value, left, right, seed."""
+def scored_instances(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.5, accept: float = 0.9) -> DataFrame:
+    """(kind, value, score) of candidate instances with a confident pattern. occ: kind, value, left, right, seed."""
     sides = occ.select("kind", "value", "seed", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))).alias("p"))
     key = ["kind", "side", "word"]
     edges = sides.select("kind", "value", "seed", "p.side", "p.word").where("word <> ''").groupBy("kind", "value", *key[1:]).agg(F.max("seed").alias("seed"))
-    # Patterns without a seed can never be confident, nor can those that no candidate has find anything.
-    useful = edges.groupBy(*key).agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n")).where(f"seeds >= {min_seeds} and n > seeds")
+    # Patterns of too few instances can never be confident, nor can those that no candidate has find anything.
+    useful = edges.groupBy(*key).agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n")).where(f"n >= {min_seeds} and n > seeds").select(*key)
     edges = written(edges.join(useful, key), "pii-edges")
-    score = edges.select("kind", "value", F.col("seed").cast("double").alias("score")).groupBy("kind", "value").agg(F.max("score").alias("score"))
+    score = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).where("seed").select("kind", "value", "seed", F.lit(1.0).alias("score"))
     for _ in range(rounds):
-        conf = edges.join(score, ["kind", "value"]).groupBy(*key).agg((F.avg("score") * (1 - F.pow(F.lit(0.5), F.max("seeds").cast("double")))).alias("conf"))
-        strong = edges.join(conf.where(F.col("conf") >= confident), key)
-        new = strong.groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("p"))
-        score = written(new.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(F.col("p")).alias("score"), "seed"), "pii-scores")
+        # The mean is over all instances of a pattern: those without a score count 0.
+        held = edges.drop("seed").join(score.select("kind", "value", "score"), ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        conf = held.groupBy(*key).agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= accept).alias("support")).where(f"support >= {min_seeds}")
+        conf = conf.select(*key, (F.col("mean") * (1 - F.pow(F.lit(0.5), F.col("support").cast("double")))).alias("conf")).where(F.col("conf") >= confident)
+        new = edges.join(conf, key, "left").groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("conf", F.lit(0.0)), F.lit(1e-6)))))).alias("p"))
+        score = written(new.select("kind", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("p")).alias("score")).where("score > 0"), "pii-scores")
     return score.where("not seed").select("kind", "value", "score")
 
 
@@ -121,9 +126,13 @@ def find_pii(docs: DataFrame, accept: float = 0.9, rounds: int = 3) -> DataFrame
     """doc_id, text_hash, base and spans: arrays of OCCURRENCE; spans holds the base and what the graph adds, by start and kind."""
     d = written(scanned(docs), "pii-scan")
     both = d.select("uid", F.explode(F.concat("base", "more")).alias("o")).select("uid", "o.*")
-    good = scored_instances(both, rounds).where(F.col("score") >= accept).select("kind", "value")
+    good = scored_instances(both, rounds, accept=accept).where(F.col("score") >= accept)
     one = F.struct("start", "kind", "end", "value", "left", "right", "seed")
-    new = both.where("not seed").join(good, ["kind", "value"]).groupBy("uid").agg(F.array_sort(F.collect_set(one)).alias("new"))
+    new = both.where("not seed").join(good, ["kind", "value"]).groupBy("uid").agg(F.collect_set(F.struct("score", one.alias("o"))).alias("all"))
+    # Of overlapping candidates (a number may be a card or a phone) the better score stays, then the longer, the first and the lesser kind.
+    rank = lambda y: F.struct(-y["score"], y["o"]["start"] - y["o"]["end"], y["o"]["start"], y["o"]["kind"])
+    beaten = lambda x: F.exists("all", lambda y: (y["o"]["start"] < x["o"]["end"]) & (x["o"]["start"] < y["o"]["end"]) & (rank(y) < rank(x)))
+    new = new.select("uid", F.array_sort(F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: x["o"])).alias("new"))
     shaped = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"), x["seed"].alias("seed")))
     merged = F.array_sort(F.concat(shaped(F.col("base")), F.coalesce(F.col("new"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,right:string,seed:boolean>>"))))
     return d.join(new, "uid", "left").select("doc_id", "text_hash", "base", merged.alias("spans"))

@@ -153,6 +153,26 @@ def test_op3_base_spans_and_bootstrapped_ones(spark, docs, rows, none):
     assert op3_personal_data(none).count() == 0
 
 
+def test_op3_patterns_weigh_all_instances_and_learn_from_found_ones(spark):
+    from locusframe.llm.pii import op3_personal_data
+
+    def card(k):
+        return next(f"4994 2260 {k:04d} {z:04d}" for z in range(9999) if luhn(f"49942260{k:04d}{z:04d}"))
+
+    texts = [f"call +1 (743) 555-38{k:02d} now" for k in range(10)] + ["pray 743 555 3824 now"] + [f"call 2024-{k % 12 + 1:02d}-{k % 28 + 1:02d} then" for k in range(90)]
+    texts += [f"hotline +1 (743) 556-{k:04d} thanks" for k in range(200)] + [f"hotline 743 557 {k:04d} rightaway" for k in range(20)]
+    texts += ["blah 743 558 0001 rightaway", "hotline 7435590001 thanks"] + [f"paid {card(k)} valid" for k in range(40)]
+    texts += ["paid 4994.2260.2090.0892 valid", "paid 4994226020900893 valid", "order 7435590002 then", "order 4994226020900894 then"]
+    got = {r.doc_id: r.spans for r in op3_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = dict(zip(texts, (got[k] for k in range(len(texts))), strict=True))
+    assert not [x for x, s in found.items() if x.endswith(" then") and s]
+    assert found["pray 743 555 3824 now"] == "phone:5:17"
+    assert found["blah 743 558 0001 rightaway"] == "phone:5:17"
+    assert found["hotline 7435590001 thanks"] == "phone:8:18"
+    assert found["paid 4994.2260.2090.0892 valid"] == "card:5:24" and found["paid 4994226020900893 valid"] == "card:5:21"
+    assert all(found[x] for x in texts if not x.endswith(" then"))
+
+
 def test_op4_equals_the_library(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
