@@ -10,8 +10,10 @@ boxes around the best container join it if their paths' scores compare with its
 Pages are independent rows: Spark deals them out, nothing is shuffled, and a task holds one Arrow batch.
 
 Defined results: null or empty html, and pages without text, give an empty text; very long pages are treated whole; broken
-markup never fails: unclosed elements end with their parent, stray end tags are dropped; repeated rows give repeated results;
-extra columns are ignored.
+markup never fails: unclosed elements end with their parent (an unclosed svg, select, template or other unseen element holds
+nothing), stray end tags are dropped, a quote outside an attribute's value is a character, and only a script or style without
+an end takes the rest of the page with it; repeated rows give repeated results; null page ids and urls are kept; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: The start of a comment, a declaration, or a tag. A quote opens a value only after =.
+TOKEN = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>")
+#: Elements whose content is not markup. Without an end tag a script or style runs to the end of the page; of the others only the tag goes.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in "script style textarea title iframe noembed noframes xmp".split()}
+#: Elements that a block's opening tag ends, as in browsers' foreign content.
+LEFT_BY_BLOCKS = set("svg math select".split())
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -37,11 +40,14 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 BOUNDS = set("ul ol dl table article section div main body td th blockquote nav aside footer header form".split())
 #: Not believed of an element that holds the text of the page, nor is a name; the other tags always are.
 DOUBTFUL_TAGS = set("header aside form".split())
-BOILERPLATE_TAGS = DOUBTFUL_TAGS | set("nav footer script style button input select textarea noscript iframe menu dialog template head title svg object".split())
+BOILERPLATE_TAGS = DOUBTFUL_TAGS | set("nav footer button input select noscript menu dialog template head svg math object canvas audio video datalist".split())
 BOILERPLATE_NAMES = re.compile(
     r"(?<!\S)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?"
     r"|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?!\S)", re.I,
 )
+#: Boilerplate elements with content that is never shown as text, or not as the page's.
+UNSEEN = set("svg math select template noscript object button canvas audio video datalist dialog menu".split())
+BREAKOUT = set("p div h1 h2 h3 h4 h5 h6 ul ol dl li table section article main blockquote pre nav aside header footer form".split())
 CONTAINERS = set("article main section div td body blockquote".split())
 #: Elements that hold something of their own; lists, tables, quotations and figures belong to what they stand in.
 BOXES = set("article main section div body".split())
@@ -60,21 +66,37 @@ def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
         if s:
             out.append((tuple(stack), block, s))
 
-    for m in TOKEN.finditer(page):
+    last: dict[str, int] = {}
+
+    def closed(mark: str) -> bool:
+        """Whether the mark (an end tag's start) occurs from here on; each mark is looked for once a page."""
+        if mark not in last:
+            last[mark] = max((x.start() for x in re.finditer(re.escape(mark), page, re.I)), default=-1)
+        return last[mark] >= at
+
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        if m[0] == "<!--":  # to the next -->, or to the next > where none comes
+            end = page.find("-->", at) + 3 if closed("-->") else page.find(">", at) + 1
+            at = max(at, end)
+            continue
+        tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             block += 1
         elif tag in ("br", "img"):
             out.append((tuple(stack), block, " "))
-        if m[2]:
+        if m[1]:
             if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
+        if tag in RAW:
+            end = RAW[tag].search(page, at) if closed("</" + tag) else None
+            at = end.end() if end else len(page) if tag in ("script", "style") else at
+            continue
         if tag in VOID:
             continue
         gone = ENDS.get(tag, ("p",) if tag not in INLINE else ())
@@ -84,10 +106,14 @@ def text_nodes(page: str) -> list[tuple[tuple, int, str]]:
                 break
             if stack[k][0] in BOUNDS:
                 break
-        if m[4].rstrip().endswith("/") and tag not in ("p", "div"):
+        if tag in BREAKOUT and (left := next((k for k, e in enumerate(stack) if e[0] in LEFT_BY_BLOCKS), None)) is not None:
+            del stack[left:]
+        if m[3].rstrip().endswith("/") and tag not in ("p", "div"):
             continue
+        if tag in UNSEEN and not closed("</" + tag):
+            continue  # never closed: it must not take what follows with it
         serial += 1
-        names = " ".join(x or y or z for x, y, z in NAMED.findall(m[4])) if "=" in m[4] else ""
+        names = " ".join(x or y or z for x, y, z in NAMED.findall(m[3])) if "=" in m[3] else ""
         inside = any(t in ("article", "main") for t, _, _ in stack)
         bad = 0
         if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):

@@ -335,3 +335,25 @@ def test_pipeline_stages(spark, rows):
             assert not [r.doc_id for r in kept.collect() if base_spans(r.text or "")]
     assert corpus.run(spark, D).count() == kept.count()
     assert pd.Series([r.n_tokens for r in corpus.run(spark, D).collect()]).ge(0).all()
+
+
+def test_op8_broken_markup_drops_no_text():
+    from locusframe.llm.html_text import extract
+
+    two = "One, two.\nThree, four."
+    for odd in ("<svg/>", "<svg>", "<template>", "<iframe src=x>", "<button>", "<textarea>", "<!-- x", "<!-- > y -->", "<svg><path d='M0'/><text>y</text></svg>", "<title>x</title>", "<!---->", "<script>a='</p>'</script>"):
+        assert extract(f"<article><p>One, two.</p>{odd}<p>Three, four.</p></article>") == two, odd
+    assert extract("<article><p>One, two.</p><select><option>x</select><p>Three, four.</p></article>") == two
+    assert extract("<article><p title=it's>One, two.</p><p class='a>b' id=\"c>'d\">Three, four.</p></article>") == two
+    assert extract("<article><p>One, two.</p><script>x") == "One, two."
+    assert len(extract("<p>" + "<svg><!-- <textarea> a" * 20000)) > 0
+
+
+def test_op8_the_threshold_and_smoothing_decide():
+    from locusframe.llm.html_text import extract
+
+    long = "The town lies by a river, and its people, who are many, have always lived by trade; so it was then. {}"
+    page = "<article>" + "".join(f"<p>{long.format(k)}</p>" for k in range(4)) + "<div>Buy phones now!</div></article>"
+    assert "phones" not in extract(page) and "phones" in extract(page, threshold=0.0)
+    page = page.replace("<div>Buy phones now!</div>", "<div><p>" + long + "</p><b>Buy phones now!</b></div>")
+    assert "phones" in extract(page, smoothing=0.9) and "phones" not in extract(page, smoothing=0.0)
