@@ -1,18 +1,22 @@
 """BPE encoding and decoding by tree concatenation (operator 4).
 
-A text is halved until its pieces are short; pieces are encoded on their own, all of them together in one batch call, and
-joined up the tree. At a join a window around the cut is encoded anew and grows until both sides agree with it exactly:
-
-* between words (runs without ASCII white space), which this tokenizer encodes independently, the window is the word that the
-  cut runs through; the words beside it are what both sides already have;
-* inside a long word the window grows by doubling until it shares a token (same id, same place) with the left and with the
-  right encoding. Every neighbouring pair of the joined sequence then stands next to each other in one of the three
-  encodings; a sequence all of whose neighbours are BPE-stable is the encoding of the whole.
-
-Words of a batch are encoded once each. Spark only deals out documents: no shuffle, and a task's memory is bounded by its
-batches and a memo that is emptied at `memo_words`.
-
-Defined results: null text counts as empty (0 tokens, empty decoding); extra columns are ignored; rows are independent.
+A text is halved until its pieces are at most `leaf` characters; the pieces of all texts of a batch are encoded on their own,
+side by side, and joined up the tree, level by level. At a join the window around the cut is encoded anew, with as many
+units (words, or fragments of one at a piece's edge) from the left piece as from the right. The join holds once the window's
+encoding begins with the left piece's own ids of its outermost unit and ends with the right piece's of its; else the window
+doubles. A window that has taken in a whole piece needs no agreement on that side. What lies between the outermost units is
+taken from the window: the word that the cut ran through, put together, is a unit of its own from then on.
+
+A fragment of more than `leaf` characters (text without white space) is joined by windows of characters, which double until they share
+a token (same id, same place) with the left and with the right encoding. Every neighbouring pair of the joined sequence then
+stands next to each other in one of the three encodings; a sequence all of whose neighbours are BPE-stable is the encoding of the
+whole.
+
+Ids of units are remembered, so equal words are encoded once a task. Spark only deals out documents: no shuffle, and a task's memory
+is bounded by its batches and a memo that is emptied at `memo_words`.
+
+Defined results: null text counts as empty (0 tokens, empty decoding); null ids are kept; repeated rows give repeated results;
+extra columns are ignored; very long texts are used whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,17 +33,20 @@ SPACES = " \t\n\r\x0b\x0c"
 
 
 class TreeEncoder:
-    """encode() and decode() of one tokenizers file."""
+    """encode() and decode() of one tokenizers file. joins and windows count the joins made and the windows encoded for them."""
 
-    def __init__(self, path: str, leaf: int = 4096, memo_words: int = 400_000):
+    def __init__(self, path: str, leaf: int = 768, memo_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.leaf, self.memo_words = leaf, memo_words
         self.memo: dict[str, list[int]] = {}
+        self.placed: dict[str, list] = {}  # of long fragments: (id, start, end)
+        self.joins = self.windows = 0
 
     def _pieces(self, texts_: list[str]) -> list[list[tuple[int, int, int]]]:
         """(id, start, end) of each token, of texts encoded on their own."""
@@ -63,45 +70,103 @@ class TreeEncoder:
                 return head + window[start[0] + 1 : end[0]] + tail
             reach *= 2
 
-    def _long(self, word: str) -> list[int]:
-        """A word of more than leaf characters: a tree over its pieces."""
-        spans, size = [(0, len(word))], self.leaf
-        while spans[0][1] - spans[0][0] > size:
+    def _join_long(self, left: str, right: str) -> None:
+        """Remember the encoding of left + right, two fragments of which one at least is long."""
+        both = left + right
+        if both in self.placed:
+            return
+        for x in (left, right):
+            if x not in self.placed:
+                self.placed[x] = self._pieces([x])[0]
+        cut = len(left)
+        moved = [(i, s + cut, e + cut) for i, s, e in self.placed[right]]
+        self.placed[both] = self._join(both, 0, cut, len(both), self.placed[left], moved)
+        self.memo[both] = [i for i, _, _ in self.placed[both]]
+
+    def _leaves(self, text: str) -> list[tuple[int, int]]:
+        spans = [(0, len(text))]
+        while spans[0][1] - spans[0][0] > self.leaf:
             spans = [x for a, b in spans for x in ((a, (a + b) // 2), ((a + b) // 2, b))]
-        got = [[(i, s + a, e + a) for i, s, e in p] for (a, _), p in zip(spans, self._pieces([word[a:b] for a, b in spans]), strict=True)]
-        while len(got) > 1:
-            got = [self._join(word, spans[k][0], spans[k][1], spans[k + 1][1], got[k], got[k + 1]) for k in range(0, len(got), 2)]
-            spans = [(spans[k][0], spans[k + 1][1]) for k in range(0, len(spans), 2)]
-        return [i for i, _, _ in got[0]]
-
-    def _tree(self, text: str) -> list[str]:
-        """Words of a text: those of its halves, with the word that the cut runs through put together again."""
-        if len(text) <= self.leaf:
-            return _words(text)
-        cut = len(text) // 2
-        left, right = self._tree(text[:cut]), self._tree(text[cut:])
-        if left and right and text[cut - 1] not in SPACES and text[cut] not in SPACES:
-            left[-1] += right[0]
-            right = right[1:]
-        return left + right
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > self.memo_words:
+        return spans
+
+    def _level(self, cuts: list[tuple[list[str], list[str], bool]]) -> list[list[str]]:
+        """Pairs of neighbouring pieces (units of the left, of the right, whether the cut runs through a word), joined."""
+        out: list = [None] * len(cuts)
+        todo = []
+        for k, (left, right, glued) in enumerate(cuts):
+            if not left or not right:
+                out[k] = left + right
+            elif glued and len(left[-1]) + len(right[0]) > self.leaf:
+                self._join_long(left[-1], right[0])
+                out[k] = left[:-1] + [left[-1] + right[0]] + right[1:]
+            else:
+                todo.append(k)
+        self.joins += len(cuts)
+        reach = 2
+        while todo:
+            parts = [(cuts[k][0][-reach:], cuts[k][1][:reach]) for k in todo]
+            shown = [" ".join(a) + ("" if cuts[k][2] else " ") + " ".join(b) for k, (a, b) in zip(todo, parts, strict=True)]
+            self.windows += len(shown)
+            again = []
+            for k, (a, b), e in zip(todo, parts, self.fast(shown, add_special_tokens=False), strict=True):
+                left, right, glued = cuts[k]
+                ids = e.ids
+                head = self.memo[a[0]] if len(a) < len(left) or len(a) > 1 else []
+                tail = self.memo[b[-1]] if len(b) < len(right) or len(b) > 1 else []
+                whole_left, whole_right = len(a) == len(left), len(b) == len(right)
+                agree = ids[: len(head)] == head and ids[len(ids) - len(tail) :] == tail and len(head) + len(tail) <= len(ids)
+                if not agree and not (whole_left and whole_right):
+                    again.append(k)
+                    continue
+                if not agree:  # nothing is left to agree with: the window is both pieces
+                    unit = shown[todo.index(k)]
+                    self.memo[unit] = ids
+                    out[k] = [unit]
+                    continue
+                inner_a, inner_b = (a[1:] if head else a), (b[:-1] if tail else b)
+                middle = inner_a[:-1] + ([inner_a[-1] + inner_b[0]] if glued and inner_a and inner_b else inner_a[-1:] + inner_b[:1]) + inner_b[1:]
+                middle_ids = ids[len(head) : len(ids) - len(tail)]
+                known = [i for u in middle if u in self.memo for i in self.memo[u]]
+                lone = [u for u in middle if u not in self.memo]
+                if len(lone) == 1:  # the word put together: what the window holds beside the units on its sides
+                    at = middle.index(lone[0])
+                    p = sum(len(self.memo[u]) for u in middle[:at])
+                    q = len(middle_ids) - sum(len(self.memo[u]) for u in middle[at + 1 :])
+                    self.memo[lone[0]] = middle_ids[p:q]
+                    known = [i for u in middle for i in self.memo[u]]
+                if known != middle_ids:
+                    again.append(k)
+                    continue
+                out[k] = left[: len(left) - len(a)] + a[: len(a) - len(inner_a)] + middle + b[len(inner_b) :] + right[len(b) :]
+            todo = again
+            reach *= 2
+        return out
+
+    def units(self, texts_: list[str]) -> list[list[str]]:
+        """Each text as units whose ids the memo holds; their ids in a row are the text's encoding."""
+        if len(self.memo) > self.memo_words:
             self.memo.clear()
-            new = list(words)
-        short = [w for w in new if len(w) <= self.leaf]
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for w, e in zip(short, encode(short, add_special_tokens=False), strict=True):
+            self.placed.clear()
+        spans = [self._leaves(t) for t in texts_]
+        pieces = [[_words(t[a:b]) for a, b in s] for t, s in zip(texts_, spans, strict=True)]
+        new = list({w for p in pieces for x in p for w in x if w not in self.memo})
+        for w, e in zip(new, self.fast(new, add_special_tokens=False), strict=True):
             self.memo[w] = e.ids
-        for w in new:
-            if len(w) > self.leaf:
-                self.memo[w] = self._long(w)
+        while open_ := [t for t, p in enumerate(pieces) if len(p) > 1]:
+            cuts = []
+            for t in open_:
+                text = texts_[t]
+                for k in range(0, len(pieces[t]), 2):
+                    at = spans[t][k][1]
+                    cuts.append((pieces[t][k], pieces[t][k + 1], text[at - 1] not in SPACES and text[at] not in SPACES))
+            done = iter(self._level(cuts))
+            for t in open_:
+                pieces[t] = [next(done) for _ in range(0, len(pieces[t]), 2)]
+                spans[t] = [(spans[t][k][0], spans[t][k + 1][1]) for k in range(0, len(spans[t]), 2)]
+        return [p[0] for p in pieces]
 
     def encode(self, text: str) -> list[int]:
-        words = self._tree(text)
-        self.learn(set(words))
-        return [i for w in words for i in self.memo[w]]
+        return [i for u in self.units([text])[0] for i in self.memo[u]]
 
     def decode(self, ids: list[int]) -> str:
         return self.tok.decode(ids, skip_special_tokens=False)
@@ -114,14 +179,29 @@ def _words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
+def _some(batch: pd.DataFrame, chars: int = 2_000_000):
+    """Runs of rows of about so many characters: (ids, texts)."""
+    ids, run, size = [], [], 0
+    for i, t in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+        ids.append(i)
+        run.append(t)
+        size += len(t)
+        if size >= chars:
+            yield ids, run
+            ids, run, size = [], [], 0
+    if ids:
+        yield ids, run
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int> and decoded string: the operator's own output."""
 
     def run(batches):
         tree = TreeEncoder(path)
         for b in batches:
-            ids = [tree.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [tree.decode(x) for x in ids]})
+            for doc, some in _some(b):
+                ids = [[i for u in units for i in tree.memo[u]] for units in tree.units(some)]
+                yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "ids": ids, "decoded": [tree.decode(x) for x in ids]})
 
     return texts(docs).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
 
@@ -129,8 +209,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text, without the ids leaving their task.
 
-    Ids and decoding of a word are turned to text once per word of the memo. The tokenizer has no decoder, so its decode()
-    joins the tokens by one space; special tokens are kept.
+    Ids and decoding of a unit are turned to text once. The tokenizer has no decoder, so its decode() joins the tokens by one
+    space; special tokens are kept.
     """
 
     def run(batches):
@@ -138,23 +218,21 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         shown: dict[str, tuple[str, str, int]] = {}
         token: dict[int, str] = {}
         for b in batches:
-            out = []
-            for doc, t in zip(b["doc_id"], b["text"], strict=True):
-                words = tree._tree(t)
-                if new := {w for w in words if w not in shown}:
-                    if len(shown) > tree.memo_words:
-                        shown.clear()
-                        new = set(words)
-                    tree.learn(new)
-                    for w in new:
-                        ids = tree.memo[w]
-                        for i in ids:
-                            if i not in token:
-                                token[i] = tree.tok.id_to_token(i)
-                        shown[w] = (" ".join(map(str, ids)), " ".join([token[i] for i in ids]), len(ids))
-                found = [s for w in words if (s := shown[w])[2]]
-                sha = lambda k: hashlib.sha256(" ".join([f[k] for f in found]).encode("utf-8", "surrogatepass")).hexdigest()  # noqa: B023, E731
-                out.append((doc, sum(f[2] for f in found), sha(0), sha(1)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for doc, some in _some(b):
+                out = []
+                if len(shown) > tree.memo_words:
+                    shown.clear()
+                for i, units in zip(doc, tree.units(some), strict=True):
+                    for u in units:
+                        if u not in shown:
+                            ids = tree.memo[u]
+                            for x in ids:
+                                if x not in token:
+                                    token[x] = tree.tok.id_to_token(x)
+                            shown[u] = (" ".join(map(str, ids)), " ".join([token[x] for x in ids]), len(ids))
+                    found = [f for u in units if (f := shown[u])[2]]
+                    sha = lambda k: hashlib.sha256(" ".join([f[k] for f in found]).encode("utf-8", "surrogatepass")).hexdigest()  # noqa: B023, E731
+                    out.append((i, sum(f[2] for f in found), sha(0), sha(1)))
+                yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
     return texts(docs).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

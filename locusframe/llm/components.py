@@ -9,7 +9,7 @@ from locusframe.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id reachable. edges: (a, b), both bigint; directions and repeats are free.
+    """(id, component): component is the smallest id reachable. edges: (a, b), both of one ordered type; directions and repeats are free.
 
     A round gives every vertex the smallest label among its neighbours' labels (a partial aggregate, so a vertex with very
     many edges costs one row a task), then follows labels once more. Rounds grow with the logarithm of the longest path.

@@ -3,10 +3,11 @@
 1. Every text becomes its set of 64-bit shingle hashes, a fingerprint of the set, and a signature: one permutation cut into
    `bins` equal ranges, the minimum of each range, empty ranges filled by optimal densification (a range looks up, by a fixed
    sequence of its own, the first range that is not empty).
-2. Equal sets collapse to one class (smallest doc_id) by a partial aggregate, so groups of exact copies cost one row.
+2. Equal sets collapse to one class, named by the set's 128-bit fingerprint, by a partial aggregate, so groups of exact copies
+   cost one row.
 3. Signatures are cut into bands; equal bands are buckets. A bucket links its members to one centre only: the member that
    shares most buckets corpus-wide, which in a group of edited copies is the common original. All bands so agree on centres.
-4. Star edges are confirmed on full shingle sets, in chunks of bounded size (a hot centre is spread over many chunks).
+4. Star edges are confirmed on full shingle sets, in chunks bounded in shingles and in rows (a hot centre is spread over many).
 5. What a star may miss, a member that fails against the centre yet is near another member, is settled exactly: the failed
    members of a star are compared on full sets with all its members, chunk against chunk; no pairs are emitted, only the
    links that join components. So every pair that shares a bucket is decided; no bucket is capped.
@@ -15,8 +16,9 @@
 With 32 bands of 4 rows a pair at similarity 0.85 shares no bucket with probability 6e-11 (0.8: 5e-8).
 
 Defined results: null or empty text, or text without words, has the empty set and no links; a text with fewer than n words is
-one shingle; repeated rows (same id or not) are copies; null ids keep their row, never link; extra columns are ignored; very
-long texts are used whole; an empty table gives an empty result.
+one shingle; repeated rows (same id or not) are copies; an id with several texts has a row for each, each text linked on its own
+and kept if the id is its component's smallest; null ids keep their row, never link; extra columns are ignored; very long texts are used
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,9 +94,10 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         words = HashedWords()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingles_of(h, n).tobytes() for h in words.batch(b["text"])]})
+            sets = [shingles_of(h, n).tobytes() for h in words.batch(b["text"])]
+            yield pd.DataFrame({"x": [xxhash.xxh3_128_digest(s) for s in sets], "s": sets})
 
-    return docs.mapInPandas(run, "doc_id bigint, s binary")
+    return docs.mapInPandas(run, "x binary, s binary")
 
 
 def _similar(inter, a, b, percent: int):
@@ -106,7 +109,7 @@ def _confirm(percent: int):
 
     def run(members: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(centre):
-            return pd.DataFrame({"c": [], "x": [], "ok": []}).astype({"c": "int64", "x": "int64", "ok": bool})
+            return pd.DataFrame({"c": [], "x": [], "ok": []}).astype({"c": object, "x": object, "ok": bool})
         c = np.frombuffer(centre["cs"].iloc[0], np.uint64)
         ok = []
         for raw in members["s"]:
@@ -146,7 +149,7 @@ def _settle(percent: int):
         sets = [np.frombuffer(s, np.uint64) for s in rows["s"]]
         ids, ok, side = rows["x"].to_numpy(), rows["ok"].to_numpy(), rows["side"].to_numpy()
         same = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
-        root = {int(x): int(rows["c"].iloc[0]) if o else int(x) for x, o in zip(ids, ok, strict=True)}
+        root = {bytes(x): bytes(rows["c"].iloc[0]) if o else bytes(x) for x, o in zip(ids, ok, strict=True)}
         parent = {v: v for v in root.values()}
 
         def top(v):
@@ -163,38 +166,38 @@ def _settle(percent: int):
             inter = overlaps([sets[k] for k in fs], [sets[k] for k in ms])
             size = lambda z: np.array([len(sets[k]) for k in z], np.int64)
             for p, q in zip(*np.nonzero(_similar(inter, size(fs)[:, None], size(ms)[None, :], percent)), strict=True):
-                u, v = int(ids[fs[p]]), int(ids[ms[q]])
+                u, v = bytes(ids[fs[p]]), bytes(ids[ms[q]])
                 if (tu := top(root[u])) != (tv := top(root[v])):
                     parent[tu] = tv
                     out.append((u, v))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, chunk: int = 400_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. chunk: shingles that a task compares at a time."""
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, chunk: int = 400_000, chunk_rows: int = 400) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. chunk, chunk_rows: shingles and rows that a task compares at a time."""
     sig = written(signed(docs, n, bins, rows), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
-    entries = classes.select("rep", F.explode("bands").alias("band"))
+    entries = classes.select(F.col("fp").alias("x"), F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     entries = written(entries.join(full, "band"), "buckets")
-    weight = entries.groupBy("rep").agg(F.sum(F.log2("size")).alias("weight"))
-    ranked = entries.join(weight, "rep")
-    centre = ranked.groupBy("band").agg(F.max_by("rep", F.struct("weight", (-F.col("rep")).alias("order"))).alias("c"))
-    stars = entries.join(centre, "band").where("rep <> c").select("c", F.col("rep").alias("x")).distinct()
-    size = classes.select(F.col("rep").alias("x"), "n")
-    stars = written(stars.join(size, "x"), "stars")
-    chunks = stars.groupBy("c").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("k"))
+    weight = entries.groupBy("x").agg(F.sum(F.log2("size")).alias("weight"))
+    ranked = entries.join(weight, "x")
+    centre = ranked.groupBy("band").agg(F.max_by("x", F.struct("weight", "x")).alias("c"))
+    stars = entries.join(centre, "band").where("x <> c").select("c", "x").distinct()
+    stars = written(stars.join(classes.select(F.col("fp").alias("x"), "n"), "x"), "stars")
+    chunks = stars.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_rows)).cast("int").alias("k"))
     stars = stars.join(chunks, "c").withColumn("i", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
-    ids = stars.select(F.col("x").alias("doc_id")).union(stars.select("c")).distinct()
-    needed = texts(docs).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = written(sets_of(needed, n), "shingle-sets", "lz4")
-    members = stars.join(sets.withColumnRenamed("doc_id", "x"), "x")
+    ids = stars.select(F.col("x").alias("fp")).union(stars.select("c")).distinct()
+    # One document a class brings its text; where an id has several texts, their fingerprints tell them apart.
+    needed = texts(docs).join(classes.join(ids, "fp").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(sets_of(needed, n).join(ids.withColumnRenamed("fp", "x"), "x", "left_semi").dropDuplicates(["x"]), "shingle-sets", "lz4")
+    members = stars.join(sets, "x")
     at = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col("c").alias("cc"), F.col("i").alias("ci"))
-    centres = at.join(sets.select(F.col("doc_id").alias("cc"), F.col("s").alias("cs")), "cc")
-    checked = members.groupBy("c", "i").cogroup(centres.groupBy("cc", "ci")).applyInPandas(_confirm(percent), "c bigint, x bigint, ok boolean")
+    centres = at.join(sets.select(F.col("x").alias("cc"), F.col("s").alias("cs")), "cc")
+    checked = members.groupBy("c", "i").cogroup(centres.groupBy("cc", "ci")).applyInPandas(_confirm(percent), "c binary, x binary, ok boolean")
     checked = written(checked, "star-checks")
     # Stars with a failed member and another one: chunk pairs, each with a failed member on one side at least.
     state = checked.join(stars.select("c", "x", "i", "k"), ["c", "x"])
@@ -205,12 +208,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int =
     sides = sides.where("p <= q and pb + qb > 0").select("c", "p", "q")
     ends = sides.select("c", F.col("p").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(0).alias("side")).union(
         sides.where("p < q").select("c", F.col("q").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(1).alias("side")))
-    placed = state.join(sets.withColumnRenamed("doc_id", "x"), "x").join(ends, ["c", "i"])
+    placed = state.join(sets, "x").join(ends, ["c", "i"])
     placed = placed.select("c", F.col("lo").alias("i"), F.col("hi").alias("j"), "side", "x", "ok", "s")
-    more = placed.groupBy("c", "i", "j").applyInPandas(_settle(percent), "a bigint, b bigint")
+    more = placed.groupBy("c", "i", "j").applyInPandas(_settle(percent), "a binary, b binary")
     edges = checked.where("ok").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more)
-    comp = components(edges)
-    of = classes.select("fp", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    comp = components(edges).withColumnRenamed("id", "fp")
+    of = classes.select("fp", "rep").join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    of = of.join(of.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
     out = sig.drop("bands").join(of, "fp", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

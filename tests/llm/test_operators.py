@@ -185,15 +185,36 @@ def test_op4_equals_the_library(docs, rows, none):
     for r in encode_digests(docs, path).collect():
         ids = tok.encode(rows[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
-    rng = np.random.default_rng(3)
-    alphabet = ["a", "b", "the", "'s", "!", "é", "1", "ß", "<|endoftext|>", "日", " ", "한", "　"]
-    for size in (1, 40, 300):
-        for leaf in (24, 100):
-            text = "".join(rng.choice(alphabet, size))
-            assert TreeEncoder(path, leaf=leaf).encode(text) == tok.encode(text, add_special_tokens=False).ids, text
     assert encode_digests(none, path).count() == 0
 
 
+def test_op4_joins_ordinary_documents_and_random_text(spark):
+    import public_tokenizers
+
+    from locusframe.llm.bpe import TreeEncoder, encoded
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    tree = TreeEncoder(path)
+    got = dict(zip(rows, tree.units(list(rows.values())), strict=True))
+    assert tree.joins > len(rows) and tree.windows > 0.9 * tree.joins
+    want = {i: tree.tok.encode(x, add_special_tokens=False).ids for i, x in rows.items()}
+    assert {i: [x for u in us for x in tree.memo[u]] for i, us in got.items()} == want
+    for r in encoded(docs.limit(50), path).collect():
+        assert r.ids == want[r.doc_id] and r.decoded == tree.decode(r.ids)
+    rng = np.random.default_rng(3)
+    alphabet = ["a", "b", "the", "'s", "!", "é", "1", "ß", "<|endoftext|>", "日", " ", "한", "　", "\u0301", "\x1c", "\n"]
+    for size in (1, 5, 40, 300, 2000):
+        for tree.leaf in (6, 24, 100):
+            for _ in range(10):
+                text = "".join(rng.choice(alphabet, size))
+                assert tree.encode(text) == tree.tok.encode(text, add_special_tokens=False).ids, text
+    tree.leaf = 768
+    long = "".join(rng.choice(list("abcdefghijklmnop"), 100_000))
+    assert tree.encode(long) == tree.tok.encode(long, add_special_tokens=False).ids
+
+
 def test_op5_weights_meet_all_marginals(docs, none):
     from locusframe.llm.mixing import DIMENSIONS, calibrated, op5_mix_to_targets
 
