@@ -60,6 +60,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """texts() and text_hash, which tells several texts of one id apart."""
+    return texts(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+def kept_whole(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, text_hash): row is the whole document as a struct, so that none of its columns' names can clash with a stage's own."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(text).alias("text_hash"))
+
+
 def crc_mod(col: Column, m: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % m
 

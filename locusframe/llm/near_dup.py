@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import HashedWords, mix, texts, written
+from locusframe.llm.common import HashedWords, hashed, mix, texts, written
 from locusframe.llm.components import components
 
-SIGNED = "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, bands array<bigint>"
 
 
 def shingles_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -74,20 +74,20 @@ def signed(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
         salt = mix(np.arange(1, bins // rows + 1, dtype=np.uint64))
         for b in batches:
             out = []
-            for doc, h in zip(b["doc_id"], words.batch(b["text"]), strict=True):
+            for doc, t, h in zip(b["doc_id"], b["text_hash"], words.batch(b["text"]), strict=True):
                 s = shingles_of(h, n)
                 if not len(s):
-                    out.append((doc, 0, b"", []))
+                    out.append((doc, t, 0, b"", []))
                     continue
                 sig = signature(s, bins, order).reshape(-1, rows)
                 key = salt.copy()
                 for k in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
-                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), key.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "bands"])
+                out.append((doc, t, len(s), xxhash.xxh3_128_digest(s.tobytes()), key.view(np.int64)))
+            frame = pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "fp", "bands"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return texts(docs).mapInPandas(run, SIGNED)
+    return hashed(docs).mapInPandas(run, SIGNED)
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _settle(percent: int):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, chunk: int = 400_000, chunk_rows: int = 400) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. chunk, chunk_rows: shingles and rows that a task compares at a time."""
+    """doc_id, n_shingles, component_id, kept, text_hash, component (its name, null without words). chunk, chunk_rows: shingles and rows that a task compares at a time."""
     sig = written(signed(docs, n, bins, rows), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int =
     edges = checked.where("ok").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more)
     comp = components(edges).withColumnRenamed("id", "fp")
     of = classes.select("fp", "rep").join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    of = of.join(of.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
+    of = of.join(of.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "root", "component")
     out = sig.drop("bands").join(of, "fp", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_hash", F.hex("root").alias("component"))

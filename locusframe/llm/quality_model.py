@@ -7,7 +7,8 @@ all trees with numpy. Labels, lang, source and doc_id never enter the vector.
 
 Defined results: null text counts as empty and is scored like any other; labels that are null or without a document are not
 used; repeated labels of a document count once (highest wins); without two classes of labels every score is the label mean
-(0.5 without labels); extra columns are ignored.
+(0.5 without labels); repeated rows are scored alike; null ids are scored and not held out; very long texts are used whole; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod, texts, written
+from locusframe.llm.common import crc_mod, hashed, written
 
 BYTE_CLASSES = {
     "lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": [32], "newline": [10], "high": range(128, 256),
@@ -46,7 +47,7 @@ def statistics(texts_: list[str]) -> np.ndarray:
         lines = [x for x in b.split(b"\n") if x.strip()]
         chars = sum(map(len, ws))
         rest[i] = (
-            chars / len(ws), min(200, max(map(len, seen))), len(seen) / len(ws), np.log1p(len(ws)), np.log1p(chars / len(lines)),
+            chars / len(ws), max(map(len, seen)), len(seen) / len(ws), np.log1p(len(ws)), np.log1p(chars / len(lines)),
             1 - len(set(lines)) / len(lines), sum(len(x) < 30 for x in lines) / len(lines), max(seen.values()) / len(ws),
         )
     total = counts.sum(1)
@@ -57,9 +58,9 @@ def statistics(texts_: list[str]) -> np.ndarray:
 def features(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": list(statistics(b["text"].tolist()))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "x": list(statistics(b["text"].tolist()))})
 
-    return texts(docs).mapInPandas(run, "doc_id bigint, x array<double>")
+    return hashed(docs).mapInPandas(run, "doc_id bigint, text_hash bigint, x array<double>")
 
 
 @dataclass
@@ -134,7 +135,7 @@ def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 80, depth: int = 4, rate: f
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train_rows: int = 20_000, held_mod: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted, text_hash for every document."""
     x = written(features(docs), "quality-features")
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     train = x.join(known, "doc_id").where(crc_mod(F.col("doc_id"), held_mod) != held)
@@ -144,7 +145,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     def run(batches):
         for b in batches:
             s = model.score(np.array(b["x"].tolist(), float).reshape(-1, len(FEATURES)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "score": s})
 
-    out = x.mapInPandas(run, "doc_id bigint, score double")
-    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_mod) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = x.mapInPandas(run, "doc_id bigint, text_hash bigint, score double")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_mod) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")

@@ -378,3 +378,83 @@ def test_op8_the_threshold_and_smoothing_decide():
     assert "phones" not in extract(page) and "phones" in extract(page, threshold=0.0)
     page = page.replace("<div>Buy phones now!</div>", "<div><p>" + long + "</p><b>Buy phones now!</b></div>")
     assert "phones" in extract(page, smoothing=0.9) and "phones" not in extract(page, smoothing=0.0)
+
+
+PLANTED = [
+    # one id with two texts; repeated rows; null ids; texts without words; a near copy of a planted text
+    (930001, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron, and so on it goes. The end", "en", "s1", 1), (930001, "quite another text, of which there is just this one; it has been written for a test, as one can see", "en", "s1", 1),
+    (930002, "a third text, short and plain; it is repeated as a row, and so it must be left once", "en", "s2", 1), (930002, "a third text, short and plain; it is repeated as a row, and so it must be left once", "en", "s2", 1),
+    (None, "a text without an id stays, whatever else there is in this table of documents", "en", None, None), (None, None, None, None, None), (930003, "", "fr", "s1", 0), (930004, None, None, "s1", 0),
+    (930005, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron, and so on it goes. The end", "en", "s1", 1), (930006, "call me at +1 (743) 555-3824 or write to a@b.org, please", "en", "s1", 1),
+]
+
+
+def test_pipeline_stages_with_odd_rows_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    corpus = pytest.importorskip("corpus_pipeline")
+    clash = ["spans", "_topic", "_keep", "_source", "_lang", "_tokens", "_weight", "row", "text_hash", "bad_id", "one_id", "pii_id", "fp", "component_id", "_in", "clean", "score", "kept", "uid", "dotted.name"]
+    docs = spark.createDataFrame(PLANTED, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("x"))
+    stages = dict(corpus.STAGES)
+    text = lambda d: sorted((str(r.doc_id), str(r.text)) for r in d.collect())
+    for name in ("quality_model", "near_dup", "personal_data", "mixing"):
+        got = stages[name](spark, docs, D)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        assert stages[name](spark, docs.limit(0), D).count() == 0, name
+        assert {tuple(r[c] for c in clash) for r in got.collect()} <= {("x",) * len(clash)}
+    kept = text(stages["near_dup"](spark, docs, D))
+    assert [k for k, _ in kept].count("930002") == 1 and [k for k, _ in kept].count("None") == 2 and "930005" not in [k for k, _ in kept]
+    assert [k for k, _ in kept].count("930001") == 2 and {"930003", "930004", "930006"} <= {k for k, _ in kept}
+    masked = dict(text(stages["personal_data"](spark, docs, D)))
+    assert masked["930006"] == "call me at [phone] or write to [email], please" and len(masked) <= len(PLANTED)
+    assert stages["personal_data"](spark, docs, D).count() == len(PLANTED)
+    assert stages["bpe"](spark, docs, D).count() == len(PLANTED) and stages["bpe"](spark, docs.limit(0), D).count() == 0
+
+
+def test_pipeline_quality_and_bpe_stages_against_brute_force(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from locusframe.llm.quality_model import quality_model
+
+    corpus = pytest.importorskip("corpus_pipeline")
+    stages, docs = dict(corpus.STAGES), spark.read.parquet(f"{D}/documents.parquet")
+    bad = {r.doc_id for r in quality_model(docs, spark.read.parquet(f"{D}/labels.parquet")).where("score < 0.5").collect()}
+    assert {r.doc_id for r in stages["quality_model"](spark, docs, D).collect()} == {r.doc_id for r in docs.collect()} - bad and bad
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in stages["bpe"](spark, docs, D).collect()} == want
+
+
+def test_op9_trees_and_splits_against_brute_force():
+    from locusframe.llm.quality_model import fit
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 5)).astype(float)
+    y = ((x[:, 1] > 6) ^ (x[:, 3] > 3)).astype(float)
+    trees = fit(x, y, n_trees=6, depth=3)
+
+    def walk(row, k):
+        while trees.feature[k] >= 0:
+            k = trees.left[k] if row[trees.feature[k]] <= trees.cut[k] else trees.right[k]
+        return trees.value[k]
+
+    want = [1 / (1 + math.exp(-(trees.base + sum(walk(r, k) for k in trees.roots)))) for r in x]
+    assert np.allclose(trees.score(x), want)
+    # The first split has the best gain of all cuts of all features.
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        if min(left.sum(), (~left).sum()) < 8:
+            return -1.0
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1.0) for m in (left, ~left))
+
+    best = max(gain(j, c) for j in range(5) for c in np.unique(x[:, j]))
+    root = trees.roots[0]
+    assert math.isclose(gain(trees.feature[root], trees.cut[root]), best)
+    one = fit(x, np.ones(len(x)))
+    assert np.allclose(one.score(x), one.score(x)[0]) and one.score(x)[0] > 0.9
