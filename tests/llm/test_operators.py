@@ -42,14 +42,12 @@ def words(x):
     return x.encode().lower().split()
 
 
-def test_op1_scores(docs, rows, none):
-    from locusframe.llm.ngram_lm import score_documents
-
-    got = score_documents(docs, block_words=20_000, shard_chars=200_000).toPandas()
+def check_scores(got, rows):
+    """rows: (doc_id, text) of every row that was scored, repeated ones included."""
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    toks = {i: words(x) + [None] for i, x in rows.items()}
+    toks = [(i, words(x) + [None]) for i, x in rows]
     c, bi = collections.Counter(), collections.Counter()
-    for i, w in toks.items():
+    for i, w in toks:
         if not held(i):
             c.update(w)
             bi.update(zip([0] + w[:-1], w))
@@ -58,33 +56,51 @@ def test_op1_scores(docs, rows, none):
     for (a, _), k in bi.items():
         use[a] += k
         kinds[a] += 1
+    of = dict(toks)
     assert len(got) == len(rows)
     for r in got.itertuples():
-        w = toks[r.doc_id]
+        w = of[r.doc_id]
         p1 = [(c[t] + 0.5) / (n + 0.5 * (v + 1)) for t in w]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[t] > 0 for t in w), n, held(r.doc_id))
         assert math.isclose(r.base_score, sum(map(math.log10, p1)), rel_tol=1e-9)
         s = sum(math.log10((bi[a, b] + kinds[a] * p) / (use[a] + kinds[a]) if use[a] else p) for a, b, p in zip([0] + w[:-1], w, p1))
         assert abs(r.score - s) < 0.03 * abs(s) + 0.01
+
+
+def test_op1_scores(spark, docs, rows, none, tmp_path):
+    from locusframe.llm.ngram_lm import score_documents
+
+    got = score_documents(docs, block_words=20_000, shard_chars=200_000, hot=3000).toPandas()
+    check_scores(got, list(rows.items()))
     assert got[got.held_out].score.sum() > got[got.held_out].base_score.sum()
+    # The same file twice: every row counts twice and is scored twice.
+    few = docs.select("doc_id", "text").limit(60)
+    for k in (1, 2):
+        few.coalesce(1).write.mode("append").parquet(str(tmp_path / "twice"))
+    twice = spark.read.parquet(str(tmp_path / "twice"))
+    want = [(r.doc_id, r.text or "") for r in twice.collect()]
+    assert len(want) == 120
+    check_scores(score_documents(twice, block_words=5_000, shard_chars=60_000, hot=500).toPandas(), want)
     assert score_documents(none).count() == 0
 
 
-def test_trie_answers_single_and_batched_lookups():
-    from locusframe.llm.ngram_lm import EliasFano, Trie
+def test_trie_answers_by_search_on_packed_levels():
+    from locusframe.llm.ngram_lm import EliasFano, Trie, grid, quantised
 
     rng = np.random.default_rng(1)
-    values = np.sort(rng.integers(0, 1 << 50, 5000).astype(np.uint64))
-    low, high, width = EliasFano.parts(values)
-    seq = EliasFano(low, high, len(values), width)
-    k = rng.integers(0, 5000, 300)
-    assert (seq.get(k) == values[k]).all() and (seq.decoded() == values).all()
-    x = rng.integers(0, 1 << 50, 200).astype(np.uint64)
-    assert (seq.successor(x, np.zeros(200, np.int64), np.full(200, 5000)) == np.searchsorted(values, x)).all()
-    ctx = np.array([3, 9], np.uint64)
-    t = Trie(ctx, np.array([0, 2, 3]), np.array([5, 8, 5], np.uint64), np.array([0.5, 0.25, 0.125]), np.array([0.1, 0.2]))
-    code = t.find(t.context(np.array([3, 3, 9, 9, 4], np.uint64)), np.array([5, 8, 5, 8, 5], np.uint64))
-    assert np.allclose(t.centres[code], [0.5, 0.25, 0.125, 0, 0])
+    for top in (1 << 50, 9000):
+        values = np.sort(rng.integers(0, top, 5000).astype(np.uint64))
+        low, high, width = EliasFano.parts(values)
+        seq = EliasFano(low, high, len(values), width)
+        k = rng.integers(0, 5000, 300)
+        assert (seq.get(k) == values[k]).all() and (seq.get(np.arange(5000)) == values).all()
+        x = rng.integers(0, top, 200).astype(np.uint64)
+        assert (seq.successor(x, np.zeros(200, np.int64), np.full(200, 5000), step=64) == np.searchsorted(values, x)).all()
+    seen, least = np.array([0.5, 0.25, 0.125]), 1e-6
+    t = Trie(np.array([3, 9], np.uint64), np.array([2, 1]), np.array([7, 4]), np.array([5, 8, 5], np.uint64), quantised(seen, least))
+    number = t.context(np.array([3, 3, 9, 9, 4], np.uint64))
+    assert np.allclose(grid(least)[t.find(number, np.array([5, 8, 5, 8, 5], np.uint64))], [0.5, 0.25, 0.125, 0, 0], rtol=0.03)
+    assert [x.tolist() for x in t.statistics(number)] == [[7, 7, 4, 4, 0], [2, 2, 1, 1, 0]]
 
 
 def brute_components(rows, n, percent):
