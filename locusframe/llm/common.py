@@ -118,8 +118,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1], dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def input_chars(docs: DataFrame) -> int:
-    """Characters of all texts: one column-pruned pass, the figure that shard counts are derived from."""
-    return int(docs.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()[0])

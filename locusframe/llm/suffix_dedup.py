@@ -2,6 +2,7 @@
 
 A full suffix array would ship 200 bytes for each byte of text, so suffixes without a possible partner are ruled out first:
 
+0. Documents are packed once into blocks, a written table named by partition and ordinal, which all later steps read.
 1. In every 200-byte string the rightmost minimum of its 48-byte hashes is its anchor, a function of its content. A text's
    strings so fall into territories, runs of starts with one anchor (about one in 77 bytes). Tasks send the hashes of anchors
    and of whole territories to shards. An anchor seen once: nothing there repeats. A territory seen twice: all of it repeats.
@@ -14,11 +15,8 @@ A full suffix array would ship 200 bytes for each byte of text, so suffixes with
 What travels is packed: one row per (block, shard), distinct within the block, so a passage that a third of all documents
 share costs each block one entry. Equality is that of 64-bit hashes of two kinds (anchor and territory; lead and fingerprint).
 
-Blocks are runs of one input partition and are formed anew for each step; their name is a fingerprint of ids and lengths, so
-a source that deals rows differently on a second reading stops the job.
-
 Defined results: null or empty text has 0 bytes; texts under 200 bytes keep all; repeated rows repeat each other's strings, so
-both lose them; null ids are kept; extra columns are ignored; long texts are used whole; an empty table gives an empty result.
+both lose them (and so do repeated files); null ids are kept; extra columns are ignored; long texts are used whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +25,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import input_chars, mix, ragged, texts, written
+from locusframe.llm.common import mix, ragged, texts, written
 
 PACKED = "block bigint, doc_ids array<bigint>, nulls binary, lengths array<bigint>, bytes binary"
 ASKED = "block bigint, shard int, a binary, b binary, twice binary"
@@ -42,14 +40,13 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _pack(limit: int):
     def run(batches):
+        part, count = TaskContext.get().partitionId(), 0
         ids, raw, size = [], [], 0
 
         def row():
-            lengths = np.array([len(x) for x in raw], np.int64)
-            name = xxhash.xxh3_64_intdigest(",".join(f"{i}:{len(x)}" for i, x in zip(ids, raw, strict=True))) >> 1
             null = np.array([x is None or x != x for x in ids], bool)
             keys = np.array([0 if n else int(i) for i, n in zip(ids, null, strict=True)], np.int64)
-            return pd.DataFrame({"block": [name], "doc_ids": [keys], "nulls": [null.tobytes()], "lengths": [lengths], "bytes": [b"".join(raw)]})
+            return pd.DataFrame({"block": [part << 32 | count], "doc_ids": [keys], "nulls": [null.tobytes()], "lengths": [np.array([len(x) for x in raw], np.int64)], "bytes": [b"".join(raw)]})
 
         for b in batches:
             for i, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
@@ -58,6 +55,7 @@ def _pack(limit: int):
                 size += len(raw[-1])
                 if size >= limit:
                     yield row()
+                    count += 1
                     ids, raw, size = [], [], 0
         if ids:
             yield row()
@@ -173,7 +171,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
 def _codes(answers: pd.DataFrame, n: int) -> np.ndarray:
     got = b"".join(answers.sort_values("shard")["code"])
     if len(got) != n:
-        raise ValueError("the input's rows were dealt differently on a second reading; write it to a table first")
+        raise ValueError(f"{len(got)} answers to {n} questions")
     return np.frombuffer(got, np.uint8)
 
 
@@ -226,8 +224,9 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
 
 def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 2_500_000, shard_chars: int = 16_000_000, samples: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. gram: at most size; block_bytes and shard_chars bound what a task holds."""
-    shards = max(1, -(-input_chars(docs) // shard_chars))
-    packed = texts(docs).mapInPandas(_pack(block_bytes), PACKED)
+    packed = written(texts(docs).mapInPandas(_pack(block_bytes), PACKED), "dedup-blocks")
+    size_of = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    shards = max(1, -(-(packed.agg(F.sum(size_of)).first()[0] or 0) // shard_chars))
 
     def ask(batches):
         for b in batches:
@@ -250,7 +249,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes
                     yield pd.DataFrame({"lead": (x ^ np.uint64(1 << 63)).view(np.int64)})
 
     cuts = [(i + 1) / shards for i in range(shards - 1)]
-    found = packed.mapInPandas(leads, "lead bigint").agg(F.percentile_approx("lead", cuts, 10_000)).first()[0] if cuts else []
+    found = packed.mapInPandas(leads, "lead bigint").agg(F.percentile_approx("lead", cuts, max(10_000, 4 * shards))).first()[0] if cuts else []
     splitters = np.array([x & 0xFFFFFFFFFFFFFFFF for x in found or []], np.uint64) ^ np.uint64(1 << 63)
     by_block = packed.groupBy("block")
     asked = by_block.cogroup(first.groupBy("block")).applyInPandas(_open(size, gram, shards, splitters), ASKED)
