@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def _pack(limit: int):
         def row():
             null = np.array([x is None or x != x for x in ids], bool)
             keys = np.array([0 if n else int(i) for i, n in zip(ids, null, strict=True)], np.int64)
-            return pd.DataFrame({"block": [part << 32 | count], "doc_ids": [keys], "nulls": [null.tobytes()], "lengths": [np.array([len(x) for x in raw], np.int64)], "bytes": [b"".join(raw)]})
+            return pd.DataFrame({"block": [part << 32 | count], "doc_ids": [keys], "nulls": [null.tobytes()], "lengths": [np.array([len(x) for x in raw], np.int64)], "bytes": [zstandard.compress(b"".join(raw))]})
 
         for b in batches:
             for i, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
@@ -68,7 +69,8 @@ class Block:
 
     def __init__(self, row, size: int, gram: int):
         self.size = size
-        self.raw = np.frombuffer(row.bytes, np.uint8)
+        self.bytes = zstandard.decompress(row.bytes)
+        self.raw = np.frombuffer(self.bytes, np.uint8)
         self.lengths = np.array(row.lengths, np.int64)
         n = len(self.raw)
         self.ends = np.cumsum(self.lengths)
@@ -212,7 +214,7 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
             begins[inner] = gone[inner]
             total = lambda x: np.concatenate([[0], np.cumsum(x)])
             removed, spans = (t[block.ends] - t[first] for t in (total(gone), total(begins)))
-            data = row.bytes
+            data = block.bytes
             sha = [hashlib.sha256(data[p:q] if not r else block.raw[p:q][~gone[p:q]].tobytes()).hexdigest() for p, q, r in zip(first, block.ends, removed, strict=True)]
             ids = pd.array(np.array(row.doc_ids, np.int64), "Int64")
             ids[np.frombuffer(row.nulls, bool)] = pd.NA
@@ -224,7 +226,7 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
 
 def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 2_500_000, shard_chars: int = 16_000_000, samples: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. gram: at most size; block_bytes and shard_chars bound what a task holds."""
-    packed = written(texts(docs).mapInPandas(_pack(block_bytes), PACKED), "dedup-blocks")
+    packed = written(texts(docs).mapInPandas(_pack(block_bytes), PACKED), "dedup-blocks", "uncompressed")  # the bytes are compressed as they are, so that shuffles carry them so
     size_of = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
     shards = max(1, -(-(packed.agg(F.sum(size_of)).first()[0] or 0) // shard_chars))
 
@@ -240,7 +242,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes
         """A sample of each block's leading bytes, at evenly spaced places, as signed integers in the same order."""
         for b in batches:
             for row in b.itertuples():
-                raw = np.frombuffer(row.bytes, np.uint8)
+                raw = np.frombuffer(zstandard.decompress(row.bytes), np.uint8)
                 if len(raw) >= 8:
                     at = np.linspace(0, len(raw) - 8, samples).astype(np.int64)
                     x = np.zeros(samples, np.uint64)
