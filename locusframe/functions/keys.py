@@ -76,3 +76,20 @@ def neglog10p(z: Column) -> Column:
 def region_label(distance: Column) -> Column:
     """P15."""
     return F.when(F.abs(distance) > 10_000, "enhancer").otherwise("promoter")
+
+
+def distance_tss(df: DataFrame, genes: DataFrame) -> DataFrame:
+    """Signed, absolute and log distance of each row to its gene's mean TSS (genes: gene_id, gene_tss); the log of 0 is null."""
+    j = df.join(genes.groupBy("gene_id").agg(F.avg("gene_tss").alias("_tss")), "gene_id").withColumn("distance_tss", F.col("_tss") - F.col("pos"))
+    d = F.abs("distance_tss")
+    return j.withColumns({"abs_distance": d, "ln_distance": F.when(d > 0, F.log(d))}).drop("_tss")
+
+
+def gene_constraint(post_mean: Column) -> Column:
+    """log2; null where it is undefined."""
+    return F.when(post_mean > 0, F.log2(post_mean))
+
+
+def cell_tf_product(flag: Column, score: Column) -> Column:
+    """A cell's regulatory flag times its TF score, truncated toward 0."""
+    return (score * flag).cast("int")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from locusframe.functions.keys import neglog10p
+
 ALLELES = ["chr", "pos", "ref", "alt"]
 
 
@@ -20,15 +25,46 @@ def best_pip_row(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def peak_summary(df: DataFrame, assays: list[str]) -> DataFrame:
-    """A3: per variant and assay max(0, .), min(0, .) and max |.|; an absent assay gives 0."""
-    wide = df.groupBy("variant_id")
-    cols = []
-    for a in assays:
-        v = F.when(F.col("assay") == a, F.col("score"))
-        zero = F.lit(0.0)
-        cols += [F.greatest(zero, F.coalesce(F.max(v), zero)).alias(f"max_{a}"), F.least(zero, F.coalesce(F.min(v), zero)).alias(f"min_{a}"), F.coalesce(F.max(F.abs(v)), zero).alias(f"abs_{a}")]
-    return wide.agg(*cols)
+def peak_summary(df: DataFrame, cells: list[str], metrics: list[str], assays: list[str], keys: list[str] = ["variant_id"]) -> DataFrame:  # noqa: B006
+    """A3: per key and each cell, metric and assay max(0, .), min(0, .) and max |.|; an absent one gives 0, so the columns are always the same.
+
+    df: keys, cell, assay and a column for each metric. Not-a-number counts as missing.
+    """
+    zero, cols = F.lit(0.0), []
+    for c in cells:
+        for m in metrics:
+            for a in assays:
+                v = F.when((F.col("cell") == c) & (F.col("assay") == a) & ~F.isnan(m), F.col(m))
+                name = f"{c}_{m}"
+                cols += [F.greatest(zero, F.coalesce(F.max(v), zero)).alias(f"{name}_max_{a}"), F.least(zero, F.coalesce(F.min(v), zero)).alias(f"{name}_min_{a}"), F.coalesce(F.max(F.abs(v)), zero).alias(f"{name}_abs_max_{a}")]
+    return df.groupBy(*keys).agg(*cols)
+
+
+def list_genes(df: DataFrame) -> DataFrame:
+    """The genes of a table and their chromosomes."""
+    return df.select("gene_id", "chr").distinct()
+
+
+def attribution_summary(df: DataFrame, categories: list[str]) -> DataFrame:
+    """Per cohort, region and category the mean absolute attribution over all rows of the region, its share, and the number of rows; place: the category's.
+
+    df: cohort, region and a column for each category.
+    """
+    means = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("place"), F.avg(F.abs(c)).alias("mean_abs")) for k, c in enumerate(categories)])
+    long = df.groupBy("cohort", "region").agg(means.alias("_m"), F.count("*").alias("n_variants")).select("cohort", "region", "n_variants", F.inline("_m"))
+    return long.withColumn("share", F.try_divide("mean_abs", F.sum("mean_abs").over(Window.partitionBy("cohort", "region"))))
+
+
+def summary_wide(long: DataFrame, keys: list[str], column: str, value: str, names: list[str]) -> DataFrame:
+    """One column for each of `names`; absent ones are 0."""
+    return long.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(column) == n, F.col(value))), F.lit(0.0)).alias(n) for n in names])
+
+
+def pip_rank(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rank by pip within the keys (ties by `order`), whether it is the top, and the number of rows."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"pip_rank": F.row_number().over(w.orderBy(F.desc("pip"), *order)), "n": F.count("*").over(w)})
+    return d.withColumn("is_top_pip", F.col("pip_rank") == 1)
 
 
 def median_fill(df: DataFrame, cols: list[str], scope: list[str]) -> DataFrame:
@@ -64,11 +100,12 @@ def credible_set(df: DataFrame, keys: list[str], coverage: float = 0.95) -> Data
     return df.withColumn("_b", F.coalesce(F.sum("alpha").over(w), F.lit(0.0))).where(F.col("_b") < coverage).drop("_b")
 
 
-def ems_reweight(df: DataFrame, keys: list[str], factor: str, missing: float) -> DataFrame:
-    """Alpha * f / sum(alpha * f) * sum(alpha) within an effect."""
+def ems_reweight(df: DataFrame, keys: list[str], factor: str, missing: float, purity: str = "purity", least: float = 0.5) -> DataFrame:
+    """Alpha * f / sum(alpha * f) * sum(alpha) within an effect whose set is pure (purity of at least `least`); other effects keep theirs."""
     w = Window.partitionBy(*keys)
     df = df.withColumn("_af", F.col("alpha") * F.coalesce(F.col(factor), F.lit(missing)))
-    return df.withColumn("alpha", F.col("_af") / F.sum("_af").over(w) * F.sum("alpha").over(w)).drop("_af")
+    pure = (F.col(purity) >= least) & (F.sum("_af").over(w) > 0)
+    return df.withColumn("alpha", F.when(pure, F.col("_af") / F.sum("_af").over(w) * F.sum("alpha").over(w)).otherwise(F.col("alpha"))).drop("_af")
 
 
 def set_table(members: DataFrame) -> DataFrame:
@@ -77,24 +114,60 @@ def set_table(members: DataFrame) -> DataFrame:
     return members.groupBy("gene_id", "cell", "effect").agg(F.count("*").alias("size"), F.max("alpha").alias("top_pip"), F.sum("alpha").alias("sum_pip"), top.alias("top_variant"))
 
 
+def gene_table(fits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per gene and cell the number of variants, of credible sets (0 without any) and the largest pip. fits: gene_id, cell, variant_key, pip."""
+    g = fits.groupBy("gene_id", "cell").agg(F.countDistinct("variant_key").alias("n_variants"), F.max("pip").alias("max_pip"))
+    n = sets.groupBy("gene_id", "cell").agg(F.count("*").alias("n_cs"))
+    return g.join(n, ["gene_id", "cell"], "left").withColumn("n_cs", F.coalesce("n_cs", F.lit(0)))
+
+
+def set_variants(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Member rows with the rank of their set."""
+    return members.join(cs_rank(sets).select("gene_id", "cell", "effect", "cs_rank"), ["gene_id", "cell", "effect"])
+
+
+def high_pip(fits: DataFrame, members: DataFrame, cut: float = 0.10) -> DataFrame:
+    """Variants with a pip over the cut, in a set or not."""
+    m = members.select("gene_id", "cell", "variant_key").distinct().withColumn("in_cs", F.lit(True))
+    return fits.where(F.col("pip") > cut).join(m, ["gene_id", "cell", "variant_key"], "left").withColumn("in_cs", F.coalesce("in_cs", F.lit(False)))
+
+
 def cs_rank(sets: DataFrame) -> DataFrame:
     """Rank of a gene's sets by top pip."""
     return sets.withColumn("cs_rank", F.row_number().over(Window.partitionBy("cell", "gene_id").orderBy(F.desc("top_pip"), "effect")))
 
 
-def gene_level(sets: DataFrame) -> DataFrame:
-    """Sizes and top pips per gene."""
-    return sets.groupBy("gene_id", "cell").agg(F.count("*").alias("n_cs"), F.avg("size").alias("mean_size"), F.median("size").alias("median_size"), F.avg("top_pip").alias("mean_top"), F.max("top_pip").alias("max_top"))
+def gene_level(genes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Purity, size, log Bayes factor and top pip of a gene's sets; genes without a set stay. sets: gene_id, cell, size, purity, lbf, top_pip."""
+    of = {"mean_purity": F.avg("purity"), "min_purity": F.min("purity"), "mean_size": F.avg("size"), "median_size": F.median("size"), "mean_lbf": F.avg("lbf"), "max_lbf": F.max("lbf"), "mean_top": F.avg("top_pip"), "max_top": F.max("top_pip")}
+    s = sets.groupBy("gene_id", "cell").agg(F.count("*").alias("n_cs"), *[c.alias(n) for n, c in of.items()])
+    return genes.select("gene_id", "cell").distinct().join(s, ["gene_id", "cell"], "left").withColumn("n_cs", F.coalesce("n_cs", F.lit(0)))
+
 
+def gene_consensus(df: DataFrame, prior: str, names: list[str]) -> DataFrame:
+    """A gene's presence in each prior, in how many of the priors observed anywhere it occurs, and whether in all of those."""
+    g = df.groupBy("gene_id").agg(*[F.max((F.col(prior) == n).cast("int")).alias(n) for n in names], F.countDistinct(prior).alias("n_priors"))
+    return g.withColumn("in_all_priors", (F.col("n_priors") == df.agg(F.countDistinct(prior)).scalar()).cast("int"))
 
-def gene_consensus(df: DataFrame, prior: str) -> DataFrame:
-    """In how many of the observed priors a gene occurs, and whether in all."""
-    n = df.select(prior).distinct().count()
-    return df.groupBy("gene_id").agg(F.countDistinct(prior).alias("n_priors")).withColumn("in_all_priors", (F.col("n_priors") == n).cast("int"))
+
+def match_by_index(ref: DataFrame, comp: DataFrame) -> DataFrame:
+    """A17 (same index): sets of a gene with equal effect index, with the Jaccard of their members (0 if disjoint)."""
+    key = ["gene_id", "effect"]
+    na, nb = ref.groupBy(*key).agg(F.count("*").alias("na")), comp.groupBy(*key).agg(F.count("*").alias("nb"))
+    both = ref.select(*key, "variant_key").join(comp.select(*key, "variant_key"), [*key, "variant_key"]).groupBy(*key).agg(F.count("*").alias("shared"))
+    j = na.join(nb, key).join(both, key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return j.select("gene_id", F.col("effect").alias("ref_cs"), F.col("effect").alias("comp_cs"), "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def same_top(matched: DataFrame, ref_sets: DataFrame, comp_sets: DataFrame) -> DataFrame:
+    """Matched sets with both top variants and whether these are one. Sets: gene_id, effect, top_variant."""
+    a = ref_sets.select("gene_id", F.col("effect").alias("ref_cs"), F.col("top_variant").alias("ref_top"))
+    b = comp_sets.select("gene_id", F.col("effect").alias("comp_cs"), F.col("top_variant").alias("comp_top"))
+    return matched.join(a, ["gene_id", "ref_cs"]).join(b, ["gene_id", "comp_cs"]).withColumn("same_top_variant", F.col("ref_top") == F.col("comp_top"))
 
 
 def match_sets(ref: DataFrame, comp: DataFrame) -> DataFrame:
-    """Mutually best sets of a gene by Jaccard of their members (ties: lower index)."""
+    """A17 (overlap): mutually best sets of a gene by Jaccard of their members (ties: lower index)."""
     a = ref.select("gene_id", F.col("effect").alias("ref_cs"), "variant_key")
     b = comp.select("gene_id", F.col("effect").alias("comp_cs"), "variant_key")
     na, nb = a.groupBy("gene_id", "ref_cs").agg(F.count("*").alias("na")), b.groupBy("gene_id", "comp_cs").agg(F.count("*").alias("nb"))
@@ -106,51 +179,96 @@ def match_sets(ref: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def coloc_pp(a: DataFrame, b: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 5e-6, least: int = 10) -> DataFrame:
-    """Posterior of H0..H4 per gene and pair of effects over shared variants. Columns: gene_id, effect, variant_key, lbf."""
+    """Posterior of H0..H4 per gene and pair of effects over shared variants, and each side's lead variant. Columns: gene_id, effect, variant_key, lbf."""
     j = a.select("gene_id", F.col("effect").alias("effect1"), "variant_key", F.col("lbf").alias("l1")).join(
         b.select("gene_id", F.col("effect").alias("effect2"), "variant_key", F.col("lbf").alias("l2")), ["gene_id", "variant_key"])
     keys = ["gene_id", "effect1", "effect2"]
-    m = j.groupBy(*keys).agg(F.max("l1").alias("m1"), F.max("l2").alias("m2"), F.max(F.col("l1") + F.col("l2")).alias("m12"), F.count("*").alias("nsnps")).where(F.col("nsnps") >= least)
-    s = j.join(m, keys).groupBy(*keys, "nsnps", "m1", "m2", "m12").agg(*[F.sum(F.exp(x - F.col(f"m{n}"))).alias(f"s{n}") for n, x in (("1", F.col("l1")), ("2", F.col("l2")), ("12", F.col("l1") + F.col("l2")))])
+    hit = lambda x: F.min_by("variant_key", F.struct(-F.col(x), "variant_key"))
+    m = j.groupBy(*keys).agg(F.max("l1").alias("m1"), F.max("l2").alias("m2"), F.max(F.col("l1") + F.col("l2")).alias("m12"), F.count("*").alias("nsnps"), hit("l1").alias("hit1"), hit("l2").alias("hit2"))
+    m = m.where(F.col("nsnps") >= least)
+    s = j.join(m, keys).groupBy(*keys, "nsnps", "hit1", "hit2", "m1", "m2", "m12").agg(*[F.sum(F.exp(x - F.col(f"m{n}"))).alias(f"s{n}") for n, x in (("1", F.col("l1")), ("2", F.col("l2")), ("12", F.col("l1") + F.col("l2")))])
     e = {n: F.col(f"m{n}") + F.log(f"s{n}") for n in ("1", "2", "12")}
     s = s.withColumns({"h1": e["1"] + F.log(F.lit(p1)), "h2": e["2"] + F.log(F.lit(p2)), "h4": e["12"] + F.log(F.lit(p12)), "d": e["12"] - e["1"] - e["2"]})
     h3 = F.log(F.lit(p1)) + F.log(F.lit(p2)) + e["1"] + e["2"] + F.log(F.greatest(1 - F.exp("d"), F.lit(1e-300)))
     s = s.withColumn("h3", h3).withColumn("top", F.greatest(F.lit(0.0), "h1", "h2", "h3", "h4"))
     total = F.exp(-F.col("top")) + sum((F.exp(F.col(h) - F.col("top")) for h in ("h1", "h2", "h3", "h4")), F.lit(0.0))
-    return s.withColumn("_t", total).select(*keys, "nsnps", (F.exp(-F.col("top")) / F.col("_t")).alias("pp_h0"), *[(F.exp(F.col(f"h{k}") - F.col("top")) / F.col("_t")).alias(f"pp_h{k}") for k in (1, 2, 3, 4)])
+    return s.withColumn("_t", total).select(*keys, "nsnps", "hit1", "hit2", (F.exp(-F.col("top")) / F.col("_t")).alias("pp_h0"), *[(F.exp(F.col(f"h{k}") - F.col("top")) / F.col("_t")).alias(f"pp_h{k}") for k in (1, 2, 3, 4)])
 
 
 def average_precision(df: DataFrame, keys: list[str], label: str, score: str, weight: Column | None = None) -> DataFrame:
-    """Sum over score steps of recall gain times precision; tied scores are one step; one class gives null."""
+    """Sum over score steps of recall gain times precision; tied scores are one step; one class gives null.
+
+    Steps are cut at 255 quantiles of the score: running sums are taken within a range of scores, and the ranges' totals, at most
+    256 a key, are summed on top, so a pooled curve is not one task's work.
+    """
     w = F.lit(1.0) if weight is None else weight
-    steps = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(w * F.col(label)).alias("tp"), F.sum(w).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    steps = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*keys, score).agg(F.sum(w * F.col(label)).alias("tp"), F.sum(w).alias("n"))
+    cuts = steps.agg(F.percentile_approx(score, [k / 256 for k in range(1, 256)], 10_000)).scalar()
+    steps = steps.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    ranges = steps.groupBy(*keys, "_range").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c) for c in ("_tp", "_n")])
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.join(ranges, [*keys, "_range"]).withColumns({"ctp": F.sum("tp").over(down) + F.col("_tp"), "cn": F.sum("n").over(down) + F.col("_n")})
     return steps.groupBy(*keys).agg(F.when((F.sum("tp") > 0) & (F.sum("tp") < F.sum("n")), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.sum("tp")).alias("ap"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos"))
 
 
-def marginal_regression(geno: DataFrame, expr: DataFrame) -> DataFrame:
-    """Slope, standard error and z of expression on dosage per variant."""
-    j = geno.join(expr, "sample_id")
+def typed_variants(geno: DataFrame, maf: float = 0.001, mac: int = 10, missing: float = 0.1) -> DataFrame:
+    """Variants that pass the checks on minor allele frequency, minor allele count and share of samples without a dosage (of all samples of the table)."""
+    n = geno.agg(F.countDistinct("sample_id")).scalar()
+    g = geno.where("dosage is not null").groupBy("variant_key").agg(F.count("*").alias("_n"), F.sum("dosage").alias("_s"))
+    minor = F.least(F.col("_s"), 2 * F.col("_n") - F.col("_s"))
+    return g.where((minor / (2 * F.col("_n")) >= maf) & (minor >= mac) & (1 - F.col("_n") / n <= missing)).select("variant_key")
+
+
+def single_phenotype(expr: DataFrame) -> DataFrame:
+    """One row per gene and sample (cell); equal duplicates collapse, differing ones stop the job where they are met."""
+    differ = F.raise_error(F.lit("co-located phenotypes differ")).cast("double")
+    return expr.groupBy("gene_id", "sample_id").agg(F.min("y").alias("_a"), F.max("y").alias("_b")).select("gene_id", "sample_id", F.when(F.abs(F.col("_a") - F.col("_b")) > 1.5e-8 * F.abs("_a"), differ).otherwise(F.col("_a")).alias("y"))
+
+
+def marginal_regression(geno: DataFrame, expr: DataFrame, pairs: DataFrame, **checks) -> DataFrame:
+    """Slope, standard error, z and -log10 p of expression on dosage for each pair (gene_id, variant_key) of typed variants.
+
+    geno: sample_id, variant_key, dosage; expr: gene_id, sample_id, y. Pairs of fewer than 3 samples or without spread have no row.
+    """
+    good = geno.join(typed_variants(geno, **checks), "variant_key", "left_semi").where("dosage is not null")
+    j = pairs.select("gene_id", "variant_key").distinct().join(good, "variant_key").join(single_phenotype(expr), ["gene_id", "sample_id"])
     x, y = "CAST(dosage AS DOUBLE)", "y"
-    s = j.groupBy("variant_key").agg(F.expr(f"regr_slope({y}, {x})").alias("slope"), F.expr(f"regr_sxx({y}, {x})").alias("sxx"), F.expr(f"regr_syy({y}, {x})").alias("syy"), F.count("*").alias("n"))
-    s = s.where("sxx > 0 and n > 2").withColumn("se", F.sqrt((F.col("syy") - F.col("slope") ** 2 * F.col("sxx")) / (F.col("n") - 2) / F.col("sxx")))
-    return s.withColumn("z", F.try_divide("slope", "se")).select("variant_key", "slope", "se", "z", "n")
+    s = j.groupBy("gene_id", "variant_key").agg(F.expr(f"regr_slope({y}, {x})").alias("slope"), F.expr(f"regr_sxx({y}, {x})").alias("sxx"), F.expr(f"regr_syy({y}, {x})").alias("syy"), F.count("*").alias("n"))
+    s = s.where("sxx > 0 and n > 2").withColumn("se", F.sqrt(F.greatest(F.col("syy") - F.col("slope") ** 2 * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx")))
+    s = s.withColumn("z", F.try_divide("slope", "se"))
+    return s.select("gene_id", "variant_key", "slope", "se", "z", neglog10p(F.col("z")).alias("neglog10p"), "n")
 
 
 def ld_pairs(geno: DataFrame, w: int, least: float = 0.001) -> DataFrame:
     """Correlation of variants at most w apart (keys as positions), r2 of at least `least`; undefined is 0.
 
-    Pairs arise per sample by bin: a variant meets the variants of its own bin and the next, so no pair is formed twice.
+    A variant is one row with its dosages in the order of the cohort's samples (null where missing), so pairs, not pairs times
+    samples, are what the join makes; it meets the variants of its own bin and the next, so no pair is formed twice.
     """
-    a = geno.select("sample_id", F.col("variant_key").alias("key1"), F.col("dosage").cast("double").alias("d1"), F.floor(F.col("variant_key") / w).alias("_bin"))
-    b = geno.select("sample_id", F.col("variant_key").alias("key2"), F.col("dosage").cast("double").alias("d2"), F.explode(F.array(F.floor(F.col("variant_key") / w), F.floor(F.col("variant_key") / w) - 1)).alias("_bin"))
-    j = a.join(b, ["sample_id", "_bin"]).where((F.col("key1") < F.col("key2")) & (F.col("key2") - F.col("key1") <= w))
-    n, sx, sy = F.count("*"), F.sum("d1"), F.sum("d2")
-    g = j.groupBy("key1", "key2").agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), F.sum(F.col("d1") * F.col("d2")).alias("sxy"), F.sum(F.col("d1") ** 2).alias("sxx"), F.sum(F.col("d2") ** 2).alias("syy"))
-    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.col("n") * F.col("syy") - F.col("sy") ** 2
-    r = F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)).otherwise(0.0)
-    return g.withColumn("r", r).where(F.col("r") ** 2 >= least).select("key1", "key2", "r")
+    samples = geno.agg(F.sort_array(F.collect_set("sample_id"))).scalar()
+    one = geno.groupBy("variant_key").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("dosage").cast("float")))).alias("_m")).withColumn("_all", samples)
+    one = one.select("variant_key", F.transform("_all", lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(float("nan")))).alias("d"))
+    cell = F.floor(F.col("variant_key") / w)
+    a = one.select(F.col("variant_key").alias("key1"), F.col("d").alias("d1"), cell.alias("_bin"))
+    b = one.select(F.col("variant_key").alias("key2"), F.col("d").alias("d2"), F.explode(F.array(cell, cell - 1)).alias("_bin"))
+    j = a.join(b, "_bin").where((F.col("key1") < F.col("key2")) & (F.col("key2") - F.col("key1") <= w)).select("key1", "key2", "d1", "d2")
+    schema = ", ".join(f"{c} {j.schema[c].dataType.simpleString()}" for c in ("key1", "key2")) + ", r double"
+    return j.mapInPandas(_correlations, schema).where(F.col("r") ** 2 >= least)
+
+
+def _correlations(batches):
+    """Correlation of the two dosage arrays of each row over samples typed in both; 0 where it is undefined."""
+    for rows in batches:
+        for k in range(0, len(rows), 2000):
+            some = rows.iloc[k : k + 2000]
+            x, y = (np.array(some[c].tolist(), float) for c in ("d1", "d2"))
+            both = ~(np.isnan(x) | np.isnan(y))
+            x, y, n = np.where(both, x, 0), np.where(both, y, 0), both.sum(1)
+            vx, vy = n * (x * x).sum(1) - x.sum(1) ** 2, n * (y * y).sum(1) - y.sum(1) ** 2
+            r = np.divide(n * (x * y).sum(1) - x.sum(1) * y.sum(1), np.sqrt(vx * vy), out=np.zeros(len(some)), where=(vx > 0) & (vy > 0))
+            yield some[["key1", "key2"]].assign(r=r)
 
 
 def ld_scores(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -167,10 +285,15 @@ def top_n(df: DataFrame, ranking: list[str], score: str, key: list[str], n: int)
 
 
 def sample_negatives(pos: DataFrame, neg: DataFrame, strata: list[str], order: list[Column], per: int = 10) -> DataFrame:
-    """K3: per stratum n_pos * per negatives, in an order that is fixed by the rows' keys."""
+    """K3: per stratum n_pos * per negatives, in an order that is fixed by the rows' keys.
+
+    A stratum with fewer draws with replacement: draw i takes row (7919 i + 13) mod n of that order, and rows drawn twice count once.
+    """
     need = pos.groupBy(*strata).agg((F.count("*") * per).alias("_need"))
-    r = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return neg.join(need, strata).withColumn("_r", r).where("_r <= _need").drop("_r", "_need")
+    w = Window.partitionBy(*strata)
+    ranked = neg.join(need, strata).withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
+    drawn = F.exists(F.sequence(F.lit(1).cast("bigint"), F.col("_need")), lambda i: (i * 7919 + 13) % F.col("_n") == F.col("_r") - 1)
+    return ranked.where(F.when(F.col("_n") >= F.col("_need"), F.col("_r") <= F.col("_need")).otherwise(drawn)).drop("_r", "_n", "_need")
 
 
 def threshold_sweep(df: DataFrame, score: str, cuts: list[float]) -> DataFrame:
@@ -179,13 +302,45 @@ def threshold_sweep(df: DataFrame, score: str, cuts: list[float]) -> DataFrame:
     return max_over_genes(df, score).select("*", c).where(F.col(score) > F.col("cut"))
 
 
-def symmetric_genes(a: DataFrame, b: DataFrame, drop: DataFrame) -> DataFrame:
-    """Genes in exactly one of a and b, without those of drop."""
-    one = a.select("gene_id").distinct().withColumn("s", F.lit(1)).union(b.select("gene_id").distinct().withColumn("s", F.lit(2)))
-    return one.groupBy("gene_id").agg(F.count("*").alias("n"), F.max("s").alias("side")).where("n = 1").drop("n").join(drop.select("gene_id").distinct(), "gene_id", "left_anti")
+def other_genes(a: DataFrame, b: DataFrame, drop: DataFrame, one_study: bool) -> DataFrame:
+    """Rows (with `study` 1 or 2) of the genes that a or b has and `drop` has not; one_study: only of genes that one of the two has alone."""
+    both = a.withColumn("study", F.lit(1)).unionByName(b.withColumn("study", F.lit(2)))
+    flags = both.groupBy("gene_id").agg(F.countDistinct("study").alias("_n"))
+    genes = (flags.where("_n = 1") if one_study else flags).join(drop.select("gene_id").distinct(), "gene_id", "left_anti")
+    return both.join(genes.select("gene_id"), "gene_id", "left_semi")
+
+
+def unique_variants(tables: list[DataFrame]) -> DataFrame:
+    """The distinct variants of several analyses."""
+    return reduce(DataFrame.unionByName, [t.select(*ALLELES) for t in tables]).distinct()
+
 
+def gene_list_union(lists: list[DataFrame]) -> DataFrame:
+    """One row per gene with the number (from 1) of the first list that has it."""
+    every = reduce(DataFrame.unionByName, [d.select("gene_id", F.lit(k + 1).alias("source")) for k, d in enumerate(lists)])
+    return every.groupBy("gene_id").agg(F.min("source").alias("source"))
 
-def training_positives(df: DataFrame) -> DataFrame:
-    """U4 (train): members above 0.05 of sets whose top is above 0.10, and rows above 0.50 outside sets."""
-    top = df.where("cs95 > 0").groupBy("cell", "gene_id", "cs95").agg(F.max("pip").alias("top")).where("top > 0.10").drop("top")
+
+def positives(df: DataFrame, split: str = "train") -> DataFrame:
+    """U4: the positives of a split. test: pip of at least 0.9; train_restricted: over 0.90 in a set; train: members over 0.05 of sets with a row over 0.10, and rows over 0.50 outside sets."""
+    if split == "test":
+        return df.where("pip >= 0.9")
+    if split == "train_restricted":
+        return df.where("pip > 0.90 and cs95 >= 1")
+    if split != "train":
+        raise ValueError(f"no such split: {split}")
+    top = df.where("cs95 >= 1").groupBy("cell", "gene_id", "cs95").agg(F.max("pip").alias("top")).where("top > 0.10").drop("top")
     return df.where("cs95 > 0 and pip > 0.05").join(top, ["cell", "gene_id", "cs95"], "left_semi").select(df.columns).union(df.where("cs95 = 0 and pip > 0.50"))
+
+
+def credible_set_keys(members: DataFrame, prior: str, cuts: list[float]) -> DataFrame:
+    """Distinct members of sets, per prior and cut the keys whose best pip exceeds it. members: prior, alleles, pip (rows of sets only)."""
+    best = members.groupBy(prior, *ALLELES).agg(F.max("pip").alias("_p"))
+    return best.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts]))).where(F.col("_p") > F.col("cut")).drop("_p")
+
+
+def loco_folds(df: DataFrame, chrom: str = "chrom") -> DataFrame:
+    """M5: each chromosome as a fold: rows held out and trained on, and the parity that gives its configuration (the other parity's search)."""
+    n = df.groupBy(chrom).agg(F.count("*").alias("n_held"))
+    number = F.regexp_replace(chrom, "^chr", "").cast("int")
+    return n.withColumns({"n_train": df.agg(F.count("*")).scalar() - F.col("n_held"), "config_parity": (number + 1) % 2})

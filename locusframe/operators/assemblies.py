@@ -6,47 +6,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.keys import variant_features, variant_type
-from locusframe.operators.aggregates import ALLELES, best_pip_row, sample_negatives
+from locusframe.operators.aggregates import ALLELES, best_pip_row, peak_summary, sample_negatives
 from locusframe.operators.features import tf_summary
-from locusframe.operators.joins import annotate_intervals, max_link_score
+from locusframe.operators.joins import annotate_intervals, keep_annotated, max_link_score
 from locusframe.operators.study import clean_features
 
 
-def variant_annotations(variants: DataFrame, intervals: DataFrame, names: dict[str, str], tracks: DataFrame, lists: DataFrame, cells: list[str]) -> DataFrame:
-    """M1: per variant a 0/1 column for each annotation (column: annotation), TF summaries of each cell, and their products with the flags.
+def variant_annotations(variants: DataFrame, intervals: DataFrame, names: dict[str, str], tracks: DataFrame, lists: DataFrame, cells: list[str], dropped: DataFrame | None = None) -> DataFrame:
+    """M1: per variant a 0/1 column for each annotation (column: annotation), the truncated TF score of each cell, and their products with the flags.
 
-    tracks: alleles, track, v. Flags and summaries are conditional aggregates, so a variant is one row a side before the join.
+    tracks: alleles, track, v; dropped (track): tracks that take no part (CAGE). Only variants with a track that stays are in the table. Flags
+    and scores are conditional aggregates, so a variant is one row a side before the join.
     """
     v = variants.select(*ALLELES).distinct()
+    if dropped is not None:
+        tracks = tracks.join(dropped.select("track").distinct(), "track", "left_anti")
     flags = annotate_intervals(v, intervals.where(F.col("annotation").isin(list(names.values())))).groupBy(*ALLELES).agg(*[F.max((F.col("annotation") == a).cast("int")).alias(n) for n, a in names.items()])
-    tf = tf_summary(tracks, lists, ALLELES).groupBy(*ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col(s))).alias(f"{s}_{c}") for c in cells for s in ("tf_max", "tf_min", "tf_max_abs")])
-    d = v.join(flags, ALLELES, "left").fillna(0, list(names)).join(tf, ALLELES, "left")
-    return d.withColumns({f"{n}_x_{c}": F.col(n) * F.col(f"tf_max_abs_{c}") for n in names for c in cells})
+    tf = tf_summary(tracks, lists, ALLELES).groupBy(*ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col("tf_composite"))).alias(f"tf_{c}") for c in cells])
+    d = v.join(flags, ALLELES, "left").fillna(0, list(names)).join(tf, ALLELES)
+    return d.withColumns({f"{n}_x_{c}": F.col(n) * F.col(f"tf_{c}") for n in names for c in cells})
 
 
-def gene_feature_table(fits: DataFrame, order: list[Column], intervals: DataFrame, genes: DataFrame, links: DataFrame, cells: dict[str, str]) -> DataFrame:
-    """M2: per gene and annotated variant its best row, the distance to the gene's mean TSS, and the best link score per cell (column: cell)."""
-    best = best_pip_row(fits, order)
-    v = best.join(annotate_intervals(best, intervals).select(*ALLELES).distinct(), ALLELES, "left_semi")
-    distance = F.col("pos") - F.col("_tss")
-    v = v.join(genes.groupBy("gene_id").agg(F.avg("gene_tss").alias("_tss")), "gene_id", "left").withColumns({"distance_TSS": distance, "abs_distance_TSS": F.abs(distance)}).drop("_tss")
-    score = max_link_score(v, links.where(F.col("cell").isin(list(cells.values())))).groupBy("gene_id", *ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col("abc_score"))).alias(n) for n, c in cells.items()])
-    return v.join(score, ["gene_id", *ALLELES], "left").fillna(0.0, list(cells))
+def gene_feature_table(fits: DataFrame, order: list[Column], intervals: DataFrame, genes: DataFrame, links: DataFrame, cells: dict[str, str],
+                       peaks: DataFrame | None = None, shape: tuple[list[str], list[str], list[str]] = ([], [], []), tracks: DataFrame | None = None, lists: DataFrame | None = None, tf_cells: tuple[str, ...] = ()) -> DataFrame:
+    """M2: per gene and annotated variant its best row, distances to the gene's mean TSS, the best link score per cell (column: cell), and,
+    where given, peak summaries (peaks: alleles, cell, assay and metrics; shape: cells, metrics, assays; 0 where absent) and TF summaries
+    (tracks: alleles, track, v; lists: cell, track)."""
+    v = keep_annotated(best_pip_row(fits, order), annotate_intervals(fits, intervals).select(*ALLELES).distinct(), ALLELES)
+    distance = F.col("_tss") - F.col("pos")
+    v = v.join(genes.groupBy("gene_id").agg(F.avg("gene_tss").alias("_tss")), "gene_id", "left").withColumns({"distance_TSS": distance, "abs_distance_TSS": F.abs(distance), "abs_distance_TSS_log": F.when(distance != 0, F.log(F.abs(distance)))}).drop("_tss")
+    score = max_link_score(v, links, list(cells.values())).groupBy("gene_id", *ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col("abc_score"))).alias(n) for n, c in cells.items()])
+    v = v.join(score, ["gene_id", *ALLELES], "left")
+    if peaks is not None:
+        p = peak_summary(peaks, *shape, keys=ALLELES)
+        v = v.join(p, ALLELES, "left").fillna(0.0, [c for c in p.columns if c not in ALLELES])
+    if tracks is not None:
+        of = {"max": "tf_max", "min": "tf_min", "abs_max": "tf_max_abs"}
+        t = tf_summary(tracks, lists, ALLELES).groupBy(*ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col(s))).alias(f"{n}_{c}_TF_score") for c in tf_cells for n, s in of.items()])
+        v = v.join(t, ALLELES, "left")
+    return v
 
 
-def training_set(positives: DataFrame, candidates: DataFrame, order: list[Column], per: int = 10) -> DataFrame:
-    """M3: positives (label 1) and, per gene and variant type, `per` times as many of the candidates (label 0), in a fixed order."""
+def training_set(positives: DataFrame, candidates: DataFrame, order: list[Column], per: int = 10, features: DataFrame | None = None) -> DataFrame:
+    """M3: positives (label 1) and, per gene and variant type, `per` times as many of the candidates (label 0), in a fixed order.
+
+    features (gene_id, alleles and columns): only rows with features take part, and they carry them. A positive of several rows is one.
+    """
+    key = ["gene_id", *ALLELES]
     p, n = (variant_type(d).drop("type_del", "type_snv", "type_ins") for d in (positives, candidates))
+    if features is not None:
+        p, n = (d.join(features.select(*key), key, "left_semi") for d in (p, n))
     neg = sample_negatives(p, n, ["gene_id", "variant_type"], order, per)
-    return p.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
+    both = p.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
+    return both if features is None else both.join(features, key)
 
 
-def feature_matrix(df: DataFrame, names: list[str], absolute: list[str]) -> DataFrame:
-    """M4: df with `features`, the cleaned array of `names` in their order; variant features are computed, absent columns are 0."""
+def feature_matrix(df: DataFrame, names: list[str], absolute: list[str], gpn: str | None = None) -> DataFrame:
+    """M4: df with `features`, the cleaned array of `names` in their order; variant features are computed, absent columns are 0.
+
+    gpn names the score column whose absolute value is appended last and stays null where it is missing.
+    """
     own = {"is_SNP": "is_snp"}
     d = variant_features(df)
     have = {c.lower() for c in d.columns}
     col = lambda n: F.col(own.get(n, n)) if own.get(n, n).lower() in have else F.lit(0.0)
     values = F.array(*[col(n).cast("double") for n in names])
     computed = {"length_diff", "is_snp", "is_indel", "is_insertion", "is_deletion"} - {c.lower() for c in df.columns}
-    return d.withColumn("features", clean_features(values, [n in absolute for n in names])).drop(*computed)
+    return d.withColumn("features", clean_features(values, [n in absolute for n in names], F.col(gpn) if gpn else None)).drop(*computed)

@@ -71,9 +71,9 @@ def llr_lookup(variants: DataFrame, training: DataFrame, scores: DataFrame, neut
 
 
 def tf_summary(long: DataFrame, lists: DataFrame, keys: list[str], track: str = "track", value: str = "v") -> DataFrame:
-    """A4: per key and cell, over the cell's tracks: largest, smallest and largest absolute value. lists: cell, track."""
+    """A4: per key and cell, over the cell's tracks: largest, smallest and largest absolute value, and the largest truncated toward 0 (tf_composite). lists: cell, track."""
     j = long.join(lists.select("cell", track).distinct(), track)
-    return j.groupBy(*keys, "cell").agg(F.max(value).alias("tf_max"), F.min(value).alias("tf_min"), F.max(F.abs(value)).alias("tf_max_abs"))
+    return j.groupBy(*keys, "cell").agg(F.max(value).alias("tf_max"), F.min(value).alias("tf_min"), F.max(F.abs(value)).alias("tf_max_abs"), F.max(value).cast("int").alias("tf_composite"))
 
 
 def select_features(dictionary: DataFrame, present: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,29 +11,39 @@ from pyspark.sql.window import Window
 from locusframe.operators.aggregates import average_precision, credible_set, softmax
 
 
-def poisson_weight(row: list[Column], replicate: Column, seed: int) -> Column:
-    """A Poisson(1) count that depends on the row's key, the replicate and the seed alone: a bootstrap without a shuffle of rows."""
-    u = F.pmod(F.xxhash64(*row, replicate, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    return sum((F.when(u >= float(s), 1).otherwise(0) for s in steps[1:]), F.when(u >= float(steps[0]), 1).otherwise(0))
+def bootstrap_weights(df: DataFrame, keys: list[str], label: str, a: str, b: str, replicates: int = 2000, seed: int = 9448) -> DataFrame:
+    """Keys, label, both scores, replicate and _w: how often the rows of these values, scored by both, are drawn in the replicate (if at all).
 
+    Rows of equal label and scores are interchangeable, so k of them draw one Poisson(k) count a replicate in place of k times
+    Poisson(1); the draw depends on the group's values, the seed and nothing else, so no row is shuffled to be resampled.
+    """
+    clean = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    groups = df.where(clean(a) & clean(b)).groupBy(*keys, label, a, b).agg(F.count("*").alias("_k")).withColumn("_seed", F.xxhash64(*keys, label, a, b, F.lit(seed)))
+    fields = [f for f in groups.schema if not f.name.startswith("_")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["replicate int", "_w double"])
 
-def bootstrap_deltas(df: DataFrame, keys: list[str], row: list[str], label: str, a: str, b: str, replicates: int = 1000, seed: int = 9448) -> DataFrame:
-    """Per key and replicate the difference of average precisions of scores a and b, over rows scored by both.
+    def draw(batches):
+        for rows in batches:
+            for at in range(0, len(rows), 200):
+                some = rows.iloc[at : at + 200]
+                w = np.array([np.random.default_rng([int(s) & 0xFFFFFFFF, (int(s) >> 32) & 0xFFFFFFFF]).poisson(k, replicates) for s, k in zip(some["_seed"], some["_k"], strict=True)])
+                i, j = np.nonzero(w)
+                yield some[[f.name for f in fields]].iloc[i].assign(replicate=j.astype("int32") + 1, _w=w[i, j].astype(float))
 
-    Rows of equal label and scores are interchangeable but draw separately, so counts are summed before any sort.
-    """
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
-    d = d.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight([F.col(c) for c in row], F.col("replicate"), seed))
-    d = d.where("_w > 0").groupBy(*keys, "replicate", label, a, b).agg(F.sum("_w").cast("double").alias("_w"))
+    return groups.mapInPandas(draw, schema)
+
+
+def bootstrap_deltas(df: DataFrame, keys: list[str], label: str, a: str, b: str, replicates: int = 2000, seed: int = 9448) -> DataFrame:
+    """Per key and replicate the difference of average precisions of scores a and b, over rows scored by both."""
+    d = bootstrap_weights(df, keys, label, a, b, replicates, seed)
     by = [*keys, "replicate"]
     ap = lambda s, name: average_precision(d, by, label, s, F.col("_w")).select(*by, F.col("ap").alias(name))
     return ap(a, "_ap1").join(ap(b, "_ap2"), by).select(*by, (F.col("_ap1") - F.col("_ap2")).alias("delta"))
 
 
-def paired_bootstrap(df: DataFrame, keys: list[str], row: list[str], label: str, a: str, b: str, replicates: int = 1000, seed: int = 9448) -> DataFrame:
+def paired_bootstrap(df: DataFrame, keys: list[str], label: str, a: str, b: str, replicates: int = 2000, seed: int = 9448) -> DataFrame:
     """Mean difference, its 2.5 and 97.5 percentiles, and whether they lie on one side of 0. Replicates of one class are left out."""
-    d = bootstrap_deltas(df, keys, row, label, a, b, replicates, seed).where("delta is not null")
+    d = bootstrap_deltas(df, keys, label, a, b, replicates, seed).where("delta is not null")
     s = d.groupBy(*keys).agg(F.avg("delta").alias("delta"), F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.count("*").alias("n_replicates"))
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     return s.select(*keys, "delta", lo.alias("lo"), hi.alias("hi"), ((lo > 0) | (hi < 0)).alias("significant"), "n_replicates")

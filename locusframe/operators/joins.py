@@ -23,20 +23,32 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: Col
 
 
 def annotate_intervals(variants: DataFrame, intervals: DataFrame, width: int = 2000) -> DataFrame:
-    """Long flags (key, annotation): the base [pos-1, pos) overlaps an interval [start, end)."""
-    hits = range_join(variants.select(*ALLELES).distinct(), intervals.select("annotation", "chr", "start_pos", "end_pos"), ["chr"], F.col("pos"), F.col("start_pos"), F.col("end_pos"), width)
+    """Long flags (key, annotation): the base [pos-1, pos) overlaps an interval [start, end), so start < pos <= end."""
+    hits = range_join(variants.select(*ALLELES).distinct(), intervals.select("annotation", "chr", "start_pos", "end_pos"), ["chr"], F.col("pos"), F.col("start_pos") + 1, F.col("end_pos"), width)
     return hits.select(*ALLELES, "annotation").distinct()
 
 
-def max_link_score(variants: DataFrame, links: DataFrame, w: int = 1024, width: int = 4096) -> DataFrame:
-    """Per variant-gene pair and cell the best score of the gene's links that overlap [pos-w, pos+w], both ends inclusive."""
+def max_link_score(variants: DataFrame, links: DataFrame, cells: list[str], w: int = 1024, width: int = 4096) -> DataFrame:
+    """Per variant-gene pair and cell the best score of the gene's links that overlap [pos-w, pos+w], both ends inclusive; 0 without one."""
     pairs = variants.select("gene_id", *ALLELES).distinct()
     near = range_join(pairs, links.select("gene_id", "chr", "cell", "start_pos", "end_pos", "abc_score"), ["gene_id", "chr"], F.col("pos"), F.col("start_pos") - w, F.col("end_pos") + w, width)
-    return near.groupBy("gene_id", *ALLELES, "cell").agg(F.max("abc_score").alias("abc_score"))
+    best = near.groupBy("gene_id", *ALLELES, "cell").agg(F.max("abc_score").alias("abc_score"))
+    every = pairs.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in cells])))
+    return every.join(best, ["gene_id", *ALLELES, "cell"], "left").withColumn("abc_score", F.coalesce("abc_score", F.lit(0.0)))
 
 
 def pair_genes(variants: DataFrame, genes: DataFrame, w: int = 1_000_000) -> DataFrame:
-    """J7 (no gene given): every gene whose TSS lies within w of a variant, distinct."""
+    """Variants paired with their given genes, else with every gene whose TSS lies within w; distinct.
+
+    A given gene (column gene_id, null or empty where none) must be known and on the variant's chromosome, or the pair is dropped; a
+    variant with any given gene takes no part in the window search.
+    """
+    genes = genes.groupBy("gene_id", "chr").agg(F.min("gene_tss").alias("gene_tss"))
+    if "gene_id" in variants.columns:
+        asked = variants.where("gene_id is not null and gene_id <> ''").select(*ALLELES, "gene_id").distinct()
+        given = asked.join(genes, ["gene_id", "chr"]).select(*ALLELES, "gene_id", "gene_tss")
+        free = variants.select(*ALLELES).join(asked.select(*ALLELES), ALLELES, "left_anti")
+        return given.unionByName(pair_genes(free, genes, w))
     near = range_join(genes.select("gene_id", "chr", "gene_tss"), variants.select(*ALLELES).distinct(), ["chr"], F.col("gene_tss"), F.col("pos") - w, F.col("pos") + w, w)
     return near.select(*ALLELES, "gene_id", "gene_tss").distinct()
 
@@ -64,15 +76,34 @@ def missing_outputs(expected: DataFrame, done: DataFrame, required: int) -> Data
     return expected.select("gene_id").distinct().join(whole, "gene_id", "left_anti")
 
 
-def gwas_at_keys(gwas: DataFrame) -> DataFrame:
-    """Per key the largest |z| with its sign, and the number of rows."""
-    key = canonical_key(F.col("chr"), F.col("pos"), F.col("ref"), F.col("alt"), upper=True)
-    return gwas.groupBy(key.alias("key")).agg(F.max_by("z", F.struct(F.abs("z"), "z")).alias("z"), F.count("*").alias("n_rows"))
+def join_alleles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both tables with equal alleles."""
+    return a.join(b, ALLELES)
+
+
+def keep_annotated(df: DataFrame, annotated: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is in the table of annotated variants."""
+    return df.join(annotated.select(*keys), keys, "left_semi")
+
+
+def features_for_positions(df: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row, with the features of its position where there are any; the join's own filter takes the place of a list of positions."""
+    return df.join(features, keys, "left")
+
+
+def attach_aux(df: DataFrame, constraint: DataFrame, maf: DataFrame, fill: bool = True) -> DataFrame:
+    """gene_lof (constraint: gene_id, gene_lof) and gnomad_MAF (maf: alleles, gnomad_MAF) by left joins; missing values take the frame's median."""
+    d = df.join(constraint.groupBy("gene_id").agg(F.max("gene_lof").alias("gene_lof")), "gene_id", "left").join(maf.groupBy(*ALLELES).agg(F.max("gnomad_MAF").alias("gnomad_MAF")), ALLELES, "left")
+    if not fill:
+        return d
+    medians = lambda c: d.agg(F.median(c)).scalar()
+    return d.withColumns({c: F.coalesce(F.col(c), medians(c)) for c in ("gene_lof", "gnomad_MAF")})
 
 
-def window_prior(variants: DataFrame, scores: DataFrame) -> DataFrame:
-    """Prior per (gene, position): the score, or the gene's least score where missing, or even; sums to 1 in a gene."""
-    j = variants.join(scores, ["chr", "pos"], "left")
-    g = Window.partitionBy("gene_id")
-    j = j.withColumn("s", F.coalesce("score", F.min("score").over(g), F.lit(1.0)))
-    return j.withColumn("prior", F.col("s") / F.sum("s").over(g)).drop("s", "score")
+def restrict_genes(df: DataFrame, coding: DataFrame | None = None, consensus: DataFrame | None = None) -> DataFrame:
+    """Rows of the coding genes (gene_id) and of the genes that all priors fine-mapped (consensus: gene_id, in_all_priors); either may be left out."""
+    if coding is not None:
+        df = df.join(coding.select("gene_id"), "gene_id", "left_semi")
+    if consensus is not None:
+        df = df.join(consensus.where("in_all_priors = 1").select("gene_id"), "gene_id", "left_semi")
+    return df

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusframe.functions.keys import canonical_key
+from locusframe.functions.keys import canonical_key, neglog10p
 from locusframe.operators.aggregates import ALLELES, top_n
-from locusframe.operators.joins import flag_keys, range_join
+from locusframe.operators.joins import range_join
 
 
-def clean_features(values: Column, absolute: list[bool]) -> Column:
-    """Null, NaN and infinite entries of a feature array become 0; entries marked in `absolute` lose their sign."""
+def clean_features(values: Column, absolute: list[bool], last: Column | None = None) -> Column:
+    """Null, NaN and infinite entries of a feature array become 0; entries marked in `absolute` lose their sign. `last` is appended as |last|, null where missing."""
     mask = F.array(*[F.lit(a) for a in absolute])
     finite = F.transform(values, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    return F.zip_with(finite, mask, lambda x, a: F.when(a, F.abs(x)).otherwise(x))
+    out = F.zip_with(finite, mask, lambda x, a: F.when(a, F.abs(x)).otherwise(x))
+    return out if last is None else F.concat(out, F.array(F.abs(F.nanvl(last.cast("double"), F.lit(None)))))
 
 
 def pair_peaks(variants: DataFrame, peaks: DataFrame, w: int = 1024) -> DataFrame:
@@ -39,28 +40,13 @@ def allele_frequency(variants: DataFrame, sites: DataFrame) -> DataFrame:
     return j.groupBy(*ALLELES).agg(F.min_by("_af", F.struct((F.col("ref") != F.col("_ref")).alias("swapped"), "record_no", "_af")).alias("af"))
 
 
-def coloc_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Colocalization pairs with the metrics of their first credible set; a pair without one stays, marked unmatched.
-
-    sets has one row per (gene_id, effect); it is made so here, so the join cannot multiply pairs.
-    """
-    s = sets.groupBy("gene_id", F.col("effect").alias("effect1")).agg(F.min("size").alias("cs_size"), F.min("top_pip").alias("cs_top_pip"))
-    return pairs.join(s, ["gene_id", "effect1"], "left").withColumn("unmatched", F.col("cs_size").isNull().cast("int"))
-
-
-def clpp_gene(df: DataFrame, cut: float = 0.1) -> DataFrame:
-    """A gene's largest product over cells, and by prior the number of genes above the cut."""
-    best = df.groupBy("prior", "gene_id").agg(F.max("max_product").alias("clpp"))
-    return best.groupBy("prior").agg(F.count_if(F.col("clpp") > cut).alias("n_genes"))
-
-
 def match_summary(ref: DataFrame, comp: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Sets on either side, matched and alone, share matched and median Jaccard. ref and comp: one row per set."""
+    """Sets on either side, matched and alone, shares matched and of equal top variants, median Jaccard. ref and comp: one row per set; matched: from same_top."""
     r, c = ref.groupBy(*keys).agg(F.count("*").alias("n_ref")), comp.groupBy(*keys).agg(F.count("*").alias("n_comp"))
-    m = matched.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.median("jaccard").alias("median_jaccard"))
+    m = matched.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.median("jaccard").alias("median_jaccard"), (100.0 * F.avg(F.col("same_top_variant").cast("int"))).alias("pct_same_top"))
     j = r.join(c, keys).join(m, keys, "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
     return j.select(*keys, "n_ref", "n_comp", "n_matched", (F.col("n_ref") - F.col("n_matched")).alias("ref_only"), (F.col("n_comp") - F.col("n_matched")).alias("comp_only"),
-                    (100.0 * F.col("n_matched") / F.col("n_ref")).alias("pct_ref_matched"), "median_jaccard")
+                    (100.0 * F.col("n_matched") / F.col("n_ref")).alias("pct_ref_matched"), "median_jaccard", "pct_same_top")
 
 
 def crosscell_sets(rows: DataFrame, h4: float = 0.8) -> DataFrame:
@@ -76,23 +62,39 @@ def crosscell_sets(rows: DataFrame, h4: float = 0.8) -> DataFrame:
     return s.where("_focal = 1").drop("_focal").withColumn("shared", F.coalesce((F.col("max_h4") > h4).cast("int"), F.lit(0)))
 
 
+def crosscell_genes(rows: DataFrame, h4: float = 0.8) -> DataFrame:
+    """Per cell and gene with a credible set: sets, shared sets, the cells that share any of them, whether any is shared."""
+    s = crosscell_sets(rows, h4)
+    cells = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("shared_with") != "", F.split("shared_with", ",")).otherwise(F.array().cast("array<string>"))))))
+    g = s.groupBy("cell", "gene_id").agg(F.count("*").alias("n_cs"), F.sum("shared").alias("n_cs_shared"), F.array_join(cells, ",").alias("shared_with"))
+    return g.withColumn("shared", (F.col("n_cs_shared") > 0).cast("int"))
+
+
 def crosscell_summary(rows: DataFrame, h4: float = 0.8) -> DataFrame:
     """Per cell counts of credible sets and genes, shared and with a partner; genes fitted include those without a set."""
     s = crosscell_sets(rows, h4)
     gene = s.groupBy("cell", "gene_id").agg(F.count("*").alias("n"), F.sum("shared").alias("k"), F.count_if(F.col("n_other_tested") > 0).alias("p"))
     summed = gene.groupBy("cell").agg(F.sum("n").alias("n_cs"), F.sum("k").alias("n_cs_shared"), F.sum("p").alias("n_cs_with_partner"), F.count("*").alias("n_egenes_with_cs"), F.count_if(F.col("k") > 0).alias("n_egenes_shared"))
     fit = rows.where(F.col("note").isin("focal credible set", "no credible set")).groupBy("cell").agg(F.countDistinct("gene_id").alias("n_egenes_fit"))
-    return summed.join(fit, "cell", "left").withColumn("pct_cs_shared", F.round(100.0 * F.col("n_cs_shared") / F.col("n_cs"), 1))
+    return summed.join(fit, "cell", "left").withColumns({n: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 1) for n, a, b in (
+        ("pct_cs_shared", "n_cs_shared", "n_cs"), ("pct_cs_shared_with_partner", "n_cs_shared", "n_cs_with_partner"), ("pct_egenes_shared", "n_egenes_shared", "n_egenes_with_cs"))})
 
 
 def tau_star(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Standardised effect of an annotation from its delete-block coefficients. blocks: keys, value, prop_snps, m, h2.
 
-    A column of one block, or of equal blocks, has no error and a null z.
+    A column of one block, or of equal blocks, has no error, and null z and p.
     """
     x = F.col("value") * F.sqrt(F.col("prop_snps") * (1 - F.col("prop_snps"))) * F.col("m") / F.col("h2")
     g = blocks.groupBy(*keys).agg(F.avg(x).alias("tau_star"), (F.stddev_samp(x) * F.sqrt(F.count(x) - 1)).alias("se"), F.count(x).alias("n_blocks"))
-    return g.withColumn("z", F.when(F.col("se") > 0, F.col("tau_star") / F.col("se")))
+    g = g.withColumn("z", F.when(F.col("se") > 0, F.col("tau_star") / F.col("se")))
+    return g.withColumn("p", F.pow(F.lit(10.0), -neglog10p(F.col("z"))))
+
+
+def tau_check(tau: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:
+    """How far z of tau* is from the regression coefficient's z (coef_z), which it must equal: the largest and the median difference."""
+    d = tau.join(coefficients.select(*keys, "coef_z"), keys).select(F.abs(F.col("z") - F.col("coef_z")).alias("_d"))
+    return d.agg(F.max("_d").alias("max_difference"), F.median("_d").alias("median_difference"), F.count("_d").alias("n"))
 
 
 def select_tau(sweep: DataFrame, cohort: str, cut: str, tau: str, cuts: int = 20) -> DataFrame:
@@ -146,7 +148,11 @@ def gwas_gene_list(cells: list[DataFrame], windows: DataFrame) -> DataFrame:
 
 def annotation_matrix(keys: DataFrame, long: DataFrame, names: list[str]) -> DataFrame:
     """Long annotations (alleles, annotation) as 0/1 columns over all keys; column names are given, so no pass looks for them."""
-    out = keys.select(*ALLELES).distinct()
-    for x in names:
-        out = flag_keys(out, long.where(F.col("annotation") == x), x)
-    return out
+    flags = long.where(F.col("annotation").isin(names)).groupBy(*ALLELES).agg(*[F.max((F.col("annotation") == x).cast("int")).alias(x) for x in names])
+    return keys.select(*ALLELES).distinct().join(flags, ALLELES, "left").fillna(0, names)
+
+
+def annotation_sums(keys: DataFrame, long: DataFrame) -> DataFrame:
+    """Per chromosome and annotation the number of annotated keys (the .l2.M sums)."""
+    on = long.select(*ALLELES, "annotation").distinct().join(keys.select(*ALLELES).distinct(), ALLELES, "left_semi")
+    return on.groupBy("chr", "annotation").agg(F.count("*").alias("m"))

@@ -17,9 +17,9 @@ LONG = "long AS (SELECT a.chr, a.tile, a.seq || COALESCE(b.seq, '') AS s FROM fx
 ALL_NAMES = X.VARIANT_FEATURES + X.NOT_FEATURES
 
 
-@query("P7_orient_to_reference", f"""WITH {LONG}, v AS (SELECT {AL}, COUNT(*) AS n FROM fx_pip GROUP BY ALL),
+@query("P7_orient_to_reference", f"""WITH {LONG}, v AS (SELECT {AL}, COUNT(*) AS n, CAST(FLOOR((pos - 1) / 32) AS BIGINT) AS at FROM fx_pip GROUP BY ALL),
  o AS (SELECT v.*, CASE WHEN SUBSTRING(s, pos - tile * 32, LENGTH(ref)) = ref THEN 'ref' WHEN SUBSTRING(s, pos - tile * 32, LENGTH(alt)) = alt THEN 'swap' ELSE 'none' END AS orient
- FROM v LEFT JOIN long ON v.chr = long.chr AND tile = CAST(FLOOR((pos - 1) / 32) AS BIGINT))
+ FROM v LEFT JOIN long ON v.chr = long.chr AND long.tile = v.at)
 SELECT chr, pos, CASE WHEN orient = 'swap' THEN alt ELSE ref END AS ref, CASE WHEN orient = 'swap' THEN ref ELSE alt END AS alt, n, orient FROM o""", "fx_pip", "fx_tile")
 def _(d, tiles):
     return X.orient_to_reference(d.groupBy(*ALLELES).agg(F.count("*").alias("n")), tiles, WIDTH)
@@ -41,21 +41,13 @@ def _(d, g, tiles):
     return out.withColumn("gpn_star_llr", F.round("gpn_star_llr", 6))
 
 
-@query("A4_tf_summary", """SELECT variant_id, cell, MAX(score) AS tf_max, MIN(score) AS tf_min, MAX(ABS(score)) AS tf_max_abs FROM fx_peak_score
- JOIN (SELECT DISTINCT assay, 'all' AS cell FROM fx_peak_score UNION ALL SELECT DISTINCT assay, 'early' FROM fx_peak_score WHERE assay < 'm') l USING (assay) GROUP BY ALL""", "fx_peak_score")
-def _(d):
-    assays = d.select("assay").distinct()
-    lists = assays.withColumn("cell", F.lit("all")).union(assays.where("assay < 'm'").withColumn("cell", F.lit("early")))
-    return X.tf_summary(d, lists, ["variant_id"], "assay", "score")
-
-
 def _present(d):
     extra = d.sparkSession.createDataFrame([(x,) for x in ALL_NAMES], "feature string")
     return d.select("feature").union(extra)
 
 
-_GRP = "CASE grp " + " ".join(f"WHEN '{g}' THEN {k}" for k, g in enumerate(X.GROUPS)) + " END"
-_VALUES = ", ".join(f"('{x}', {k + 1})" for k, x in enumerate(X.VARIANT_FEATURES))
+_GRP = "CASE grp WHEN 'distance' THEN 0 WHEN 'ABC' THEN 1 WHEN 'celltype' THEN 2 WHEN 'baseline' THEN 3 WHEN 'chrombpnet_positive' THEN 4 WHEN 'diff' THEN 5 WHEN 'tf_positive' THEN 6 END"
+_VALUES = "('length_diff', 1), ('is_SNP', 2), ('is_indel', 3), ('is_insertion', 4), ('is_deletion', 5), ('gene_lof', 6), ('gnomad_MAF', 7)"
 
 
 @query("P12_select_features", f"""WITH d AS (SELECT feature, MIN({_GRP} * 1000000 + position) AS p, BOOL_OR(grp IN ('diff', 'tf_positive', 'chrombpnet_positive')) AS is_abs FROM fx_dictionary GROUP BY 1
@@ -102,11 +94,6 @@ def _(d):
     return X.ems_coverage(_ems(d), d.select("gene_id", vid().alias("variant_id"))).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("A21_paired_bootstrap", None, "fx_scored")
-def _(d):
-    return I.paired_bootstrap(d, [], ["l_orderkey", "l_linenumber"], "y_true", "pred_a", "pred_b", replicates=100)
-
-
 _FIT = """b AS (SELECT gene_id, cell, variant_key, lbf / 2 AS z, 0.1 + variant_key % 5 * 0.02 AS se FROM fx_fit WHERE effect = 1),
  l AS (SELECT *, 0.5 * (LN(1 - 0.04 / (0.04 + se * se)) + z * z * 0.04 / (0.04 + se * se)) AS lbf FROM b),
  f AS (SELECT *, EXP(lbf - MAX(lbf) OVER w) / SUM(EXP(lbf)) OVER w * EXP(MAX(lbf) OVER w) AS alpha FROM l WINDOW w AS (PARTITION BY gene_id, cell))"""
@@ -143,14 +130,6 @@ def _(d):
     return I.label_runs(d, "run", _RUN, _PARTS).groupBy(*_PARTS).agg(F.count("*").alias("n"), F.round(F.sum("enrichment"), 2).alias("total"))
 
 
-@query("A24_compare_arms", """WITH t AS (SELECT run, CAST(MIN(row_id % 10) AS BIGINT) AS tau FROM fx_run GROUP BY 1), p AS (SELECT run, row_id, enrichment, COUNT(*) OVER (PARTITION BY run) AS n FROM fx_run WHERE row_id % 11 = 3)
-SELECT s.run, row_id, enrichment, CAST(row_id % 10 AS BIGINT) AS cut, 'prediction' AS arm FROM fx_run s JOIN t ON s.run = t.run AND row_id % 10 = tau UNION ALL SELECT run, row_id, enrichment, NULL, 'pip' FROM p WHERE n = 1""", "fx_run")
-def _(d):
-    sweep = d.withColumn("cut", F.col("row_id") % 10)
-    tau = sweep.groupBy("run").agg(F.min("cut").alias("tau"))
-    return I.compare_arms(sweep, tau, I.focal_rows(d, ["run"], F.col("row_id") % 11 == 3), "run", "cut")
-
-
 @query("W5_best_for_both", """WITH p AS (SELECT gene_id, src_line, cs95, COUNT(*) AS n FROM fx_pip GROUP BY ALL),
  m AS (SELECT *, MAX(n) OVER (PARTITION BY gene_id, src_line) AS a, MAX(n) OVER (PARTITION BY gene_id, cs95) AS b FROM p),
  q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, src_line ORDER BY cs95) AS k FROM m WHERE n = a AND n = b), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, cs95 ORDER BY src_line) AS i FROM q WHERE k = 1)
@@ -176,58 +155,3 @@ def _(d):
  COUNT(DISTINCT {VID}) AS variants FROM fx_pip WHERE cs95 > 0 GROUP BY chr""", "fx_pip")
 def _(d):
     return I.release_counts(_released(d), ["CHROM"])
-
-
-_ANN = {"promo": "PROMO", "economy": "ECONOMY"}
-_BEST = f"v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, {AL} ORDER BY pip DESC, src_order, src_line) AS r FROM fx_pip) t WHERE r = 1)"
-_ORDER = ["src_order", "src_line"]
-
-
-@query("M1_variant_annotations", f"""WITH v AS (SELECT DISTINCT {AL} FROM fx_pip),
- i AS (SELECT {", ".join("v." + c for c in ALLELES)}, MAX(CAST(annotation = '{_ANN["promo"]}' AS INT)) AS promo, MAX(CAST(annotation = '{_ANN["economy"]}' AS INT)) AS economy
-  FROM v JOIN fx_interval i ON i.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos AND annotation IN ('{_ANN["promo"]}', '{_ANN["economy"]}') GROUP BY ALL),
- t AS (SELECT {AL}, MAX(pip - 0.5) AS tf_max_c, MIN(pip - 0.5) AS tf_min_c, MAX(ABS(pip - 0.5)) AS tf_max_abs_c FROM fx_pip WHERE src_line < 4 GROUP BY ALL)
-SELECT v.*, COALESCE(promo, 0) AS promo, COALESCE(economy, 0) AS economy, tf_max_c, tf_min_c, tf_max_abs_c, COALESCE(promo, 0) * tf_max_abs_c AS promo_x_c, COALESCE(economy, 0) * tf_max_abs_c AS economy_x_c
-FROM v LEFT JOIN i USING ({AL}) LEFT JOIN t USING ({AL})""", "fx_pip", "fx_interval")
-def _(d, i):
-    lists = d.where("src_line < 4").select(F.col("src_line").alias("track")).distinct().withColumn("cell", F.lit("c"))
-    return M.variant_annotations(d, i, _ANN, d.select(*ALLELES, F.col("src_line").alias("track"), (F.col("pip") - 0.5).alias("v")), lists, ["c"])
-
-
-_LINK = lambda name, cell: f"""{name} AS (SELECT k.gene_id, k.chr, k.pos, k.ref, k.alt, MAX(abc_score) AS {name} FROM k JOIN fx_gene_link l ON l.gene_id = k.gene_id AND l.chr = k.chr AND l.cell = '{cell}'
- AND k.pos BETWEEN l.start_pos - 1024 AND l.end_pos + 1024 GROUP BY ALL)"""
-
-
-@query("M2_gene_feature_table", f"""WITH {_BEST}, k AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM fx_interval i WHERE i.chr = v.chr AND v.pos BETWEEN i.start_pos AND i.end_pos)),
- t AS (SELECT gene_id, AVG(gene_tss) AS tss FROM fx_gene GROUP BY 1), {_LINK("abc_urgent", "1-URGENT")}, {_LINK("abc_low", "5-LOW")}
-SELECT gene_id, {AL}, src_order, src_line, ROUND(pos - tss, 3) AS distance_TSS, ROUND(ABS(pos - tss), 3) AS abs_distance_TSS, ROUND(COALESCE(abc_urgent, 0), 6) AS abc_urgent, ROUND(COALESCE(abc_low, 0), 6) AS abc_low
-FROM k LEFT JOIN t USING (gene_id) LEFT JOIN abc_urgent USING (gene_id, {AL}) LEFT JOIN abc_low USING (gene_id, {AL})""", "fx_pip", "fx_interval", "fx_gene", "fx_gene_link")
-def _(d, i, g, links):
-    t = M.gene_feature_table(d, [F.col(c) for c in _ORDER], i, g, links, {"abc_urgent": "1-URGENT", "abc_low": "5-LOW"})
-    return t.select("gene_id", *ALLELES, *_ORDER, F.round("distance_TSS", 3).alias("distance_TSS"), F.round("abs_distance_TSS", 3).alias("abs_distance_TSS"), r6("abc_urgent"), r6("abc_low"))
-
-
-@query("M3_training_set", f"""WITH x AS (SELECT *, CAST(SIGN(LENGTH(alt) - LENGTH(ref)) AS INT) AS variant_type FROM fx_pip), top AS (SELECT cell, gene_id, cs95 FROM fx_pip WHERE cs95 > 0 GROUP BY ALL HAVING MAX(pip) > 0.10),
- p AS (SELECT x.* FROM x JOIN top USING (cell, gene_id, cs95) WHERE pip > 0.05 UNION ALL SELECT * FROM x WHERE cs95 = 0 AND pip > 0.50), need AS (SELECT gene_id, variant_type, COUNT(*) AS k FROM p GROUP BY ALL),
- n AS (SELECT x.*, ROW_NUMBER() OVER (PARTITION BY gene_id, variant_type ORDER BY src_order % 97, src_order, src_line) AS r FROM x WHERE pip < 0.001)
-SELECT gene_id, {AL}, src_order, src_line, variant_type, 1 AS label FROM p UNION ALL SELECT n.gene_id, {AL}, src_order, src_line, n.variant_type, 0 FROM n JOIN need USING (gene_id, variant_type) WHERE r <= k""", "fx_pip")
-def _(d):
-    order = [F.col("src_order") % 97, F.col("src_order"), F.col("src_line")]
-    return M.training_set(A.training_positives(d), d.where("pip < 0.001"), order, per=1).select("gene_id", *ALLELES, *_ORDER, "variant_type", "label")
-
-
-@query("M4_feature_matrix", """SELECT gene_id, src_order, src_line, CAST(LENGTH(ref) - LENGTH(alt) AS DOUBLE) AS f0, CAST(LENGTH(ref) = LENGTH(alt) AS DOUBLE) AS f1, ABS(post_mean) AS f2, CAST(0 AS DOUBLE) AS f3
-FROM fx_pip LEFT JOIN (SELECT gene_id, MAX(post_mean) AS post_mean FROM fx_gene GROUP BY 1) g USING (gene_id)""", "fx_pip", "fx_gene")
-def _(d, g):
-    j = d.join(g.groupBy("gene_id").agg(F.max("post_mean").alias("gene_lof")), "gene_id", "left")
-    m = M.feature_matrix(j, ["length_diff", "is_SNP", "gene_lof", "gnomad_MAF"], ["gene_lof"])
-    return m.select("gene_id", *_ORDER, *[F.col("features")[k].alias(f"f{k}") for k in range(4)])
-
-
-@query("M7_score_folds", None, "fx_scored")
-def _(d):
-    """Four folds of chromosomes; the fitted trees differ by platform, so there is no SQL."""
-    d = d.withColumn("fold", F.substring("chrom", 4, 2).cast("int") % 4).withColumn("w", F.lit(1.0))
-    d = folds.assembled(d, ["pred_a", "pred_b"], "pred_b")
-    models = folds.train_folds(d, "fold", [0, 1, 2, 3], "y_true", "w", maxIter=3)
-    return folds.score_folds(d, "fold", models, ["chrom", "l_orderkey", "l_linenumber", "y_true"])

@@ -43,121 +43,27 @@ def _(d):
     return K.parse_variant(d.select(vid().alias("variant_id"))).groupBy("variant_id", *ALLELES).agg(F.count("*").alias("n"))
 
 
-@query("P2_variant_features", """SELECT length_diff, CAST(length_diff = 0 AS INT) AS is_snp, CAST(length_diff <> 0 AS INT) AS is_indel, CAST(length_diff > 0 AS INT) AS is_insertion,
- CAST(length_diff < 0 AS INT) AS is_deletion, COUNT(*) AS n FROM (SELECT CAST(LENGTH(ref) - LENGTH(alt) AS INT) AS length_diff FROM fx_pip) GROUP BY ALL""", "fx_pip")
-def _(d):
-    return K.variant_features(d).groupBy("length_diff", "is_snp", "is_indel", "is_insertion", "is_deletion").agg(F.count("*").alias("n"))
-
-
-@query("P3_variant_type", """SELECT variant_type, CAST(variant_type = -1 AS INT) AS type_del, CAST(variant_type = 0 AS INT) AS type_snv, CAST(variant_type = 1 AS INT) AS type_ins, COUNT(*) AS n
- FROM (SELECT CAST(SIGN(LENGTH(alt) - LENGTH(ref)) AS INT) AS variant_type FROM fx_pip) GROUP BY ALL""", "fx_pip")
-def _(d):
-    return K.variant_type(d).groupBy("variant_type", "type_del", "type_snv", "type_ins").agg(F.count("*").alias("n"))
-
-
-@query("P4_canonical_key", """SELECT key, COUNT(*) AS n FROM (
- SELECT CONCAT(chr, ':', CAST(pos AS STRING), ':', LEAST(ref, alt), ':', GREATEST(ref, alt)) AS key FROM fx_gwas) GROUP BY key""", "fx_gwas")
-def _(d):
-    return d.groupBy(K.canonical_key(*[F.col(c) for c in ALLELES]).alias("key")).agg(F.count("*").alias("n"))
-
-
 @query("P5_translate_id", f"SELECT {VID} AS variant_id, gene_id, COUNT(*) AS n FROM fx_pip GROUP BY ALL", "fx_pip")
 def _(d):
     old = F.concat(F.concat_ws("_", *[F.col(c).cast("string") for c in ALLELES]), F.lit("_b38"))
     return d.groupBy(K.translate_id(old).alias("variant_id"), K.strip_version(F.concat("gene_id", F.lit(".12"))).alias("gene_id")).agg(F.count("*").alias("n"))
 
 
-@query("P6_validate_variants", """SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN src_order % 9 = 0 THEN 'missing' WHEN src_order % 7 = 0 THEN 'not_autosome'
- WHEN src_order % 5 = 0 THEN 'position' WHEN src_order % 3 = 0 THEN 'allele' WHEN src_order % 4 = 0 THEN 'same_allele' ELSE 'ok' END AS reason FROM fx_pip) GROUP BY reason""", "fx_pip")
-def _(d):
-    o = F.col("src_order")
-    raw = d.select(F.when(o % 9 == 0, None).when(o % 7 == 0, "chrX").otherwise(F.concat(F.lit(" "), "chr")).alias("c"), F.when(o % 5 == 0, "12a").otherwise(F.col("pos").cast("string")).alias("p"),
-                   F.when(o % 3 == 0, "N").otherwise(F.lower("ref")).alias("r"), F.when(o % 3 == 0, "A").when(o % 4 == 0, F.col("ref")).otherwise(F.col("alt")).alias("a"))
-    return raw.groupBy(F.coalesce(K.reject_reason(*[F.col(c) for c in "cpra"]), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 TSS = "SELECT gene_id, AVG(gene_tss) AS tss FROM fx_gene GROUP BY gene_id"
 
 
-@query("P8_distance_tss", f"""SELECT p.gene_id, chr, pos, ROUND(pos - tss, 3) AS distance_tss, ROUND(ABS(pos - tss), 3) AS abs_distance,
- CASE WHEN pos <> tss THEN ROUND(LN(ABS(pos - tss)), 6) END AS ln_distance FROM (SELECT DISTINCT gene_id, chr, pos FROM fx_pip) p JOIN ({TSS}) t ON p.gene_id = t.gene_id""", "fx_pip", "fx_gene")
-def _(d, g):
-    j = d.select("gene_id", "chr", "pos").distinct().join(g.groupBy("gene_id").agg(F.avg("gene_tss").alias("tss")), "gene_id").withColumn("x", F.col("pos") - F.col("tss"))
-    return j.select("gene_id", "chr", "pos", F.round("x", 3).alias("distance_tss"), F.round(F.abs("x"), 3).alias("abs_distance"), F.round(F.when(F.col("x") != 0, F.log(F.abs("x"))), 6).alias("ln_distance"))
-
-
-@query("P9_gene_constraint", "SELECT gene_id, gene_name, CASE WHEN post_mean > 0 THEN ROUND(LOG2(post_mean), 6) END AS constraint_score FROM fx_gene", "fx_gene")
-def _(g):
-    return g.select("gene_id", "gene_name", r6(F.when(F.col("post_mean") > 0, F.log2("post_mean")), "constraint_score"))
-
-
 @query("P10_recalibrate", """SELECT gene_id, chr, pos, src_order, src_line, ROUND(CASE WHEN pip >= 1 THEN 1 WHEN pip <= 0 THEN 0 ELSE (pip / (1 - pip) * (q / (1 - q))) / (1 + pip / (1 - pip) * (q / (1 - q))) END, 9) AS p
  FROM (SELECT *, CAST(1.8 AS DOUBLE) / 14716 AS q FROM fx_pip)""", "fx_pip")
 def _(d):
     return d.select("gene_id", "chr", "pos", "src_order", "src_line", F.round(K.recalibrate(F.col("pip")), 9).alias("p"))
 
 
-_T = "(1 / (1 + ABS(z) / SQRT(2) / 2))"
-_POLY = str(K.ERFC[-1])
-for _c in K.ERFC[-2::-1]:
-    _POLY = f"({_POLY} * t + ({_c}))"
-
-
-@query("P11_neglog10p", f"SELECT chr, pos, n, ROUND(-(LN(t) - z * z / 2 + CAST({_POLY} AS DOUBLE)) / LN(10), 5) AS neglog10p FROM (SELECT *, {_T} AS t FROM fx_gwas)", "fx_gwas")
-def _(d):
-    return d.select("chr", "pos", "n", F.round(K.neglog10p(F.col("z")), 5).alias("neglog10p"))
-
-
-@query("P15_region_label", f"""SELECT CASE WHEN ABS(pos - tss) > 10000 THEN 'enhancer' ELSE 'promoter' END AS region, COUNT(*) AS n
- FROM fx_pip p JOIN ({TSS}) t ON p.gene_id = t.gene_id GROUP BY 1""", "fx_pip", "fx_gene")
-def _(d, g):
-    j = d.join(g.groupBy("gene_id").agg(F.avg("gene_tss").alias("tss")), "gene_id")
-    return j.groupBy(K.region_label(F.col("pos") - F.col("tss")).alias("region")).agg(F.count("*").alias("n"))
-
-
-@query("P16_cell_tf_product", "SELECT variant_id, CAST(TRUNC(score) AS INT) * CAST(assay = 'click' AS INT) AS product, COUNT(*) AS n FROM fx_peak_score GROUP BY ALL", "fx_peak_score")
-def _(d):
-    return d.groupBy("variant_id", (F.col("score").cast("int") * (F.col("assay") == "click").cast("int")).alias("product")).agg(F.count("*").alias("n"))
-
-
-# --- joins -----------------------------------------------------------------------------------------------------------
-
-
-@query("J1_join_alleles", f"""SELECT {AL}, a.n AS n_pip, b.n AS n_other FROM (SELECT {AL}, COUNT(*) AS n FROM fx_pip WHERE cell = 'cell0' GROUP BY ALL) a
- JOIN (SELECT {AL}, COUNT(*) AS n FROM fx_pip WHERE cell = 'cell1' GROUP BY ALL) b USING ({AL})""", "fx_pip")
-def _(d):
-    side = lambda c, n: d.where(F.col("cell") == c).groupBy(*ALLELES).agg(F.count("*").alias(n))
-    return side("cell0", "n_pip").join(side("cell1", "n_other"), ALLELES)
-
-
 @query("J2_annotate_intervals", f"""SELECT DISTINCT {", ".join("v." + c for c in ALLELES)}, annotation FROM (SELECT DISTINCT {AL} FROM fx_pip) v
- JOIN fx_interval i ON v.chr = i.chr AND i.start_pos <= v.pos AND i.end_pos >= v.pos""", "fx_pip", "fx_interval")
+ JOIN fx_interval i ON v.chr = i.chr AND i.start_pos <= v.pos - 1 AND i.end_pos >= v.pos""", "fx_pip", "fx_interval")
 def _(d, i):
     return J.annotate_intervals(d, i)
 
 
-@query("J3_keep_annotated", "SELECT gene_id, COUNT(*) AS n FROM fx_pip WHERE (chr, pos) IN (SELECT (chr, start_pos + 100) FROM fx_interval) GROUP BY gene_id", "fx_pip", "fx_interval")
-def _(d, i):
-    return d.join(i.select("chr", (F.col("start_pos") + 100).alias("pos")), ["chr", "pos"], "left_semi").groupBy("gene_id").agg(F.count("*").alias("n"))
-
-
-@query("J5_max_link_score", f"""SELECT p.gene_id, {", ".join("p." + c for c in ALLELES)}, l.cell, MAX(abc_score) AS abc_score FROM (SELECT DISTINCT gene_id, {AL} FROM fx_pip) p
- JOIN fx_gene_link l ON p.gene_id = l.gene_id AND p.chr = l.chr AND l.start_pos <= p.pos + 1024 AND l.end_pos >= p.pos - 1024 GROUP BY ALL""", "fx_pip", "fx_gene_link")
-def _(d, links):
-    return J.max_link_score(d, links).select("gene_id", *ALLELES, "cell", "abc_score")
-
-
-@query("J7_pair_genes", f"""SELECT DISTINCT {", ".join("v." + c for c in ALLELES)}, g.gene_id, g.gene_tss FROM (SELECT DISTINCT {AL} FROM fx_pip) v
- JOIN fx_gene g ON v.chr = g.chr AND ABS(v.pos - g.gene_tss) <= 50000""", "fx_pip", "fx_gene")
-def _(d, g):
-    return J.pair_genes(d, g, 50_000)
-
-
-@query("J8_attach_aux", "SELECT p.gene_id, cell, COUNT(*) AS n, ROUND(SUM(post_mean), 2) AS s FROM fx_pip p LEFT JOIN fx_gene g ON p.gene_id = g.gene_id GROUP BY ALL", "fx_pip", "fx_gene")
-def _(d, g):
-    return d.join(g.select("gene_id", "post_mean"), "gene_id", "left").groupBy("gene_id", "cell").agg(F.count("*").alias("n"), F.round(F.sum("post_mean"), 2).alias("s"))
-
-
 @query("J11_flag_baseline", f"""SELECT b.*, CAST(EXISTS (SELECT 1 FROM fx_pip q WHERE q.pip > 0.9 AND q.chr = b.chr AND q.pos = b.pos AND q.ref = b.ref AND q.alt = b.alt) AS INT) AS flag
  FROM (SELECT DISTINCT {AL} FROM fx_pip) b""", "fx_pip")
 def _(d):
@@ -179,25 +85,6 @@ def _(d):
     return J.missing_outputs(d, d.where("pip > 0.985").select("gene_id", F.col("cell").alias("model")), 3)
 
 
-@query("J14_restrict_genes", "SELECT cell, COUNT(*) AS n FROM fx_pip WHERE gene_id IN (SELECT gene_id FROM fx_gene WHERE post_mean > 0) GROUP BY cell", "fx_pip", "fx_gene")
-def _(d, g):
-    return d.join(g.where("post_mean > 0"), "gene_id", "left_semi").groupBy("cell").agg(F.count("*").alias("n"))
-
-
-@query("J16_gwas_at_hits", """SELECT key, ROUND(z, 6) AS z, n_rows FROM (SELECT CONCAT(chr, ':', CAST(pos AS STRING), ':', UPPER(LEAST(ref, alt)), ':', UPPER(GREATEST(ref, alt))) AS key, z,
- COUNT(*) OVER w AS n_rows, ROW_NUMBER() OVER (w ORDER BY ABS(z) DESC, z DESC) AS r FROM fx_gwas WINDOW w AS (PARTITION BY chr, pos, ref, alt)) WHERE r = 1""".replace("(w ORDER BY", "(PARTITION BY chr, pos, ref, alt ORDER BY"), "fx_gwas")
-def _(g):
-    return J.gwas_at_keys(g).select("key", r6("z"), "n_rows")
-
-
-@query("J18_snpvar_prior", """WITH v AS (SELECT DISTINCT gene_id, chr, pos FROM fx_pip), s AS (SELECT chr, pos, MAX(n) AS score FROM fx_gwas GROUP BY 1, 2),
- j AS (SELECT v.*, COALESCE(score, MIN(score) OVER (PARTITION BY gene_id), 1) AS s FROM v LEFT JOIN s ON v.chr = s.chr AND v.pos = s.pos)
-SELECT gene_id, chr, pos, ROUND(CAST(s AS DOUBLE) / SUM(s) OVER (PARTITION BY gene_id), 8) AS prior FROM j""", "fx_pip", "fx_gwas")
-def _(d, g):
-    s = g.groupBy("chr", "pos").agg(F.max("n").cast("double").alias("score"))
-    return J.window_prior(d.select("gene_id", "chr", "pos").distinct(), s).select("gene_id", "chr", "pos", F.round("prior", 8).alias("prior"))
-
-
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 
@@ -212,16 +99,6 @@ def _(d):
     return A.best_pip_row(d, [F.col("src_order"), F.col("src_line")]).select("gene_id", *ALLELES, "pip", "cs95", "cell", "src_order", "src_line")
 
 
-_ASSAYS = ["click", "purchase", "view", "absent"]
-
-
-@query("A3_peak_summary", "SELECT variant_id, " + ", ".join(
-    f"GREATEST(0.0, COALESCE(MAX(score) FILTER (assay = '{a}'), 0.0)) AS max_{a}, LEAST(0.0, COALESCE(MIN(score) FILTER (assay = '{a}'), 0.0)) AS min_{a}, COALESCE(MAX(ABS(score)) FILTER (assay = '{a}'), 0.0) AS abs_{a}"
-    for a in _ASSAYS).replace("0.0", "CAST(0 AS DOUBLE)") + " FROM fx_peak_score GROUP BY variant_id", "fx_peak_score")
-def _(d):
-    return A.peak_summary(d, _ASSAYS)
-
-
 @query("A5_median_fill", """WITH x AS (SELECT gene_id, src_order, src_line, CASE WHEN src_order % 5 <> 0 THEN pip END AS v FROM fx_pip)
 SELECT x.gene_id, src_order, src_line, ROUND(COALESCE(v, m), 8) AS v FROM x JOIN (SELECT gene_id, MEDIAN(v) AS m FROM x GROUP BY 1) t ON x.gene_id = t.gene_id""", "fx_pip")
 def _(d):
@@ -235,30 +112,6 @@ def _(d):
     return A.sample_weights(d.withColumn("label", (F.col("pip") > 0.9).cast("int")), "label", "pip", ["cell"]).select("cell", "src_order", "src_line", r6("weight"))
 
 
-@query("A7_list_genes", "SELECT DISTINCT gene_id, chr FROM fx_pip", "fx_pip")
-def _(d):
-    return d.select("gene_id", "chr").distinct()
-
-
-@query("A8_attribution_summary", """SELECT assay, ROUND(m, 6) AS mean_abs, ROUND(m / SUM(m) OVER (), 6) AS share, n FROM (SELECT assay, AVG(ABS(score)) AS m, COUNT(*) AS n FROM fx_peak_score GROUP BY assay)""", "fx_peak_score")
-def _(d):
-    m = d.groupBy("assay").agg(F.avg(F.abs("score")).alias("m"), F.count("*").alias("n"))
-    return m.select("assay", r6("m", "mean_abs"), r6(F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(0))), "share"), "n")
-
-
-@query("A9_summary_wide", "SELECT variant_id, " + ", ".join(f"COALESCE(ROUND(SUM(ABS(score)) FILTER (assay = '{a}'), 6), 0) AS {a}" for a in _ASSAYS) + " FROM fx_peak_score GROUP BY variant_id", "fx_peak_score")
-def _(d):
-    return d.groupBy("variant_id").pivot("assay", _ASSAYS).agg(F.round(F.sum(F.abs("score")), 6)).fillna(0.0)
-
-
-@query("A10_clpp", """WITH a AS (SELECT gene_id, pos, MAX(pip) AS p FROM fx_pip WHERE cell = 'cell0' GROUP BY ALL), b AS (SELECT gene_id, pos, MAX(pip) AS q FROM fx_pip WHERE cell = 'cell1' GROUP BY ALL)
-SELECT gene_id, ROUND(SUM(p * q), 6) AS clpp_sum, ROUND(MAX(p * q), 6) AS clpp_max, COUNT(*) AS n FROM a JOIN b USING (gene_id, pos) GROUP BY gene_id""", "fx_pip")
-def _(d):
-    side = lambda c, n: d.where(F.col("cell") == c).groupBy("gene_id", "pos").agg(F.max("pip").alias(n))
-    x = F.col("p") * F.col("q")
-    return side("cell0", "p").join(side("cell1", "q"), ["gene_id", "pos"]).groupBy("gene_id").agg(r6(F.sum(x), "clpp_sum"), r6(F.max(x), "clpp_max"), F.count("*").alias("n"))
-
-
 FIT = "m AS (SELECT *, MAX(lbf) OVER (PARTITION BY gene_id, cell, effect) AS mx FROM fx_fit), al AS (SELECT gene_id, cell, effect, variant_key, lbf, EXP(lbf - mx) / SUM(EXP(lbf - mx)) OVER (PARTITION BY gene_id, cell, effect) AS alpha FROM m)"
 CS = FIT + """, cum AS (SELECT *, COALESCE(SUM(alpha) OVER (PARTITION BY gene_id, cell, effect ORDER BY alpha DESC, variant_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM al),
  cs AS (SELECT * FROM cum WHERE b < 0.90)"""
@@ -279,69 +132,8 @@ def _(f):
     return A.pip_from_alpha(_alpha(f)).select("gene_id", "cell", "variant_key", r6("pip"))
 
 
-@query("A13_ems_reweight", f"""WITH {FIT}, w AS (SELECT *, alpha * COALESCE(CASE WHEN variant_key % 3 <> 0 THEN CAST(variant_key % 10 + 1 AS DOUBLE) END, 2.5) AS af FROM al)
-SELECT gene_id, cell, effect, variant_key, ROUND(af / SUM(af) OVER (PARTITION BY gene_id, cell, effect) * SUM(alpha) OVER (PARTITION BY gene_id, cell, effect), 6) AS alpha FROM w""", "fx_fit")
-def _(f):
-    x = _alpha(f).withColumn("f", F.when(F.col("variant_key") % 3 != 0, (F.col("variant_key") % 10 + 1).cast("double")))
-    return A.ems_reweight(x, EFF, "f", 2.5).select(*EFF, "variant_key", r6("alpha"))
-
-
-@query("A14_set_table", f"WITH {SETS} SELECT gene_id, cell, effect, size, ROUND(top_pip, 6) AS top_pip, ROUND(sum_pip, 6) AS sum_pip FROM st", "fx_fit")
-def _(f):
-    return _sets(f).select(*EFF, "size", r6("top_pip"), r6("sum_pip"))
-
-
-@query("A15_gene_level", f"""WITH {SETS} SELECT gene_id, cell, COUNT(*) AS n_cs, ROUND(AVG(size), 6) AS mean_size, MEDIAN(size) AS median_size, ROUND(AVG(top_pip), 6) AS mean_top, ROUND(MAX(top_pip), 6) AS max_top
- FROM st GROUP BY ALL""", "fx_fit")
-def _(f):
-    return A.gene_level(_sets(f)).select("gene_id", "cell", "n_cs", r6("mean_size"), "median_size", r6("mean_top"), r6("max_top"))
-
-
-@query("A16_gene_consensus", "SELECT gene_id, COUNT(DISTINCT cell) AS n_priors, CAST(COUNT(DISTINCT cell) = (SELECT COUNT(DISTINCT cell) FROM fx_fit) AS INT) AS in_all_priors FROM fx_fit GROUP BY gene_id", "fx_fit")
-def _(f):
-    return A.gene_consensus(f, "cell")
-
-
-@query("A17_match_sets", """WITH a AS (SELECT gene_id, effect AS ref_cs, variant_key FROM fx_fit WHERE cell = 'cell0' AND lbf > 3), b AS (SELECT gene_id, effect AS comp_cs, variant_key FROM fx_fit WHERE cell = 'cell1' AND lbf > 3),
- na AS (SELECT gene_id, ref_cs, COUNT(*) AS na FROM a GROUP BY ALL), nb AS (SELECT gene_id, comp_cs, COUNT(*) AS nb FROM b GROUP BY ALL),
- s AS (SELECT gene_id, ref_cs, comp_cs, COUNT(*) AS shared FROM a JOIN b USING (gene_id, variant_key) GROUP BY ALL),
- j AS (SELECT s.*, shared / CAST(na + nb - shared AS DOUBLE) AS jaccard FROM s JOIN na USING (gene_id, ref_cs) JOIN nb USING (gene_id, comp_cs)),
- r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, ref_cs ORDER BY jaccard DESC, comp_cs) AS r1, ROW_NUMBER() OVER (PARTITION BY gene_id, comp_cs ORDER BY jaccard DESC, ref_cs) AS r2 FROM j)
-SELECT gene_id, ref_cs, comp_cs, shared, ROUND(jaccard, 6) AS jaccard FROM r WHERE r1 = 1 AND r2 = 1""", "fx_fit")
-def _(f):
-    f = f.where("lbf > 3")
-    return A.match_sets(f.where("cell = 'cell0'"), f.where("cell = 'cell1'")).select("gene_id", "ref_cs", "comp_cs", "shared", r6("jaccard"))
-
-
-AP = """, st AS (SELECT {keys}, pred_a, SUM(y_true) AS tp, COUNT(*) AS n FROM fx_scored GROUP BY ALL),
- c AS (SELECT *, SUM(tp) OVER w AS ctp, SUM(n) OVER w AS cn FROM st WINDOW w AS ({part} ORDER BY pred_a DESC ROWS UNBOUNDED PRECEDING))
-SELECT {keys}, CASE WHEN SUM(tp) > 0 AND SUM(tp) < SUM(n) THEN ROUND(SUM(CAST(tp AS DOUBLE) * ctp / cn) / SUM(tp), 6) END AS ap, CAST(SUM(n) AS DOUBLE) AS n, CAST(SUM(tp) AS DOUBLE) AS n_pos FROM c GROUP BY ALL"""
-
-
-@query("A20_average_precision", "WITH z AS (SELECT 1)" + AP.format(keys="chrom", part="PARTITION BY chrom"), "fx_scored")
-def _(d):
-    return A.average_precision(d, ["chrom"], "y_true", "pred_a").select("chrom", r6("ap"), "n", "n_pos")
-
-
-@query("A29_coloc_pp", """WITH j AS (SELECT a.gene_id, a.effect AS effect1, b.effect AS effect2, a.lbf AS l1, b.lbf AS l2 FROM fx_fit a JOIN fx_fit b ON a.gene_id = b.gene_id AND a.variant_key = b.variant_key
-  WHERE a.cell = 'cell0' AND b.cell = 'cell1'),
- s AS (SELECT gene_id, effect1, effect2, COUNT(*) AS nsnps, SUM(EXP(l1)) AS e1, SUM(EXP(l2)) AS e2, SUM(EXP(l1 + l2)) AS e12 FROM j GROUP BY ALL HAVING COUNT(*) >= 10),
- h AS (SELECT *, CAST(1e-4 AS DOUBLE) * e1 AS h1, CAST(1e-4 AS DOUBLE) * e2 AS h2, CAST(1e-8 AS DOUBLE) * (e1 * e2 - e12) AS h3, CAST(5e-6 AS DOUBLE) * e12 AS h4 FROM s)
-SELECT gene_id, effect1, effect2, nsnps, ROUND(1 / t, 6) AS pp_h0, ROUND(h1 / t, 6) AS pp_h1, ROUND(h2 / t, 6) AS pp_h2, ROUND(h3 / t, 6) AS pp_h3, ROUND(h4 / t, 6) AS pp_h4 FROM (SELECT *, 1 + h1 + h2 + h3 + h4 AS t FROM h)""", "fx_fit")
-def _(f):
-    out = A.coloc_pp(f.where("cell = 'cell0'"), f.where("cell = 'cell1'"))
-    return out.select("gene_id", "effect1", "effect2", "nsnps", *[r6(f"pp_h{k}") for k in range(5)])
-
-
-@query("A30_marginal_regression", """WITH s AS (SELECT variant_key, REGR_SLOPE(y, dosage) AS slope, REGR_SXX(y, dosage) AS sxx, REGR_SYY(y, dosage) AS syy, COUNT(*) AS n FROM fx_geno JOIN fx_expr USING (sample_id) GROUP BY 1)
-SELECT variant_key, ROUND(slope, 4) AS slope, ROUND(SQRT((syy - slope * slope * sxx) / (n - 2) / sxx), 4) AS se, ROUND(slope / SQRT((syy - slope * slope * sxx) / (n - 2) / sxx), 6) AS z, n FROM s WHERE sxx > 0 AND n > 2""",
-       "fx_geno", "fx_expr")
-def _(g, e):
-    return A.marginal_regression(g, e).select("variant_key", F.round("slope", 4).alias("slope"), F.round("se", 4).alias("se"), r6("z"), "n")
-
-
 LD = """p AS (SELECT a.variant_key AS key1, b.variant_key AS key2, COUNT(*) AS n, SUM(a.dosage) AS sx, SUM(b.dosage) AS sy, SUM(a.dosage * b.dosage) AS sxy, SUM(a.dosage * a.dosage) AS sxx, SUM(b.dosage * b.dosage) AS syy
-  FROM fx_geno a JOIN fx_geno b ON a.sample_id = b.sample_id AND a.variant_key < b.variant_key AND b.variant_key - a.variant_key <= 20 GROUP BY ALL),
+  FROM fx_geno a JOIN fx_geno b ON a.dosage IS NOT NULL AND b.dosage IS NOT NULL AND a.sample_id = b.sample_id AND a.variant_key < b.variant_key AND b.variant_key - a.variant_key <= 20 GROUP BY ALL),
  r AS (SELECT key1, key2, CASE WHEN n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN CAST(n * sxy - sx * sy AS DOUBLE) / SQRT(CAST(n * sxx - sx * sx AS DOUBLE) * CAST(n * syy - sy * sy AS DOUBLE)) ELSE 0 END AS r FROM p)"""
 
 
@@ -362,89 +154,9 @@ def _(f):
     return A.cs_rank(_sets(f).withColumn("top_pip", F.round("top_pip", 9))).select(*EFF, "cs_rank")
 
 
-@query("W2_pip_rank", """SELECT gene_id, src_order, src_line, pip_rank, CAST(pip_rank = 1 AS INT) AS is_top_pip, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, cell ORDER BY pip DESC, src_order, src_line) AS pip_rank,
- COUNT(*) OVER (PARTITION BY gene_id, cell) AS n FROM fx_pip)""", "fx_pip")
-def _(d):
-    w = Window.partitionBy("gene_id", "cell")
-    d = d.withColumn("pip_rank", F.row_number().over(w.orderBy(F.desc("pip"), "src_order", "src_line"))).withColumn("n", F.count("*").over(w))
-    return d.select("gene_id", "src_order", "src_line", "pip_rank", (F.col("pip_rank") == 1).cast("int").alias("is_top_pip"), "n")
-
-
-@query("W3_credible_set", f"WITH {CS} SELECT gene_id, cell, effect, COUNT(*) AS size FROM cs GROUP BY ALL", "fx_fit")
-def _(f):
-    return A.credible_set(_alpha(f), EFF, 0.90).groupBy(*EFF).agg(F.count("*").alias("size"))
-
-
 # --- top-k, sampling, sets, assemblies -------------------------------------------------------------------------------
 
 
-@query("K1_top_n", f"SELECT cell, {AL}, pip, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS rank FROM (SELECT cell, {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL)) WHERE rank <= 500", "fx_pip")
-def _(d):
-    best = d.groupBy("cell", *ALLELES).agg(F.max("pip").alias("pip"))
-    return A.top_n(best, ["cell"], "pip", ALLELES, 500).select("cell", *ALLELES, "pip", "rank")
-
-
-@query("K3_sample_negatives", """WITH t AS (SELECT *, CAST(SIGN(LENGTH(alt) - LENGTH(ref)) AS INT) AS vt FROM fx_pip), p AS (SELECT gene_id, vt, COUNT(*) * 10 AS need FROM t WHERE pip >= 0.9 GROUP BY ALL)
-SELECT gene_id, vt, src_order, src_line FROM (SELECT n.*, need, ROW_NUMBER() OVER (PARTITION BY n.gene_id, n.vt ORDER BY (src_order * 7919 + src_line * 104729) % 99991, src_order, src_line) AS r
- FROM t n JOIN p ON n.gene_id = p.gene_id AND n.vt = p.vt WHERE pip < 0.01) WHERE r <= need""", "fx_pip")
-def _(d):
-    t = d.withColumn("vt", F.signum((F.length("alt") - F.length("ref")).cast("double")).cast("int"))
-    order = [(F.col("src_order") * 7919 + F.col("src_line") * 104729) % 99991, F.col("src_order"), F.col("src_line")]
-    return A.sample_negatives(t.where("pip >= 0.9"), t.where("pip < 0.01"), ["gene_id", "vt"], order).select("gene_id", "vt", "src_order", "src_line")
-
-
-@query("U1_unique_variants", f"SELECT DISTINCT {VID} AS variant_id, {AL} FROM fx_pip", "fx_pip")
-def _(d):
-    a, b = (d.where(F.col("cell") == c) for c in ("cell0", "cell1"))
-    return a.unionByName(b).unionByName(d.where("cell = 'cell2'")).select(vid().alias("variant_id"), *ALLELES).distinct()
-
-
-@query("U2_other_genes", """WITH a AS (SELECT DISTINCT gene_id FROM fx_pip WHERE cell = 'cell0' AND pip > 0.98), b AS (SELECT DISTINCT gene_id FROM fx_pip WHERE cell = 'cell1' AND pip > 0.98),
- m AS (SELECT DISTINCT gene_id FROM fx_pip WHERE cell = 'cell2' AND pip > 0.99)
-SELECT gene_id, side FROM (SELECT gene_id, 1 AS side FROM a WHERE gene_id NOT IN (SELECT * FROM b) UNION ALL SELECT gene_id, 2 FROM b WHERE gene_id NOT IN (SELECT * FROM a)) WHERE gene_id NOT IN (SELECT * FROM m)""", "fx_pip")
-def _(d):
-    return A.symmetric_genes(d.where("cell = 'cell0' and pip > 0.98"), d.where("cell = 'cell1' and pip > 0.98"), d.where("cell = 'cell2' and pip > 0.99"))
-
-
-@query("U3_gene_list_union", "SELECT gene_id, MIN(CASE WHEN cell = 'cell1' THEN 1 ELSE 2 END) AS source FROM fx_pip WHERE cell <> 'cell0' AND pip > 0.95 GROUP BY gene_id", "fx_pip")
-def _(d):
-    d = d.where("pip > 0.95")
-    lists = d.where("cell = 'cell1'").select("gene_id", F.lit(1).alias("source")).unionByName(d.where("cell = 'cell2'").select("gene_id", F.lit(2).alias("source")))
-    return lists.groupBy("gene_id").agg(F.min("source").alias("source"))
-
-
-@query("U4_positives", """WITH top AS (SELECT cell, gene_id, cs95 FROM fx_pip WHERE cs95 > 0 GROUP BY ALL HAVING MAX(pip) > 0.10)
-SELECT cell, gene_id, src_order, src_line, pip FROM fx_pip p WHERE cs95 = 0 AND pip > 0.50 OR cs95 > 0 AND pip > 0.05 AND EXISTS (SELECT 1 FROM top t WHERE t.cell = p.cell AND t.gene_id = p.gene_id AND t.cs95 = p.cs95)""", "fx_pip")
-def _(d):
-    return A.training_positives(d).select("cell", "gene_id", "src_order", "src_line", "pip")
-
-
-@query("U6_credible_set_keys", f"""SELECT cut, COUNT(*) AS n FROM (SELECT DISTINCT {AL}, cut FROM fx_pip, (SELECT UNNEST([0.0, 0.1, 0.2, 0.3, 0.4, 0.5]) AS cut) WHERE cs95 > 0 AND pip > cut) GROUP BY cut""".replace("UNNEST([0.0, 0.1, 0.2, 0.3, 0.4, 0.5])", "CAST(UNNEST([0.0, 0.1, 0.2, 0.3, 0.4, 0.5]) AS DOUBLE)"), "fx_pip")
-def _(d):
-    best = A.max_over_genes(d.where("cs95 > 0"), "pip").select("*", F.explode(F.array(*[F.lit(x / 10) for x in range(6)])).alias("cut"))
-    return best.where("pip > cut").groupBy("cut").agg(F.count("*").alias("n"))
-
-
-@query("M5_loco_folds", "SELECT chrom, COUNT(*) AS n_held, (SELECT COUNT(*) FROM fx_scored) - COUNT(*) AS n_train, CAST(CAST(SUBSTR(chrom, 4) AS INT) % 2 AS INT) AS config_parity FROM fx_scored GROUP BY chrom", "fx_scored")
-def _(d):
-    n = d.groupBy("chrom").agg(F.count("*").alias("n_held"))
-    total = F.sum("n_held").over(Window.partitionBy(F.lit(0)))
-    return n.select("chrom", "n_held", (total - F.col("n_held")).alias("n_train"), (F.substring("chrom", 4, 9).cast("int") % 2).alias("config_parity"))
-
-
-@query("M8_threshold_sweep", f"""WITH m AS (SELECT {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL), c AS (SELECT CAST(80 + UNNEST(RANGE(20)) AS INT) AS c)
-SELECT chr, c AS cut_percent, COUNT(*) AS n FROM m, c WHERE pip > c / CAST(100 AS DOUBLE) GROUP BY ALL""", "fx_pip")
-def _(d):
-    s = A.threshold_sweep(d, "pip", [c / 100 for c in range(80, 100)])
-    return s.groupBy("chr", F.round(F.col("cut") * 100).cast("int").alias("cut_percent")).agg(F.count("*").alias("n"))
-
-
 @query("M9_pip_annotation", f"SELECT {AL}, CAST(MAX(pip) > 0.10 AS INT) AS flag FROM fx_pip GROUP BY ALL", "fx_pip")
 def _(d):
     return J.flag_keys(d.select(*ALLELES).distinct(), A.max_over_genes(d, "pip").where("pip > 0.10"), "flag")
-
-
-@query("S8_prep_gwas", "SELECT chr, pos, n, z / CAST(1 + n % 7 AS DOUBLE) AS z FROM fx_gwas WHERE n % 7 <> 6 AND z IS NOT NULL", "fx_gwas")
-def _(g):
-    se = F.when(F.col("n") % 7 != 6, (1 + F.col("n") % 7).cast("double"))
-    return g.withColumn("z", F.try_divide("z", se)).dropna(subset=["z"]).select("chr", "pos", "n", "z").repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos")

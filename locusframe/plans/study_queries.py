@@ -13,21 +13,6 @@ V = ", ".join("v." + c for c in ALLELES)
 ASSAYS = ["click", "purchase", "view", "absent"]
 
 
-@query("P13_clean_features", """SELECT variant_id, COALESCE(ROUND(AVG(score) FILTER (assay = 'click'), 6), 0) AS click, COALESCE(ROUND(AVG(score) FILTER (assay = 'purchase'), 6), 0) AS purchase,
- COALESCE(ABS(ROUND(AVG(score) FILTER (assay = 'view'), 6)), 0) AS "view", CAST(0 AS DOUBLE) AS absent FROM fx_peak_score GROUP BY variant_id""", "fx_peak_score")
-def _(d):
-    wide = d.groupBy("variant_id").agg(*[F.round(F.avg(F.when(F.col("assay") == a, F.col("score"))), 6).alias(a) for a in ASSAYS])
-    x = wide.select("variant_id", S.clean_features(F.array(*ASSAYS[:3], F.lit(float("inf"))), [False, False, True, False]).alias("x"))
-    return x.select("variant_id", *[F.col("x")[k].alias(a) for k, a in enumerate(ASSAYS)])
-
-
-@query("J4_features_for_positions", """WITH a AS (SELECT variant_key, COUNT(*) AS n_fits FROM fx_fit GROUP BY 1)
-SELECT gene_id, src_order, src_line, n_fits FROM fx_pip LEFT JOIN a ON pos = variant_key * 500 + 1000""", "fx_pip", "fx_fit")
-def _(d, f):
-    notes = f.groupBy((F.col("variant_key") * 500 + 1000).alias("pos")).agg(F.count("*").alias("n_fits"))
-    return d.join(notes, "pos", "left").select("gene_id", "src_order", "src_line", "n_fits")
-
-
 @query("J6_pair_peaks", f"""SELECT {V}, annotation, c AS centre, v.pos - c AS distance FROM (SELECT DISTINCT {AL} FROM fx_pip) v
  JOIN (SELECT annotation, chr, start_pos + (end_pos - start_pos) // 2 AS c FROM fx_interval) i ON v.chr = i.chr AND ABS(v.pos - c) <= 1024""", "fx_pip", "fx_interval")
 def _(d, i):
@@ -46,41 +31,6 @@ def _(d, g):
     return S.allele_frequency(d, sites)
 
 
-@query("J15_coloc_with_sets", f"""WITH {SETS}, pr AS (SELECT a.gene_id, a.effect AS effect1, b.effect AS effect2, COUNT(*) AS nsnps FROM fx_fit a JOIN fx_fit b
-  ON a.gene_id = b.gene_id AND a.variant_key = b.variant_key WHERE a.cell = 'cell0' AND b.cell = 'cell1' GROUP BY ALL HAVING COUNT(*) >= 10)
-SELECT pr.*, st.size AS cs_size, ROUND(st.top_pip, 6) AS cs_top_pip, CAST(st.size IS NULL AS INT) AS unmatched FROM pr
- LEFT JOIN st ON st.gene_id = pr.gene_id AND st.effect = pr.effect1 AND st.cell = 'cell0' AND st.effect <> 3""", "fx_fit")
-def _(f):
-    pairs = A.coloc_pp(f.where("cell = 'cell0'"), f.where("cell = 'cell1'"))
-    out = S.coloc_with_sets(pairs, _sets(f.where("cell = 'cell0'")).where("effect <> 3"))
-    return out.select("gene_id", "effect1", "effect2", "nsnps", "cs_size", r6("cs_top_pip"), "unmatched")
-
-
-@query("A11_clpp_gene", """SELECT prior, COUNT(*) FILTER (clpp > 0.985) AS n_genes FROM (SELECT cs95 AS prior, gene_id, MAX(pip) AS clpp FROM fx_pip GROUP BY ALL) GROUP BY prior""", "fx_pip")
-def _(d):
-    x = d.groupBy("cell", F.col("cs95").alias("prior"), "gene_id").agg(F.max("pip").alias("max_product"))
-    return S.clpp_gene(x, 0.985)
-
-
-MATCH = """a AS (SELECT gene_id, effect AS ref_cs, variant_key FROM fx_fit WHERE cell = 'cell0' AND lbf > 3), b AS (SELECT gene_id, effect AS comp_cs, variant_key FROM fx_fit WHERE cell = 'cell1' AND lbf > 3),
- na AS (SELECT gene_id, ref_cs, COUNT(*) AS na FROM a GROUP BY ALL), nb AS (SELECT gene_id, comp_cs, COUNT(*) AS nb FROM b GROUP BY ALL),
- s AS (SELECT gene_id, ref_cs, comp_cs, COUNT(*) AS shared FROM a JOIN b USING (gene_id, variant_key) GROUP BY ALL),
- j AS (SELECT s.*, shared / CAST(na + nb - shared AS DOUBLE) AS jaccard FROM s JOIN na USING (gene_id, ref_cs) JOIN nb USING (gene_id, comp_cs)),
- r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, ref_cs ORDER BY jaccard DESC, comp_cs) AS r1, ROW_NUMBER() OVER (PARTITION BY gene_id, comp_cs ORDER BY jaccard DESC, ref_cs) AS r2 FROM j),
- m AS (SELECT gene_id, COUNT(*) AS k, MEDIAN(jaccard) AS mj FROM r WHERE r1 = 1 AND r2 = 1 GROUP BY ALL)"""
-
-
-@query("A18_match_summary", f"""WITH {MATCH} SELECT x.gene_id, n_ref, n_comp, COALESCE(k, 0) AS n_matched, n_ref - COALESCE(k, 0) AS ref_only, n_comp - COALESCE(k, 0) AS comp_only,
- ROUND(100 * COALESCE(k, 0) / CAST(n_ref AS DOUBLE), 6) AS pct_ref_matched, ROUND(mj, 6) AS median_jaccard FROM (SELECT gene_id, COUNT(*) AS n_ref FROM na GROUP BY 1) x
- JOIN (SELECT gene_id, COUNT(*) AS n_comp FROM nb GROUP BY 1) y ON x.gene_id = y.gene_id LEFT JOIN m ON x.gene_id = m.gene_id""", "fx_fit")
-def _(f):
-    f = f.where("lbf > 3")
-    a, b = f.where("cell = 'cell0'"), f.where("cell = 'cell1'")
-    one = lambda x: x.select("gene_id", "effect").distinct()
-    out = S.match_summary(one(a), one(b), A.match_sets(a, b), ["gene_id"])
-    return out.select("gene_id", "n_ref", "n_comp", "n_matched", "ref_only", "comp_only", r6("pct_ref_matched"), r6("median_jaccard"))
-
-
 CROSS = """t AS (SELECT gene_id, cell, cs95 AS idx, CONCAT('o', CAST(src_line % 4 AS STRING)) AS other_cell, pip AS h4,
   CASE WHEN src_order % 10 = 0 THEN 'focal credible set' WHEN src_order % 10 = 1 THEN 'no credible set' END AS note FROM fx_pip),
  fc AS (SELECT DISTINCT gene_id, cell, idx FROM t WHERE note = 'focal credible set'),
@@ -100,20 +50,6 @@ def _(d):
     return S.crosscell_sets(_crossed(d)).select("gene_id", "cell", "idx", "n_other_tested", r6("max_h4"), "shared_with", "shared")
 
 
-@query("A19_crosscell_summary", f"""WITH {CROSS} SELECT cell, COUNT(*) AS n_cs, CAST(SUM(shared) AS BIGINT) AS n_cs_shared, COUNT(*) FILTER (n_other_tested > 0) AS n_cs_with_partner, COUNT(DISTINCT gene_id) AS n_egenes_with_cs,
- COUNT(DISTINCT CASE WHEN shared = 1 THEN gene_id END) AS n_egenes_shared, (SELECT COUNT(DISTINCT gene_id) FROM t WHERE note IS NOT NULL AND t.cell = cs.cell) AS n_egenes_fit,
- ROUND(100 * SUM(shared) / CAST(COUNT(*) AS DOUBLE), 1) AS pct_cs_shared FROM cs GROUP BY cell""", "fx_pip")
-def _(d):
-    return S.crosscell_summary(_crossed(d))
-
-
-@query("A22_tau_star", """WITH b AS (SELECT chr, z * SQRT(0.1 * 0.9) * 2000 / 0.5 AS x FROM fx_gwas), g AS (SELECT chr, AVG(x) AS t, STDDEV_SAMP(x) * SQRT(COUNT(*) - 1) AS se, COUNT(*) AS n FROM b GROUP BY chr)
-SELECT chr, ROUND(t, 4) AS tau_star, ROUND(se, 4) AS se, n AS n_blocks, CASE WHEN se > 0 THEN ROUND(t / se, 6) END AS z FROM g""", "fx_gwas")
-def _(g):
-    b = g.select("chr", F.col("z").alias("value"), F.lit(0.1).alias("prop_snps"), F.lit(2000.0).alias("m"), F.lit(0.5).alias("h2"))
-    return S.tau_star(b, ["chr"]).select("chr", F.round("tau_star", 4).alias("tau_star"), F.round("se", 4).alias("se"), "n_blocks", r6("z"))
-
-
 @query("A23_select_tau", """WITH s AS (SELECT gene_id, src_line AS cut, MAX(pip) AS tau FROM fx_pip GROUP BY ALL), k AS (SELECT *, COUNT(*) OVER (PARTITION BY gene_id) AS n,
  ROW_NUMBER() OVER (PARTITION BY gene_id ORDER BY tau DESC, cut) AS r FROM s) SELECT gene_id, cut AS selected, tau FROM k WHERE n = 7 AND r = 1""", "fx_pip")
 def _(d):
@@ -152,18 +88,7 @@ def _(d):
 CELLS = ["cell0", "cell1", "cell2"]
 
 
-@query("K2_top_n_annotations", f"""WITH b AS (SELECT cell, {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL), t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS r FROM b)
-SELECT {AL}, """ + ", ".join(f"MAX(CAST(cell = '{c}' AND r <= 500 AS INT)) AS top_{c}" for c in CELLS) + f" FROM t GROUP BY {AL}", "fx_pip")
-def _(d):
-    return S.top_n_annotations(d, d.groupBy("cell", *ALLELES).agg(F.max("pip").alias("pip")), "cell", CELLS, "pip", 500)
-
-
 @query("U5_gwas_gene_list", "SELECT gene_id, MIN(chr) AS chr FROM fx_pip WHERE pip > 0.97 AND gene_id IN (SELECT gene_id FROM fx_gene WHERE post_mean > 0) GROUP BY gene_id", "fx_pip", "fx_gene")
 def _(d, g):
     d = d.where("pip > 0.97")
     return S.gwas_gene_list([d.where(F.col("cell") == c) for c in CELLS], g.where("post_mean > 0"))
-
-
-@query("S7_annotation_matrix", f"SELECT {AL}, " + ", ".join(f"MAX(CAST(cell = '{c}' AND pip > 0.5 AS INT)) AS {c}" for c in CELLS) + f" FROM fx_pip GROUP BY {AL}", "fx_pip")
-def _(d):
-    return S.annotation_matrix(d, d.where("pip > 0.5").withColumnRenamed("cell", "annotation"), CELLS)

@@ -72,6 +72,14 @@ def export_predictions(df: DataFrame, path: str) -> None:
     out = df.select("chr", F.regexp_replace("chr", "^chr", "").alias("#CHROM"), *[F.col(c).alias(back[c]) for c in ("pos", "variant_id", "ref", "alt", "gene_id", "pip", "pred_prob")])
     out.repartitionByRange("chr", "POS").sortWithinPartitions("chr", "POS", "GENE_ID", "ID").write.partitionBy("chr").mode("overwrite").option("comment", "\u0001").csv(
         path, sep="\t", header=True, compression="gzip")  # the default comment mark would put the header's # in quotes
+    n = import_predictions(df.sparkSession, f"{path}/*/*.csv.gz").count()
+    if n != found.n_rows:
+        raise ValueError(f"{n} rows written of {found.n_rows}")
+
+
+def prep_gwas(df: DataFrame) -> DataFrame:
+    """z = beta / se (null where se is 0 or missing); rows without z go; ordered by position."""
+    return df.withColumn("z", F.try_divide("beta", "se")).dropna(subset=["z"]).drop("beta", "se").orderBy("chr", "pos")
 
 
 def prep_snpvar(df: DataFrame) -> DataFrame:

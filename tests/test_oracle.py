@@ -8,7 +8,7 @@ import pytest
 from locusframe.functions import keys as K
 from locusframe.operators import aggregates as A
 from locusframe.operators import joins as J
-from locusframe.plans import feature_queries, registry, study_queries  # noqa: F401 (the import registers its queries)
+from locusframe.plans import feature_queries, registry, source_queries, study_queries, table_queries  # noqa: F401 (the import registers its queries)
 
 D = "/root/testdata/sf0.001"
 
@@ -41,7 +41,7 @@ def test_interval_bounds(spark):
     i = spark.createDataFrame([("a", "chr1", 99, 100), ("b", "chr1", 100, 300)], "annotation string, chr string, start_pos long, end_pos long")
     v = spark.createDataFrame([("chr1", p, "A", "C") for p in (98, 99, 100, 101, 300, 301)], "chr string, pos long, ref string, alt string")
     got = {(r.pos, r.annotation) for r in J.annotate_intervals(v, i, width=10).collect()}
-    assert got == {(99, "a"), (100, "a"), (100, "b"), (101, "b"), (300, "b")}
+    assert got == {(100, "a"), (101, "b"), (300, "b")}
 
 
 def test_neglog10p_does_not_underflow(spark):
@@ -53,3 +53,18 @@ def test_average_precision_of_one_class_and_ties(spark):
     d = spark.createDataFrame([("a", 1, 0.5), ("a", 1, 0.5), ("b", 1, 0.5), ("b", 0, 0.5), ("c", 0, None)], "k string, y int, s double")
     got = {r.k: r.ap for r in A.average_precision(d, ["k"], "y", "s").collect()}
     assert got == {"a": None, "b": 0.5}
+
+
+def test_genes_given_and_found(spark):
+    v = spark.createDataFrame([("chr1", 100, "A", "C", "g1"), ("chr1", 100, "A", "C", None), ("chr1", 200, "A", "C", ""), ("chr1", 300, "A", "C", "g3"), ("chr1", 400, "A", "C", "nobody")], "chr string, pos long, ref string, alt string, gene_id string")
+    g = spark.createDataFrame([("g1", "chr1", 9000), ("g2", "chr1", 250), ("g3", "chr2", 300)], "gene_id string, chr string, gene_tss long")
+    assert {(r.pos, r.gene_id) for r in J.pair_genes(v, g, 50).collect()} == {(100, "g1"), (200, "g2")}
+    assert {(r.pos, r.gene_id) for r in J.pair_genes(v.drop("gene_id"), g, 50).collect()} == {(200, "g2"), (300, "g2")}
+
+
+def test_short_strata_are_drawn_with_replacement(spark):
+    pos = spark.createDataFrame([("g",)] * 2, "gene_id string")
+    neg = spark.createDataFrame([("g", k) for k in range(7)], "gene_id string, k long")
+    got = {r.k for r in A.sample_negatives(pos, neg, ["gene_id"], [__import__("pyspark").sql.functions.col("k")], per=10).collect()}
+    assert got == {(i * 7919 + 13) % 7 for i in range(1, 21)}
+    assert A.sample_negatives(pos, neg, ["gene_id"], [__import__("pyspark").sql.functions.col("k")], per=3).count() == 6
