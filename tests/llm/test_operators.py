@@ -231,16 +231,26 @@ def test_op4_joins_ordinary_documents_and_random_text(spark):
     assert tree.encode(long) == tree.tok.encode(long, add_special_tokens=False).ids
 
 
-def test_op5_weights_meet_all_marginals(docs, none):
-    from locusframe.llm.mixing import DIMENSIONS, calibrated, op5_mix_to_targets
+def test_op5_sample_meets_all_marginals(spark, docs, none):
+    from locusframe.llm.mixing import DIMENSIONS, calibrated, mix, op5_mix_to_targets, with_cells
 
-    cells = calibrated(docs, rounds=12).toPandas()
-    for d in DIMENSIONS:
+    celled = with_cells(docs).cache()
+    cells = calibrated(celled).toPandas()
+    assert cells.keep.between(0, 1).all() and (cells.keep == 1).any()
+    for d in DIMENSIONS:  # what is kept after the cut, not only the weights
         t = cells.groupby(d).tokens.sum() ** 0.7
-        w = cells.groupby(d).weight.sum()
-        assert np.allclose(w / w.sum(), t / t.sum(), atol=0.02), d
+        kept = (cells.tokens * cells.keep).groupby(cells[d]).sum()
+        assert np.allclose(kept / kept.sum(), t / t.sum(), atol=0.005), d
+    # Targets that the caller gives: one for a value that does not occur, none for the others.
+    goal = {"lang": spark.createDataFrame([("en", 3.0), ("de", 1.0), ("nowhere", 5.0)], "lang string, target double")}
+    given = calibrated(celled, goal, rate=0.2).toPandas()
+    kept = (given.tokens * given.keep).groupby(given.lang).sum()
+    assert abs(kept["en"] / kept.sum() - 0.75) < 0.02 and kept.drop(["en", "de"]).sum() == 0
     a, b = (op5_mix_to_targets(docs).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
-    assert a.equals(b) and len(a) == docs.count() and a.keep_probability.between(0, 1).all()
+    assert a.equals(b) and len(a) == docs.count() and a.keep_probability.between(0, 1).all() and a.topic.nunique() > 4
+    sampled = a[a.sampled].n_tokens.sum() / (a.n_tokens * a.keep_probability).sum()
+    assert 0.7 < sampled < 1.3
+    assert mix(docs, topic=docs["source"]).select("_topic").distinct().count() == docs.select("source").distinct().count()
     assert op5_mix_to_targets(none).count() == 0
 
 
