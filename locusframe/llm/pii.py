@@ -80,8 +80,8 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["v"]), F.lit(0))
-        left = F.lower(F.regexp_extract(F.right(x["p"], F.lit(40)), rf"([^\x20\x09-\x0D]+){SPACED}*$", 1))
-        right = F.lower(F.regexp_extract(F.substring(x["q"], 1, 40), rf"^{SPACED}*([^\x20\x09-\x0D]+)", 1))
+        left = F.lower(F.substring_index(F.rtrim(F.translate(x["p"], "\t\n\x0b\x0c\r", "     ")), " ", -1))  # whole words, however long
+        right = F.lower(F.regexp_extract(x["q"], rf"^{SPACED}*+([^\x20\x09-\x0D]++)", 1))
         one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), left.alias("left"),
                        F.coalesce(right, F.lit("")).alias("right"), F.lit(seed).alias("seed"))
         keep = x["v"].isNotNull() & checked(x["v"])

@@ -5,7 +5,7 @@ of median splits with tight boxes, and walks it best-first: a node's bound is th
 box can have with the query, and the walk ends when no bound reaches the k-th score. Every query first visits its home shard;
 the k-th score found there travels with it to all other shards, so these are pruned from the start.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; ties go to
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids or vectors so large that a score could pass 2**62; ties go to
 the smaller id; vectors are compared with those of the same length only; of a repeated id every other-id row is a candidate,
 and a repeated query id is answered once; an empty table gives an empty result.
 """
@@ -104,6 +104,7 @@ def topk(vectors: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 102
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     v = v.where(F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", finite))
+    v = v.where(F.forall("e", lambda x: F.abs(x) * float(scale) <= F.sqrt(2.0**62 / F.size("e"))))  # else a score could overflow a long
     v = v.select("vec_id", F.transform("e", lambda x: F.floor(x * float(scale)).cast("bigint")).alias("v"), F.size("e").alias("d"))
     rows, asked = v.agg(F.count("*"), F.count_if(F.col("vec_id") % query_mod == 0)).first()
     shards, groups = max(1, -(-rows // shard_rows)), max(1, -(-asked // query_rows))

@@ -176,6 +176,8 @@ def test_op3_patterns_weigh_all_instances_and_learn_from_found_ones(spark):
         return next(f"4994 2260 {k:04d} {z:04d}" for z in range(9999) if luhn(f"49942260{k:04d}{z:04d}"))
 
     texts = [f"call +1 (743) 555-38{k:02d} now" for k in range(10)] + ["pray 743 555 3824 now"] + [f"call 2024-{k % 12 + 1:02d}-{k % 28 + 1:02d} then" for k in range(90)]
+    long = "x" * 60 + "hotline"
+    texts += [f"{long} +1 (743) 551-{k:04d} so" for k in range(200)] + [f"hotline 2 {long} 743 551 9999 ok"]
     texts += [f"hotline +1 (743) 556-{k:04d} thanks" for k in range(200)] + [f"hotline 743 557 {k:04d} rightaway" for k in range(20)]
     texts += ["blah 743 558 0001 rightaway", "hotline 7435590001 thanks"] + [f"paid {card(k)} valid" for k in range(40)]
     texts += ["paid 4994.2260.2090.0892 valid", "paid 4994226020900893 valid", "order 7435590002 then", "order 4994226020900894 then"]
@@ -185,6 +187,7 @@ def test_op3_patterns_weigh_all_instances_and_learn_from_found_ones(spark):
     assert found["pray 743 555 3824 now"] == "phone:5:17"
     assert found["blah 743 558 0001 rightaway"] == "phone:5:17"
     assert found["hotline 7435590001 thanks"] == "phone:8:18"
+    assert found[f"hotline 2 {long} 743 551 9999 ok"] == "phone:78:90"  # the whole neighbouring word is the pattern
     assert found["paid 4994.2260.2090.0892 valid"] == "card:5:24" and found["paid 4994226020900893 valid"] == "card:5:21"
     assert all(found[x] for x in texts if not x.endswith(" then"))
 
@@ -360,10 +363,10 @@ def test_op10_equals_brute_force(spark):
 
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(700)]
-    rows += [(700, rows[3][1]), (800, None), (801, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (None, rows[0][1]), (1000, [1.0, 2.0]), (1001, [0.5, -2.0]), (5, rows[5][1])]
+    rows += [(700, rows[3][1]), (800, None), (801, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1100, [1e300, 1e17, 0.0, 0.0, 0.0, 0.0]), (None, rows[0][1]), (1000, [1.0, 2.0]), (1001, [0.5, -2.0]), (5, rows[5][1])]
     v = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<double>, score string")
     got = topk(v, shard_rows=150).toPandas().sort_values(["query_id", "rank"])
-    good = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    good = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in e)]
     want = []
     for q, a in good:
         if q % 100 == 0:
