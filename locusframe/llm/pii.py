@@ -1,14 +1,21 @@
 """Personal data by bootstrapped contextual extraction (operator 3; built-in functions only).
 
 Base patterns give the seeds: e-mail and IP addresses, payment cards, phone numbers. Looser shapes (a number with separators or
-plain, a card number whatever its check digit, a word with an @, a coloned address) give candidates. Each occurrence, seed or candidate, has two lexical patterns:
-(kind, side, neighbouring word). Patterns and instances (kind, value) form a bipartite graph that Spark scores by turns: a
-pattern's confidence is the mean score of all instances it occurs with, damped when few seeds or accepted candidates support
-it; a candidate's score is the noisy-or of its confident patterns, 0 without one. Candidates that end above the threshold are
-new spans, of those that overlap the best; base spans always stay.
-
-A document is scanned once, natively; only its occurrences, not its text, go into the graph. Groups are reduced by partial
-aggregates and joins on hot neighbouring words are left to AQE's skew split.
+plain, a card number whatever its check digit, a word with an @, a coloned address) give candidates of one kind; any other word
+of five characters or more with a digit is a candidate of whatever kind its context says. Each occurrence has three lexical
+patterns: the word before, the two words before, and the word after. Patterns and instances (kind, value) form a bipartite graph
+that Spark scores by turns: a pattern's confidence is the score it holds (its instances' scores, each as often as it occurs there)
+over all places where the pattern's words stand in the corpus, damped when few seeds or accepted candidates support it; a
+candidate's score is the noisy-or of its best pattern before and its pattern after, 0 without a confident one. Candidates that
+end above the threshold are new spans, of those that overlap the best; base spans always stay. What is found in one round
+supports patterns in the next.
+
+Patterns whose instances, were all of them true, could not make them confident are dropped before the rounds (an exact bound):
+common words go there, and with them most of the graph.
+
+A document is scanned natively; only its occurrences, not its text, go into the graph. A second scan counts the places of the
+patterns' words; these words are a written table, so Spark broadcasts them only where their size allows, and joins by shuffle beyond.
+Groups are reduced by partial aggregates and joins on hot neighbouring words are left to AQE's skew split.
 
 Positions: Spark returns matches without places, so a text is also split at them; piece and match lengths add up to places,
 in code points. Java's regular expressions are written with possessive loops, which need no stack, and with \\G and look-behind
@@ -40,15 +47,19 @@ SHAPES = {
     "card": r"(?<![0-9A-Za-z_.#=\"/-])[0-9](?:[\x20._/-]?[0-9]){11,18}+(?![0-9A-Za-z_])",
     "phone": r"(?:\G|(?<![0-9A-Za-z_.#=\"-]))(?:\(?[0-9]{2,5}+\)?(?:[\x20.-][0-9]{2,5}+){2,5}+|[0-9]{7,15}+)(?![0-9A-Za-z])",
 }
+#: A candidate of any kind: a word that holds a digit, without the marks behind it.
+FREE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9](?:[^\x20\x09-\x0D]*[\p{L}0-9])?"
+FREE_LENGTH = 5
 #: What a text must hold for a pattern to match in it at all: cheap to test, and absent from most texts.
 NEEDED = {
     ("email", True): "@", ("ip", True): r"[0-9]\.[0-9]", ("card", True): r"[0-9](?:[\x20-]?[0-9]){11}", ("phone", True): r"\+[0-9]",
     ("email", False): r"@|\(at\)|\[at\]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f:]", ("card", False): r"[0-9](?:[\x20._/-]?[0-9]){11}",
     ("phone", False): r"[0-9]{2}\)?[\x20.-][0-9]{2}|[0-9]{7}",
+    ("free", False): "[0-9]",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPACED = r"[\x20\x09-\x0D]"
-OCCURRENCE = "struct<kind:int,start:int,end:int,value:string,left:string,right:string,seed:boolean>"
+OCCURRENCE = "struct<kind:int,start:int,end:int,value:string,left:string,left2:string,right:string,seed:boolean>"
 
 
 def luhn(digits: Column) -> Column:
@@ -75,15 +86,18 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0))
     pairs = F.arrays_zip(pieces.alias("p"), values.alias("v"), F.slice(pieces, 2, F.size(pieces)).alias("q"))
     none = F.array().cast(f"array<{OCCURRENCE}>")
-    checked = (lambda v: valid(kind, v)) if seed else (lambda v: F.length(F.regexp_replace(v, "[^0-9]+", "")) >= 7) if kind == "phone" else (lambda v: F.lit(True))
+    loose = {"phone": lambda v: F.length(F.regexp_replace(v, "[^0-9]+", "")) >= 7, "free": lambda v: F.length(v) >= FREE_LENGTH}
+    checked = (lambda v: valid(kind, v)) if seed else loose.get(kind, lambda v: F.lit(True))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["v"]), F.lit(0))
-        left = F.lower(F.substring_index(F.rtrim(F.translate(x["p"], "\t\n\x0b\x0c\r", "     ")), " ", -1))  # whole words, however long
+        before = F.rtrim(F.translate(x["p"], "\t\n\x0b\x0c\r", "     "))
+        left = F.substring_index(before, " ", -1)  # whole words, however long
+        second = F.substring_index(F.rtrim(F.substring(before, F.lit(1), F.length(before) - F.length(left))), " ", -1)
         right = F.lower(F.regexp_extract(x["q"], rf"^{SPACED}*+([^\x20\x09-\x0D]++)", 1))
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), left.alias("left"),
-                       F.coalesce(right, F.lit("")).alias("right"), F.lit(seed).alias("seed"))
+        one = F.struct(F.lit(KINDS.index(kind) if kind in KINDS else -1).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), F.lower(left).alias("left"),
+                       F.when(second != "", F.lower(F.concat(second, F.lit(" "), left))).otherwise("").alias("left2"), F.coalesce(right, F.lit("")).alias("right"), F.lit(seed).alias("seed"))
         keep = x["v"].isNotNull() & checked(x["v"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["got"], F.array(one.cast(OCCURRENCE)))).otherwise(acc["got"]).alias("got"))
 
@@ -93,31 +107,53 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, base (seed occurrences by start and kind) and more (candidates that overlap no base span)."""
+    """uid, doc_id, base (seed occurrences by start and kind) and more (candidates that overlap no base span; kind -1 where no shape fits)."""
     d = texts(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
     d = d.select("uid", "doc_id", "text_hash", *[occurrences(F.col("text"), k, p, True).alias(f"b_{k}") for k, p in BASE.items()],
-                 *[occurrences(F.col("text"), k, p, False).alias(f"s_{k}") for k, p in SHAPES.items()])
+                 *[occurrences(F.col("text"), k, p, False).alias(f"s_{k}") for k, p in SHAPES.items()],
+                 occurrences(F.col("text"), "free", FREE, False).alias("free"))
     by_place = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("a"), x["kind"].alias("b"), x["end"].alias("c"), x.alias("x")))), lambda y: y["x"])
-    d = d.select("uid", "doc_id", "text_hash", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("more"))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return d.select("uid", "doc_id", "text_hash", "base", F.filter("more", apart).alias("more"))
-
-
-def scored_instances(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.5, accept: float = 0.9) -> DataFrame:
-    """(kind, value, score) of candidate instances with a confident pattern. occ: kind, value, left, right, seed."""
-    sides = occ.select("kind", "value", "seed", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))).alias("p"))
-    key = ["kind", "side", "word"]
-    edges = sides.select("kind", "value", "seed", "p.side", "p.word").where("word <> ''").groupBy("kind", "value", *key[1:]).agg(F.max("seed").alias("seed"))
+    d = d.select("uid", "doc_id", "text_hash", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("more"), "free")
+    apart = lambda c: lambda x: ~F.exists(c, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    d = d.withColumn("more", F.filter("more", apart("base")))
+    return d.select("uid", "doc_id", "text_hash", "base", F.concat("more", F.filter("free", lambda x: apart("base")(x) & apart("more")(x))).alias("more"))
+
+
+def standing(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, total): how often each of `words` (a word, or two with one space) stands in the corpus, in lower case."""
+    w = F.split(F.lower(F.regexp_replace("text", rf"^{SPACED}++|{SPACED}++$", "")), rf"{SPACED}++")
+    d = texts(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(w.alias("w"))
+    pairs = d.select(F.inline(F.arrays_zip(F.slice(F.concat(F.array(F.lit("")), "w"), 1, F.size("w")).alias("a"), F.col("w").alias("b"))))
+    keys = pairs.select(F.explode(F.array("b", F.concat("a", F.lit(" "), "b"))).alias("word"))
+    return keys.join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+
+
+def scored_instances(occ: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 3, confident: float = 0.5, accept: float = 0.9) -> DataFrame:
+    """(kind, value, score) of candidate instances with a confident pattern. occ: kind (-1: any), value, left, left2, right, seed."""
+    place, key = ["side", "word"], ["kind", "side", "word"]
+    words = [F.struct(F.lit(side).alias("side"), F.col(c).alias("word")) for side, c in (("l", "left"), ("ll", "left2"), ("r", "right"))]
+    sides = occ.select("kind", "value", "seed", F.inline(F.array(*words))).where("word <> ''")
+    found = written(sides.groupBy("kind", "value", *place).agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-found")
     # Patterns of too few instances can never be confident, nor can those that no candidate has find anything.
-    useful = edges.groupBy(*key).agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n")).where(f"n >= {min_seeds} and n > seeds").select(*key)
-    edges = written(edges.join(useful, key), "pii-edges")
+    near = written(found.groupBy(*place).agg(F.count("*").alias("held"), F.count_if("seed").alias("seeds"), F.sum("n").alias("n")).where(f"held >= {min_seeds} and held > seeds"), "pii-near")
+    total = standing(docs, written(near.select("word").distinct(), "pii-words"))
+    able = near.join(total, "word", "left").select(*place, "n", F.greatest("n", F.coalesce("total", "n")).alias("total")).where(F.col("n") >= F.col("total") * confident).drop("n")
+    edges = written(found.join(able, place), "pii-able")
+    # A word without a shape takes the kinds of the patterns it stands in, at first hand or through what these find.
+    shaped, free = edges.where("kind >= 0"), edges.where("kind < 0").drop("kind")
+    full = shaped
+    for _ in range(2):
+        kinds = free.join(full.groupBy(*key).count().where(f"count >= {min_seeds}").select(*key), place).select("value", "kind").distinct()
+        full = shaped.unionByName(free.join(kinds, "value"))
+    edges = written(full.groupBy("value", *key).agg(F.max("seed").alias("seed"), F.sum("n").alias("n"), F.max("total").alias("total")), "pii-edges")
     score = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).where("seed").select("kind", "value", "seed", F.lit(1.0).alias("score"))
     for _ in range(rounds):
-        # The mean is over all instances of a pattern: those without a score count 0.
-        held = edges.drop("seed").join(score.select("kind", "value", "score"), ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        conf = held.groupBy(*key).agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= accept).alias("support")).where(f"support >= {min_seeds}")
-        conf = conf.select(*key, (F.col("mean") * (1 - F.pow(F.lit(0.5), F.col("support").cast("double")))).alias("conf")).where(F.col("conf") >= confident)
-        new = edges.join(conf, key, "left").groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("conf", F.lit(0.0)), F.lit(1e-6)))))).alias("p"))
+        # Of all places of a pattern those that hold no instance, or one without a score, count 0.
+        held = edges.drop("seed").join(score.select("kind", "value", "score"), ["kind", "value"])
+        conf = held.groupBy(*key).agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("share"), F.count_if(F.col("score") >= accept).alias("support")).where(f"support >= {min_seeds}")
+        conf = conf.select(*key, (F.col("share") * (1 - F.pow(F.lit(0.5), F.col("support").cast("double")))).alias("conf")).where(F.col("conf") >= confident)
+        best = lambda after: F.coalesce(F.max(F.when((F.col("side") == "r") == after, F.col("conf"))), F.lit(0.0))
+        new = edges.join(conf, key, "left").groupBy("kind", "value").agg(F.max("seed").alias("seed"), (1 - (1 - best(False)) * (1 - best(True))).alias("p"))
         score = written(new.select("kind", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("p")).alias("score")).where("score > 0"), "pii-scores")
     return score.where("not seed").select("kind", "value", "score")
 
@@ -126,15 +162,16 @@ def find_pii(docs: DataFrame, accept: float = 0.9, rounds: int = 3) -> DataFrame
     """doc_id, text_hash, base and spans: arrays of OCCURRENCE; spans holds the base and what the graph adds, by start and kind."""
     d = written(scanned(docs), "pii-scan")
     both = d.select("uid", F.explode(F.concat("base", "more")).alias("o")).select("uid", "o.*")
-    good = scored_instances(both, rounds, accept=accept).where(F.col("score") >= accept)
-    one = F.struct("start", "kind", "end", "value", "left", "right", "seed")
-    new = both.where("not seed").join(good, ["kind", "value"]).groupBy("uid").agg(F.collect_set(F.struct("score", one.alias("o"))).alias("all"))
+    good = scored_instances(both, docs, rounds, accept=accept).where(F.col("score") >= accept).select(F.col("kind").alias("as_kind"), "value", "score")
+    fields = ["start", "kind", "end", "value", "left", "left2", "right", "seed"]
+    one = F.struct(*[F.col("as_kind").alias(c) if c == "kind" else F.col(c) for c in fields])
+    new = both.where("not seed").join(good, "value").where("kind in (-1, as_kind)").groupBy("uid").agg(F.collect_set(F.struct("score", one.alias("o"))).alias("all"))
     # Of overlapping candidates (a number may be a card or a phone) the better score stays, then the longer, the first and the lesser kind.
     rank = lambda y: F.struct(-y["score"], y["o"]["start"] - y["o"]["end"], y["o"]["start"], y["o"]["kind"])
     beaten = lambda x: F.exists("all", lambda y: (y["o"]["start"] < x["o"]["end"]) & (x["o"]["start"] < y["o"]["end"]) & (rank(y) < rank(x)))
     new = new.select("uid", F.array_sort(F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: x["o"])).alias("new"))
-    shaped = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"), x["seed"].alias("seed")))
-    merged = F.array_sort(F.concat(shaped(F.col("base")), F.coalesce(F.col("new"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,right:string,seed:boolean>>"))))
+    by_start = F.transform("base", lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+    merged = F.array_sort(F.concat(by_start, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,left2:string,right:string,seed:boolean>>"))))
     return d.join(new, "uid", "left").select("doc_id", "text_hash", "base", merged.alias("spans"))
 
 

@@ -192,6 +192,25 @@ def test_op3_patterns_weigh_all_instances_and_learn_from_found_ones(spark):
     assert all(found[x] for x in texts if not x.endswith(" then"))
 
 
+def test_op3_patterns_find_words_of_no_known_shape(spark):
+    from locusframe.llm.pii import op3_personal_data
+
+    # "ring me" is confident, "ring" alone and "the" are not: they stand before other words as well.
+    texts = [f"ring me +1 (743) 555-{k:04d}" for k in range(60)] + [f"ring the bell {k}" for k in range(60)] + [f"the +1 (743) 556-{k:04d} line" for k in range(12)] + ["the house of the men"] * 30
+    texts += [f"ring me SIP/{k:03d}-Qx asap" for k in range(4)] + ["zzz K-99812-P. asap", "the 45000 men", "ring 77312-A", "ring me tomorrow", "ring me a3"]
+    texts += [f"peer 10.0.0.{k} up" for k in range(20)] + ["peer host-7-eu.local, up", "write 12-Q4x7 up"]
+    got = {r.doc_id: r for r in op3_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {x: got[k].spans for k, x in enumerate(texts)}
+    assert [found[f"ring me SIP/{k:03d}-Qx asap"] for k in range(4)] == ["phone:8:18"] * 4
+    assert found["zzz K-99812-P. asap"] == ""  # five places of "asap": four found ones do not reach 0.9
+    assert found["peer host-7-eu.local, up"] == "ip:5:20"
+    assert not [x for x in ("the 45000 men", "ring 77312-A", "ring me tomorrow", "ring me a3", "ring the bell 7") if found[x]]
+    more = texts + [f"ring me SIP/{k:03d}-Rx asap" for k in range(30)] + [f"ring me +1 (743) 557-{k:04d}" for k in range(560)]
+    got = {r.doc_id: r for r in op3_personal_data(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()}
+    assert got[texts.index("zzz K-99812-P. asap")].spans == "phone:4:13"  # learnt from what the first round found
+    assert got[texts.index("zzz K-99812-P. asap")].n_phone == 1
+
+
 def test_op4_equals_the_library(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
