@@ -3,7 +3,7 @@
 Base patterns give the seeds: e-mail and IP addresses, payment cards, phone numbers. Looser shapes (a number with separators or
 plain, a card number whatever its check digit, a word with an @, a coloned address) give candidates of one kind; any other word
 of five characters or more with a digit is a candidate of whatever kind its context says. Each occurrence has three lexical
-patterns: the word before, the two words before, and the word after. Patterns and instances (kind, value) form a bipartite graph
+patterns: the word before, the two words before, and the word after, past marks at the value itself. Patterns and instances (kind, value) form a bipartite graph
 that Spark scores by turns: a pattern's confidence is the score it holds (its instances' scores, each as often as it occurs there)
 over all places where the pattern's words stand in the corpus, damped when few seeds or accepted candidates support it; a
 candidate's score is the noisy-or of its best pattern before and its pattern after, 0 without a confident one. Candidates that
@@ -58,7 +58,8 @@ NEEDED = {
     ("free", False): "[0-9]",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-SPACED = r"[\x20\x09-\x0D]"
+SPACED, MARKS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+OTHER = r"[^\x20\x09-\x0D\p{L}0-9]"  # neither space, letter nor digit
 OCCURRENCE = "struct<kind:int,start:int,end:int,value:string,left:string,left2:string,right:string,seed:boolean>"
 
 
@@ -93,9 +94,10 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["v"]), F.lit(0))
         before = F.rtrim(F.translate(x["p"], "\t\n\x0b\x0c\r", "     "))
+        before = F.rtrim(F.regexp_replace(before, rf"(?<!{MARKS}){OTHER}++$", ""))  # a bracket or quote before the value is no word
         left = F.substring_index(before, " ", -1)  # whole words, however long
         second = F.substring_index(F.rtrim(F.substring(before, F.lit(1), F.length(before) - F.length(left))), " ", -1)
-        right = F.lower(F.regexp_extract(x["q"], rf"^{SPACED}*+([^\x20\x09-\x0D]++)", 1))
+        right = F.lower(F.regexp_extract(x["q"], rf"^{OTHER}*+{SPACED}*+({MARKS}++)", 1))
         one = F.struct(F.lit(KINDS.index(kind) if kind in KINDS else -1).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), F.lower(left).alias("left"),
                        F.when(second != "", F.lower(F.concat(second, F.lit(" "), left))).otherwise("").alias("left2"), F.coalesce(right, F.lit("")).alias("right"), F.lit(seed).alias("seed"))
         keep = x["v"].isNotNull() & checked(x["v"])
