@@ -67,7 +67,26 @@ def op10_exact_topk(spark, sf_dir):
     return topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op7_suffix_dedup, op8_html_text, op9_quality_model, op10_exact_topk)}
+def op11_dialogue_repair(spark, sf_dir):
+    from locusframe.llm.dialogue import op11_dialogue_repair as run
+
+    return run(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark, sf_dir):
+    from locusframe.llm.whitening import op12_whitening as run
+
+    return run(table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark, sf_dir):
+    from locusframe.llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data, op4_bpe_codec, op5_mix_to_targets, op6_quality_rules, op7_suffix_dedup, op8_html_text, op9_quality_model, op10_exact_topk,
+                                op11_dialogue_repair, op12_whitening, op13_near_vectors)}
 
 ORACLE_SQL = {
     "op10_exact_topk": """
