@@ -276,6 +276,35 @@ def test_op5_sample_meets_all_marginals(spark, docs, none):
     assert op5_mix_to_targets(none).count() == 0
 
 
+def test_op5_equals_plain_raking_in_every_layout(spark, docs):
+    from locusframe.llm.mixing import DIMENSIONS, calibrated, op5_mix_to_targets, with_cells
+
+    cells = calibrated(with_cells(docs)).toPandas()
+    have = cells.tokens.to_numpy(float)
+    of = {d: cells[d].to_numpy() for d in DIMENSIONS}
+    share, rate = {}, 0.5
+    for d in DIMENSIONS:
+        sums = {v: have[of[d] == v].sum() for v in set(of[d])}
+        whole = sum(x**0.7 for x in sums.values())
+        share[d] = {v: x**0.7 / whole for v, x in sums.items()}
+        rate = min(rate, min(sums[v] / share[d][v] for v in sums) / have.sum())
+    w = have * rate
+    for i in range(60):
+        for d in DIMENSIONS:
+            now = {v: w[of[d] == v].sum() for v in share[d]}
+            w = np.minimum(have, [x * share[d][v] * rate * have.sum() / now[v] if now[v] else 0 for x, v in zip(w, of[d], strict=True)])
+        miss = max(abs(w[of[d] == v].sum() - s * rate * have.sum()) for d in DIMENSIONS for v, s in share[d].items())
+        if (i + 1) % 4 == 0 and miss <= 0.002 * rate * have.sum():
+            break
+    assert np.allclose(cells.weight, w, rtol=1e-9) and np.allclose(cells.keep, w / have, atol=1e-9)
+    # The same table in other partitions, with rows without an id, each drawn on its own.
+    more = docs.unionByName(spark.createDataFrame([(None, f"no id {k} of a few", "en", "s", 0, "x", 1, 1) for k in range(40)], SCHEMA))
+    key = lambda r: [(x is None, str(x)) for x in r]
+    seen = [sorted(map(tuple, op5_mix_to_targets(more.repartition(n, "text")).collect()), key=key) for n in (1, 7, 64)]
+    assert seen[0] == seen[1] == seen[2]
+    assert len({r[-1] for r in seen[0] if r[0] is None}) == 2
+
+
 def test_op6_counts_and_verdict(spark, docs, rows, none):
     from locusframe.llm.quality_rules import op6_quality_rules
 
