@@ -6,7 +6,8 @@ Distances are angles, a metric. A pair with cosine of at least `cosine` lies wit
 2. A cell (at first: a label) with more than `cell_rows` home vectors is cut by pivots: every vector is at home with its nearest pivot,
    and also a guest of each cell that its ball of radius r can reach. By the triangle inequality that needs an angle to the pivot of
    at most the own pivot's plus 2r; and the ball must reach across the two pivots' bisecting plane, which is tighter. So a vector's
-   partners are all among the members of its home cell. Cells still too full are cut once more.
+   partners are all among the members of its home cell. Cells still too full are cut once more, if that spares half their comparisons
+   (measured on the sample: where vectors have no near ones, balls reach most cells, and further cuts only copy).
 3. Every home vector meets the members of its cell, in blocks of at most `block` rows a side: its links are counted there and nowhere
    else, so no pair is counted twice. Pairs are never written: a task returns a count a vector, and the links that join components.
 4. In a cell too full for one block, members within r/2 of the pivot are linked with one another by the triangle inequality alone: a
@@ -54,7 +55,7 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _prepared(dtype: str):
-    """vec_id, label, the class key (null for vectors that link with nothing) and the entries as bytes."""
+    """vec_id, label, the class hash (null for vectors that link with nothing) and the entries as bytes."""
 
     def run(batches):
         for b in batches:
@@ -68,7 +69,7 @@ def _prepared(dtype: str):
                 v = v + 0.0  # -0.0 equals 0.0
                 raw.append(v.astype(dtype).tobytes())
                 keys.append(xxhash.xxh3_128_digest(f"{label}\0{len(v)}\0".encode() + v.tobytes()))
-            yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "label": b["label"], "key": keys, "dim": [None if r is None else len(r) // int(dtype[2]) for r in raw], "v": raw}).astype({"dim": "Int64"})
+            yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "label": b["label"], "hash": keys, "dim": [None if r is None else len(r) // int(dtype[2]) for r in raw], "v": raw}).astype({"dim": "Int64"})
 
     return run
 
@@ -99,14 +100,27 @@ def memberships(u: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray
     return home, reach, np.arccos(cos) <= r / 2 - 1e-7
 
 
-def _cut(r: float, dtype: str, cell_rows: int, most: int):
-    def run(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+def _pivots(r: float, dtype: str, cell_rows: int, most: int):
+    """The pivots of a cell, and which share of its comparisons would remain after the cut (by its sample)."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        s = unit(_rows(sample["v"], dtype))
+        p = pick_pivots(s, max(2, min(most, 2 * -(-int(sample["homes"].iloc[0]) // cell_rows))), r)
+        home, reach, _ = memberships(s, p, r)
+        left = (np.bincount(home, minlength=len(p)) * reach.sum(0)).sum() / len(s) ** 2
+        return pd.DataFrame({"of": sample["cell"].iloc[:1], "slices": sample["slices"].iloc[:1], "pivots": [p.tobytes()], "left": left})
+
+    return run
+
+
+def _cut(r: float, dtype: str):
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         columns = ["cell", "key", "w", "home", "core", "v"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
-        s = unit(_rows(sample["sample"].iloc[0], dtype))
-        p = pick_pivots(s, max(2, min(most, 2 * -(-int(sample["homes"].iloc[0]) // cell_rows))), r)
-        home, reach, core = memberships(unit(_rows(rows["v"], dtype)), p, r)
+        v = _rows(rows["v"], dtype)
+        p = np.frombuffer(pivots["pivots"].iloc[0]).reshape(-1, v.shape[1])
+        home, reach, core = memberships(unit(v), p, r)
         at, cell = np.nonzero(reach)
         d = rows.iloc[at]
         return pd.DataFrame({"cell": d["cell"].to_numpy() + np.array([f"/{c}" for c in cell], object), "key": d["key"].to_numpy(), "w": d["w"].to_numpy(), "home": d["home"].to_numpy() & (cell == home[at]), "core": core[at, cell], "v": d["v"].to_numpy()})[columns]
@@ -153,18 +167,19 @@ def range_join(classes: DataFrame, cosine: float, dtype: str, cell_rows: int, bl
     r = math.acos(cosine)
     cells = written(classes.select(F.concat_ws("\0", "label", "dim").alias("cell"), "key", "w", F.lit(True).alias("home"), F.lit(False).alias("core"), "v"), "vector-cells")
     ready = []
-    for _ in range(levels):
-        full = cells.where("home").groupBy("cell").agg(F.count("*").alias("homes")).where(F.col("homes") > cell_rows)
-        sizes = cells.join(full, "cell").groupBy("cell").agg(F.max("homes").alias("homes"), F.ceil(F.count("*") / block).alias("slices"))
-        sizes = written(sizes, "full-cells")
-        if sizes.isEmpty():
+    for level in range(levels):
+        full = cells.groupBy("cell").agg(F.count_if("home").alias("homes"), F.ceil(F.count("*") / block).alias("slices")).where(F.col("homes") > cell_rows)
+        full = written(full, "full-cells")
+        if full.isEmpty():
             break
         order = Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key")
-        drawn = cells.where("home").join(sizes.select("cell"), "cell", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
-        drawn = drawn.groupBy("cell").agg(F.sort_array(F.collect_list("v")).alias("sample")).join(sizes, "cell").select(F.col("cell").alias("of"), "sample", "homes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("part"))
-        busy = cells.join(sizes.select("cell", "slices"), "cell").withColumn("slice", F.pmod(F.xxhash64("key", F.lit(3)), F.col("slices")))
-        cut = busy.groupBy("cell", "slice").cogroup(drawn.groupBy("of", "part")).applyInPandas(_cut(r, dtype, cell_rows, pivots), MEMBER)
-        ready.append(cells.join(sizes.select("cell"), "cell", "left_anti"))
+        drawn = cells.where("home").join(full, "cell").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+        chosen = drawn.groupBy("cell").applyInPandas(_pivots(r, dtype, cell_rows, pivots), "of string, slices bigint, pivots binary, left double")
+        chosen = written(chosen.where(F.col("left") <= (0.5 if level else 1.0)), "pivots")
+        busy = cells.join(chosen.select(F.col("of").alias("cell"), "slices"), "cell").withColumn("slice", F.pmod(F.xxhash64("key", F.lit(3)), F.col("slices")))
+        parts = chosen.select("of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("part"), "pivots")
+        cut = busy.groupBy("cell", "slice").cogroup(parts.groupBy("of", "part")).applyInPandas(_cut(r, dtype), MEMBER)
+        ready.append(cells.join(chosen.select(F.col("of").alias("cell")), "cell", "left_anti"))
         cells = written(cut, "vector-cells")
     for c in ready:
         cells = cells.unionByName(c)
@@ -190,14 +205,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 1024
     """vec_id, n_links, component_id, kept, label, one row a vector. cell_rows: homes of a cell that is not cut; block: rows of a side that meet in one task."""
     dtype = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     d = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.col("label").cast("string").alias("label"))
-    d = written(d.mapInPandas(_prepared(dtype), "vec_id bigint, label string, key binary, dim bigint, v binary"), "vectors")
-    classes = d.where("key is not null").groupBy("label", "dim", "key").agg(F.count("*").alias("w"), F.min("vec_id").alias("rep"), F.max("v").alias("v"))
-    classes = written(classes, "vector-classes")
+    d = written(d.mapInPandas(_prepared(dtype), "vec_id bigint, label string, hash binary, dim bigint, v binary"), "vectors")
+    classes = d.where("hash is not null").groupBy("label", "dim", "hash").agg(F.count("*").alias("w"), F.min("vec_id").alias("rep"), F.max("v").alias("v"))
+    # A class is named by its smallest id, as eight bytes that sort like it, and its hash: the smallest name of a component tells its smallest id.
+    sign = -(1 << 63)
+    name = F.concat(F.unhex(F.lpad(F.hex(F.col("rep").bitwiseXOR(F.lit(sign))), 16, "0")), F.col("hash"))
+    classes = written(classes.withColumn("key", name), "vector-classes")
     counts, edges = range_join(classes, cosine, dtype, cell_rows, block, levels, sample, pivots)
     comp = components(edges).withColumnRenamed("id", "key")
-    of = classes.select("key", "w", "rep").join(comp, "key", "left").withColumn("root", F.coalesce("component", "key"))
-    least = of.groupBy("root").agg(F.min("rep").alias("least"))
-    of = of.join(least, "root").join(counts, "key", "left").select("key", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), "least")
-    out = d.select("vec_id", "label", "key").join(of, "key", "left")
+    of = classes.select("key", "hash", "w").join(comp, "key", "left").join(counts, "key", "left")
+    head = F.conv(F.hex(F.substring(F.coalesce("component", "key"), 1, 8)), 16, 10).cast("decimal(20,0)")
+    of = of.select("hash", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), (head + F.lit(sign)).cast("bigint").alias("least"))
+    out = d.select("vec_id", "label", "hash").join(of, "hash", "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), "label")

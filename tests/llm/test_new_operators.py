@@ -304,7 +304,7 @@ def linked(df):
 def test_op13_equals_all_pairs(spark, shape):
     from locusframe.llm.vector_dedup import near_vectors
 
-    odd = [(None, [1.0] * 12, 1), (8001, None, 1), (8002, [], 1), (8003, [0.0] * 12, 1), (8004, [math.nan] * 12, 1), (8005, [1.0] * 12, None), (8006, [1.0] * 12, 1), (8006, [2.0] * 12, 1), (8007, [1.0] * 3, 1), (8008, [1e30] * 12, 1), (8009, [1e-30] * 12, 1), (8010, [None] * 12, 1)]
+    odd = [(None, [1.0] * 12, 1), (8001, None, 1), (8002, [], 1), (8003, [0.0] * 12, 1), (8004, [math.nan] * 12, 1), (8005, [1.0] * 12, None), (8006, [1.0] * 12, 1), (8006, [2.0] * 12, 1), (8007, [1.0] * 3, 1), (8008, [1e30] * 12, 1), (8009, [1e-30] * 12, 1), (8010, [None] * 12, 1), (-5, [1.0] * 12, 1)]
     rows = clustered(7, 90) + odd
     d = spark.createDataFrame([(*r, 1, "x") for r in rows], VEC)
     assert linked(near_vectors(d, **shape)) == brute_links(rows)
