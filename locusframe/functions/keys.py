@@ -57,6 +57,11 @@ def reject_reason(chrom: Column, pos: Column, ref: Column, alt: Column) -> Colum
         .when(~clean(ref).rlike("^[ACGT]+$") | ~clean(alt).rlike("^[ACGT]+$"), "allele").when(clean(ref) == clean(alt), "same_allele"))
 
 
+def reject_counts(df: DataFrame, c: Column, pos: Column, ref: Column, alt: Column) -> DataFrame:
+    """How many variants each reason rejects, and how many are `ok`."""
+    return df.groupBy(F.coalesce(reject_reason(c, pos, ref, alt), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def recalibrate(p: Column, prior: float = 1.8 / 14716) -> Column:
     """P10: shift the logit of p from an even prior to `prior`; missing p is the prior."""
     odds = p / (1 - p) * (prior / (1 - prior))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusframe.functions.keys import neglog10p
-
 ALLELES = ["chr", "pos", "ref", "alt"]
 
 
@@ -108,10 +106,10 @@ def ems_reweight(df: DataFrame, keys: list[str], factor: str, missing: float, pu
     return df.withColumn("alpha", F.when(pure, F.col("_af") / F.sum("_af").over(w) * F.sum("alpha").over(w)).otherwise(F.col("alpha"))).drop("_af")
 
 
-def set_table(members: DataFrame) -> DataFrame:
+def set_table(members: DataFrame, keys: list[str] = ["gene_id", "cell", "effect"]) -> DataFrame:  # noqa: B006
     """Per credible set its size, top and summed pip, top variant."""
     top = F.max_by("variant_key", F.struct("alpha", (-F.col("variant_key")).alias("k")))
-    return members.groupBy("gene_id", "cell", "effect").agg(F.count("*").alias("size"), F.max("alpha").alias("top_pip"), F.sum("alpha").alias("sum_pip"), top.alias("top_variant"))
+    return members.groupBy(*keys).agg(F.count("*").alias("size"), F.max("alpha").alias("top_pip"), F.sum("alpha").alias("sum_pip"), top.alias("top_variant"))
 
 
 def gene_table(fits: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,11 +176,11 @@ def match_sets(ref: DataFrame, comp: DataFrame) -> DataFrame:
     return j.withColumns({"r1": r1, "r2": r2}).where("r1 = 1 and r2 = 1").select("gene_id", "ref_cs", "comp_cs", "shared", "jaccard")
 
 
-def coloc_pp(a: DataFrame, b: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 5e-6, least: int = 10) -> DataFrame:
-    """Posterior of H0..H4 per gene and pair of effects over shared variants, and each side's lead variant. Columns: gene_id, effect, variant_key, lbf."""
-    j = a.select("gene_id", F.col("effect").alias("effect1"), "variant_key", F.col("lbf").alias("l1")).join(
-        b.select("gene_id", F.col("effect").alias("effect2"), "variant_key", F.col("lbf").alias("l2")), ["gene_id", "variant_key"])
-    keys = ["gene_id", "effect1", "effect2"]
+def coloc_pp(a: DataFrame, b: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 5e-6, least: int = 10, scope: list[str] = ["gene_id"]) -> DataFrame:  # noqa: B006
+    """Posterior of H0..H4 per scope (a gene) and pair of effects over shared variants, and each side's lead variant. Columns: scope, effect, variant_key, lbf."""
+    j = a.select(*scope, F.col("effect").alias("effect1"), "variant_key", F.col("lbf").alias("l1")).join(
+        b.select(*scope, F.col("effect").alias("effect2"), "variant_key", F.col("lbf").alias("l2")), [*scope, "variant_key"])
+    keys = [*scope, "effect1", "effect2"]
     hit = lambda x: F.min_by("variant_key", F.struct(-F.col(x), "variant_key"))
     m = j.groupBy(*keys).agg(F.max("l1").alias("m1"), F.max("l2").alias("m2"), F.max(F.col("l1") + F.col("l2")).alias("m12"), F.count("*").alias("nsnps"), hit("l1").alias("hit1"), hit("l2").alias("hit2"))
     m = m.where(F.col("nsnps") >= least)
@@ -213,87 +211,34 @@ def average_precision(df: DataFrame, keys: list[str], label: str, score: str, we
     return steps.groupBy(*keys).agg(F.when((F.sum("tp") > 0) & (F.sum("tp") < F.sum("n")), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.sum("tp")).alias("ap"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos"))
 
 
-def typed_variants(geno: DataFrame, maf: float = 0.001, mac: int = 10, missing: float = 0.1) -> DataFrame:
-    """Variants that pass the checks on minor allele frequency, minor allele count and share of samples without a dosage (of all samples of the table)."""
-    n = geno.agg(F.countDistinct("sample_id")).scalar()
-    g = geno.where("dosage is not null").groupBy("variant_key").agg(F.count("*").alias("_n"), F.sum("dosage").alias("_s"))
-    minor = F.least(F.col("_s"), 2 * F.col("_n") - F.col("_s"))
-    return g.where((minor / (2 * F.col("_n")) >= maf) & (minor >= mac) & (1 - F.col("_n") / n <= missing)).select("variant_key")
-
-
-def single_phenotype(expr: DataFrame) -> DataFrame:
-    """One row per gene and sample (cell); equal duplicates collapse, differing ones stop the job where they are met."""
-    differ = F.raise_error(F.lit("co-located phenotypes differ")).cast("double")
-    return expr.groupBy("gene_id", "sample_id").agg(F.min("y").alias("_a"), F.max("y").alias("_b")).select("gene_id", "sample_id", F.when(F.abs(F.col("_a") - F.col("_b")) > 1.5e-8 * F.abs("_a"), differ).otherwise(F.col("_a")).alias("y"))
-
-
-def marginal_regression(geno: DataFrame, expr: DataFrame, pairs: DataFrame, **checks) -> DataFrame:
-    """Slope, standard error, z and -log10 p of expression on dosage for each pair (gene_id, variant_key) of typed variants.
-
-    geno: sample_id, variant_key, dosage; expr: gene_id, sample_id, y. Pairs of fewer than 3 samples or without spread have no row.
-    """
-    good = geno.join(typed_variants(geno, **checks), "variant_key", "left_semi").where("dosage is not null")
-    j = pairs.select("gene_id", "variant_key").distinct().join(good, "variant_key").join(single_phenotype(expr), ["gene_id", "sample_id"])
-    x, y = "CAST(dosage AS DOUBLE)", "y"
-    s = j.groupBy("gene_id", "variant_key").agg(F.expr(f"regr_slope({y}, {x})").alias("slope"), F.expr(f"regr_sxx({y}, {x})").alias("sxx"), F.expr(f"regr_syy({y}, {x})").alias("syy"), F.count("*").alias("n"))
-    s = s.where("sxx > 0 and n > 2").withColumn("se", F.sqrt(F.greatest(F.col("syy") - F.col("slope") ** 2 * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx")))
-    s = s.withColumn("z", F.try_divide("slope", "se"))
-    return s.select("gene_id", "variant_key", "slope", "se", "z", neglog10p(F.col("z")).alias("neglog10p"), "n")
-
-
-def ld_pairs(geno: DataFrame, w: int, least: float = 0.001) -> DataFrame:
-    """Correlation of variants at most w apart (keys as positions), r2 of at least `least`; undefined is 0.
-
-    A variant is one row with its dosages in the order of the cohort's samples (null where missing), so pairs, not pairs times
-    samples, are what the join makes; it meets the variants of its own bin and the next, so no pair is formed twice.
-    """
-    samples = geno.agg(F.sort_array(F.collect_set("sample_id"))).scalar()
-    one = geno.groupBy("variant_key").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("dosage").cast("float")))).alias("_m")).withColumn("_all", samples)
-    one = one.select("variant_key", F.transform("_all", lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(float("nan")))).alias("d"))
-    cell = F.floor(F.col("variant_key") / w)
-    a = one.select(F.col("variant_key").alias("key1"), F.col("d").alias("d1"), cell.alias("_bin"))
-    b = one.select(F.col("variant_key").alias("key2"), F.col("d").alias("d2"), F.explode(F.array(cell, cell - 1)).alias("_bin"))
-    j = a.join(b, "_bin").where((F.col("key1") < F.col("key2")) & (F.col("key2") - F.col("key1") <= w)).select("key1", "key2", "d1", "d2")
-    schema = ", ".join(f"{c} {j.schema[c].dataType.simpleString()}" for c in ("key1", "key2")) + ", r double"
-    return j.mapInPandas(_correlations, schema).where(F.col("r") ** 2 >= least)
-
-
-def _correlations(batches):
-    """Correlation of the two dosage arrays of each row over samples typed in both; 0 where it is undefined."""
-    for rows in batches:
-        for k in range(0, len(rows), 2000):
-            some = rows.iloc[k : k + 2000]
-            x, y = (np.array(some[c].tolist(), float) for c in ("d1", "d2"))
-            both = ~(np.isnan(x) | np.isnan(y))
-            x, y, n = np.where(both, x, 0), np.where(both, y, 0), both.sum(1)
-            vx, vy = n * (x * x).sum(1) - x.sum(1) ** 2, n * (y * y).sum(1) - y.sum(1) ** 2
-            r = np.divide(n * (x * y).sum(1) - x.sum(1) * y.sum(1), np.sqrt(vx * vy), out=np.zeros(len(some)), where=(vx > 0) & (vy > 0))
-            yield some[["key1", "key2"]].assign(r=r)
-
-
-def ld_scores(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Per variant and annotation the sum of r2 over annotated neighbours (itself included). annotations: key, annotation."""
-    both = pairs.select("key1", F.col("key2").alias("key"), "r").union(pairs.select("key2", "key1", "r"))
-    own = annotations.select(F.col("key").alias("key1"), "key", F.lit(1.0).alias("r")).distinct()
-    return both.union(own).join(annotations, "key").groupBy("key1", "annotation").agg(F.sum(F.col("r") ** 2).alias("ld_score"))
-
-
-def top_n(df: DataFrame, ranking: list[str], score: str, key: list[str], n: int) -> DataFrame:
-    """K1: the n best rows of each ranking; ties by key."""
+def top_n(df: DataFrame, ranking: list[str], score: str, key: list[str], n: int, baseline: DataFrame | None = None) -> DataFrame:
+    """K1: the n best rows of each ranking among the keys of the baseline (all, if none is given); ties by key."""
+    if baseline is not None:
+        df = df.join(baseline.select(*key), key, "left_semi")
     r = F.row_number().over(Window.partitionBy(*ranking).orderBy(F.desc(score), *key))
     return df.withColumn("rank", r).where(F.col("rank") <= n)
 
 
-def sample_negatives(pos: DataFrame, neg: DataFrame, strata: list[str], order: list[Column], per: int = 10) -> DataFrame:
+def hashed_slot(strata: list[str]) -> Callable[[Column, Column], Column]:
+    """The default draw of sample_negatives: a hash of the stratum and the draw's number."""
+    return lambda i, n: F.pmod(F.xxhash64(*strata, i, F.lit(42)), n)
+
+
+def sample_negatives(pos: DataFrame, neg: DataFrame, strata: list[str], order: list[Column], per: int = 10, slot: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """K3: per stratum n_pos * per negatives, in an order that is fixed by the rows' keys.
 
-    A stratum with fewer draws with replacement: draw i takes row (7919 i + 13) mod n of that order, and rows drawn twice count once.
+    A stratum with fewer draws with replacement: draw i (from 1) takes the row at slot(i, n) of that order, a pseudo-random place
+    from 0 to n-1, and rows drawn twice count once, so of n rows about n (1 - exp(-draws / n)) stay. The draws are a table
+    of their own, one row a draw, joined by stratum and place.
     """
+    slot = slot or hashed_slot(strata)
     need = pos.groupBy(*strata).agg((F.count("*") * per).alias("_need"))
-    w = Window.partitionBy(*strata)
-    ranked = neg.join(need, strata).withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    drawn = F.exists(F.sequence(F.lit(1).cast("bigint"), F.col("_need")), lambda i: (i * 7919 + 13) % F.col("_n") == F.col("_r") - 1)
-    return ranked.where(F.when(F.col("_n") >= F.col("_need"), F.col("_r") <= F.col("_need")).otherwise(drawn)).drop("_r", "_n", "_need")
+    have = neg.groupBy(*strata).agg(F.count("*").alias("_n")).join(need, strata)
+    draws = have.where("_n < _need").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_need"))))
+    draws = draws.select(*strata, (slot(F.col("_i"), F.col("_n")) + 1).alias("_r"), F.lit(True).alias("_drawn")).distinct()
+    ranked = neg.join(have, strata).withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+    taken = ranked.join(draws, [*strata, "_r"], "left").where(F.when(F.col("_n") >= F.col("_need"), F.col("_r") <= F.col("_need")).otherwise(F.col("_drawn")))
+    return taken.select(*neg.columns)
 
 
 def threshold_sweep(df: DataFrame, score: str, cuts: list[float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def gene_feature_table(fits: DataFrame, order: list[Column], intervals: DataFram
     return v
 
 
-def training_set(positives: DataFrame, candidates: DataFrame, order: list[Column], per: int = 10, features: DataFrame | None = None) -> DataFrame:
+def training_set(positives: DataFrame, candidates: DataFrame, order: list[Column], per: int = 10, features: DataFrame | None = None, slot: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """M3: positives (label 1) and, per gene and variant type, `per` times as many of the candidates (label 0), in a fixed order.
 
     features (gene_id, alleles and columns): only rows with features take part, and they carry them. A positive of several rows is one.
@@ -56,7 +58,7 @@ def training_set(positives: DataFrame, candidates: DataFrame, order: list[Column
     p, n = (variant_type(d).drop("type_del", "type_snv", "type_ins") for d in (positives, candidates))
     if features is not None:
         p, n = (d.join(features.select(*key), key, "left_semi") for d in (p, n))
-    neg = sample_negatives(p, n, ["gene_id", "variant_type"], order, per)
+    neg = sample_negatives(p, n, ["gene_id", "variant_type"], order, per, slot)
     both = p.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
     return both if features is None else both.join(features, key)
 

@@ -47,17 +47,32 @@ def clpp_counts(genes: DataFrame, eqtl_priors: list[str], cut: float = 0.1) -> D
     return genes.groupBy("gwas_prior").agg(*n)
 
 
+#: What a colocalization carries of its credible set.
+SET_METRICS = {"size": "cs_size", "cs_rank": "cs_rank", "coverage": "cs_coverage", "purity": "cs_min_abs_corr", "lbf": "cs_lbf", "top_pip": "cs_top_pip", "top_variant": "cs_top_variant_id"}
+
+
 def coloc_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Colocalization pairs with the metrics of their first credible set, the parts of both hits (chr:pos:a1:a2) and whether these are one variant.
 
-    A pair without a set stays, marked unmatched. sets is made one row per (gene_id, effect), so the join cannot multiply pairs.
+    A pair without a set stays, marked unmatched. sets: gene_id, effect and those of SET_METRICS that the caller has. Two rows of one
+    set stop the job where they are met, since the join would multiply pairs; so does a hit without a position.
     """
-    s = sets.groupBy("gene_id", F.col("effect").alias("effect1")).agg(F.min("size").alias("cs_size"), F.min("top_pip").alias("cs_top_pip"))
+    have = {c: n for c, n in SET_METRICS.items() if c in sets.columns}
+    twice = F.raise_error(F.concat(F.lit("two rows of credible set "), F.col("effect1").cast("string"), F.lit(" of "), F.col("gene_id"))).cast("int")
+    s = sets.groupBy("gene_id", F.col("effect").alias("effect1")).agg(F.count("*").alias("_n"), F.first(F.struct(*have)).alias("_s"))
+    s = s.where(F.when(F.col("_n") == 1, 1).otherwise(twice) == 1).select("gene_id", "effect1", *[F.col(f"_s.{c}").alias(n) for c, n in have.items()], F.lit(True).alias("_matched"))
     d = pairs.join(s, ["gene_id", "effect1"], "left")
     part = lambda h, i: F.get(F.split(h, ":"), F.lit(i))
     for h in ("hit1", "hit2"):
-        d = d.withColumns({f"{h}_chr": F.regexp_replace(part(h, 0), "^chr", "").try_cast("int"), f"{h}_pos": part(h, 1).try_cast("bigint"), f"{h}_a1": part(h, 2), f"{h}_a2": part(h, 3)})
-    return d.withColumns({"same_hit": F.col("hit1") == F.col("hit2"), "unmatched": F.col("cs_size").isNull()})
+        pos = part(h, 1).try_cast("bigint")
+        lost = F.raise_error(F.concat(F.lit("no position in "), F.coalesce(h, F.lit("null")))).cast("bigint")
+        d = d.withColumns({f"{h}_chr": F.regexp_replace(part(h, 0), "^chr", "").try_cast("int"), f"{h}_pos": F.coalesce(pos, lost), f"{h}_a1": part(h, 2), f"{h}_a2": part(h, 3)})
+    return d.withColumns({"same_hit": F.col("hit1") == F.col("hit2"), "unmatched": F.col("_matched").isNull()}).drop("_matched")
+
+
+def unmatched_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs, and those without a set, which the caller may warn of."""
+    return rows.agg(F.count("*").alias("n_pairs"), F.count_if("unmatched").alias("n_unmatched"))
 
 
 def gwas_at_keys(gwas: DataFrame) -> DataFrame:

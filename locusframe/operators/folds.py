@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Published settings of the trees.
 PUBLISHED = {"maxDepth": 5, "maxIter": 1000, "stepSize": 0.03, "minInstancesPerNode": 10, "seed": 9448}
 
 
@@ -19,10 +23,60 @@ def assembled(df: DataFrame, features: list[str], nullable: str | None = None) -
     return VectorAssembler(inputCols=list(clean), outputCol="x").transform(df.withColumns(clean)).drop(*clean)
 
 
-def train_folds(df: DataFrame, fold: str, folds: list, label: str, weight: str, **params) -> dict[object, GBTClassificationModel]:
-    """M6: per fold a model of the rows outside it. df has `x`; the list of folds (chromosomes) is given, so it does not grow with the data."""
+def train_folds(df: DataFrame, fold: str, folds: list, label: str, weight: str, at_once: int = 4, **params) -> dict[object, GBTClassificationModel]:
+    """M6: per fold a model of the rows outside it. df has `x`; the list of folds (chromosomes) is given, so it does not grow with the data.
+
+    The rows are kept once for all folds, and `at_once` folds are fitted side by side: a boosting round's many small jobs leave room on
+    a cluster, which the other folds fill. Each fold's model is that of a fit on its own.
+    """
     gbt = GBTClassifier(featuresCol="x", labelCol=label, weightCol=weight, **(PUBLISHED | params))
-    return {f: gbt.fit(df.where(F.col(fold) != f)) for f in folds}
+    kept = df.select(fold, "x", label, weight).persist()
+    try:
+        fit = inheritable_thread_target(df.sparkSession)(lambda f: gbt.fit(kept.where(F.col(fold) != f)))
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            return dict(zip(folds, pool.map(fit, folds), strict=True))
+    finally:
+        kept.unpersist()
+
+
+def node_table(df_session, models: dict[object, GBTClassificationModel]) -> DataFrame:
+    """M6: the trees of all folds as rows: fold, tree, weight, node, left, right (-1 for a leaf), feature, threshold, prediction. Rows whose feature is at most the threshold go left."""
+    rows = []
+
+    def walk(node, found: list) -> int:
+        at = len(found)
+        found.append(None)
+        if node.subtreeDepth() == 0:
+            found[at] = (at, -1, -1, -1, 0.0, float(node.prediction()))
+        else:
+            split = node.split()
+            left = walk(node.leftChild(), found)
+            found[at] = (at, left, walk(node.rightChild(), found), int(split.featureIndex()), float(split.threshold()), float(node.prediction()))
+        return at
+
+    for fold, model in models.items():
+        for t, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)):
+            found: list = []
+            walk(tree._call_java("rootNode"), found)
+            rows += [(fold, t, float(w), *n) for n in found]
+    kind = "int" if all(isinstance(f, int) for f in models) else "string"
+    return df_session.createDataFrame(rows, f"fold {kind}, tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double")
+
+
+def score_nodes(df: DataFrame, fold: str, nodes: DataFrame, keys: list[str], depth: int, name: str = "pred_prob") -> DataFrame:
+    """M7 without the models: rows go down the node table, one join a level, and their trees' weighted predictions make the probability.
+
+    keys tell rows apart. The node table is small (folds x trees x nodes); the join's own size check may broadcast it.
+    """
+    roots = nodes.where("node = 0").select(F.col("fold").alias("_fold"), "tree", "weight")
+    at = df.select(*keys, F.col(fold).alias("_fold"), vector_to_array("x").alias("_x")).join(roots, "_fold").withColumn("node", F.lit(0))
+    n = nodes.select(F.col("fold").alias("_fold"), "tree", "node", "left", "right", "feature", "threshold", "prediction")
+    for _ in range(depth):
+        at = at.join(n, ["_fold", "tree", "node"])
+        go = F.when(F.col("left") < 0, F.col("node")).when(F.get("_x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        at = at.withColumn("node", go).drop("left", "right", "feature", "threshold", "prediction")
+    sums = at.join(n.select("_fold", "tree", "node", "prediction"), ["_fold", "tree", "node"]).groupBy(*keys).agg(F.sum(F.col("weight") * F.col("prediction")).alias("_f"))
+    return sums.select(*keys, (1 / (1 + F.exp(-2 * F.col("_f")))).alias(name))
 
 
 def score_folds(df: DataFrame, fold: str, models: dict[object, GBTClassificationModel], keep: list[str], name: str = "pred_prob") -> DataFrame:

@@ -1,7 +1,9 @@
-"""Joins on alleles, on positions and on genes. Position joins explode intervals into bins, so every join is an equi-join."""
+"""Joins on alleles, on positions and on genes. Position joins put intervals into bins of their own size, so every join is an equi-join."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,15 +13,29 @@ from locusframe.functions.keys import canonical_key
 ALLELES = ["chr", "pos", "ref", "alt"]
 
 
+FAN = 8
+
+
+def bin_level(length: Column, width: int) -> Column:
+    """The lowest level whose bins, of width * FAN ** level, are at least as long as the interval."""
+    need = F.ceil(F.log(F.greatest(length.cast("double") / width, F.lit(1.0))) / math.log(FAN) - 1e-9)
+    return F.when(F.pow(F.lit(float(FAN)), need) * width >= length, need).otherwise(need + 1).cast("int")
+
+
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: Column, lo: Column, hi: Column, width: int) -> DataFrame:
-    """Points with lo <= at <= hi on equal keys. Intervals are copied to each bin of `width` that they touch: choose it near their length.
+    """Points with lo <= at <= hi on equal keys.
 
-    keys, and all columns used, must have one name on both sides only for the keys.
+    An interval lies in bins of its own level: `width` bases, or so many times FAN that it spans no more than two of them, whatever its
+    length. A point is looked up once on each level that occurs (one, where lengths are alike). keys, and all columns used, must have
+    one name on both sides only for the keys.
     """
-    bin_of = lambda c: F.floor(c / width).cast("bigint")
-    i = intervals.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
-    p = points.withColumn("_at", at).withColumn("_bin", bin_of(F.col("_at")))
-    return p.join(i, [*keys, "_bin"]).where("_at between _lo and _hi").drop("_bin", "_lo", "_hi", "_at")
+    size = lambda level: (F.lit(width) * F.pow(F.lit(FAN), level)).cast("bigint")
+    bin_of = lambda c, level: F.floor(c / size(level)).cast("bigint")
+    i = intervals.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_level", bin_level(F.col("_hi") - F.col("_lo") + 1, width))
+    levels = i.agg(F.sort_array(F.collect_set("_level"))).scalar()
+    i = i.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_lo"), F.col("_level")), bin_of(F.col("_hi"), F.col("_level"))))))
+    p = points.withColumn("_at", at).withColumn("_level", F.explode(levels)).withColumn("_bin", bin_of(F.col("_at"), F.col("_level")))
+    return p.join(i, [*keys, "_level", "_bin"]).where("_at between _lo and _hi").drop("_level", "_bin", "_lo", "_hi", "_at")
 
 
 def annotate_intervals(variants: DataFrame, intervals: DataFrame, width: int = 2000) -> DataFrame:
@@ -49,7 +65,7 @@ def pair_genes(variants: DataFrame, genes: DataFrame, w: int = 1_000_000) -> Dat
         given = asked.join(genes, ["gene_id", "chr"]).select(*ALLELES, "gene_id", "gene_tss")
         free = variants.select(*ALLELES).join(asked.select(*ALLELES), ALLELES, "left_anti")
         return given.unionByName(pair_genes(free, genes, w))
-    near = range_join(genes.select("gene_id", "chr", "gene_tss"), variants.select(*ALLELES).distinct(), ["chr"], F.col("gene_tss"), F.col("pos") - w, F.col("pos") + w, w)
+    near = range_join(variants.select(*ALLELES).distinct(), genes.select("gene_id", "chr", "gene_tss"), ["chr"], F.col("pos"), F.col("gene_tss") - w, F.col("gene_tss") + w, 2 * w + 1)
     return near.select(*ALLELES, "gene_id", "gene_tss").distinct()
 
 
@@ -60,14 +76,21 @@ def flag_keys(baseline: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 
 
 def match_panel(gwas: DataFrame, panel: DataFrame) -> DataFrame:
-    """GWAS on panel orientation: keep or flip z; one row per key, same orientation first, then position and z."""
+    """GWAS on panel orientation: keep or flip z; rows without z go; one row per key, same orientation first, then position and z."""
     key = canonical_key(F.col("chr"), F.col("pos"), F.col("ref"), F.col("alt"))
     p = panel.select(key.alias("key"), F.col("ref").alias("p_ref"), F.col("alt").alias("p_alt")).distinct()
-    j = gwas.withColumn("key", key).join(p, "key")
+    j = gwas.where("z is not null and not isnan(z)").withColumn("key", key).join(p, "key")
     keep = (F.col("ref") == F.col("p_ref")) & (F.col("alt") == F.col("p_alt"))
     j = j.withColumns({"orient": F.when(keep, "keep").otherwise("flip"), "z_panel": F.when(keep, F.col("z")).otherwise(-F.col("z"))})
     first = F.row_number().over(Window.partitionBy("key").orderBy((F.col("orient") != "keep").cast("int"), "pos", "z_panel", "n", "p_ref"))
-    return j.withColumn("_r", first).where("_r = 1").select("key", "orient", "z_panel", "n")
+    return j.withColumn("_r", first).where("_r = 1").select("key", "chr", "pos", "orient", "z_panel", "n")
+
+
+def enough_matched(matched: DataFrame, windows: DataFrame, least: int = 10) -> DataFrame:
+    """J12 by gene: the matched rows (chr, pos and others) in each gene's window (gene_id, chr, start_pos, end_pos, inclusive), of genes with at least `least` of them."""
+    near = range_join(matched, windows.select("gene_id", "chr", "start_pos", "end_pos"), ["chr"], F.col("pos"), F.col("start_pos"), F.col("end_pos"), 1_000_000)
+    whole = near.groupBy("gene_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return near.join(whole.select("gene_id"), "gene_id", "left_semi").drop("start_pos", "end_pos")
 
 
 def missing_outputs(expected: DataFrame, done: DataFrame, required: int) -> DataFrame:

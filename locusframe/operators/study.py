@@ -49,12 +49,12 @@ def match_summary(ref: DataFrame, comp: DataFrame, matched: DataFrame, keys: lis
                     (100.0 * F.col("n_matched") / F.col("n_ref")).alias("pct_ref_matched"), "median_jaccard", "pct_same_top")
 
 
-def crosscell_sets(rows: DataFrame, h4: float = 0.8) -> DataFrame:
+def crosscell_sets(rows: DataFrame, h4: float = 0.8, by: list[str] = ["cell"]) -> DataFrame:  # noqa: B006
     """Per focal credible set the cells it was tested against, the largest H4 and the cells that share it.
 
-    rows: gene_id, cell, idx, other_cell, h4, note (null for a test). A set without a partner counts as not shared.
+    rows: gene_id, idx, other_cell, h4, note (null for a test) and the columns of `by`. A set without a partner counts as not shared.
     """
-    key = ["gene_id", "cell", "idx"]
+    key = ["gene_id", *by, "idx"]
     tested = F.col("note").isNull()
     shares = F.array_join(F.sort_array(F.collect_set(F.when(tested & (F.col("h4") > h4), F.col("other_cell")))), ",")
     s = rows.groupBy(*key).agg(F.max((F.col("note") == "focal credible set").cast("int")).alias("_focal"), F.countDistinct(F.when(tested, F.col("other_cell"))).alias("n_other_tested"),
@@ -62,21 +62,21 @@ def crosscell_sets(rows: DataFrame, h4: float = 0.8) -> DataFrame:
     return s.where("_focal = 1").drop("_focal").withColumn("shared", F.coalesce((F.col("max_h4") > h4).cast("int"), F.lit(0)))
 
 
-def crosscell_genes(rows: DataFrame, h4: float = 0.8) -> DataFrame:
+def crosscell_genes(rows: DataFrame, h4: float = 0.8, by: list[str] = ["cell"]) -> DataFrame:  # noqa: B006
     """Per cell and gene with a credible set: sets, shared sets, the cells that share any of them, whether any is shared."""
-    s = crosscell_sets(rows, h4)
+    s = crosscell_sets(rows, h4, by)
     cells = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("shared_with") != "", F.split("shared_with", ",")).otherwise(F.array().cast("array<string>"))))))
-    g = s.groupBy("cell", "gene_id").agg(F.count("*").alias("n_cs"), F.sum("shared").alias("n_cs_shared"), F.array_join(cells, ",").alias("shared_with"))
+    g = s.groupBy(*by, "gene_id").agg(F.count("*").alias("n_cs"), F.sum("shared").alias("n_cs_shared"), F.array_join(cells, ",").alias("shared_with"))
     return g.withColumn("shared", (F.col("n_cs_shared") > 0).cast("int"))
 
 
-def crosscell_summary(rows: DataFrame, h4: float = 0.8) -> DataFrame:
-    """Per cell counts of credible sets and genes, shared and with a partner; genes fitted include those without a set."""
-    s = crosscell_sets(rows, h4)
-    gene = s.groupBy("cell", "gene_id").agg(F.count("*").alias("n"), F.sum("shared").alias("k"), F.count_if(F.col("n_other_tested") > 0).alias("p"))
-    summed = gene.groupBy("cell").agg(F.sum("n").alias("n_cs"), F.sum("k").alias("n_cs_shared"), F.sum("p").alias("n_cs_with_partner"), F.count("*").alias("n_egenes_with_cs"), F.count_if(F.col("k") > 0).alias("n_egenes_shared"))
-    fit = rows.where(F.col("note").isin("focal credible set", "no credible set")).groupBy("cell").agg(F.countDistinct("gene_id").alias("n_egenes_fit"))
-    return summed.join(fit, "cell", "left").withColumns({n: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 1) for n, a, b in (
+def crosscell_summary(rows: DataFrame, h4: float = 0.8, by: list[str] = ["cell"]) -> DataFrame:  # noqa: B006
+    """Per cell (or what `by` names) counts of credible sets and genes, shared and with a partner; genes fitted include those without a set."""
+    s = crosscell_sets(rows, h4, by)
+    gene = s.groupBy(*by, "gene_id").agg(F.count("*").alias("n"), F.sum("shared").alias("k"), F.count_if(F.col("n_other_tested") > 0).alias("p"))
+    summed = gene.groupBy(*by).agg(F.sum("n").alias("n_cs"), F.sum("k").alias("n_cs_shared"), F.sum("p").alias("n_cs_with_partner"), F.count("*").alias("n_egenes_with_cs"), F.count_if(F.col("k") > 0).alias("n_egenes_shared"))
+    fit = rows.where(F.col("note").isin("focal credible set", "no credible set")).groupBy(*by).agg(F.countDistinct("gene_id").alias("n_egenes_fit"))
+    return summed.join(fit, by, "left").withColumns({n: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 1) for n, a, b in (
         ("pct_cs_shared", "n_cs_shared", "n_cs"), ("pct_cs_shared_with_partner", "n_cs_shared", "n_cs_with_partner"), ("pct_egenes_shared", "n_egenes_shared", "n_egenes_with_cs"))})
 
 
@@ -132,13 +132,21 @@ def share_of_total(df: DataFrame, scope: list[str], value: str) -> DataFrame:
 
 
 def top_n_annotations(baseline: DataFrame, ranked: DataFrame, ranking: str, names: list[str], score: str, n: int) -> DataFrame:
-    """K2: one 0/1 column per ranking, for the n best keys of each."""
-    best = top_n(ranked, [ranking], score, ALLELES, n)
+    """K2: one 0/1 column per ranking, for the n best keys of the baseline in each."""
+    best = top_n(ranked, [ranking], score, ALLELES, n, baseline)
     flags = best.groupBy(*ALLELES).agg(*[F.max((F.col(ranking) == x).cast("int")).alias(f"top_{x}") for x in names])
     out = baseline.select(*ALLELES).distinct().join(flags, ALLELES, "left")
     return out.withColumns({f"top_{x}": F.coalesce(F.col(f"top_{x}"), F.lit(0)) for x in names})
 
 
+def short_rankings(baseline: DataFrame, ranked: DataFrame, ranking: str, names: list[str], n: int) -> DataFrame:
+    """K1: rankings (of `names`) with fewer than n keys of the baseline, and how many they have."""
+    have = ranked.select(ranking, *ALLELES).distinct().join(baseline.select(*ALLELES), ALLELES, "left_semi").groupBy(ranking).agg(F.count("*").alias("n_candidates"))
+    every = ranked.sparkSession.createDataFrame([(x,) for x in names], f"{ranking} string")
+    d = every.join(have, ranking, "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    return d.where(F.col("n_candidates") < n)
+
+
 def gwas_gene_list(cells: list[DataFrame], windows: DataFrame) -> DataFrame:
     """Autosomal genes of any cell that have a window; one row per gene."""
     every = reduce(DataFrame.unionByName, [c.select("gene_id", "chr") for c in cells])

@@ -13,7 +13,7 @@ from locusframe.plans.registry import AL, ALLELES, VID, query, r6, vid
 
 WIDTH = 32  # of the fixture's tiles
 #: One base of the fixture's genome in SQL, and the tiles joined as one long text.
-LONG = "long AS (SELECT a.chr, a.tile, a.seq || COALESCE(b.seq, '') AS s FROM fx_tile a LEFT JOIN fx_tile b ON a.chr = b.chr AND b.tile = a.tile + 1)"
+LONG = "long AS MATERIALIZED (SELECT chr, tile, seq || CASE WHEN LEAD(tile) OVER w = tile + 1 THEN LEAD(seq) OVER w ELSE '' END AS s FROM fx_tile WINDOW w AS (PARTITION BY chr ORDER BY tile))"
 ALL_NAMES = X.VARIANT_FEATURES + X.NOT_FEATURES
 
 

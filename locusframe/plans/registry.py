@@ -72,13 +72,24 @@ def _(d):
 
 @query("J12_match_panel", """WITH panel AS (SELECT DISTINCT CONCAT(chr, ':', CAST(pos AS STRING), ':', LEAST(ref, alt), ':', GREATEST(ref, alt)) AS key, ref AS p_ref, alt AS p_alt FROM fx_pip),
  j AS (SELECT panel.key, CASE WHEN ref = p_ref AND alt = p_alt THEN 'keep' ELSE 'flip' END AS orient, CASE WHEN ref = p_ref AND alt = p_alt THEN z ELSE -z END AS z_panel, n, pos, p_ref
-  FROM fx_gwas g JOIN panel ON panel.key = CONCAT(g.chr, ':', CAST(g.pos AS STRING), ':', LEAST(g.ref, g.alt), ':', GREATEST(g.ref, g.alt)))
+  FROM (SELECT chr, pos, ref, alt, n, CASE WHEN n % 4 <> 0 THEN z END AS z FROM fx_gwas) g JOIN panel ON panel.key = CONCAT(g.chr, ':', CAST(g.pos AS STRING), ':', LEAST(g.ref, g.alt), ':', GREATEST(g.ref, g.alt)) WHERE z IS NOT NULL)
 SELECT key, orient, ROUND(z_panel, 6) AS z_panel, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY CASE WHEN orient = 'keep' THEN 0 ELSE 1 END, pos, z_panel, n, p_ref) AS r FROM j) WHERE r = 1""",
        "fx_gwas", "fx_pip")
 def _(g, d):
+    """A quarter of the associations has no z: such a row must not stand for its key."""
+    g = g.withColumn("z", F.when(F.col("n") % 4 != 0, F.col("z")))
     return J.match_panel(g, d).select("key", "orient", r6("z_panel"), "n")
 
 
+@query("J12_enough_matched", """WITH panel AS (SELECT DISTINCT CONCAT(chr, ':', CAST(pos AS STRING), ':', LEAST(ref, alt), ':', GREATEST(ref, alt)) AS key FROM fx_pip),
+ j AS (SELECT DISTINCT chr, pos, panel.key FROM fx_gwas g JOIN panel ON panel.key = CONCAT(g.chr, ':', CAST(g.pos AS STRING), ':', LEAST(g.ref, g.alt), ':', GREATEST(g.ref, g.alt)) WHERE z IS NOT NULL),
+ w AS (SELECT gene_id, j.chr, j.pos, j.key FROM fx_gene g JOIN j ON j.chr = g.chr AND j.pos BETWEEN g.gene_tss - 100000 AND g.gene_tss + 100000)
+SELECT * FROM w WHERE gene_id IN (SELECT gene_id FROM w GROUP BY 1 HAVING COUNT(*) >= 10)""", "fx_gwas", "fx_pip", "fx_gene")
+def _(g, d, genes):
+    w = genes.select("gene_id", "chr", (F.col("gene_tss") - 100_000).alias("start_pos"), (F.col("gene_tss") + 100_000).alias("end_pos"))
+    return J.enough_matched(J.match_panel(g, d), w).select("gene_id", "chr", "pos", "key")
+
+
 @query("J13_missing_outputs", """SELECT DISTINCT gene_id FROM fx_pip WHERE gene_id NOT IN (
  SELECT gene_id FROM fx_pip WHERE pip > 0.985 GROUP BY gene_id HAVING COUNT(DISTINCT cell) >= 3)""", "fx_pip")
 def _(d):
@@ -132,23 +143,6 @@ def _(f):
     return A.pip_from_alpha(_alpha(f)).select("gene_id", "cell", "variant_key", r6("pip"))
 
 
-LD = """p AS (SELECT a.variant_key AS key1, b.variant_key AS key2, COUNT(*) AS n, SUM(a.dosage) AS sx, SUM(b.dosage) AS sy, SUM(a.dosage * b.dosage) AS sxy, SUM(a.dosage * a.dosage) AS sxx, SUM(b.dosage * b.dosage) AS syy
-  FROM fx_geno a JOIN fx_geno b ON a.dosage IS NOT NULL AND b.dosage IS NOT NULL AND a.sample_id = b.sample_id AND a.variant_key < b.variant_key AND b.variant_key - a.variant_key <= 20 GROUP BY ALL),
- r AS (SELECT key1, key2, CASE WHEN n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN CAST(n * sxy - sx * sy AS DOUBLE) / SQRT(CAST(n * sxx - sx * sx AS DOUBLE) * CAST(n * syy - sy * sy AS DOUBLE)) ELSE 0 END AS r FROM p)"""
-
-
-@query("A31_ld_pairs", f"WITH {LD} SELECT key1, key2, ROUND(r, 6) AS r FROM r WHERE r * r >= 0.001", "fx_geno")
-def _(g):
-    return A.ld_pairs(g, 20).select("key1", "key2", r6("r"))
-
-
-@query("A32_ld_scores", f"""WITH {LD}, b AS (SELECT key1, key2 AS key, r FROM r WHERE r * r >= 0.001 UNION ALL SELECT key2, key1, r FROM r WHERE r * r >= 0.001 UNION ALL SELECT DISTINCT variant_key, variant_key, 1.0 FROM fx_geno)
-SELECT key1, CONCAT('a', CAST(key % 3 AS STRING)) AS annotation, ROUND(SUM(r * r), 5) AS ld_score FROM b GROUP BY ALL""", "fx_geno")
-def _(g):
-    notes = g.select(F.col("variant_key").alias("key"), F.concat(F.lit("a"), (F.col("variant_key") % 3).cast("string")).alias("annotation")).distinct()
-    return A.ld_scores(A.ld_pairs(g, 20), notes).select("key1", "annotation", F.round("ld_score", 5).alias("ld_score"))
-
-
 @query("W1_cs_rank", f"WITH {SETS} SELECT gene_id, cell, effect, ROW_NUMBER() OVER (PARTITION BY cell, gene_id ORDER BY ROUND(top_pip, 9) DESC, effect) AS cs_rank FROM st", "fx_fit")
 def _(f):
     return A.cs_rank(_sets(f).withColumn("top_pip", F.round("top_pip", 9))).select(*EFF, "cs_rank")

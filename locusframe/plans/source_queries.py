@@ -24,7 +24,7 @@ def _(d):
 @query("S2_write_by_chr", "SELECT chr, gene_id, src_order, src_line, pip FROM fx_pip", "fx_pip")
 def _(d):
     at = shared_folder(d.sparkSession, "by-chr")
-    files.write_by_chr(d.select("chr", "gene_id", "src_order", "src_line", "pip"), at, salts=2)
+    files.write_by_chr(d.select("chr", "gene_id", "src_order", "src_line", "pip"), at, part_bytes=1 << 20)
     return files.read_chr(d.sparkSession, at)
 
 

@@ -51,10 +51,19 @@ def _(d):
 @query("P6_validate_variants", """SELECT src_order, src_line, CASE WHEN src_order % 9 = 0 THEN 'missing' WHEN src_order % 7 = 0 THEN 'not_autosome'
  WHEN src_order % 5 = 0 THEN 'position' WHEN src_order % 3 = 0 THEN 'allele' WHEN src_order % 4 = 0 THEN 'same_allele' ELSE 'ok' END AS reason FROM fx_pip""", "fx_pip")
 def _(d):
+    return _raw(d).select(*ROW, F.coalesce(K.reject_reason(*[F.col(c) for c in "cpra"]), F.lit("ok")).alias("reason"))
+
+
+def _raw(d):
+    """Variants with every kind of fault."""
     o = F.col("src_order")
-    raw = d.select(*ROW, F.when(o % 9 == 0, None).when(o % 7 == 0, "chrX").otherwise(F.concat(F.lit(" "), "chr")).alias("c"), F.when(o % 5 == 0, "12a").otherwise(F.col("pos").cast("string")).alias("p"),
+    return d.select(*ROW, F.when(o % 9 == 0, None).when(o % 7 == 0, "chrX").otherwise(F.concat(F.lit(" "), "chr")).alias("c"), F.when(o % 5 == 0, "12a").otherwise(F.col("pos").cast("string")).alias("p"),
                    F.when(o % 3 == 0, "N").otherwise(F.lower("ref")).alias("r"), F.when(o % 3 == 0, "A").when(o % 4 == 0, F.col("ref")).otherwise(F.col("alt")).alias("a"))
-    return raw.select(*ROW, F.coalesce(K.reject_reason(*[F.col(c) for c in "cpra"]), F.lit("ok")).alias("reason"))
+
+@query("P6_reject_counts", """SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN src_order % 9 = 0 THEN 'missing' WHEN src_order % 7 = 0 THEN 'not_autosome' WHEN src_order % 5 = 0 THEN 'position' WHEN src_order % 3 = 0 THEN 'allele'
+ WHEN src_order % 4 = 0 THEN 'same_allele' ELSE 'ok' END AS reason FROM fx_pip) GROUP BY reason""", "fx_pip")
+def _(d):
+    return K.reject_counts(_raw(d), *[F.col(c) for c in "cpra"])
 
 
 @query("P8_distance_tss", f"""SELECT src_order, src_line, ROUND(tss - pos, 3) AS distance_tss, ROUND(ABS(pos - tss), 3) AS abs_distance,
@@ -370,13 +379,13 @@ def _(d):
 
 _PP = """j AS (SELECT a.gene_id, a.effect AS effect1, b.effect AS effect2, variant_key, a.lbf AS l1, b.lbf AS l2 FROM fx_fit a JOIN fx_fit b USING (gene_id, variant_key) WHERE a.cell = 'cell0' AND b.cell = 'cell1'),
  s AS (SELECT gene_id, effect1, effect2, COUNT(*) AS nsnps, SUM(EXP(l1)) AS e1, SUM(EXP(l2)) AS e2, SUM(EXP(l1 + l2)) AS e12, MIN_BY(variant_key, variant_key - 1e6 * l1) AS hit1, MIN_BY(variant_key, variant_key - 1e6 * l2) AS hit2
-  FROM j GROUP BY ALL HAVING COUNT(*) >= 10),
+  FROM j GROUP BY ALL HAVING COUNT(*) >= 4),
  h AS (SELECT *, CAST(1e-4 AS DOUBLE) * e1 AS h1, CAST(1e-4 AS DOUBLE) * e2 AS h2, CAST(1e-8 AS DOUBLE) * (e1 * e2 - e12) AS h3, CAST(5e-6 AS DOUBLE) * e12 AS h4 FROM s),
  pr AS (SELECT gene_id, effect1, effect2, nsnps, hit1, hit2, ROUND(1 / t, 6) AS pp_h0, ROUND(h1 / t, 6) AS pp_h1, ROUND(h2 / t, 6) AS pp_h2, ROUND(h3 / t, 6) AS pp_h3, ROUND(h4 / t, 6) AS pp_h4 FROM (SELECT *, 1 + h1 + h2 + h3 + h4 AS t FROM h))"""
 
 
 def _pp(f):
-    out = A.coloc_pp(f.where("cell = 'cell0'"), f.where("cell = 'cell1'"))
+    out = A.coloc_pp(f.where("cell = 'cell0'"), f.where("cell = 'cell1'"), least=4)  # effects of the fixture share few variants
     return out.select("gene_id", "effect1", "effect2", "nsnps", "hit1", "hit2", *[r6(f"pp_h{k}") for k in range(5)])
 
 
@@ -397,13 +406,16 @@ FITKEY = "CONCAT('chr', CAST(CAST(SUBSTR(gene_id, 2) AS BIGINT) % 22 + 1 AS STRI
 fitkey = lambda c: F.concat(F.lit("chr"), (F.substr("gene_id", F.lit(2)).cast("bigint") % 22 + 1).cast("string"), F.lit(":"), (F.col(c) * 500 + 1000).cast("string"), F.lit(":A:C"))
 
 
-@query("J15_coloc_with_sets", f"""WITH {_PP}, {SETS}, k AS (SELECT *, {FITKEY.format("hit1")} AS h1, {FITKEY.format("hit2")} AS h2 FROM pr)
-SELECT k.gene_id, effect1, effect2, st.size AS cs_size, ROUND(st.top_pip, 6) AS cs_top_pip, h1 AS hit1, CAST(SUBSTR(SPLIT_PART(h1, ':', 1), 4) AS INT) AS hit1_chr, CAST(SPLIT_PART(h2, ':', 2) AS BIGINT) AS hit2_pos, SPLIT_PART(h2, ':', 4) AS hit2_a2,
- h1 = h2 AS same_hit, st.size IS NULL AS unmatched FROM k LEFT JOIN st ON st.gene_id = k.gene_id AND st.effect = k.effect1 AND st.cell = 'cell0' AND st.effect <> 3""", "fx_fit")
+@query("J15_coloc_with_sets", f"""WITH {_PP}, {PURE}, tp AS (SELECT gene_id, cell, effect, variant_key AS top_variant FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, cell, effect ORDER BY alpha DESC, variant_key) AS r FROM cs) t WHERE r = 1),
+ rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell, gene_id ORDER BY ROUND(top_pip, 9) DESC, effect) AS cs_rank FROM st), k AS (SELECT *, {FITKEY.format("hit1")} AS h1, {FITKEY.format("hit2")} AS h2 FROM pr)
+SELECT k.gene_id, effect1, effect2, st.size AS cs_size, st.cs_rank, ROUND(st.sum_pip, 6) AS cs_coverage, st.purity AS cs_min_abs_corr, st.lbf AS cs_lbf, ROUND(st.top_pip, 6) AS cs_top_pip, tp.top_variant AS cs_top_variant_id, h1 AS hit1, CAST(SUBSTR(SPLIT_PART(h1, ':', 1), 4) AS INT) AS hit1_chr,
+ CAST(SPLIT_PART(h2, ':', 2) AS BIGINT) AS hit2_pos, SPLIT_PART(h2, ':', 4) AS hit2_a2, h1 = h2 AS same_hit, st.size IS NULL AS unmatched
+FROM k LEFT JOIN rk st ON st.gene_id = k.gene_id AND st.effect = k.effect1 AND st.cell = 'cell0' AND st.effect <> 3 LEFT JOIN tp ON tp.gene_id = st.gene_id AND tp.effect = st.effect AND tp.cell = st.cell""", "fx_fit")
 def _(f):
     pairs = _pp(f).withColumns({"hit1": fitkey("hit1"), "hit2": fitkey("hit2")})
-    out = C.coloc_with_sets(pairs, _sets(f.where("cell = 'cell0'")).where("effect <> 3"))
-    return out.select("gene_id", "effect1", "effect2", "cs_size", r6("cs_top_pip"), "hit1", "hit1_chr", "hit2_pos", "hit2_a2", "same_hit", "unmatched")
+    sets = A.cs_rank(_pure(f.where("cell = 'cell0'")).withColumnRenamed("sum_pip", "coverage").withColumn("top_pip", F.round("top_pip", 9)))
+    out = C.coloc_with_sets(pairs, sets.where("effect <> 3"))
+    return out.select("gene_id", "effect1", "effect2", "cs_size", "cs_rank", r6("cs_coverage"), "cs_min_abs_corr", "cs_lbf", r6("cs_top_pip"), "cs_top_variant_id", "hit1", "hit1_chr", "hit2_pos", "hit2_a2", "same_hit", "unmatched")
 
 
 _GWAS = f"""x AS (SELECT *, {KEY} AS key, {NLP} AS p, CASE WHEN n % 5 <> 0 THEN n / CAST(10000 AS DOUBLE) END AS maf, CONCAT('rs', CAST(n AS STRING)) AS rsid, ROW_NUMBER() OVER (PARTITION BY chr, pos ORDER BY n, z) AS r FROM fx_gwas),
@@ -431,7 +443,7 @@ def _(f, g):
  u AS (SELECT *, {FITKEY.format("variant_key")} AS key FROM (SELECT * FROM e UNION ALL SELECT * FROM g)),
  n AS (SELECT *, COUNT(*) OVER (PARTITION BY coloc_id, side) AS size_, ROW_NUMBER() OVER (PARTITION BY coloc_id, side ORDER BY ROUND(alpha, 9) DESC, key) AS r, MIN(side) OVER (PARTITION BY coloc_id) = MAX(side) OVER (PARTITION BY coloc_id) AS one FROM u),
  t AS (SELECT gene_id, MIN(gene_name) AS gene_name FROM fx_gene WHERE post_mean > 0 GROUP BY 1)
-SELECT coloc_id, n.gene_id, side, cs_idx, n.key, ROUND(CASE WHEN side = 'gwas' THEN alpha ELSE -alpha END, 6) AS y, pp_h4, n.key = lead AS is_coloc_lead, size_ AS cs_size_side, r AS pip_rank, r = 1 AS is_top_pip, one AS one_sided,
+SELECT coloc_id, n.gene_id, side, cs_idx, n.key, ROUND(ROUND(CASE WHEN side = 'gwas' THEN alpha ELSE -alpha END, 9), 6) AS y, pp_h4, n.key = lead AS is_coloc_lead, size_ AS cs_size_side, r AS pip_rank, r = 1 AS is_top_pip, one AS one_sided,
  COALESCE(gene_name, n.gene_id) AS gene_name, ROUND(CAST(gw.p AS DOUBLE), 5) AS gwas_neglog10p, gw.rsid FROM n LEFT JOIN t USING (gene_id) LEFT JOIN gw ON gw.key = n.key""", "fx_fit", "fx_gene", "fx_gwas")
 def _(f, genes, g):
     named = {"cell": F.lit("cell0"), "eqtl_prior": F.lit("p"), "gwas_prior": F.lit("g")}
@@ -487,19 +499,6 @@ def _(d):
     return C.clpp_counts(C.clpp_gene(C.clpp(*_two(d))), ["p0", "p1", "p2"])
 
 
-_REG = f"""ty AS (SELECT variant_key FROM fx_geno WHERE dosage IS NOT NULL GROUP BY 1 HAVING LEAST(SUM(dosage), 2 * COUNT(*) - SUM(dosage)) >= GREATEST(10, 0.001 * 2 * COUNT(*)) AND 1 - COUNT(*) / CAST((SELECT COUNT(DISTINCT sample_id) FROM fx_geno) AS DOUBLE) <= 0.1),
- pa AS (SELECT DISTINCT gene_id, CAST((pos - 1000) / 500 AS BIGINT) AS variant_key FROM fx_pip),
- s AS (SELECT gene_id, variant_key, REGR_SLOPE(y, dosage) AS slope, REGR_SXX(y, dosage) AS sxx, REGR_SYY(y, dosage) AS syy, COUNT(*) AS n FROM pa JOIN ty USING (variant_key) JOIN fx_geno USING (variant_key) JOIN fx_expr USING (gene_id, sample_id) WHERE dosage IS NOT NULL GROUP BY ALL),
- q AS (SELECT *, SQRT(GREATEST(syy - slope * slope * sxx, 0) / (n - 2) / sxx) AS se FROM s WHERE sxx > 0 AND n > 2), q2 AS (SELECT *, CASE WHEN se > 0 THEN slope / se END AS z FROM q)"""
-
-
-@query("A30_marginal_regression", f"WITH {_REG} SELECT gene_id, variant_key, ROUND(slope, 1) AS slope, ROUND(se, 1) AS se, ROUND(z, 5) AS z, ROUND(CAST({NLP} AS DOUBLE), 4) AS neglog10p, n FROM q2 WHERE n > 8", "fx_geno", "fx_expr", "fx_pip")
-def _(g, e, d):
-    pairs = d.select("gene_id", ((F.col("pos") - 1000) / 500).cast("bigint").alias("variant_key"))
-    out = A.marginal_regression(g, e, pairs).where("n > 8")  # smaller fits lose the digits that are compared
-    return out.select("gene_id", "variant_key", F.round("slope", 1).alias("slope"), F.round("se", 1).alias("se"), F.round("z", 5).alias("z"), F.round("neglog10p", 4).alias("neglog10p"), "n")
-
-
 # --- sampling, sets, training data -----------------------------------------------------------------------------------
 
 
@@ -508,21 +507,45 @@ def _(f):
     return _members(f).select(*EFF, "variant_key", r6("alpha"))
 
 
-@query("K1_top_n", f"SELECT cell, {AL}, pip, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS rank FROM (SELECT cell, {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL)) WHERE rank <= 5000", "fx_pip")
+#: The baseline of the rankings lacks a third of the ranked keys, the best ones among them.
+_BASE = f"bs AS (SELECT DISTINCT {AL} FROM fx_pip WHERE pos % 1500 <> 0), rk AS (SELECT cell, {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL), rb AS (SELECT rk.* FROM rk JOIN bs USING ({AL}))"
+
+
+def _ranked(d):
+    return d.where("pos % 1500 <> 0").select(*ALLELES).distinct(), d.groupBy("cell", *ALLELES).agg(F.max("pip").alias("pip"))
+
+
+@query("K1_top_n", f"WITH {_BASE} SELECT cell, {AL}, pip, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS rank FROM rb) WHERE rank <= 5000", "fx_pip")
 def _(d):
-    best = d.groupBy("cell", *ALLELES).agg(F.max("pip").alias("pip"))
-    return A.top_n(best, ["cell"], "pip", ALLELES, 5000).select("cell", *ALLELES, "pip", "rank")
+    base, best = _ranked(d)
+    return A.top_n(best, ["cell"], "pip", ALLELES, 5000, base).select("cell", *ALLELES, "pip", "rank")
 
 
-@query("K2_top_n_annotations", f"""WITH b AS (SELECT cell, {AL}, MAX(pip) AS pip FROM fx_pip GROUP BY ALL), t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS r FROM b)
-SELECT {AL}, """ + ", ".join(f"MAX(CAST(cell = '{c}' AND r <= 5000 AS INT)) AS top_{c}" for c in CELLS) + f" FROM t GROUP BY {AL}", "fx_pip")
+@query("K1_short_rankings", f"WITH {_BASE} SELECT c AS cell, COUNT(rb.cell) AS n_candidates FROM (SELECT UNNEST(['cell0', 'cell1', 'cell2', 'unseen']) AS c) LEFT JOIN rb ON rb.cell = c GROUP BY c HAVING COUNT(rb.cell) < 100000000", "fx_pip")
 def _(d):
-    return S.top_n_annotations(d, d.groupBy("cell", *ALLELES).agg(F.max("pip").alias("pip")), "cell", CELLS, "pip", 5000)
+    return S.short_rankings(*_ranked(d), "cell", [*CELLS, "unseen"], 100_000_000)
 
 
-_DRAWN = """k AS (SELECT n.*, need, ROW_NUMBER() OVER (PARTITION BY n.gene_id, n.vt ORDER BY {order}) AS r, COUNT(*) OVER (PARTITION BY n.gene_id, n.vt) AS c FROM ng n JOIN need ON n.gene_id = need.gene_id AND n.vt = need.vt),
- dr AS (SELECT DISTINCT gene_id, vt, (i * 7919 + 13) % c AS slot FROM (SELECT DISTINCT gene_id, vt, c, UNNEST(RANGE(1, need + 1)) AS i FROM k WHERE c < need)),
- sel AS (SELECT k.* FROM k LEFT JOIN dr ON dr.gene_id = k.gene_id AND dr.vt = k.vt AND dr.slot = k.r - 1 WHERE CASE WHEN c >= need THEN r <= need ELSE slot IS NOT NULL END)"""
+@query("K2_top_n_annotations", f"""WITH {_BASE}, t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY pip DESC, {AL}) AS r FROM rb)
+SELECT {AL}, """ + ", ".join(f"COALESCE(MAX(CAST(cell = '{c}' AND r <= 500 AS INT)), 0) AS top_{c}" for c in CELLS) + f" FROM bs LEFT JOIN t USING ({AL}) GROUP BY {AL}", "fx_pip")
+def _(d):
+    return S.top_n_annotations(*_ranked(d), "cell", CELLS, "pip", 500)
+
+
+#: Draw i of n rows takes row slot + 1: a square modulo a prime scatters the draws, so some rows come twice and some never.
+_SLOT = "((i * 48271 % 2147483647) * (i * 48271 % 2147483647) % 2147483647) % c"
+
+
+
+def slot(i, n):
+    a = i * 48271 % 2147483647
+    return a * a % 2147483647 % n
+
+
+_DRAWN = """cn AS (SELECT gene_id, vt, COUNT(*) AS c FROM ng GROUP BY ALL), hv AS (SELECT gene_id, vt, c, need FROM cn JOIN need USING (gene_id, vt)),
+ k AS (SELECT ng.*, ROW_NUMBER() OVER (PARTITION BY gene_id, vt ORDER BY {order}) AS r FROM ng),
+ dr AS (SELECT DISTINCT gene_id, vt, """ + _SLOT + """ + 1 AS r FROM (SELECT gene_id, vt, c, UNNEST(RANGE(1, need + 1)) AS i FROM hv WHERE c < need) d),
+ sel AS (SELECT k.* FROM k JOIN hv USING (gene_id, vt) WHERE c >= need AND r <= need UNION ALL SELECT k.* FROM k JOIN dr USING (gene_id, vt, r))"""
 
 
 @query("K3_sample_negatives", f"""WITH t AS (SELECT *, {VT} AS vt FROM fx_pip), need AS (SELECT gene_id, vt, COUNT(*) * 10 AS need FROM t WHERE pip >= 0.9 GROUP BY ALL), ng AS (SELECT * FROM t WHERE pip < 0.01),
@@ -530,7 +553,7 @@ _DRAWN = """k AS (SELECT n.*, need, ROW_NUMBER() OVER (PARTITION BY n.gene_id, n
 def _(d):
     t = d.withColumn("vt", F.signum((F.length("alt") - F.length("ref")).cast("double")).cast("int"))
     order = [(F.col("src_order") * 7919 + F.col("src_line") * 104729) % 99991, F.col("src_order"), F.col("src_line")]
-    return A.sample_negatives(t.where("pip >= 0.9"), t.where("pip < 0.01"), ["gene_id", "vt"], order).select("gene_id", "vt", *ROW)
+    return A.sample_negatives(t.where("pip >= 0.9"), t.where("pip < 0.01"), ["gene_id", "vt"], order, slot=slot).select("gene_id", "vt", *ROW)
 
 
 @query("U1_unique_variants", f"SELECT DISTINCT {AL} FROM fx_pip", "fx_pip")
@@ -643,7 +666,7 @@ def _(d, i, g, links):
                     *[r6(c) for c in _SHOWN], *[r6(f"{m}_c_TF_score") for m in ("max", "min", "abs_max")])
 
 
-@query("M3_training_set", f"""WITH ft AS (SELECT gene_id, {AL}, COUNT(*) AS n_rows FROM fx_pip WHERE src_line <> 3 GROUP BY ALL), x AS (SELECT p.*, {VT} AS vt, n_rows FROM fx_pip p JOIN ft USING (gene_id, {AL})),
+@query("M3_training_set", f"""WITH ft AS (SELECT gene_id, {AL}, COUNT(*) AS n_rows FROM fx_pip WHERE src_line <> 3 GROUP BY ALL), x AS MATERIALIZED (SELECT p.*, {VT} AS vt, n_rows FROM fx_pip p JOIN ft USING (gene_id, {AL})),
  top AS (SELECT cell, gene_id, cs95 FROM fx_pip WHERE cs95 > 0 GROUP BY ALL HAVING MAX(pip) > 0.10),
  p AS (SELECT x.* FROM x JOIN top USING (cell, gene_id, cs95) WHERE pip > 0.05 UNION ALL SELECT * FROM x WHERE cs95 = 0 AND pip > 0.50), need AS (SELECT gene_id, vt, COUNT(*) * 10 AS need FROM p GROUP BY ALL),
  ng AS (SELECT * FROM x WHERE pip < 0.01), {_DRAWN.format(order="src_order % 97, src_order, src_line")}
@@ -651,7 +674,7 @@ SELECT gene_id, {AL}, src_order, src_line, vt AS variant_type, 1 AS label, n_row
 def _(d):
     order = [F.col("src_order") % 97, F.col("src_order"), F.col("src_line")]
     features = d.where("src_line <> 3").groupBy("gene_id", *ALLELES).agg(F.count("*").alias("n_rows"))
-    return M.training_set(A.positives(d), d.where("pip < 0.01"), order, features=features).select("gene_id", *ALLELES, *ROW, "variant_type", "label", "n_rows")
+    return M.training_set(A.positives(d), d.where("pip < 0.01"), order, features=features, slot=slot).select("gene_id", *ALLELES, *ROW, "variant_type", "label", "n_rows")
 
 
 @query("M4_feature_matrix", f"""WITH {MAF}, j AS (SELECT p.*, lof, maf FROM fx_pip p LEFT JOIN lof USING (gene_id) LEFT JOIN maf USING ({AL}))
@@ -672,11 +695,6 @@ def _(d):
     return I.compare_arms(sweep, tau, I.focal_rows(best, ["run"], F.col("enrichment") == F.col("_m")).drop("_m"), "run", "cut")
 
 
-@query("A21_paired_bootstrap", None, "fx_scored")
-def _(d):
-    return I.paired_bootstrap(d, [], "y_true", "pred_a", "pred_b", replicates=2000)
-
-
 @query("M7_score_folds", "SELECT chrom, l_orderkey, l_linenumber, y_true, TRUE AS in_range FROM fx_scored", "fx_scored")
 def _(d):
     """Every row is scored once, by the model of its own fold (four folds of chromosomes). The trees themselves differ by platform, so a score is compared by its range only."""

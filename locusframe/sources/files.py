@@ -27,11 +27,38 @@ def read_pip_csv(spark: SparkSession, paths, kind: str = "all") -> DataFrame:
     return d.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("cell"))
 
 
-def write_by_chr(df: DataFrame, path: str, rows_a_file: int = 2_000_000, salts: int = 1) -> None:
-    """One folder a chromosome, replaced as a whole. salts: how many tasks share a chromosome (22 alone would be few)."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "chr"]), F.lit(salts))
-    d = df.repartition("chr", salt) if salts > 1 else df.repartition("chr")
-    d.write.partitionBy("chr").mode("overwrite").option("maxRecordsPerFile", rows_a_file).option("compression", "snappy").parquet(path)
+def write_by_chr(df: DataFrame, path: str, part_bytes: int = 128 << 20, rows_a_file: int = 2_000_000) -> None:
+    """One folder a chromosome, replaced as a whole, in files of about part_bytes (of shuffled data, before compression), however the chromosomes' sizes differ.
+
+    Rows are dealt by chromosome and then rebalanced at run time: a chromosome larger than that is split over tasks, small ones share a
+    task. rows_a_file bounds a file's rows besides.
+    """
+    rebalanced(df, ["chr"], part_bytes).write.partitionBy("chr").mode("overwrite").option("maxRecordsPerFile", rows_a_file).option("compression", "snappy").parquet(path)
+
+
+def rebalanced(df: DataFrame, keys: list[str], part_bytes: int) -> DataFrame:
+    """df dealt by keys into partitions of about part_bytes: the most that a task writes is the skewed key's share cut to that size.
+
+    The size is a setting of the session, read when a query over df is planned; what follows in the session keeps it.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(part_bytes))
+    conf.set("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
+    return df.hint("rebalance", *keys)
+
+
+def write_release(released: DataFrame, path: str, by: list[str], part_bytes: int = 128 << 20) -> None:
+    """A release (of release_sets) partitioned by `by`, then by chromosome. Only the partitions that it brings are replaced, so a partial rerun leaves the others alone.
+
+    The checks of release_sets run while the rows are written; a fault fails the job before anything is replaced.
+    """
+    out = rebalanced(released, [*by, "CHROM"], part_bytes).sortWithinPartitions(*by, "CHROM", "POS", "GENE_ID", "CS_INDEX", "ID")
+    out.write.partitionBy(*by, "CHROM").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_counts(counts: DataFrame, path: str, by: list[str]) -> None:
+    """The counts table of a release, of which likewise only the rows of the `by` values that come are replaced."""
+    counts.coalesce(1).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_chr(spark: SparkSession, path: str, chroms: list[str] | None = None, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -36,6 +36,8 @@ FROM part CROSS JOIN (SELECT DISTINCT CAST(o_orderkey % 64 AS INT) AS sample_id
  o_orderkey AS row_id, o_totalprice AS enrichment FROM orders""",
     "fx_expr": """SELECT CONCAT('G', CAST(CAST((o_custkey - o_custkey % 15) / 15 AS BIGINT) AS STRING)) AS gene_id, CAST(o_orderkey % 64 AS INT) AS sample_id, AVG(o_totalprice) AS y
 FROM orders GROUP BY 1, 2""",
+    "fx_expr_cell": """SELECT CONCAT('cell', CAST(o_custkey % 3 AS STRING)) AS cell, CONCAT('G', CAST(CAST((o_custkey - o_custkey % 15) / 15 AS BIGINT) AS STRING)) AS gene_id, CAST(o_orderkey % 64 AS INT) AS sample_id, AVG(o_totalprice) AS y
+FROM orders WHERE (o_orderkey % 64) % 7 <> o_custkey % 3 GROUP BY 1, 2, 3""",
 }
 
 

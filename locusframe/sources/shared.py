@@ -14,7 +14,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def drop_shared(spark: SparkSession) -> int:
+    """Delete the folders of this session. Lazy results read them, so call it once those are written; returns how many went."""
+    path, conf, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        at = path(_MADE.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df as a table in the shared folder, so that what is used several times is computed once and outlives an executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_named(lines: DataFrame, folder: str, name: str) -> None:

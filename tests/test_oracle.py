@@ -4,11 +4,12 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.functions import keys as K
 from locusframe.operators import aggregates as A
 from locusframe.operators import joins as J
-from locusframe.plans import feature_queries, registry, source_queries, study_queries, table_queries  # noqa: F401 (the import registers its queries)
+from locusframe.plans import block_queries, feature_queries, registry, source_queries, study_queries, table_queries  # noqa: F401 (the import registers its queries)
 
 D = "/root/testdata/sf0.001"
 
@@ -45,7 +46,7 @@ def test_interval_bounds(spark):
 
 
 def test_neglog10p_does_not_underflow(spark):
-    z = spark.createDataFrame([(0.0,), (1.96,), (-40.0,)], "z double").select(K.neglog10p(__import__("pyspark").sql.functions.col("z")).alias("p")).collect()
+    z = spark.createDataFrame([(0.0,), (1.96,), (-40.0,)], "z double").select(K.neglog10p(F.col("z")).alias("p")).collect()
     assert abs(z[0].p) < 1e-6 and abs(z[1].p - 1.30103) < 1e-3 and 348 < z[2].p < 351
 
 
@@ -63,8 +64,15 @@ def test_genes_given_and_found(spark):
 
 
 def test_short_strata_are_drawn_with_replacement(spark):
-    pos = spark.createDataFrame([("g",)] * 2, "gene_id string")
-    neg = spark.createDataFrame([("g", k) for k in range(7)], "gene_id string, k long")
-    got = {r.k for r in A.sample_negatives(pos, neg, ["gene_id"], [__import__("pyspark").sql.functions.col("k")], per=10).collect()}
-    assert got == {(i * 7919 + 13) % 7 for i in range(1, 21)}
-    assert A.sample_negatives(pos, neg, ["gene_id"], [__import__("pyspark").sql.functions.col("k")], per=3).count() == 6
+    order = [F.col("k")]
+    pos = spark.createDataFrame([(f"g{g}",) for g in range(30) for _ in range(20)], "gene_id string")
+    neg = spark.createDataFrame([(f"g{g}", k, "x") for g in range(30) for k in range(100)], "gene_id string, k long, _note string")
+    got = A.sample_negatives(pos, neg, ["gene_id"], order, per=10)
+    assert got.columns == neg.columns and got.count() == got.distinct().count()
+    # 200 draws of 100 rows leave about 100 (1 - 1/e^2) = 86.5 of them, not all; strata draw differently.
+    n = [r["count"] for r in got.groupBy("gene_id").count().collect()]
+    assert len(n) == 30 and 84 < sum(n) / 30 < 89 and max(n) < 100 and len(set(n)) > 3
+    assert A.sample_negatives(pos, neg, ["gene_id"], order, per=3).groupBy("gene_id").count().where("count = 60").count() == 30
+    for per, want in ((10, {(s * s) % 2147483647 % 7 for s in (i * 48271 % 2147483647 for i in range(1, 21))}), (3, set(range(6)))):
+        one = A.sample_negatives(pos.where("gene_id = 'g0'").limit(2), neg.where("gene_id = 'g0' and k < 7"), ["gene_id"], order, per, table_queries.slot)
+        assert {r.k for r in one.collect()} == want

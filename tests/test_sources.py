@@ -29,10 +29,10 @@ def test_predictions_round_trip(spark, tmp_path):
         files.export_predictions(d.limit(0), f"file://{tmp_path}/bad")
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_tables_by_chromosome(spark, tmp_path, salts):
+@pytest.mark.parametrize("part_bytes", [1 << 10, 128 << 20])
+def test_tables_by_chromosome(spark, tmp_path, part_bytes):
     d = files.with_chr(spark.createDataFrame(ROWS, V).drop("chr"))
-    files.write_by_chr(d, f"file://{tmp_path}/t", salts=salts)
+    files.write_by_chr(d, f"file://{tmp_path}/t", part_bytes=part_bytes)
     assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"chr=chr1", "chr=chr2"}
     got = files.read_chr(spark, f"file://{tmp_path}/t", ["chr1", "chr9"], ["gene_id", "pip"], F.col("pip") > 0.15)
     assert [tuple(r) for r in got.collect()] == [("G1", 0.2)]
