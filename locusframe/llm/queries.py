@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from locusframe.llm.common import table
+from locusframe.llm.quality_rules import STOP_WORDS
 
 
 def op1_ngram_lm(spark, sf_dir):
@@ -89,6 +90,19 @@ QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data
                                 op11_dialogue_repair, op12_whitening, op13_near_vectors)}
 
 ORACLE_SQL = {
+    "op6_quality_rules": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+ g AS (SELECT rid, UNNEST(RANGE(1, len(ws) - 3)) AS p, ws FROM w WHERE len(ws) >= 5),
+ h AS (SELECT rid, p, COUNT(*) OVER (PARTITION BY rid, ws[p], ws[p + 1], ws[p + 2], ws[p + 3], ws[p + 4]) AS n FROM g),
+ r AS (SELECT rid, COUNT(DISTINCT p + k) AS n_rep FROM (SELECT rid, p, UNNEST([0, 1, 2, 3, 4]) AS k FROM h WHERE n > 1) x GROUP BY rid),
+ c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(n_rep, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^!]+', '', 'g')) AS bang, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS upper,
+  length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS alpha, len(ls) AS n_lines, len(list_filter(ws, lambda x: lower(x) IN (STOPS))) AS stops FROM w LEFT JOIN r USING (rid)),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / CAST(n_words AS DOUBLE) BETWEEN 2 AND 16 AND n_symbols / CAST(n_words AS DOUBLE) <= 0.25 AND bang / CAST(n_words AS DOUBLE) <= 0.5
+ AND stops / CAST(n_words AS DOUBLE) >= 0.02 AND COALESCE(n_dup_lines / CAST(NULLIF(n_lines, 0) AS DOUBLE), 0) <= 0.5 AND COALESCE(upper / CAST(NULLIF(alpha, 0) AS DOUBLE), 0) <= 0.7 AS kept FROM b
+""".replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)),
     "op10_exact_topk": """
 WITH v AS (SELECT vec_id, embedding AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
