@@ -4,7 +4,8 @@ A page is cut into blocks of text, each with its root-to-leaf path of block tags
 forms, comments, ..., by tag or by a whole class, id or role token) are left out, unless one holds the text of the page. The container with the most text of high ratio holds the article. Per tag path in it,
 characters and punctuation a block are fused by product and smoothed along the tree, by sharing them with the box (div,
 section, ...) that the path hangs from; blocks that are all links count nothing. Paths above the threshold, a share of the best
-path's score, are content; the others (unnamed adverts, link lists, notices) are not. On pages without article or main,
+path's score, are content; the others (unnamed adverts, link lists) are not, unless they are sentences inside an article or main: there
+nothing that reads as text is dropped for being short or a link. On pages without article or main,
 boxes around the best container join it if their paths' scores compare with its best one.
 
 Pages are independent rows: Spark deals them out, nothing is shuffled, and a task holds one Arrow batch.
@@ -32,7 +33,7 @@ TOKEN = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in "script style textarea title iframe noembed noframes xmp".split()}
 #: Elements that a block's opening tag ends, as in browsers' foreign content.
 LEFT_BY_BLOCKS = set("svg math select".split())
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"(?<!\S)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag ends, unless one of the bounds comes first.
@@ -53,6 +54,8 @@ CONTAINERS = set("article main section div td body blockquote".split())
 BOXES = set("article main section div body".split())
 #: Measure of a container that may be the text of a page against its name: that of a line of 200 characters without punctuation.
 MUCH = 200.0 * 200
+#: The end of a sentence; an exclamation alone is none, since adverts shout.
+SENTENCE = re.compile(r"[.?…:;。？][\"'”’»)\]]*\s*$")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，]")
 WHITE = re.compile(r"\s+")
@@ -150,8 +153,9 @@ def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5, gr
         if chars:
             path = tuple(e for e in next(p for p, s in run if s.strip()) if e[0] not in INLINE)
             linked = sum(len(s.strip()) for p, s in run if any(e[0] == "a" for e in p))
-            link = linked >= 0.8 * chars and not any(e[0] in HEADINGS for e in path)
-            found.append((doubts, (path, "".join(s for _, s in run), chars, sum(len(PUNCTUATION.findall(s)) for _, s in run), link)))
+            said = "".join(s for _, s in run)
+            link = linked >= 0.8 * chars and not any(e[0] in HEADINGS for e in path) and not (path and path[-1][0] == "p" and SENTENCE.search(said))
+            found.append((doubts, (path, said, chars, sum(len(PUNCTUATION.findall(s)) for _, s in run), link)))
     # Doubtful elements are boilerplate, unless one holds an article or much text, and far more than any container elsewhere.
     blocks = [b for doubts, b in found if not doubts]
     best, most = best_container(blocks)
@@ -191,7 +195,9 @@ def extract(page: str | None, threshold: float = 0.2, smoothing: float = 0.5, gr
     smooth = [0.0 if key[1] else (1 - smoothing) * own[key] + smoothing * mean[b] for key, b in zip(keys, nearest, strict=True)]
     top = max(v for v, i in zip(smooth, within, strict=True) if i)
     # The root grows over boxes whose paths compare with its best one, and that have some ratio themselves.
-    kept = [v >= threshold * top if i else not key[1] and v >= grow * top and mean[b] >= grow / 2 * top for v, key, b, i in zip(smooth, keys, nearest, within, strict=True)]
+    # In an article or main a sentence stays, however short its path's text is: the threshold decides about what is none.
+    whole = [not alone and not key[1] and bool(SENTENCE.search(said)) for key, (_, said, *_) in zip(keys, blocks, strict=True)]
+    kept = [w or v >= threshold * top if i else not key[1] and v >= grow * top and mean[b] >= grow / 2 * top for v, key, b, i, w in zip(smooth, keys, nearest, within, whole, strict=True)]
     if alone:
         # Around the root a heading goes with what it heads, and the last h1 before the root is its headline.
         heads = [k for k, (tags, _) in enumerate(keys) if not within[k] and any(t in HEADINGS for t in tags)]

@@ -18,7 +18,9 @@ patterns' words; these words are a written table, so Spark broadcasts them only
 Groups are reduced by partial aggregates and joins on hot neighbouring words are left to AQE's skew split.
 
 Positions: Spark returns matches without places, so a text is also split at them; piece and match lengths add up to places,
-in code points. Java's regular expressions are written with possessive loops, which need no stack, and with \\G and look-behind
+in code points. A fold over the matches goes by runs of RUN, so that what it has gathered is not copied at every match, and text is cut by blocks
+of BLOCK code points, so that no cut counts from the start of a long text: the work is linear in the text. Which spans overlap is told by
+running ends and starts in order of place, over the documents that hold spans to compare. Java's regular expressions are written with possessive loops, which need no stack, and with \\G and look-behind
 so that a long run is entered at its start only.
 
 Defined results: null text counts as empty (no spans); repeated rows give repeated results; null ids are kept; extra columns are
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from locusframe.llm.common import texts, written
 
@@ -60,6 +63,7 @@ NEEDED = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPACED, MARKS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 OTHER = r"[^\x20\x09-\x0D\p{L}0-9]"  # neither space, letter nor digit
+RUN, BLOCK = 256, 4096
 OCCURRENCE = "struct<kind:int,start:int,end:int,value:string,left:string,left2:string,right:string,seed:boolean>"
 
 
@@ -81,12 +85,43 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
-    """array<OCCURRENCE> of the valid matches of a pattern, in order."""
-    regex = F.lit(pattern)
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("p"), values.alias("v"), F.slice(pieces, 2, F.size(pieces)).alias("q"))
-    none = F.array().cast(f"array<{OCCURRENCE}>")
+def runs_of(items: Column) -> Column:
+    """An array cut into runs of RUN items. items: a column, not an expression, which every run would work out anew."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)))
+    return F.when(F.size(items) > 0, runs)
+
+
+def gathered(runs: Column, step, kind: str) -> Column:
+    """Fold over runs that gathers an array<kind>: step(state, item), state: (at, got), at from 0. One state a run: `at` carries on, `got` is the run's own."""
+    state = f"struct<at:int,got:array<{kind}>>"
+    begin = lambda done: F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0)).alias("at"), F.array().cast(f"array<{kind}>").alias("got"))
+    none = F.array().cast(f"array<{state}>")
+    return F.coalesce(F.aggregate(runs, none, lambda acc, run: F.concat(acc, F.array(F.aggregate(run, begin(acc), step).cast(state)))), none)
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text in blocks (a column, as in runs_of)."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    head = F.substring(block(i), start - i * BLOCK + 1, F.lit(BLOCK))
+    between = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    parts = F.when(i == j, F.substring(block(i), start - i * BLOCK + 1, end - start)).otherwise(F.concat(head, between, F.substring(block(j), F.lit(1), end - j * BLOCK)))
+    return F.when(end > start, parts).otherwise("")
+
+
+def matches(text: Column, kind: str, pattern: str, seed: bool) -> Column:
+    """Per match of a pattern the text before it, itself and the text after it, and last the text behind all; null where there can be none."""
+    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(NEEDED[kind, seed]), F.arrays_zip(pieces.alias("p"), values.alias("v"), F.slice(pieces, 2, F.size(pieces)).alias("q")))
+
+
+def occurrences(runs: Column, kind: str, seed: bool) -> Column:
+    """array<OCCURRENCE> of the valid ones of matches(), in order."""
     loose = {"phone": lambda v: F.length(F.regexp_replace(v, "[^0-9]+", "")) >= 7, "free": lambda v: F.length(v) >= FREE_LENGTH}
     checked = (lambda v: valid(kind, v)) if seed else loose.get(kind, lambda v: F.lit(True))
 
@@ -103,22 +138,38 @@ def occurrences(text: Column, kind: str, pattern: str, seed: bool) -> Column:
         keep = x["v"].isNotNull() & checked(x["v"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["got"], F.array(one.cast(OCCURRENCE)))).otherwise(acc["got"]).alias("got"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("got"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["got"])
-    return F.when(text.rlike(NEEDED[kind, seed]), F.when(F.size(values) > 0, found).otherwise(none)).otherwise(none)
+    return F.flatten(F.transform(gathered(runs, step, OCCURRENCE), lambda run: run["got"]))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, base (seed occurrences by start and kind) and more (candidates that overlap no base span; kind -1 where no shape fits)."""
+    """uid, doc_id, text_hash, base (seed occurrences by start and kind), shaped and free: candidates of a kind, and of any."""
     d = texts(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    d = d.select("uid", "doc_id", "text_hash", *[occurrences(F.col("text"), k, p, True).alias(f"b_{k}") for k, p in BASE.items()],
-                 *[occurrences(F.col("text"), k, p, False).alias(f"s_{k}") for k, p in SHAPES.items()],
-                 occurrences(F.col("text"), "free", FREE, False).alias("free"))
+    of = {**{f"b_{k}": (k, p, True) for k, p in BASE.items()}, **{f"s_{k}": (k, p, False) for k, p in SHAPES.items()}, "free": ("free", FREE, False)}
+    for step in (lambda n, k, p, seed: matches(F.col("text"), k, p, seed), lambda n, k, p, seed: runs_of(F.col(n)), lambda n, k, p, seed: occurrences(F.col(n), k, seed)):
+        d = d.select("uid", "doc_id", "text_hash", *(["text"] if "free" not in d.columns else []), *[step(n, *x).alias(n) for n, x in of.items()])
     by_place = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("a"), x["kind"].alias("b"), x["end"].alias("c"), x.alias("x")))), lambda y: y["x"])
-    d = d.select("uid", "doc_id", "text_hash", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("more"), "free")
-    apart = lambda c: lambda x: ~F.exists(c, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    d = d.withColumn("more", F.filter("more", apart("base")))
-    return d.select("uid", "doc_id", "text_hash", "base", F.concat("more", F.filter("free", lambda x: apart("base")(x) & apart("more")(x))).alias("more"))
+    return d.select("uid", "doc_id", "text_hash", by_place(F.concat(*[f"b_{k}" for k in BASE])).alias("base"), F.concat(*[f"s_{k}" for k in SHAPES]).alias("shaped"), "free")
+
+
+def apart(rows: DataFrame, holds: Column) -> DataFrame:
+    """Rows (uid, start, end, ...) without those that overlap a row of `holds` in their document; rows of `holds` stay.
+
+    By place, the furthest end of the holding rows that start no later, and the nearest start of those after.
+    """
+    w = Window.partitionBy("uid")  # both frames grow from the front: a frame that shrinks is worked out anew for every row
+    reach = F.max(F.when(holds, F.col("end"))).over(w.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    nearest = F.min(F.when(holds, F.col("start"))).over(w.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    d = rows.withColumns({"_reach": reach, "_next": nearest, "_holds": holds})
+    return d.where(F.col("_holds") | ~(F.coalesce(F.col("_reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False)))).drop("_reach", "_next", "_holds")
+
+
+def places(scan: DataFrame) -> DataFrame:
+    """uid and the fields of OCCURRENCE: all base occurrences, the shaped ones apart from these, and the free ones apart from both."""
+    level = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("level"), x.alias("o")))
+    all_ = scan.select("uid", (F.size("base") + F.size("shaped") > 0).alias("compare"), F.inline(F.concat(level("base", 0), level("shaped", 1), level("free", 2))))
+    all_ = all_.select("uid", "compare", "level", "o.*")
+    near = apart(apart(all_.where("compare"), F.col("level") == 0), F.col("level") <= 1)
+    return near.unionByName(all_.where("not compare")).drop("compare", "level")
 
 
 def standing(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -163,38 +214,48 @@ def scored_instances(occ: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds
 def find_pii(docs: DataFrame, accept: float = 0.9, rounds: int = 3) -> DataFrame:
     """doc_id, text_hash, base and spans: arrays of OCCURRENCE; spans holds the base and what the graph adds, by start and kind."""
     d = written(scanned(docs), "pii-scan")
-    both = d.select("uid", F.explode(F.concat("base", "more")).alias("o")).select("uid", "o.*")
+    both = written(places(d), "pii-places")
     good = scored_instances(both, docs, rounds, accept=accept).where(F.col("score") >= accept).select(F.col("kind").alias("as_kind"), "value", "score")
     fields = ["start", "kind", "end", "value", "left", "left2", "right", "seed"]
     one = F.struct(*[F.col("as_kind").alias(c) if c == "kind" else F.col(c) for c in fields])
-    new = both.where("not seed").join(good, "value").where("kind in (-1, as_kind)").groupBy("uid").agg(F.collect_set(F.struct("score", one.alias("o"))).alias("all"))
-    # Of overlapping candidates (a number may be a card or a phone) the better score stays, then the longer, the first and the lesser kind.
-    rank = lambda y: F.struct(-y["score"], y["o"]["start"] - y["o"]["end"], y["o"]["start"], y["o"]["kind"])
-    beaten = lambda x: F.exists("all", lambda y: (y["o"]["start"] < x["o"]["end"]) & (x["o"]["start"] < y["o"]["end"]) & (rank(y) < rank(x)))
-    new = new.select("uid", F.array_sort(F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: x["o"])).alias("new"))
+    new = both.where("not seed").join(good, "value").where("kind in (-1, as_kind)").select("uid", "score", one.alias("o")).distinct()
+    new = best_apart(new).groupBy("uid").agg(F.array_sort(F.collect_list("o")).alias("new"))
     by_start = F.transform("base", lambda x: F.struct(*[x[c].alias(c) for c in fields]))
     merged = F.array_sort(F.concat(by_start, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string,left2:string,right:string,seed:boolean>>"))))
     return d.join(new, "uid", "left").select("doc_id", "text_hash", "base", merged.alias("spans"))
 
 
+def best_apart(new: DataFrame, width: int = 32) -> DataFrame:
+    """Of overlapping candidates (a number may be a card or a phone) the better score stays, then the longer, the first and the lesser kind.
+
+    new: uid, score, o. Spans meet only those that touch the same stretch of `width` code points of their document.
+    """
+    rank = F.struct((-F.col("score")).alias("a"), (F.col("o.start") - F.col("o.end")).alias("b"), F.col("o.start").alias("c"), F.col("o.kind").alias("d"))
+    x = new.select("uid", "o", rank.alias("rank"), F.explode(F.sequence(F.floor(F.col("o.start") / width), F.floor((F.col("o.end") - 1) / width))).alias("at"))
+    y = x.select("uid", "at", F.col("rank").alias("other"), F.col("o.start").alias("lo"), F.col("o.end").alias("hi"))
+    beaten = x.join(y, ["uid", "at"]).where("lo < o.end and o.start < hi and other < rank").select("uid", "o").distinct()
+    return new.join(beaten, ["uid", "o"], "left_anti")
+
+
 def shown(spans: Column) -> Column:
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans are replaced once."""
+def with_masked(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
+    """df with `name`: the text with every span replaced by its kind in brackets; overlapping spans are replaced once. Without spans, the text."""
     label = lambda k: F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), k + 1), F.lit("]"))
+    hit = F.size(spans) > 0
 
     def step(acc, x):
-        after = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), label(x["kind"]))
-        parts = F.when(after, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), parts.alias("parts"))
-
-    done = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+        piece = F.concat(cut(F.col("_blocks"), acc["at"], F.greatest(x["start"], acc["at"])), label(x["kind"]))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["got"], F.array(piece))).otherwise(acc["got"]).alias("got"))
+
+    d = df.withColumns({"_blocks": F.when(hit, blocks_of(F.col(text))), "_runs": F.when(hit, runs_of(F.col(spans)))})
+    d = d.withColumn("_parts", F.when(hit, gathered(F.col("_runs"), step, "string")))
+    end = F.coalesce(F.try_element_at("_parts", F.lit(-1))["at"], F.lit(0))
+    done = F.concat(F.array_join(F.flatten(F.transform("_parts", lambda r: r["got"])), ""), cut(F.col("_blocks"), end, F.length(text)))
+    return d.withColumn(name, F.when(hit, done).otherwise(F.col(text))).drop("_blocks", "_runs", "_parts")
 
 
 def op3_personal_data(docs: DataFrame) -> DataFrame:

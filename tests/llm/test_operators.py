@@ -169,6 +169,40 @@ def test_op3_base_spans_and_bootstrapped_ones(spark, docs, rows, none):
     assert op3_personal_data(none).count() == 0
 
 
+def test_op3_long_texts_and_overlapping_spans(spark):
+    from pyspark.sql import functions as F
+
+    from locusframe.llm.pii import BLOCK, apart, best_apart, find_pii, with_masked
+
+    rng = np.random.default_rng(8)
+    word = lambda k: [f"w{k}é", f"a{k}@b.de", "10.0.0.7", "4994226020900891", f"+1 (743) 555-{k % 10000:04d}", "\U0001f600", "999.1.1.1", f"{k}-7/x"][rng.integers(8)]
+    rows = {1: " ".join(word(k) for k in range(4000)), 2: "", 3: "x" * (2 * BLOCK) + " a@b.de", 4: "a@b.de", 5: " ".join(["10.0.0.7"] * 600)}
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = find_pii(d)
+    got = {r.doc_id: [(x.start, x.kind, x.end) for x in r.base] for r in found.collect()}
+    kinds = list(BASE)
+    for i, x in rows.items():
+        assert [f"{kinds[k]}:{a}:{b}" for a, k, b in got[i]] == base_spans(x)
+    # Masks: from left to right, a span that begins inside the last one is skipped.
+    clean = {r.doc_id: r.m for r in with_masked(d.join(found.select("doc_id", "spans"), "doc_id"), "text", "spans", "m").collect()}
+    for r in found.collect():
+        at, out = 0, []
+        for x in r.spans:
+            if x.start >= at:
+                out += [rows[r.doc_id][at : x.start], f"[{kinds[x.kind]}]"]
+            at = max(at, x.end)
+        assert clean[r.doc_id] == "".join(out) + rows[r.doc_id][at:]
+    spans = [(int(u), int(a), int(a + rng.integers(1, 60)), bool(rng.random() < 0.3), float(rng.integers(1, 4))) for u, a in zip(rng.integers(0, 3, 300), rng.integers(0, 900, 300))]
+    t = spark.createDataFrame(spans, "uid long, start int, end int, hold boolean, score double")
+    meets = lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+    want = collections.Counter(x for x in spans if x[3] or not any(y[3] and meets(x, y) for y in spans))
+    assert collections.Counter(map(tuple, apart(t, F.col("hold")).collect())) == want
+    new = t.select("uid", "score", F.struct("start", F.lit(3).alias("kind"), "end").alias("o")).distinct()
+    rank = lambda x: (-x[4], x[1] - x[2], x[1])
+    best = {(x[0], x[1], x[2], x[4]) for x in spans if not any(meets(x, y) and rank(y) < rank(x) for y in spans)}
+    assert {(r.uid, r.o.start, r.o.end, r.score) for r in best_apart(new).collect()} == best
+
+
 def test_op3_patterns_weigh_all_instances_and_learn_from_found_ones(spark):
     from locusframe.llm.pii import op3_personal_data
 
@@ -370,7 +404,58 @@ def test_op8_paths_decide_about_unnamed_boilerplate():
     page = ("<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs[:3]) + "<div>Buy phones now!</div><ul><li>flax</li><li>salt</li></ul>"
             "<ul><li><a href=1>Ten other towns</a></li><li><a href=2>Five rivers</a></li></ul><div><p>Site moves in May.</p></div>"
             "<div class=x><pre>a = b</pre><section><h2>Later</h2>" + "".join(f"<p>{x}</p>" for x in paragraphs[3:]) + "</section></div></article>")
-    assert extract(page).split("\n") == ["Title", *paragraphs[:3], "flax", "salt", "a = b", "Later", *paragraphs[3:]]
+    kept = ["Title", *paragraphs[:3], "flax", "salt", "Site moves in May.", "a = b", "Later", *paragraphs[3:]]
+    assert extract(page).split("\n") == kept
+    assert len(extract(page, threshold=0).split("\n")) > len(kept)  # the threshold drops the unnamed advert
+
+
+def test_op8_keeps_short_sentences_links_and_odd_attributes_of_an_article():
+    from locusframe.llm.html_text import extract
+
+    long = "The town lies by a river, and its people, who are many, have always lived by trade; so it was then."
+    for odd, text in (('<p data-id="ad">It rained, then.</p>', "It rained, then."), ('<p data-class="footer" aria-role="nav">It rained.</p>', "It rained."), ("<div><span>He said no.</span></div>", "He said no."), ("<p><a href=1>All of this is told in another book.</a></p>", "All of this is told in another book.")):
+        for tag in ("article", "main"):
+            assert extract(f"<body><nav><a>Home</a></nav><{tag}><p>{long}</p>{odd}<p>{long}</p></{tag}><div class='ad'>Buy now.</div></body>").split("\n") == [long, text, long], odd
+    assert extract(f"<body><article><p>{long}</p><p id=ad>Buy now.</p></article></body>") == long
+
+
+def test_op8_equals_a_plain_parse_of_the_driver_s_pages(spark):
+    """The article's blocks by Python's own parser, for every page of sf0.01 (menus, adverts, footers and scripts all stand outside articles there)."""
+    from html.parser import HTMLParser
+
+    from locusframe.llm.html_text import main_text
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.lines, self.inside, self.skip = [""], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article"):
+                self.lines.append("")
+            elif tag in ("br", "img"):
+                self.lines[-1] += " " * bool(self.inside)
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article"):
+                self.lines.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.lines[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        p = Plain()
+        p.feed(r.html)
+        want[r.page_id] = [x for x in (re.sub(r"\s+", " ", x).strip() for x in p.lines) if x]
+    got = {r.page_id: r.text.split("\n") for r in main_text(pages).collect()}
+    assert got == want
 
 
 def test_op8_pages_of_divs_only():
