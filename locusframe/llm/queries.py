@@ -93,8 +93,9 @@ ORACLE_SQL = {
     "op6_quality_rules": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
- g AS (SELECT rid, UNNEST(RANGE(1, len(ws) - 3)) AS p, ws FROM w WHERE len(ws) >= 5),
- h AS (SELECT rid, p, COUNT(*) OVER (PARTITION BY rid, ws[p], ws[p + 1], ws[p + 2], ws[p + 3], ws[p + 4]) AS n FROM g),
+ o AS (SELECT rid, UNNEST(ws) AS x, UNNEST(RANGE(1, len(ws) + 1)) AS p FROM w WHERE len(ws) >= 5),
+ g AS (SELECT rid, p, x || ' ' || LEAD(x) OVER q || ' ' || LEAD(x, 2) OVER q || ' ' || LEAD(x, 3) OVER q || ' ' || LEAD(x, 4) OVER q AS five FROM o WINDOW q AS (PARTITION BY rid ORDER BY p)),
+ h AS (SELECT rid, p, COUNT(*) OVER (PARTITION BY rid, five) AS n FROM g WHERE five IS NOT NULL),
  r AS (SELECT rid, COUNT(DISTINCT p + k) AS n_rep FROM (SELECT rid, p, UNNEST([0, 1, 2, 3, 4]) AS k FROM h WHERE n > 1) x GROUP BY rid),
  c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(n_rep, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^!]+', '', 'g')) AS bang, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS upper,

@@ -506,9 +506,33 @@ def test_op10_equals_brute_force(spark):
             s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(b) == len(a))[:10]
             want += [(q, k + 1, i, -t) for k, (t, i) in enumerate(s)]
     assert list(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want)
+    for how in ({"shard_rows": 40, "regions": 5, "sample": 100, "query_rows": 2}, {"shard_rows": 5000}):
+        again = topk(v, **how).toPandas().sort_values(["query_id", "rank"])
+        assert list(again[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want), how
     assert topk(v.limit(0)).count() == 0
 
 
+def test_op10_visits_only_shards_whose_boxes_can_reach_the_score(spark):
+    from locusframe.llm import topk as T
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 3)) * 40
+    m = np.concatenate([c + rng.normal(size=(60, 3)) for c in centres])
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+    got = T.topk(v, shard_rows=30, regions=64, query_mod=20)
+    want = collections.defaultdict(list)
+    z = [[math.floor(1024 * x) for x in r] for r in m]
+    for q in range(0, len(m), 20):
+        s = sorted((-sum(x * y for x, y in zip(z[q], b)), i) for i, b in enumerate(z) if i != q)[:10]
+        want[q] = [(i, -t) for t, i in s]
+    found = collections.defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert found == want
+    made = [p for p in __import__("locusframe.llm.common", fromlist=["_MADE"])._MADE if "topk-visits" in p][-1]
+    assert spark.read.parquet(made).count() < 0.5 * len(want) * 24
+
+
 def test_pipeline_stages(spark, rows):
     corpus = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{D}/documents.parquet")
