@@ -268,11 +268,12 @@ def _ask(shards: int, hot):
                 g = Bigrams(row, shards, hot)
                 count = g.counts()
                 five = g.successor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                cut = np.searchsorted(g.seg_shard, np.arange(shards + 1))
+                present, cut = np.unique(g.seg_shard, return_index=True)  # only shards that the block has a question for
+                cut = np.append(cut, len(g.seg_shard))
                 pairs = np.concatenate([[0], np.cumsum(g.seg_size)])[cut]
                 out = []
-                for s in np.flatnonzero(np.diff(cut)):
-                    (p, q), (u, v) = cut[s : s + 2], pairs[s : s + 2]
+                for k, s in enumerate(present):
+                    (p, q), (u, v) = cut[k : k + 2], pairs[k : k + 2]
                     out.append((row.block, s, g.seg_name[p:q].tobytes(), *_small(g.seg_size[p:q]), five[u:v].tobytes(), *_small(count[u:v])))
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in ASKED.split(", ")])
 

@@ -132,9 +132,10 @@ def _distinct(shard: np.ndarray, a: np.ndarray, b: np.ndarray):
     return s[first], x[first], y[first], np.diff(np.concatenate([first, [len(order)]])) > 1, inverse
 
 
-def _asked(name: int, shard, a, b, twice, shards: int) -> pd.DataFrame:
-    cut = np.searchsorted(shard, np.arange(shards + 1))
-    rows = [(name, s, a[p:q].tobytes(), b[p:q].tobytes(), twice[p:q].tobytes()) for s, (p, q) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if p < q]
+def _asked(name: int, shard, a, b, twice) -> pd.DataFrame:
+    """One row a shard that occurs (shard is sorted)."""
+    present, cut = np.unique(shard, return_index=True)
+    rows = [(name, int(s), a[p:q].tobytes(), b[p:q].tobytes(), twice[p:q].tobytes()) for s, p, q in zip(present, cut, np.append(cut, len(shard))[1:], strict=True)]
     return pd.DataFrame(rows, columns=["block", "shard", "a", "b", "twice"])
 
 
@@ -185,7 +186,7 @@ def _open(size: int, gram: int, shards: int, splitters: np.ndarray):
             *_, inverse = _of_anchors(block, shards)
             code = _codes(answers, int(inverse.max(initial=-1)) + 1)[inverse]
             _, (shard, a, b, twice, _) = _of_suffixes(block, code, splitters)
-            out.append(_asked(row.block, shard, a, b, twice, len(splitters) + 1))
+            out.append(_asked(row.block, shard, a, b, twice))
         return pd.concat(out) if out else pd.DataFrame(columns=["block", "shard", "a", "b", "twice"])
 
     return run
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes
         for b in batches:
             for row in b.itertuples():
                 shard, x, y, twice, _ = _of_anchors(Block(row, size, gram), shards)
-                yield _asked(row.block, shard, x, y, twice, shards)
+                yield _asked(row.block, shard, x, y, twice)
 
     first = written(packed.mapInPandas(ask, ASKED).groupBy("shard").applyInPandas(_answer, ANSWER), "anchor-answers", "lz4")
 
