@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from locusframe.sources.shared import written
+
 ALLELES = ["chr", "pos", "ref", "alt"]
 
 
@@ -196,13 +198,15 @@ def coloc_pp(a: DataFrame, b: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12
 def average_precision(df: DataFrame, keys: list[str], label: str, score: str, weight: Column | None = None) -> DataFrame:
     """Sum over score steps of recall gain times precision; tied scores are one step; one class gives null.
 
-    Steps are cut at 255 quantiles of the score: running sums are taken within a range of scores, and the ranges' totals, at most
-    256 a key, are summed on top, so a pooled curve is not one task's work.
+    Steps are written once and cut at 255 quantiles of their key's scores: running sums are taken within a range of scores, and the
+    ranges' totals, at most 256 a key, are summed on top, so a pooled curve is not one task's work.
     """
     w = F.lit(1.0) if weight is None else weight
     steps = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*keys, score).agg(F.sum(w * F.col(label)).alias("tp"), F.sum(w).alias("n"))
-    cuts = steps.agg(F.percentile_approx(score, [k / 256 for k in range(1, 256)], 10_000)).scalar()
-    steps = steps.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    steps = written(steps, "precision-steps")
+    quantiles = F.percentile_approx(score, [k / 256 for k in range(1, 256)], 10_000)
+    steps = steps.join(steps.groupBy(*keys).agg(quantiles.alias("_cuts")), keys) if keys else steps.withColumn("_cuts", steps.agg(quantiles).scalar())
+    steps = steps.withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
     ranges = steps.groupBy(*keys, "_range").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
     above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*keys, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c) for c in ("_tp", "_n")])

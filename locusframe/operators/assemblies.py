@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.keys import variant_features, variant_type
 from locusframe.operators.aggregates import ALLELES, best_pip_row, peak_summary, sample_negatives
 from locusframe.operators.features import tf_summary
-from locusframe.operators.joins import annotate_intervals, keep_annotated, max_link_score
+from locusframe.operators.joins import annotate_intervals, keep_annotated, link_scores
 from locusframe.operators.study import clean_features
 
 
@@ -37,8 +37,7 @@ def gene_feature_table(fits: DataFrame, order: list[Column], intervals: DataFram
     v = keep_annotated(best_pip_row(fits, order), annotate_intervals(fits, intervals).select(*ALLELES).distinct(), ALLELES)
     distance = F.col("_tss") - F.col("pos")
     v = v.join(genes.groupBy("gene_id").agg(F.avg("gene_tss").alias("_tss")), "gene_id", "left").withColumns({"distance_TSS": distance, "abs_distance_TSS": F.abs(distance), "abs_distance_TSS_log": F.when(distance != 0, F.log(F.abs(distance)))}).drop("_tss")
-    score = max_link_score(v, links, list(cells.values())).groupBy("gene_id", *ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col("abc_score"))).alias(n) for n, c in cells.items()])
-    v = v.join(score, ["gene_id", *ALLELES], "left")
+    v = link_scores(v, links, cells)
     if peaks is not None:
         p = peak_summary(peaks, *shape, keys=ALLELES)
         v = v.join(p, ALLELES, "left").fillna(0.0, [c for c in p.columns if c not in ALLELES])

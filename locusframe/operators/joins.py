@@ -53,6 +53,14 @@ def max_link_score(variants: DataFrame, links: DataFrame, cells: list[str], w: i
     return every.join(best, ["gene_id", *ALLELES, "cell"], "left").withColumn("abc_score", F.coalesce("abc_score", F.lit(0.0)))
 
 
+def link_scores(variants: DataFrame, links: DataFrame, cells: dict[str, str], w: int = 1024, width: int = 4096) -> DataFrame:
+    """J5 in wide form: the variants with one column a cell (name: cell), 0 without a link. Hits are aggregated wide, so pairs are neither copied a cell nor pivoted back."""
+    pairs = variants.select("gene_id", *ALLELES).distinct()
+    near = range_join(pairs, links.where(F.col("cell").isin(list(cells.values()))).select("gene_id", "chr", "cell", "start_pos", "end_pos", "abc_score"), ["gene_id", "chr"], F.col("pos"), F.col("start_pos") - w, F.col("end_pos") + w, width)
+    best = near.groupBy("gene_id", *ALLELES).agg(*[F.max(F.when(F.col("cell") == c, F.col("abc_score"))).alias(n) for n, c in cells.items()])
+    return variants.join(best, ["gene_id", *ALLELES], "left").fillna(0.0, list(cells))
+
+
 def pair_genes(variants: DataFrame, genes: DataFrame, w: int = 1_000_000) -> DataFrame:
     """Variants paired with their given genes, else with every gene whose TSS lies within w; distinct.
 
