@@ -81,7 +81,7 @@ def crosscell_rows(genes: DataFrame, fits: DataFrame, members: DataFrame, priors
     # Only effects whose set is still there meet; their Bayes factors at all shared variants count.
     side = fits.join(left.join(open_, PAIR, "left_semi").withColumnRenamed("idx", "effect"), [*FIT, "effect"]).select(*PAIR, "effect", "variant_key", "lbf")
     turned = side.where("cell > other_cell").select("gene_id", "prior", F.col("other_cell").alias("cell"), F.col("cell").alias("other_cell"), "effect", "variant_key", "lbf")
-    pp = coloc_pp(side.where("cell < other_cell"), turned, least=least, scope=PAIR)
+    pp = coloc_pp(side.where("cell < other_cell"), turned, least=1, scope=PAIR)  # the pair has enough; its effects may lie on fewer
     pp = written(pp.where(F.forall(F.array(*PP), lambda x: x.isNotNull() & ~F.isnan(x))), "crosscell-tests")
     here = {"cell": "cell", "other_cell": "other_cell", "idx": "effect1", "other_idx": "effect2", "hit1": "hit1", "hit2": "hit2", "pp_h1": "pp_h1", "pp_h2": "pp_h2"}
     there = {"cell": "other_cell", "other_cell": "cell", "idx": "effect2", "other_idx": "effect1", "hit1": "hit2", "hit2": "hit1", "pp_h1": "pp_h2", "pp_h2": "pp_h1"}

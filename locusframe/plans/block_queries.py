@@ -20,25 +20,26 @@ from locusframe.sources.shared import shared_folder
 # --- colocalization between cells ------------------------------------------------------------------------------------
 
 PRIORS = ["uniform", "EMS"]
-_FITS = """fm AS (SELECT gene_id, 'uniform' AS prior, cell, effect, variant_key, lbf FROM fx_fit UNION ALL SELECT gene_id, 'EMS', cell, effect, variant_key, CASE WHEN gene_id LIKE '%3' AND cell = 'cell0' AND effect = 2 THEN NULL ELSE lbf END FROM fx_fit
+_FITS = """fm AS MATERIALIZED (SELECT gene_id, 'uniform' AS prior, cell, effect, variant_key, lbf FROM fx_fit UNION ALL SELECT gene_id, 'EMS', cell, effect, variant_key, CASE WHEN gene_id LIKE '%3' AND cell = 'cell0' AND effect = 2 THEN NULL ELSE lbf END FROM fx_fit
   WHERE NOT (gene_id LIKE '%7' AND cell = 'cell2') AND NOT (gene_id LIKE '%1' AND cell = 'cell1' AND variant_key % 16 <> 0)),
  m1 AS (SELECT *, MAX(lbf) OVER e AS mx FROM fm WHERE lbf IS NOT NULL WINDOW e AS (PARTITION BY gene_id, prior, cell, effect)), m2 AS (SELECT *, EXP(lbf - mx) / SUM(EXP(lbf - mx)) OVER (PARTITION BY gene_id, prior, cell, effect) AS alpha FROM m1),
  m3 AS (SELECT *, COALESCE(SUM(alpha) OVER (PARTITION BY gene_id, prior, cell, effect ORDER BY alpha DESC, variant_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m2),
- mem AS (SELECT gene_id, prior, cell, effect AS idx, variant_key, alpha FROM m3 WHERE b < CASE WHEN prior = 'EMS' THEN 0.02 ELSE 0.5 END AND NOT (gene_id LIKE '%4' AND cell = 'cell1')),
+ mem AS MATERIALIZED (SELECT gene_id, prior, cell, effect AS idx, variant_key, alpha FROM m3 WHERE b < CASE WHEN prior = 'EMS' THEN 0.02 ELSE 0.5 END AND NOT (gene_id LIKE '%4' AND cell = 'cell1')),
  sl AS (SELECT gene_id, prior, cell FROM (SELECT DISTINCT gene_id FROM fx_gene) g, (SELECT UNNEST(['uniform', 'EMS']) AS prior), (SELECT UNNEST(['cell0', 'cell1', 'cell2']) AS cell)),
- st AS (SELECT sl.*, CASE WHEN n IS NULL THEN 'no fit' WHEN bad THEN 'unreadable fit' WHEN k IS NULL THEN 'no credible set' ELSE 'ok' END AS status FROM sl LEFT JOIN (SELECT gene_id, prior, cell, COUNT(*) AS n, BOOL_OR(lbf IS NULL) AS bad FROM fm GROUP BY ALL) f USING (gene_id, prior, cell)
+ st AS MATERIALIZED (SELECT sl.*, CASE WHEN n IS NULL THEN 'no fit' WHEN bad THEN 'unreadable fit' WHEN k IS NULL THEN 'no credible set' ELSE 'ok' END AS status FROM sl LEFT JOIN (SELECT gene_id, prior, cell, COUNT(*) AS n, BOOL_OR(lbf IS NULL) AS bad FROM fm GROUP BY ALL) f USING (gene_id, prior, cell)
   LEFT JOIN (SELECT gene_id, prior, cell, COUNT(*) AS k FROM mem GROUP BY ALL) s USING (gene_id, prior, cell)),
- v AS (SELECT DISTINCT gene_id, prior, cell, variant_key FROM fm JOIN st USING (gene_id, prior, cell) WHERE status = 'ok'),
+ v AS MATERIALIZED (SELECT DISTINCT gene_id, prior, cell, variant_key FROM fm JOIN st USING (gene_id, prior, cell) WHERE status = 'ok'),
  sh AS (SELECT x.gene_id, x.prior, x.cell, y.cell AS other_cell, COUNT(*) AS n FROM v x JOIN v y ON x.gene_id = y.gene_id AND x.prior = y.prior AND x.variant_key = y.variant_key AND x.cell <> y.cell GROUP BY ALL),
- lf AS (SELECT DISTINCT m.gene_id, m.prior, m.cell, y.cell AS other_cell, m.idx FROM mem m JOIN v y ON m.gene_id = y.gene_id AND m.prior = y.prior AND m.variant_key = y.variant_key AND m.cell <> y.cell),
+ lf AS MATERIALIZED (SELECT DISTINCT m.gene_id, m.prior, m.cell, y.cell AS other_cell, m.idx FROM mem m JOIN v y ON m.gene_id = y.gene_id AND m.prior = y.prior AND m.variant_key = y.variant_key AND m.cell <> y.cell),
  lp AS (SELECT DISTINCT gene_id, prior, cell, other_cell FROM lf),
- nt AS (SELECT a.gene_id, a.prior, a.cell, b.cell AS other_cell, CASE WHEN b.status <> 'ok' THEN b.status || ' in other cell' WHEN COALESCE(n, 0) < 10 THEN 'fewer than 10 shared variants' WHEN p.cell IS NULL OR q.cell IS NULL THEN 'credible set has no shared variants' END AS note
+ nt AS MATERIALIZED (SELECT a.gene_id, a.prior, a.cell, b.cell AS other_cell, CASE WHEN b.status <> 'ok' THEN b.status || ' in other cell' WHEN COALESCE(n, 0) < 10 THEN 'fewer than 10 shared variants' WHEN p.cell IS NULL OR q.cell IS NULL THEN 'credible set has no shared variants' END AS note
   FROM st a JOIN st b ON a.gene_id = b.gene_id AND a.prior = b.prior AND a.cell <> b.cell AND a.status = 'ok' LEFT JOIN sh ON sh.gene_id = a.gene_id AND sh.prior = a.prior AND sh.cell = a.cell AND sh.other_cell = b.cell
   LEFT JOIN lp p ON p.gene_id = a.gene_id AND p.prior = a.prior AND p.cell = a.cell AND p.other_cell = b.cell LEFT JOIN lp q ON q.gene_id = a.gene_id AND q.prior = a.prior AND q.cell = b.cell AND q.other_cell = a.cell),
- t AS (SELECT nt.gene_id, nt.prior, nt.cell, nt.other_cell, a.idx, b.idx AS other_idx FROM nt JOIN lf a ON a.gene_id = nt.gene_id AND a.prior = nt.prior AND a.cell = nt.cell AND a.other_cell = nt.other_cell
+ t AS MATERIALIZED (SELECT nt.gene_id, nt.prior, nt.cell, nt.other_cell, a.idx, b.idx AS other_idx FROM nt JOIN lf a ON a.gene_id = nt.gene_id AND a.prior = nt.prior AND a.cell = nt.cell AND a.other_cell = nt.other_cell
   JOIN lf b ON b.gene_id = nt.gene_id AND b.prior = nt.prior AND b.cell = nt.other_cell AND b.other_cell = nt.cell WHERE note IS NULL),
- j AS (SELECT t.*, a.lbf AS l1, b.lbf AS l2 FROM t JOIN fm a ON a.gene_id = t.gene_id AND a.prior = t.prior AND a.cell = t.cell AND a.effect = t.idx JOIN fm b ON b.gene_id = t.gene_id AND b.prior = t.prior AND b.cell = t.other_cell AND b.effect = t.other_idx AND b.variant_key = a.variant_key),
- s AS (SELECT gene_id, prior, cell, other_cell, idx, other_idx, COUNT(*) AS nsnps, SUM(EXP(l1)) AS e1, SUM(EXP(l2)) AS e2, SUM(EXP(l1 + l2)) AS e12 FROM j GROUP BY ALL HAVING COUNT(*) >= 10),
+ ja AS MATERIALIZED (SELECT t.*, a.variant_key, a.lbf AS l1 FROM t JOIN fm a ON a.gene_id = t.gene_id AND a.prior = t.prior AND a.cell = t.cell AND a.effect = t.idx),
+ j AS (SELECT ja.*, b.lbf AS l2 FROM ja JOIN fm b ON b.gene_id = ja.gene_id AND b.prior = ja.prior AND b.cell = ja.other_cell AND b.effect = ja.other_idx AND b.variant_key = ja.variant_key),
+ s AS MATERIALIZED (SELECT gene_id, prior, cell, other_cell, idx, other_idx, COUNT(*) AS nsnps, SUM(EXP(l1)) AS e1, SUM(EXP(l2)) AS e2, SUM(EXP(l1 + l2)) AS e12 FROM j GROUP BY ALL),
  h AS (SELECT *, CAST(1e-4 AS DOUBLE) * e1 AS h1, CAST(1e-4 AS DOUBLE) * e2 AS h2, CAST(1e-8 AS DOUBLE) * (e1 * e2 - e12) AS h3, CAST(5e-6 AS DOUBLE) * e12 AS h4 FROM s),
  xc AS (SELECT gene_id, prior, cell, idx, other_cell, other_idx, CAST(NULL AS VARCHAR) AS note, nsnps, h3 / (1 + h1 + h2 + h3 + h4) AS p3, h4 / (1 + h1 + h2 + h3 + h4) AS p4 FROM h
   UNION ALL SELECT gene_id, prior, cell, NULL, NULL, NULL, status, NULL, NULL, NULL FROM st WHERE status <> 'ok'

@@ -625,7 +625,7 @@ def _(g):
     return files.prep_gwas(g.select("chr", "pos", "n", F.col("z").alias("beta"), se.alias("se")))
 
 
-_ANN = {"promo": "PROMO", "economy": "ECONOMY"}
+_ANN = {a.lower(): a for a in ("PROMO", "ECONOMY", "STANDARD", "MEDIUM", "LARGE", "SMALL")}
 _BEST = f"v AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY gene_id, {AL} ORDER BY pip DESC, src_order, src_line) AS r FROM fx_pip) t WHERE r = 1)"
 
 
@@ -637,13 +637,14 @@ def _tracks(d):
     return d.select(*ALLELES, F.col("src_line").alias("track"), (F.col("pip") * 9 - 4.5).alias("v"))
 
 
-@query("M1_variant_annotations", f"""WITH t AS (SELECT {AL}, CAST(TRUNC(MAX(pip * 9 - 4.5)) AS INT) AS tf_c FROM fx_pip WHERE src_line < 4 AND src_line <> 2 GROUP BY ALL),
- i AS (SELECT {V}, MAX(CAST(annotation = '{_ANN["promo"]}' AS INT)) AS promo, MAX(CAST(annotation = '{_ANN["economy"]}' AS INT)) AS economy
-  FROM t v JOIN fx_interval i ON i.chr = v.chr AND start_pos <= v.pos - 1 AND end_pos >= v.pos AND annotation IN ('{_ANN["promo"]}', '{_ANN["economy"]}') GROUP BY ALL)
-SELECT t.*, COALESCE(promo, 0) AS promo, COALESCE(economy, 0) AS economy, COALESCE(promo, 0) * tf_c AS promo_x_c, COALESCE(economy, 0) * tf_c AS economy_x_c FROM t LEFT JOIN i USING ({AL})""", "fx_pip", "fx_interval")
+@query("M1_variant_annotations", f"""WITH t AS (SELECT {AL}, CAST(TRUNC(MAX(pip * 9 - 4.5)) AS INT) AS tf_c, CAST(TRUNC(MAX(pip * 9 - 4.5) FILTER (src_line < 4)) AS INT) AS tf_d FROM fx_pip WHERE src_line <> 2 GROUP BY ALL),
+ i AS (SELECT {V}, {", ".join(f"MAX(CAST(annotation = '{a}' AS INT)) AS {n}" for n, a in _ANN.items())} FROM t v JOIN fx_interval i ON i.chr = v.chr AND start_pos <= v.pos - 1 AND end_pos >= v.pos GROUP BY ALL)
+SELECT {AL}, tf_c, tf_d, {", ".join(f"COALESCE({n}, 0) AS {n}, COALESCE({n}, 0) * tf_c AS {n}_x_c, COALESCE({n}, 0) * tf_d AS {n}_x_d" for n in _ANN)} FROM t LEFT JOIN i USING ({AL})""", "fx_pip", "fx_interval")
 def _(d, i):
+    """All annotations, all tracks but the second (the CAGE one), two cells: c has every track, d the first ones."""
     cage = d.where("src_line = 2").select(F.col("src_line").alias("track"))
-    return M.variant_annotations(d, i, _ANN, _tracks(d), _lists(d), ["c"], cage)
+    every = d.select(F.col("src_line").alias("track")).distinct().withColumn("cell", F.lit("c"))
+    return M.variant_annotations(d, i, _ANN, _tracks(d), every.unionByName(_lists(d).withColumn("cell", F.lit("d"))), ["c", "d"], cage)
 
 
 _LINK = lambda name, cell: f"""{name} AS (SELECT k.gene_id, k.chr, k.pos, k.ref, k.alt, MAX(abc_score) AS {name} FROM k JOIN fx_gene_link l ON l.gene_id = k.gene_id AND l.chr = k.chr AND l.cell = '{cell}'
