@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from itertools import islice
 
@@ -11,46 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import drop_shared as drop_scratch  # noqa: F401 (for callers)
+from locusframe.sources.shared import shared_folder as scratch  # noqa: F401
+from locusframe.sources.shared import written  # noqa: F401
+
 #: Java's form of the contract's word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset the job stops: no local folder stands in on a cluster.
-
-    On a local master, where every task shares the driver's disk, the warehouse serves.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-_MADE: list[str] = []
-
-
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables of this session. Lazy results read them, so call it once those are written; returns how many went."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

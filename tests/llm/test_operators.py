@@ -514,6 +514,7 @@ def test_op10_equals_brute_force(spark):
 
 def test_op10_visits_only_shards_whose_boxes_can_reach_the_score(spark):
     from locusframe.llm import topk as T
+    from locusframe.sources import shared
 
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 3)) * 40
@@ -529,7 +530,7 @@ def test_op10_visits_only_shards_whose_boxes_can_reach_the_score(spark):
     for r in got.orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     assert found == want
-    made = [p for p in __import__("locusframe.llm.common", fromlist=["_MADE"])._MADE if "topk-visits" in p][-1]
+    made = [p for p in shared._MADE if "topk-visits" in p][-1]
     assert spark.read.parquet(made).count() < 0.5 * len(want) * 24
 
 
