@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,18 +35,22 @@ def write_by_chr(df: DataFrame, path: str, part_bytes: int = 128 << 20, rows_a_f
     Rows are dealt by chromosome and then rebalanced at run time: a chromosome larger than that is split over tasks, small ones share a
     task. rows_a_file bounds a file's rows besides.
     """
-    rebalanced(df, ["chr"], part_bytes).write.partitionBy("chr").mode("overwrite").option("maxRecordsPerFile", rows_a_file).option("compression", "snappy").parquet(path)
-
+    with part_size(df.sparkSession, part_bytes):
+        df.hint("rebalance", "chr").write.partitionBy("chr").mode("overwrite").option("maxRecordsPerFile", rows_a_file).option("compression", "snappy").parquet(path)
 
-def rebalanced(df: DataFrame, keys: list[str], part_bytes: int) -> DataFrame:
-    """df dealt by keys into partitions of about part_bytes: the most that a task writes is the skewed key's share cut to that size.
 
-    The size is a setting of the session, read when a query over df is planned; what follows in the session keeps it.
-    """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(part_bytes))
-    conf.set("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
-    return df.hint("rebalance", *keys)
+@contextmanager
+def part_size(spark: SparkSession, part_bytes: int):
+    """Within it, rebalanced partitions have about part_bytes: a skewed key's share is cut to that size, small keys share a task. The session's own size comes back after."""
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    spark.conf.set(name, str(part_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def write_release(released: DataFrame, path: str, by: list[str], part_bytes: int = 128 << 20) -> None:
@@ -52,8 +58,9 @@ def write_release(released: DataFrame, path: str, by: list[str], part_bytes: int
 
     The checks of release_sets run while the rows are written; a fault fails the job before anything is replaced.
     """
-    out = rebalanced(released, [*by, "CHROM"], part_bytes).sortWithinPartitions(*by, "CHROM", "POS", "GENE_ID", "CS_INDEX", "ID")
-    out.write.partitionBy(*by, "CHROM").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    with part_size(released.sparkSession, part_bytes):
+        out = released.hint("rebalance", *by, "CHROM").sortWithinPartitions(*by, "CHROM", "POS", "GENE_ID", "CS_INDEX", "ID")
+        out.write.partitionBy(*by, "CHROM").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_counts(counts: DataFrame, path: str, by: list[str]) -> None:

@@ -246,14 +246,14 @@ def test_releases_fail_on_every_fault_and_reruns_replace_their_own_rows(spark):
 
 def test_a_hot_chromosome_is_split_over_files_and_small_ones_are_not(spark):
     d = spark.range(0, 400_000, 1, 16).select(F.when(F.col("id") < 390_000, "chr1").otherwise(F.concat(F.lit("chr"), (F.col("id") % 20 + 2).cast("string"))).alias("chr"), F.xxhash64("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
-    at = shared_folder(spark, "hot")
+    at, before = shared_folder(spark, "hot"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
     files.write_by_chr(d, at, part_bytes=2 << 20)
     files_of = spark.read.parquet(at).select("chr", F.col("_metadata.file_path").alias("f")).groupBy("chr", "f").count().collect()
     n = {r.chr: sum(q.chr == r.chr for q in files_of) for r in files_of}
     sizes = [r["count"] for r in files_of]
     assert len(n) == 21 and n["chr1"] >= 8 and all(v <= 2 for c, v in n.items() if c != "chr1") and max(sizes) < 80_000
     assert spark.read.parquet(at).count() == 400_000
-    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) == before
 
 
 # --- held-out trees --------------------------------------------------------------------------------------------------
