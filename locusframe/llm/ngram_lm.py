@@ -379,17 +379,18 @@ def hot_contexts(blocks: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
     return names[order], np.array([2 + r.times // hot for r in rows], np.int64)[order]
 
 
-def score_documents(docs: DataFrame, held_mod: int = 5, held: int = 1, block_words: int = 1_000_000, shard_chars: int = 12_000_000, hot: int = 500_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_mod: int = 5, held: int = 1, block_words: int = 1_000_000, shard_chars: int = 12_000_000, hot: int = 500_000, most_hot: int = 1 << 20) -> DataFrame:
     """Scores of all documents under the model learnt from those whose crc32(doc_id) mod held_mod is not `held`.
 
-    block_words, shard_chars and hot bound what a task holds; the number of shards follows the text's size.
+    block_words, shard_chars and hot bound what a task holds; the number of shards follows the text's size. Contexts of more than `hot`
+    occurrences, or of more than a share 1 / most_hot of all tokens, if that is more, are split: at most 2 * most_hot names (16 bytes each) go to all tasks.
     """
     src = texts(docs).withColumn("train", F.coalesce(crc_mod(F.col("doc_id"), held_mod) != held, F.lit(True)))
     blocks = written(src.mapInPandas(_encode(block_words), BLOCK), "lm-blocks")
     tokens = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = max(1, -(-6 * tokens // shard_chars))
     least = 1 / (4 * max(1, tokens))
-    split = hot_contexts(blocks, hot)
+    split = hot_contexts(blocks, max(hot, tokens // most_hot))
     asked = blocks.select("block", "train", "lengths", "vocabulary", "words").mapInPandas(_ask(shards, split), ASKED)
     answers = written(asked.groupBy("shard").applyInPandas(_answer(least, split), ANSWER), "lm-answers", "lz4")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

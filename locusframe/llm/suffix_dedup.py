@@ -143,12 +143,17 @@ def _of_anchors(block: Block, shards: int):
     return _distinct((block.anchor % np.uint64(shards)).astype(np.int64), block.anchor, block.whole)
 
 
-def _of_suffixes(block: Block, code: np.ndarray, splitters: np.ndarray):
-    """The open suffixes of a block: those of anchors with more than one territory; of equal territories the first asks for all."""
+def _of_suffixes(block: Block, code: np.ndarray, splitters: np.ndarray, inner: int):
+    """The open suffixes of a block: those of anchors with more than one territory; of equal territories the first asks for all.
+
+    A range between splitters is dealt on over `inner` buckets by a hash of the leading bytes; a lead that fills ranges of its own, by its print.
+    """
     at = block.suffixes(np.flatnonzero((code & 6) == 6))
     lead, print_ = block.lead(at), block.hash(at, block.size)
     lo, hi = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
     shard = lo + (print_ % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
+    if inner > 1:
+        shard = shard * inner + (np.where(hi > lo, mix(print_), mix(lead)) % np.uint64(inner)).astype(np.int64)
     return at, _distinct(shard, lead, print_)
 
 
@@ -178,28 +183,28 @@ def _codes(answers: pd.DataFrame, n: int) -> np.ndarray:
     return np.frombuffer(got, np.uint8)
 
 
-def _open(size: int, gram: int, shards: int, splitters: np.ndarray):
+def _open(size: int, gram: int, shards: int, splitters: np.ndarray, inner: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in docs.itertuples():
             block = Block(row, size, gram)
             *_, inverse = _of_anchors(block, shards)
             code = _codes(answers, int(inverse.max(initial=-1)) + 1)[inverse]
-            _, (shard, a, b, twice, _) = _of_suffixes(block, code, splitters)
+            _, (shard, a, b, twice, _) = _of_suffixes(block, code, splitters, inner)
             out.append(_asked(row.block, shard, a, b, twice))
         return pd.concat(out) if out else pd.DataFrame(columns=["block", "shard", "a", "b", "twice"])
 
     return run
 
 
-def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
+def _remove(size: int, gram: int, shards: int, splitters: np.ndarray, inner: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in docs.itertuples():
             block = Block(row, size, gram)
             *_, inverse = _of_anchors(block, shards)
             code = _codes(answers[answers["step"] == 1], int(inverse.max(initial=-1)) + 1)[inverse]
-            at, (*_, back) = _of_suffixes(block, code, splitters)
+            at, (*_, back) = _of_suffixes(block, code, splitters, inner)
             repeated = at[(_codes(answers[answers["step"] == 2], int(back.max(initial=-1)) + 1)[back] & 1) > 0]
             edge = np.zeros(len(block.raw) + 1, np.int32)
             full = np.flatnonzero(code & 1)
@@ -211,8 +216,8 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
             first = block.ends - block.lengths
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
-            inner = first[(block.lengths > 0)]
-            begins[inner] = gone[inner]
+            starts = first[(block.lengths > 0)]
+            begins[starts] = gone[starts]
             total = lambda x: np.concatenate([[0], np.cumsum(x)])
             removed, spans = (t[block.ends] - t[first] for t in (total(gone), total(begins)))
             data = block.bytes
@@ -225,7 +230,7 @@ def _remove(size: int, gram: int, shards: int, splitters: np.ndarray):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 2_500_000, shard_chars: int = 16_000_000, samples: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes: int = 2_500_000, shard_chars: int = 16_000_000, samples: int = 64, ranges: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. gram: at most size; block_bytes and shard_chars bound what a task holds."""
     packed = written(texts(docs).mapInPandas(_pack(block_bytes), PACKED), "dedup-blocks", "uncompressed")  # the bytes are compressed as they are, so that shuffles carry them so
     size_of = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -251,12 +256,15 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 48, block_bytes
                         x = (x << np.uint64(8)) | raw[at + k].astype(np.uint64)
                     yield pd.DataFrame({"lead": (x ^ np.uint64(1 << 63)).view(np.int64)})
 
-    cuts = [(i + 1) / shards for i in range(shards - 1)]
-    found = packed.mapInPandas(leads, "lead bigint").agg(F.percentile_approx("lead", cuts, max(10_000, 4 * shards))).first()[0] if cuts else []
+    # At most `ranges` of them, so neither the aggregate nor what tasks carry grows with the corpus; larger ranges are dealt on inside.
+    inner = -(-shards // ranges)
+    wide = -(-shards // inner)
+    cuts = [(i + 1) / wide for i in range(wide - 1)]
+    found = packed.mapInPandas(leads, "lead bigint").agg(F.percentile_approx("lead", cuts, 4 * ranges)).first()[0] if cuts else []
     splitters = np.array([x & 0xFFFFFFFFFFFFFFFF for x in found or []], np.uint64) ^ np.uint64(1 << 63)
     by_block = packed.groupBy("block")
-    asked = by_block.cogroup(first.groupBy("block")).applyInPandas(_open(size, gram, shards, splitters), ASKED)
+    asked = by_block.cogroup(first.groupBy("block")).applyInPandas(_open(size, gram, shards, splitters, inner), ASKED)
     second = written(asked.groupBy("shard").applyInPandas(_answer, ANSWER), "suffix-answers", "lz4")
     both = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return packed.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_remove(size, gram, shards, splitters), out)
+    return packed.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_remove(size, gram, shards, splitters, inner), out)

@@ -376,6 +376,7 @@ def test_op7_removes_what_repeats(spark, docs, rows, none, tmp_path):
     from locusframe.llm.suffix_dedup import remove_repeats
 
     check_removed(remove_repeats(docs, block_bytes=60_000, shard_chars=150_000).toPandas(), list(rows.items()))
+    check_removed(remove_repeats(docs, block_bytes=60_000, shard_chars=40_000, ranges=3).toPandas(), list(rows.items()))  # ranges dealt on inside
     few = docs.select("doc_id", "text").limit(60)
     for _ in (1, 2):  # the same file twice
         few.coalesce(1).write.mode("append").parquet(str(tmp_path / "twice"))
