@@ -39,7 +39,7 @@ def train_folds(df: DataFrame, fold: str, folds: list, label: str, weight: str,
         kept.unpersist()
 
 
-def node_table(df_session, models: dict[object, GBTClassificationModel]) -> DataFrame:
+def node_table(spark, models: dict[object, GBTClassificationModel]) -> DataFrame:
     """M6: the trees of all folds as rows: fold, tree, weight, node, left, right (-1 for a leaf), feature, threshold, prediction. Rows whose feature is at most the threshold go left."""
     rows = []
 
@@ -60,7 +60,7 @@ def node_table(df_session, models: dict[object, GBTClassificationModel]) -> Data
             walk(tree._call_java("rootNode"), found)
             rows += [(fold, t, float(w), *n) for n in found]
     kind = "int" if all(isinstance(f, int) for f in models) else "string"
-    return df_session.createDataFrame(rows, f"fold {kind}, tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double")
+    return spark.createDataFrame(rows, f"fold {kind}, tree int, weight double, node int, left int, right int, feature int, threshold double, prediction double")
 
 
 def score_nodes(df: DataFrame, fold: str, nodes: DataFrame, keys: list[str], depth: int, name: str = "pred_prob") -> DataFrame:
