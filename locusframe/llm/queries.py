@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from locusframe.llm import sql
 from locusframe.llm.common import table
 from locusframe.llm.quality_rules import STOP_WORDS
 
@@ -15,7 +16,7 @@ def op1_ngram_lm(spark, sf_dir):
 def op2_near_dup(spark, sf_dir):
     from locusframe.llm.near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_personal_data(spark, sf_dir):
@@ -90,6 +91,10 @@ QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_near_dup, op3_personal_data
                                 op11_dialogue_repair, op12_whitening, op13_near_vectors)}
 
 ORACLE_SQL = {
+    "op2_near_dup": sql.NEAR_DUP,
+    "op7_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op11_dialogue_repair": sql.DIALOGUE_REPAIR,
+    "op13_near_vectors": sql.NEAR_VECTORS,
     "op6_quality_rules": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
