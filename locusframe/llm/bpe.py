@@ -108,7 +108,7 @@ class TreeEncoder:
             shown = [" ".join(a) + ("" if cuts[k][2] else " ") + " ".join(b) for k, (a, b) in zip(todo, parts, strict=True)]
             self.windows += len(shown)
             again = []
-            for k, (a, b), e in zip(todo, parts, self.fast(shown, add_special_tokens=False), strict=True):
+            for k, (a, b), said, e in zip(todo, parts, shown, self.fast(shown, add_special_tokens=False), strict=True):
                 left, right, glued = cuts[k]
                 ids = e.ids
                 head = self.memo[a[0]] if len(a) < len(left) or len(a) > 1 else []
@@ -119,9 +119,8 @@ class TreeEncoder:
                     again.append(k)
                     continue
                 if not agree:  # nothing is left to agree with: the window is both pieces
-                    unit = shown[todo.index(k)]
-                    self.memo[unit] = ids
-                    out[k] = [unit]
+                    self.memo[said] = ids
+                    out[k] = [said]
                     continue
                 inner_a, inner_b = (a[1:] if head else a), (b[:-1] if tail else b)
                 middle = inner_a[:-1] + ([inner_a[-1] + inner_b[0]] if glued and inner_a and inner_b else inner_a[-1:] + inner_b[:1]) + inner_b[1:]
@@ -134,6 +133,10 @@ class TreeEncoder:
                     q = len(middle_ids) - sum(len(self.memo[u]) for u in middle[at + 1 :])
                     self.memo[lone[0]] = middle_ids[p:q]
                     known = [i for u in middle for i in self.memo[u]]
+                if known != middle_ids and whole_left and whole_right:  # agreed at its ends only, and no larger window exists
+                    self.memo[said] = ids
+                    out[k] = [said]
+                    continue
                 if known != middle_ids:
                     again.append(k)
                     continue
