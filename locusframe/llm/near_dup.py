@@ -9,8 +9,11 @@
    shares most buckets corpus-wide, which in a group of edited copies is the common original. All bands so agree on centres.
 4. Star edges are confirmed on full shingle sets, in chunks bounded in shingles and in rows (a hot centre is spread over many).
 5. What a star may miss, a member that fails against the centre yet is near another member, is settled exactly: the failed
-   members of a star are compared on full sets with all its members, chunk against chunk; no pairs are emitted, only the
-   links that join components. So every pair that shares a bucket is decided; no bucket is capped.
+   members of a star are compared on full sets with its members, chunk against chunk; no pairs are emitted, only the links that join
+   components. Members of a large star lie in chunks by their similarity to the centre: 1 - similarity is a metric, so two members
+   can only be near if their similarities to the centre differ by no more than 1 - the bound, and other chunk pairs are left out. A
+   chunk with failed members first meets itself and the chunk with most confirmed members that it can be near; who has joined the
+   centre there needs no more, and only the rest meets all other chunks. So every pair that shares a bucket is decided; no bucket is capped.
 6. Components by min-label propagation over the class representatives.
 
 With 32 bands of 4 rows a pair at similarity 0.85 shares no bucket with probability 6e-11 (0.8: 5e-8).
@@ -109,15 +112,16 @@ def _confirm(percent: int):
 
     def run(members: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(centre):
-            return pd.DataFrame({"c": [], "x": [], "ok": []}).astype({"c": object, "x": object, "ok": bool})
+            return pd.DataFrame({"c": [], "x": [], "ok": [], "sim": []}).astype({"c": object, "x": object, "ok": bool, "sim": float})
         c = np.frombuffer(centre["cs"].iloc[0], np.uint64)
-        ok = []
+        ok, sim = [], []
         for raw in members["s"]:
             x = np.frombuffer(raw, np.uint64)
             at = np.searchsorted(c, x)
             inter = int((c[np.minimum(at, len(c) - 1)] == x).sum())
             ok.append(_similar(inter, len(c), len(x), percent))
-        return pd.DataFrame({"c": members["c"], "x": members["x"], "ok": ok})
+            sim.append(inter / (len(c) + len(x) - inter))
+        return pd.DataFrame({"c": members["c"], "x": members["x"], "ok": ok, "sim": sim})
 
     return run
 
@@ -143,14 +147,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
 
 
 def _settle(percent: int):
-    """Two chunks of one star: failed members of either against all members of the other; links that join components."""
+    """Two chunks of one star: failed members of either against all members of the other; each that found its component, with the centre if that is in it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in rows["s"]]
         ids, ok, side = rows["x"].to_numpy(), rows["ok"].to_numpy(), rows["side"].to_numpy()
-        same = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
-        root = {bytes(x): bytes(rows["c"].iloc[0]) if o else bytes(x) for x, o in zip(ids, ok, strict=True)}
-        parent = {v: v for v in root.values()}
+        c = bytes(rows["c"].iloc[0])
+        root = {bytes(x): c if o else bytes(x) for x, o in zip(ids, ok, strict=True)}
+        parent = {v: v for v in (c, *root.values())}
 
         def top(v):
             while parent[v] != v:
@@ -158,25 +162,57 @@ def _settle(percent: int):
                 v = parent[v]
             return v
 
-        out = []
-        for left, right in ((0, 0),) if same else ((0, 1), (1, 0)):
+        for left, right in ((0, 0),) if int(rows["i"].iloc[0]) == int(rows["j"].iloc[0]) else ((0, 1), (1, 0)):
             fs, ms = np.flatnonzero((side == left) & ~ok), np.flatnonzero(side == right)
             if not len(fs) or not len(ms):
                 continue
             inter = overlaps([sets[k] for k in fs], [sets[k] for k in ms])
             size = lambda z: np.array([len(sets[k]) for k in z], np.int64)
             for p, q in zip(*np.nonzero(_similar(inter, size(fs)[:, None], size(ms)[None, :], percent)), strict=True):
-                u, v = bytes(ids[fs[p]]), bytes(ids[ms[q]])
-                if (tu := top(root[u])) != (tv := top(root[v])):
-                    parent[tu] = tv
-                    out.append((u, v))
-        return pd.DataFrame(out, columns=["a", "b"])
+                parent[top(root[bytes(ids[fs[p]])])] = top(root[bytes(ids[ms[q]])])
+        found = ((v, c if top(v) == top(c) else top(v)) for v, r in root.items() if v == r)
+        return pd.DataFrame([(c, v, t) for v, t in found if v != t], columns=["c", "a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, chunk: int = 400_000, chunk_rows: int = 400) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash, component (its name, null without words). chunk, chunk_rows: shingles and rows that a task compares at a time."""
+def _settled(checked: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, chunk: int, chunk_rows: int, levels: int) -> list[DataFrame]:
+    """Links (a, b) of the members that failed against their centres: tables whose union joins all they are near to."""
+    open_ = checked.groupBy("c").agg(F.count_if(~F.col("ok")).alias("bad"), F.count("*").alias("m")).where("bad > 0 and m > 1").select("c")
+    state = checked.join(stars.select("c", "x", "n", "k"), ["c", "x"]).join(open_, "c")
+    state = state.withColumn("level", F.when(F.col("k") > 1, F.floor(F.col("sim") * levels)).otherwise(0).cast("bigint"))
+    slices = state.groupBy("c", "level").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_rows)).alias("slices"))
+    at = F.shiftleft("level", 40) + F.pmod(F.xxhash64("x"), F.col("slices"))  # chunks sort by level
+    state = written(state.join(slices, ["c", "level"]).select("c", "x", "ok", "level", at.alias("i")), "open-stars")
+
+    def pairs(state: DataFrame) -> DataFrame:
+        """Chunk pairs (p <= q) that may hold a link of a failed member, and whether they come first."""
+        per = state.groupBy("c", "i", "level").agg(F.count_if(~F.col("ok")).alias("bad"), F.count_if("ok").alias("good"))
+        asks = per.where("bad > 0").select("c", F.col("i").alias("f"), F.col("level").alias("fl"))
+        met = asks.join(per, "c").where(F.abs(F.col("fl") - F.col("level")) - 1 <= -(-levels * (100 - percent) // 100))
+        best = met.groupBy("c", "f").agg(F.max_by("i", F.struct("good", "i")).alias("best"))
+        met = met.join(best, ["c", "f"]).select("c", F.least("f", "i").alias("p"), F.greatest("f", "i").alias("q"), ((F.col("f") == F.col("i")) | (F.col("i") == F.col("best"))).alias("early"))
+        return met.groupBy("c", "p", "q").agg(F.max("early").alias("early"))
+
+    def compared(state: DataFrame, sides: DataFrame) -> DataFrame:
+        ends = sides.select("c", F.col("p").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(0).alias("side")).union(
+            sides.where("p < q").select("c", F.col("q").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(1).alias("side")))
+        placed = state.join(sets, "x").join(ends, ["c", "i"])
+        placed = placed.select("c", F.col("lo").alias("i"), F.col("hi").alias("j"), "side", "x", "ok", "s")
+        return written(placed.groupBy("c", "i", "j").applyInPandas(_settle(percent), "c binary, a binary, b binary"), "settled")
+
+    every = written(pairs(state), "chunk-pairs")
+    first = compared(state, every.where("early"))
+    joined = first.where("b = c").select("c", F.col("a").alias("x"), F.lit(True).alias("joined")).distinct()
+    state = state.join(joined, ["c", "x"], "left").withColumn("ok", F.col("ok") | F.coalesce("joined", F.lit(False))).drop("joined")
+    left = state.where("not ok").select("c", "i").distinct()
+    rest = every.where("not early")
+    rest = rest.join(left.withColumnRenamed("i", "p"), ["c", "p"], "left_semi").union(rest.join(left.withColumnRenamed("i", "q"), ["c", "q"], "left_semi").select("c", "p", "q", "early")).distinct()
+    return [first.select("a", "b"), compared(state, rest).select("a", "b")]
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, chunk: int = 400_000, chunk_rows: int = 400, levels: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash, component (its name, null without words). chunk, chunk_rows: shingles and rows that a task compares at a time; levels: steps of similarity to the centre that part a large star."""
     sig = written(signed(docs, n, bins, rows), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
@@ -197,21 +233,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int =
     members = stars.join(sets, "x")
     at = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col("c").alias("cc"), F.col("i").alias("ci"))
     centres = at.join(sets.select(F.col("x").alias("cc"), F.col("s").alias("cs")), "cc")
-    checked = members.groupBy("c", "i").cogroup(centres.groupBy("cc", "ci")).applyInPandas(_confirm(percent), "c binary, x binary, ok boolean")
+    checked = members.groupBy("c", "i").cogroup(centres.groupBy("cc", "ci")).applyInPandas(_confirm(percent), "c binary, x binary, ok boolean, sim double")
     checked = written(checked, "star-checks")
-    # Stars with a failed member and another one: chunk pairs, each with a failed member on one side at least.
-    state = checked.join(stars.select("c", "x", "i", "k"), ["c", "x"])
-    per = state.groupBy("c", "i").agg(F.count_if(~F.col("ok")).alias("bad"), F.count("*").alias("m"), F.max("k").alias("k"))
-    open_ = per.groupBy("c").agg(F.sum("bad").alias("bad"), F.sum("m").alias("m")).where("bad > 0 and m > 1").select("c")
-    per = per.join(open_, "c")
-    sides = per.select("c", F.col("i").alias("p"), F.col("bad").alias("pb")).join(per.select("c", F.col("i").alias("q"), F.col("bad").alias("qb")), "c")
-    sides = sides.where("p <= q and pb + qb > 0").select("c", "p", "q")
-    ends = sides.select("c", F.col("p").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(0).alias("side")).union(
-        sides.where("p < q").select("c", F.col("q").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(1).alias("side")))
-    placed = state.join(sets, "x").join(ends, ["c", "i"])
-    placed = placed.select("c", F.col("lo").alias("i"), F.col("hi").alias("j"), "side", "x", "ok", "s")
-    more = placed.groupBy("c", "i", "j").applyInPandas(_settle(percent), "a binary, b binary")
-    edges = checked.where("ok").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more)
+    edges = checked.where("ok").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    for more in _settled(checked, stars, sets, percent, chunk, chunk_rows, levels):
+        edges = edges.union(more)
     comp = components(edges).withColumnRenamed("id", "fp")
     of = classes.select("fp", "rep").join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     of = of.join(of.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "root", "component")

@@ -138,6 +138,26 @@ def test_op2_components(spark, docs, rows, none, n, percent):
     assert near_duplicates(none, n, percent).count() == 0
 
 
+@pytest.mark.parametrize("levels,chunk_rows", [(64, 6), (8, 9), (1, 40)])
+def test_op2_settles_failed_members_of_a_large_star(spark, levels, chunk_rows):
+    """One base and its edits, from near to far: many fail against the centre, some are near a confirmed member, some only one another."""
+    from locusframe.llm.near_dup import near_duplicates
+
+    rng = np.random.default_rng(levels)
+    base = [f"w{k}" for k in range(120)]
+    rows, last = {0: " ".join(base)}, base
+    for i in range(1, 160):
+        start = last if i % 3 == 0 else base  # every third goes on from the one before: chains that lead away
+        last = [w if k not in set(rng.choice(120, i % (30 if i % 2 else 9), replace=False)) else f"x{rng.integers(10**6)}" for k, w in enumerate(start)]
+        rows[i] = " ".join(last)
+    d = spark.createDataFrame([(i, x, "en", "s", 0, "x", 1, 1) for i, x in rows.items()], SCHEMA)
+    for n, percent in ((3, 85), (1, 80)):
+        sets, comp = brute_components(rows, n, percent)
+        got = near_duplicates(d, n, percent, chunk=10**6, chunk_rows=chunk_rows, levels=levels).collect()
+        assert {r.doc_id: r.component_id for r in got} == comp
+        assert len(set(comp.values())) > 1
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -653,3 +673,18 @@ def test_op9_trees_and_splits_against_brute_force():
     assert math.isclose(gain(trees.feature[root], trees.cut[root]), best)
     one = fit(x, np.ones(len(x)))
     assert np.allclose(one.score(x), one.score(x)[0]) and one.score(x)[0] > 0.9
+
+
+def test_op4_ends_where_a_window_agrees_at_its_ends_only():
+    import public_tokenizers
+
+    from locusframe.llm.bpe import TreeEncoder
+
+    tree = TreeEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    left, right = ["alpha", "beta", "gamma"], ["delta", "epsilon", "zeta"]
+    for w in left + right:
+        tree.memo[w] = tree.tok.encode(w, add_special_tokens=False).ids
+    whole = tree.tok.encode(" ".join(left + right), add_special_tokens=False).ids
+    tree.memo["gamma"] = [0, *tree.memo["gamma"]]  # an encoder whose words depend on what stands around them
+    (units,) = tree._level([(left, right, False)])
+    assert [i for u in units for i in tree.memo[u]] == whole
