@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusframe.functions.keys import canonical_key, neglog10p
-from locusframe.operators.joins import range_join
 
 
 def first_of(value, *order) -> Column:
@@ -121,15 +120,18 @@ def expand_credible_sets(pairs: DataFrame, eqtl: DataFrame, gwas: DataFrame, nam
     return d
 
 
-def snpvar_prior(variants: DataFrame, windows: DataFrame, snpvar: DataFrame, width: int = 1_000_000) -> DataFrame:
+def snpvar_prior(variants: DataFrame, windows: DataFrame, snpvar: DataFrame) -> DataFrame:
     """Prior of each variant of a gene (gene_id, key): the variance of its key in the gene's window (first record), the least of the gene where missing, as a share of the gene's sum.
 
     A gene without any match gets even weights. windows: gene_id, chr, start_pos, end_pos (inclusive); snpvar: chr, pos, a1, a2, snpvar, record_no.
+    Records of a key share its position, so the first of them stands for all, and only keys that a gene asks for meet its windows: no
+    row stands for a record that merely lies in a window.
     """
-    key = canonical_key(F.col("chr"), F.col("pos"), F.col("a1"), F.col("a2"))
-    near = range_join(snpvar.select("chr", "pos", "snpvar", "record_no", key.alias("key")), windows.select("gene_id", "chr", "start_pos", "end_pos"), ["chr"], F.col("pos"), F.col("start_pos"), F.col("end_pos"), width)
-    one = near.groupBy("gene_id", "key").agg(first_of("snpvar", "record_no").alias("_v"))
-    j = variants.select("gene_id", "key").distinct().join(one, ["gene_id", "key"], "left")
+    first = snpvar.groupBy("chr", "pos", canonical_key(F.col("chr"), F.col("pos"), F.col("a1"), F.col("a2")).alias("key")).agg(first_of(["snpvar", "record_no"], "record_no").alias("_r"))
+    asked = variants.select("gene_id", "key").distinct()
+    found = asked.join(first, "key").join(windows.select("gene_id", "chr", "start_pos", "end_pos"), ["gene_id", "chr"]).where("pos between start_pos and end_pos")
+    one = found.groupBy("gene_id", "key").agg(first_of("_r.snpvar", "_r.record_no").alias("_v"))
+    j = asked.join(one, ["gene_id", "key"], "left")
     g = Window.partitionBy("gene_id")
     j = j.withColumn("_s", F.coalesce("_v", F.min("_v").over(g), F.lit(1.0)))
     return j.withColumn("prior", F.col("_s") / F.sum("_s").over(g)).drop("_s", "_v")
