@@ -2,9 +2,11 @@
 
 import contextlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from locusframe.operators import coloc as C
+from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
 
 
 def rows_joined(spark, df):
@@ -36,3 +38,14 @@ def test_priors_join_asked_keys_only(spark):
     assert len(share) == 120 and set(share.values()) == {0.5}
     one = C.snpvar_prior(w.where("gene_id = 'g7'").select("gene_id", F.explode(F.array(*[F.lit(f"chr1:{p}:A:C") for p in (1, 5, 700)])).alias("key")), w, s.union(late))
     assert {r.key: r.prior for r in one.collect()} == {"chr1:1:A:C": 0.2, "chr1:5:A:C": 0.6, "chr1:700:A:C": 0.2}
+
+
+def test_tops_of_sets_whose_keys_lie_far_apart(spark, tmp_path):
+    """The best variant of a set is the one of the highest Bayes factor however far its key is; the SQL says the same."""
+    rows = [(o, p, 1, 3, q) for o, p, q in ((0, 10, 48.0), (0, 1_200_000, 50.0), (1, 10, 42.0), (1, 1_200_000, 50.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name, column, want in (("A17_match_sets", "same_top_variant", True), ("A17_match_by_index", "same_top_variant", True), ("A18_match_summary", "pct_same_top", 100.0)):
+        assert [r[column] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()] == [want]
+        assert c.sql(f"SELECT {column} FROM ({registry.ORACLE_SQL[name]})").fetchall() == [(want,)]
