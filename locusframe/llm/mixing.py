@@ -12,10 +12,10 @@ documents by a join on the cell key (no broadcast is forced; a cell may hold a t
 the document side).
 
 Topics come from content: words hashed to `BUCKETS`, square roots of their counts, as unit vectors, less the mean of the
-document's language, so that a topic is no language; centroids are fitted by spherical k-means on about `topic_sample`
-documents, drawn by a hash of their ids (a documented bound: 1 kB each goes to the driver), and each document takes its nearest. The
-sample is sorted before the fit and all products are sums of small integers, exact in double precision, so neither the order in which
-rows arrive nor the size of a batch can move a document to another topic. A corpus with a topic column passes it as `topic`.
+document's language, so that a topic is no language; centroids are fitted by spherical k-means on all documents, and each document
+takes its nearest. Vectors are written once (1 kB a document before compression); a step of the fit is one pass over them, and only
+sums of a centroid's members, or one vector, come back. All products and sums are of whole numbers, exact in double precision, so neither the
+order in which rows arrive nor the size of a batch can move a document to another topic. A corpus with a topic column passes it as `topic`.
 
 Defined results: a null source, language or topic is a value of its own (shown as an empty string); null text counts as empty
 and an empty text as one token, so every document has a weight; targets for values that do not occur are spread over the
@@ -54,71 +54,141 @@ def stepped(x: np.ndarray) -> np.ndarray:
     return np.rint(STEPS * x / np.where(size > 0, size, 1))
 
 
-class Topics:
-    """Centroids over language-centred vectors; means, vectors and centroids are whole numbers, so their products are exact."""
+def unpacked(x: pd.Series) -> np.ndarray:
+    """Rows of packed vectors as doubles."""
+    return np.frombuffer(b"".join(x), np.int16).astype(np.float64).reshape(-1, BUCKETS)
 
-    def __init__(self, x: np.ndarray, langs: list[str], k: int, rounds: int = 12):
-        """x: vectors of texts that have words, in an order that depends on them alone."""
-        langs = np.array(langs, object)
-        self.means = {lang: np.rint(x[langs == lang].mean(0)) for lang in set(langs)}
-        self.mean = np.rint(x.mean(0)) if len(x) else np.zeros(BUCKETS)
-        z = self.centred(x, langs)
-        self.centroids = np.zeros((min(k, len(z)), BUCKETS))
-        if len(z):
-            pick = [0]  # the first, then each time the one that is least like those taken
-            while len(pick) < len(self.centroids):
-                pick.append(int((z @ z[pick].T).max(1).argmin()))
-            self.centroids = z[pick]
-            for _ in range(rounds):
-                of = (z @ self.centroids.T).argmax(1)
-                self.centroids = stepped(np.stack([z[of == c].sum(0) if (of == c).any() else self.centroids[c] for c in range(len(self.centroids))]))
 
-    def centred(self, x: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        return stepped(x - np.stack([self.means.get(v, self.mean) for v in langs])) if len(x) else x
+def packed(x: np.ndarray) -> list[bytes]:
+    return [v.tobytes() for v in x.astype(np.int16)]
 
-    def of(self, x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> list[str]:
-        if not len(self.centroids):
-            return [""] * len(x)
-        near = (self.centred(x, langs) @ self.centroids.T).argmax(1)
-        return [f"t{c}" if k else "" for c, k in zip(near, n, strict=True)]
 
+def chunks(batches: Iterator[pd.DataFrame], size: int = 2000) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for a in range(0, len(b), size):
+            yield b.iloc[a : a + size]
 
-def sampled_vectors(docs: DataFrame, size: int) -> list:
-    """(lang, x) of about `size` documents with words, drawn by a hash of their ids; x: the vector in 16-bit steps, 1 kB. In order of their values."""
 
-    def run(batches):
-        words = HashedWords()
-        for b in batches:
-            for a in range(0, len(b), 500):
-                some = b.iloc[a : a + 500]
-                x, n = vectors(some["text"].tolist(), words)
-                yield pd.DataFrame({"draw": some["draw"].to_numpy(), "lang": some["lang"].to_numpy(), "x": [v.astype(np.int16).tobytes() for v in x]})[n > 0]
+def added_up(parts: DataFrame, key: str) -> DataFrame:
+    """Partial sums (key, n, s: an array) of tasks to one row a key and position `dim`: n and v."""
+    return parts.select(key, "n", F.posexplode("s").alias("dim", "v")).groupBy(key, "dim").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
 
-    draw = unit(F.col("doc_id"), 5, F.col("text"))
-    few = docs.select("text", "lang", draw.alias("draw")).where(F.col("draw") < size / max(1, docs.count()))
-    return sorted(few.mapInPandas(run, "draw double, lang string, x binary").collect())
 
+def language_means(seen: DataFrame) -> DataFrame:
+    """(_lang, _mean): the mean vector of all documents of a language that have words, in whole numbers."""
 
-def with_cells(docs: DataFrame, topic: Column | None = None, topics: int = 8, topic_sample: int = 4000) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens; topics are fitted unless a topic column is given."""
+    def run(batches):
+        sums: dict = {}
+        for b in chunks(batches):
+            x, langs = unpacked(b["_x"]), b["_lang"].to_numpy()
+            for lang in set(langs):
+                n, s = sums.get(lang, (0, 0))
+                sums[lang] = (n + int((langs == lang).sum()), s + x[langs == lang].sum(0))
+            if len(sums) > 256:  # a task holds few languages at once
+                yield table(sums)
+                sums = {}
+        if sums:
+            yield table(sums)
+
+    def table(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"_lang": list(sums), "n": [n for n, _ in sums.values()], "s": [v.astype(np.int64) for _, v in sums.values()]})
+
+    parts = seen.where("_words > 0").select("_lang", "_x").mapInPandas(run, "_lang string, n bigint, s array<bigint>")
+    means = added_up(parts, "_lang").groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("dim", F.rint(F.col("v") / F.col("n")).cast("smallint").alias("m")))).alias("_m"))
+    return means.select("_lang", F.col("_m.m").alias("_mean"))
+
+
+def centred(x: np.ndarray, means: pd.Series) -> np.ndarray:
+    return stepped(x - np.stack(list(means)).astype(np.float64)) if len(x) else x
+
+
+def fitted(z: DataFrame, k: int, rounds: int = 12) -> np.ndarray:
+    """Centroids of all vectors of z (column z, packed). The first is the least vector, then each time the one least like those taken; then rounds of spherical k-means."""
+
+    def least_like(c: np.ndarray):
+        def run(batches):
+            best = None
+            for b in chunks(batches):
+                like = (unpacked(b["z"]) @ c.T).max(1)
+                found = (like.min(), min(b["z"].to_numpy()[like == like.min()]))
+                best = found if best is None else min(best, found)
+            if best is not None:
+                yield pd.DataFrame([best], columns=["like", "z"])
+
+        return run
+
+    def members(c: np.ndarray):
+        def run(batches):
+            n, s = np.zeros(len(c), np.int64), np.zeros(c.shape)
+            for b in chunks(batches):
+                x = unpacked(b["z"])
+                of = (x @ c.T).argmax(1)
+                n += np.bincount(of, minlength=len(c))
+                s += np.eye(len(c))[of].T @ x
+            if n.any():
+                yield pd.DataFrame({"c": np.arange(len(c)), "n": n, "s": list(s.astype(np.int64))})[n > 0]
+
+        return run
+
+    first = z.agg(F.min("z")).first()[0]
+    if first is None:
+        return np.zeros((0, BUCKETS))
+    picked = [first]
+    while len(picked) < k:
+        far = z.mapInPandas(least_like(unpacked(pd.Series(picked))), "like double, z binary")
+        picked.append(far.agg(F.min(F.struct("like", "z")).alias("f")).first().f.z)
+    c = unpacked(pd.Series([bytes(p) for p in picked]))
+    for _ in range(rounds):
+        sums, now = np.zeros(c.shape), c.copy()
+        for r in added_up(z.mapInPandas(members(c), "c int, n bigint, s array<bigint>"), "c").collect():  # k times BUCKETS numbers
+            sums[r.c, r.dim] = r.v
+            now[r.c] = 0
+        now = np.where((now == 0).all(1, keepdims=True), stepped(sums), c)
+        if (now == c).all():
+            break
+        c = now
+    return c
+
+
+def with_cells(docs: DataFrame, topic: Column | None = None, topics: int = 8, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs (without the columns of `drop`), written once, with _source, _lang, _topic and _tokens; topics are fitted unless a topic column is given."""
     label = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sample = [] if topic is not None else sampled_vectors(docs.select("doc_id", text.alias("text"), label(F.col("lang")).alias("lang")), topic_sample)
-    model = Topics(np.array([np.frombuffer(r.x, np.int16) for r in sample], np.float64).reshape(-1, BUCKETS), [r.lang for r in sample], topics)
 
-    def seen(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def hashed_words(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = HashedWords()
-        for t, lang in parts:
-            names, counts = [], []
+        for t in parts:
+            xs, counts = [], []
             for a in range(0, len(t), 500):
                 x, n = vectors(t.iloc[a : a + 500].tolist(), words)
-                names += model.of(x, n, lang.iloc[a : a + 500].to_numpy())
+                xs += packed(x)
                 counts.append(n)
-            yield pd.DataFrame({"topic": names, "tokens": np.maximum(np.concatenate(counts), 1) if counts else np.zeros(0, np.int64)})
+            yield pd.DataFrame({"x": xs, "n": np.concatenate(counts) if counts else np.zeros(0, np.int64)})
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in drop]
+    seen = F.pandas_udf(hashed_words, "x binary, n bigint")(F.coalesce(F.col("text"), F.lit("")))
+    d = docs.withColumn("_seen", seen).select(*kept, label(F.col("source")).alias("_source"), label(F.col("lang")).alias("_lang"), F.col("_seen.n").alias("_words"),
+                                              *([F.col("_seen.x").alias("_x")] if topic is None else [label(topic).alias("_topic")]))
+    d = written(d, "mix-documents")
+    shown = [*[F.col(f"`{c}`") for c in docs.columns if c not in drop], "_source", "_lang", "_topic", F.greatest("_words", F.lit(1).cast("bigint")).alias("_tokens")]
+    if topic is not None:
+        return d.select(*shown)
+    means = written(language_means(d), "mix-means")
+
+    def centre(x: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([v for a in range(0, len(x), 2000) for v in packed(centred(unpacked(x.iloc[a : a + 2000]), m.iloc[a : a + 2000]))], dtype=object)
+
+    z = F.pandas_udf(centre, "binary")("_x", "_mean").alias("z")
+    c = fitted(written(d.where("_words > 0").select("_lang", "_x").join(means, "_lang").select(z), "mix-vectors"), topics)
+
+    def nearest(x: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        out = np.full(len(x), "", object)
+        for a in range(0, len(x), 2000):
+            has = np.nonzero(n.to_numpy()[a : a + 2000] > 0)[0] + a
+            if len(has):
+                out[has] = [f"t{k}" for k in (centred(unpacked(x.iloc[has]), m.iloc[has]) @ c.T).argmax(1)]
+        return pd.Series(out)
 
-    d = docs.withColumn("_seen", F.pandas_udf(seen, "topic string, tokens bigint")(text, label(F.col("lang"))))
-    of = F.col("_seen.topic") if topic is None else label(topic)
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], label(F.col("source")).alias("_source"), label(F.col("lang")).alias("_lang"), of.alias("_topic"), F.col("_seen.tokens").alias("_tokens"))
+    return d.join(means, "_lang", "left").withColumn("_topic", F.pandas_udf(nearest, "string")("_x", "_mean", "_words")).select(*shown)
 
 
 def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -189,7 +259,7 @@ def unit(doc_id: Column, seed: int, text: Column) -> Column:
 def mix(docs: DataFrame, seed: int = 17, topic: Column | None = None, drop: tuple[str, ...] = (), **how) -> DataFrame:
     """docs (without the columns of `drop`) with source/lang/topic cell, tokens, keep probability and whether the document is in the sample."""
     draw = unit(F.col("doc_id"), seed, F.coalesce(F.col("text"), F.lit("")))
-    celled = written(with_cells(docs, topic).withColumn("_draw", draw).drop(*drop), "mix-documents")
+    celled = with_cells(docs.withColumn("_draw", draw), topic, drop=drop)
     f = calibrated(celled, **how).select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("keep").alias("_keep"), F.col("weight").alias("_weight"))
     d = celled.join(f, [f"_{c}" for c in DIMENSIONS], "left")
     return d.withColumn("_in", F.col("_draw") < F.col("_keep")).drop("_draw")

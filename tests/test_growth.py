@@ -3,8 +3,11 @@
 import contextlib
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from locusframe.llm import mixing
+from locusframe.llm.common import HashedWords
 from locusframe.operators import coloc as C
 from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
 
@@ -49,3 +52,24 @@ def test_tops_of_sets_whose_keys_lie_far_apart(spark, tmp_path):
     for name, column, want in (("A17_match_sets", "same_top_variant", True), ("A17_match_by_index", "same_top_variant", True), ("A18_match_summary", "pct_same_top", 100.0)):
         assert [r[column] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()] == [want]
         assert c.sql(f"SELECT {column} FROM ({registry.ORACLE_SQL[name]})").fetchall() == [(want,)]
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """Plain numpy on every text gives the same centroids; texts in any number count, not some thousand drawn ones."""
+    text = lambda k: " ".join(f"w{(k * 7 + j * j) % (11 + k % 5)}" for j in range(3 + k % 13)) if k % 9 else ""
+    docs = spark.createDataFrame([(k, text(k), f"l{k % 3}", "s") for k in range(4500)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r._topic for r in mixing.with_cells(docs.repartition(7)).select("doc_id", "_topic").collect()}
+    x, n = mixing.vectors([text(k) for k in range(4500)], HashedWords())
+    lang, has = np.arange(4500) % 3, n > 0
+    z = mixing.stepped(x - np.stack([np.rint(x[has & (lang == v)].mean(0)) for v in lang]))
+    rows = sorted(mixing.packed(z[has]))
+    all_z = np.array([np.frombuffer(b, np.int16) for b in rows], float)
+    pick = [0]
+    while len(pick) < 8:
+        pick.append(int((all_z @ all_z[pick].T).max(1).argmin()))
+    c = all_z[pick]
+    for _ in range(12):
+        of = (all_z @ c.T).argmax(1)
+        c = mixing.stepped(np.stack([all_z[of == k].sum(0) if (of == k).any() else c[k] for k in range(8)]))
+    want = {k: f"t{(z[k] @ c.T).argmax()}" if has[k] else "" for k in range(4500)}
+    assert got == want and len(set(want.values())) > 4
