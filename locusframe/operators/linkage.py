@@ -47,6 +47,10 @@ def _block_pair(w: int, least: float):
         out = pd.DataFrame({"chr": [], "key1": [], "key2": [], "pos1": [], "pos2": [], "r": []})
         if not len(one) or not len(two):
             return out
+        if not same:  # only what may lie within w of the other side
+            one, two = one[one["pos"] >= two["pos"].min() - w], two[two["pos"] <= one["pos"].max() + w]
+            if not len(one) or not len(two):
+                return out
         r = correlations(_matrix(one["d"]), _matrix(two["d"]))
         p, q, k, l = one["pos"].to_numpy(), two["pos"].to_numpy(), one["variant_key"].to_numpy(), two["variant_key"].to_numpy()
         near = (np.abs(p[:, None] - q[None]) <= w) & (r * r >= least)
@@ -64,11 +68,14 @@ def ld_pairs(geno: DataFrame, w: int = 3_000_000, least: float = 0.001, block: i
     """(chr, key1, key2, pos1, pos2, r) of variants of a chromosome at most w apart with r2 of at least `least`; an undefined r is 0 and has no row.
 
     geno: sample_id, chr, pos, variant_key, dosage (null: not typed). A variant is packed into one row. Variants fall into tiles of w
-    bases, tiles into blocks of at most `block` variants by position; a block meets itself, the other blocks of its tile and those of
+    bases, or, where variants lie far apart, of as many times w as keep the fullest tile to a quarter of a block, so that a product pays for its call;
+    tiles into blocks of at most `block` variants by position; a block meets itself, the other blocks of its tile and those of
     the next tile, each once, as one task-sized matrix product, so a variant is copied once a block pair, never once a pair of variants.
     """
     one = packed(geno, ["chr", "pos", "variant_key"], "dosage", sample_order(geno), "d")
-    one = one.withColumn("tile", F.floor(F.col("pos") / w).cast("bigint"))
+    fullest = geno.select("chr", "pos", "variant_key").distinct().groupBy("chr", F.floor(F.col("pos") / w)).agg(F.count("*").alias("n"))
+    wide = fullest.agg(F.greatest(F.lit(1), F.floor(F.lit(block // 4) / F.max("n"))).cast("bigint")).scalar()
+    one = one.withColumn("tile", F.floor(F.col("pos") / (F.lit(w).cast("bigint") * wide)).cast("bigint"))
     nth = F.row_number().over(Window.partitionBy("chr", "tile").orderBy("pos", "variant_key")) - 1
     one = one.withColumn("b", F.floor(nth / block).cast("bigint"))
     ends = one.groupBy("chr", "tile", "b").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))

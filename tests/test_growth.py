@@ -4,11 +4,13 @@ import contextlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from locusframe.llm import mixing
 from locusframe.llm.common import HashedWords
 from locusframe.operators import coloc as C
+from locusframe.operators import linkage
 from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
 
 
@@ -73,3 +75,17 @@ def test_topics_are_fitted_on_all_documents(spark):
         c = mixing.stepped(np.stack([all_z[of == k].sum(0) if (of == k).any() else c[k] for k in range(8)]))
     want = {k: f"t{(z[k] @ c.T).argmax()}" if has[k] else "" for k in range(4500)}
     assert got == want and len(set(want.values())) > 4
+
+
+def test_sparse_variants_meet_in_few_blocks(spark, monkeypatch):
+    """Where a window holds one variant, tiles are as many windows as pay for a product, and the pairs are those of brute force."""
+    x = np.random.default_rng(5).integers(0, 3, (400, 16)).astype(float)
+    g = spark.createDataFrame([(s, "chr1", v * 1000, v, float(x[v, s])) for v in range(400) for s in range(16)], "sample_id int, chr string, pos long, variant_key long, dosage double")
+    pairs = linkage.ld_pairs(g, 1000, block=256)
+    want = {(a, b): np.corrcoef(x[a], x[b])[0, 1] for a in range(400) for b in range(a + 1, min(a + 2, 400))}
+    want = {k: r for k, r in want.items() if r * r >= 0.001}
+    got = {(r.key1, r.key2): r.r for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    once = lambda rows: pd.DataFrame({"chr": ["chr1"], "key1": [0], "key2": [0], "pos1": [0], "pos2": [0], "r": [0.0]})
+    monkeypatch.setattr(linkage, "_block_pair", lambda w, least: once)
+    assert linkage.ld_pairs(g, 1000, block=256).count() < 20  # 799 with a tile a window
