@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import mixing
 from locusframe.llm.common import HashedWords
+from locusframe.operators import aggregates as A
 from locusframe.operators import coloc as C
 from locusframe.operators import linkage
 from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
@@ -89,3 +90,24 @@ def test_sparse_variants_meet_in_few_blocks(spark, monkeypatch):
     once = lambda rows: pd.DataFrame({"chr": ["chr1"], "key1": [0], "key2": [0], "pos1": [0], "pos2": [0], "r": [0.0]})
     monkeypatch.setattr(linkage, "_block_pair", lambda w, least: once)
     assert linkage.ld_pairs(g, 1000, block=256).count() < 20  # 799 with a tile a window
+
+
+def test_no_task_ranks_a_whole_ranking(spark):
+    """Of 150,000 rows of one ranking at most 64 times the rows asked for are sorted together; the ranks are those of a plain sort."""
+    d = spark.range(150_000).select(F.lit("c").alias("cell"), (F.col("id") * 7919 % 9973).alias("pip"), "id")
+    top = A.top_n(d, ["cell"], "pip", ["id"], 1001)
+    want = sorted(((-(k * 7919 % 9973), k) for k in range(150_000)))[:1001]
+    assert sorted((r["rank"], r.id) for r in top.collect()) == [(i + 1, k) for i, (_, k) in enumerate(want)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = A.top_n(d, ["cell"], "pip", ["id"], 1001)
+        again.collect()
+        todo, sent = [again._jdf.queryExecution().executedPlan()], []
+        while todo:
+            at = todo.pop()
+            todo += [at.children().apply(k) for k in range(at.children().size())]
+            if at.nodeName() == "Exchange":
+                sent.append(at.metrics().apply("shuffleRecordsWritten").value())
+        assert 0 < min(sent) <= 64 * 1001
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
