@@ -11,6 +11,7 @@ from locusframe.llm import mixing
 from locusframe.llm.common import HashedWords
 from locusframe.operators import aggregates as A
 from locusframe.operators import coloc as C
+from locusframe.operators import joins as J
 from locusframe.operators import linkage
 from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
 
@@ -111,3 +112,26 @@ def test_no_task_ranks_a_whole_ranking(spark):
         assert 0 < min(sent) <= 64 * 1001
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_pairs_of_genes_are_not_shuffled(spark):
+    """All of 20,000 pairs come once, and only variants and genes are sent to be joined."""
+    v = spark.range(200).select(F.lit("chr1").alias("chr"), (F.col("id") * 5000 + 900_000).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    g = spark.range(100).select(F.concat(F.lit("g"), "id").alias("gene_id"), F.lit("chr1").alias("chr"), (F.col("id") * 1000 + 950_000).alias("gene_tss"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        d = J.pair_genes(v.union(v), g.union(g))
+        rows = d.collect()
+        assert len(rows) == len(set(rows)) == 20_000
+        todo, sent = [d._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            at = todo.pop()
+            todo += [at.children().apply(k) for k in range(at.children().size())]
+            if at.nodeName() == "Exchange":
+                sent += at.metrics().apply("shuffleRecordsWritten").value()
+        assert sent < 5000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
