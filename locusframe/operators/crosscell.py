@@ -35,29 +35,45 @@ def fit_status(genes: DataFrame, fits: DataFrame, members: DataFrame, priors: li
     return d.select(*FIT, status.alias("status"))
 
 
-def shared_counts(fits: DataFrame) -> DataFrame:
-    """Variants that two cells' fits of a gene and prior share, for both directions. A variant brings one short array of cells, not a row a pair of rows."""
-    at = fits.groupBy("gene_id", "prior", "variant_key").agg(F.collect_set("cell").alias("_cells"))
-    one = at.select("gene_id", "prior", "_cells", F.explode("_cells").alias("cell"))
-    two = one.select(*FIT, F.explode(F.array_remove("_cells", F.col("cell"))).alias("other_cell"))
-    return two.groupBy(*PAIR).agg(F.count("*").alias("n_shared"))
+def _bits(cells: list[str]) -> list[tuple[str, list[str]]]:
+    """The cells in runs of at most 60: each run's column of one bit a cell."""
+    return [(f"_in{k}", cells[k : k + 60]) for k in range(0, len(cells), 60)]
 
 
-def sets_left(fits: DataFrame, members: DataFrame) -> DataFrame:
-    """(pair, idx): the sets of a cell that have a member among the variants the other cell's fit has too."""
-    other = fits.select("gene_id", "prior", F.col("cell").alias("other_cell"), "variant_key").distinct()
-    j = members.select(*FIT, "idx", "variant_key").join(other, ["gene_id", "prior", "variant_key"]).where("cell <> other_cell")
-    return j.select(*PAIR, "idx").distinct()
+def shared_variants(fits: DataFrame, cells: list[str]) -> DataFrame:
+    """One row per gene, prior and variant that at least two cells' fits have, with the cells as bits: one hash aggregate, no row or list a pair of rows."""
+    bit = lambda of: F.coalesce(*[F.when(F.col("cell") == c, F.lit(1 << k).cast("bigint")) for k, c in enumerate(of)], F.lit(0).cast("bigint"))
+    at = fits.groupBy("gene_id", "prior", "variant_key").agg(*[F.bit_or(bit(of)).alias(n) for n, of in _bits(cells)])
+    return at.where(sum((F.bit_count(n) for n, _ in _bits(cells)), F.lit(0)) > 1)
 
 
-def pair_status(status: DataFrame, good: DataFrame, left: DataFrame, cells: list[str], least: int = 10) -> DataFrame:
-    """One row per usable focal fit and other cell: the note of the pair, or null where it can be tested. good: fits of status ok; left: of sets_left."""
+def _cells_of(cells: list[str]):
+    """The cells whose bits are set, as an array."""
+    return F.array_compact(F.array(*[F.when(F.col(n).bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, c) for n, of in _bits(cells) for k, c in enumerate(of)]))
+
+
+def shared_counts(shared: DataFrame, cells: list[str]) -> DataFrame:
+    """Variants that two cells' fits of a gene and prior share, for both directions: variants of the same cells are counted before they meet the pairs. shared: of shared_variants."""
+    n = shared.groupBy("gene_id", "prior", *[n for n, _ in _bits(cells)]).agg(F.count("*").alias("_n")).withColumn("_cells", _cells_of(cells))
+    one = n.select("gene_id", "prior", "_n", "_cells", F.explode("_cells").alias("cell"))
+    two = one.select(*FIT, "_n", F.explode(F.array_remove("_cells", F.col("cell"))).alias("other_cell"))
+    return two.groupBy(*PAIR).agg(F.sum("_n").alias("n_shared"))
+
+
+def sets_left(shared: DataFrame, members: DataFrame, cells: list[str]) -> DataFrame:
+    """(pair, idx): the sets of a cell that have a member among the variants the other cell's fit has too. shared: of shared_variants."""
+    j = members.select(*FIT, "idx", "variant_key").join(shared, ["gene_id", "prior", "variant_key"])
+    return j.select(*FIT, "idx", F.explode(F.array_remove(_cells_of(cells), F.col("cell"))).alias("other_cell")).select(*PAIR, "idx").distinct()
+
+
+def pair_status(status: DataFrame, shared: DataFrame, left: DataFrame, cells: list[str], least: int = 10) -> DataFrame:
+    """One row per usable focal fit and other cell: the note of the pair, or null where it can be tested. shared: of shared_variants, from fits of status ok; left: of sets_left."""
     pairs = status.where("status = 'ok'").select(*FIT, F.explode(F.array_remove(F.array(*map(F.lit, cells)), F.col("cell"))).alias("other_cell"))
     other = status.select("gene_id", "prior", F.col("cell").alias("other_cell"), F.col("status").alias("_other"))
     # A pair's own sets and, turned round, the other side's: one small table of two flags.
     one = left.select(*PAIR).distinct()
     flags = one.withColumn("_side", F.lit(1)).union(one.select("gene_id", "prior", F.col("other_cell").alias("cell"), F.col("cell").alias("other_cell"), F.lit(2))).groupBy(*PAIR).agg(F.countDistinct("_side").alias("_sides"))
-    d = pairs.join(other, ["gene_id", "prior", "other_cell"], "left").join(shared_counts(good), PAIR, "left").join(flags, PAIR, "left")
+    d = pairs.join(other, ["gene_id", "prior", "other_cell"], "left").join(shared_counts(shared, cells), PAIR, "left").join(flags, PAIR, "left")
     note = F.when(F.col("_other") != "ok", F.format_string(ELSEWHERE.format("%s"), F.col("_other")))
     note = note.when(F.coalesce("n_shared", F.lit(0)) < least, FEW.format(least)).when(F.coalesce("_sides", F.lit(0)) < 2, NOTHING_SHARED)
     return d.select(*PAIR, note.alias("note"))
@@ -67,16 +83,15 @@ def crosscell_rows(genes: DataFrame, fits: DataFrame, members: DataFrame, priors
     """The whole table of tests and notes.
 
     genes: gene_id, every gene that was to be fitted; fits: gene_id, prior, cell, effect, variant_key, lbf; members: gene_id, prior,
-    cell, idx, variant_key (rows of credible sets; idx is the effect). Each pair of cells is computed once and mirrored. What several
-    steps read (usable fits and members, statuses, pairs, tests) is written once.
+    cell, idx, variant_key (rows of credible sets; idx is the effect). Both are read in several steps: pass them written (shared.written).
+    Each pair of cells is computed once and mirrored. What several steps read (statuses, shared variants, pairs, tests) is written once.
     """
-    fits = written(fits.select(*FIT, "effect", "variant_key", "lbf"), "crosscell-fits")
-    members = written(members.select(*FIT, "idx", "variant_key"), "crosscell-members")
     status = written(fit_status(genes, fits, members, priors, cells), "crosscell-status")
     ok = status.where("status = 'ok'").select(*FIT)
-    good, kept = fits.join(ok, FIT, "left_semi"), members.join(ok, FIT, "left_semi")
-    left = written(sets_left(good, kept), "crosscell-sets")
-    pairs = written(pair_status(status, good, left, cells, least), "crosscell-pairs")
+    kept = members.join(ok, FIT, "left_semi")
+    shared = written(shared_variants(fits.join(ok, FIT, "left_semi"), cells), "crosscell-shared")
+    left = written(sets_left(shared, kept, cells), "crosscell-sets")
+    pairs = written(pair_status(status, shared, left, cells, least), "crosscell-pairs")
     open_ = pairs.where("note is null").select(*PAIR)
     # Only effects whose set is still there meet; their Bayes factors at all shared variants count.
     side = fits.join(left.join(open_, PAIR, "left_semi").withColumnRenamed("idx", "effect"), [*FIT, "effect"]).select(*PAIR, "effect", "variant_key", "lbf")

@@ -15,7 +15,7 @@ from locusframe.plans.registry import AL, ALLELES, VID, query, r6
 from locusframe.plans.study_queries import CELLS
 from locusframe.plans.table_queries import NLP
 from locusframe.sources import files
-from locusframe.sources.shared import shared_folder
+from locusframe.sources.shared import shared_folder, written
 
 # --- colocalization between cells ------------------------------------------------------------------------------------
 
@@ -49,16 +49,16 @@ _FITS = """fm AS MATERIALIZED (SELECT gene_id, 'uniform' AS prior, cell, effect,
 
 
 def _fitted(f):
-    """Fits of two priors, some missing, broken, thin or without a set, and the members of their sets."""
-    uniform = f.select("gene_id", F.lit("uniform").alias("prior"), "cell", "effect", "variant_key", "lbf")
+    """Fits of two priors, some missing, broken, thin or without a set, and the members of their sets (A28, A14); each is computed once and written."""
     broken = F.col("gene_id").like("%3") & (F.col("cell") == "cell0") & (F.col("effect") == 2)
-    ems = f.where("not (gene_id like '%7' and cell = 'cell2') and not (gene_id like '%1' and cell = 'cell1' and variant_key % 16 <> 0)")
-    fits = uniform.unionByName(ems.select("gene_id", F.lit("EMS").alias("prior"), "cell", "effect", "variant_key", F.when(~broken, F.col("lbf")).alias("lbf")))
+    ems = F.expr("not (gene_id like '%7' and cell = 'cell2') and not (gene_id like '%1' and cell = 'cell1' and variant_key % 16 <> 0)")
+    fits = f.withColumn("prior", F.explode(F.when(ems, F.array(F.lit("uniform"), F.lit("EMS"))).otherwise(F.array(F.lit("uniform")))))
+    fits = fits.select("gene_id", "prior", "cell", "effect", "variant_key", F.when((F.col("prior") == "uniform") | ~broken, F.col("lbf")).alias("lbf"))
+    fits = written(fits, "crosscell-fits")
     key = ["gene_id", "prior", "cell", "effect"]
     alpha = A.softmax(fits.where("lbf is not null"), key, "lbf")
-    members = [A.credible_set(alpha.where(F.col("prior") == p), key, c) for p, c in (("uniform", 0.5), ("EMS", 0.02))]
-    members = members[0].unionByName(members[1]).where("not (gene_id like '%4' and cell = 'cell1')")
-    return fits, members
+    members = A.credible_set(alpha, key, F.when(F.col("prior") == "EMS", 0.02).otherwise(0.5)).where("not (gene_id like '%4' and cell = 'cell1')")
+    return fits, written(members, "crosscell-members")
 
 
 def _crosscell(f, g):

@@ -11,9 +11,10 @@ from locusframe.llm import mixing
 from locusframe.llm.common import HashedWords
 from locusframe.operators import aggregates as A
 from locusframe.operators import coloc as C
+from locusframe.operators import crosscell as X
 from locusframe.operators import joins as J
 from locusframe.operators import linkage
-from locusframe.plans import registry, table_queries  # noqa: F401 (the import registers its queries)
+from locusframe.plans import block_queries, registry, table_queries  # noqa: F401 (the import registers its queries)
 
 
 def rows_joined(spark, df):
@@ -135,3 +136,33 @@ def test_pairs_of_genes_are_not_shuffled(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_fits_of_cells_are_computed_once(spark):
+    """All steps between cells read one table of fits; what it is made of is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    rows = [(f"G{g}", f"cell{c}", e, v, float((g * 31 + c * 7 + e * 3 + v * 5) % 17)) for g in range(10) for c in range(3) for e in (1, 2) for v in range(20)]
+    f = spark.createDataFrame(rows, "gene_id string, cell string, effect int, variant_key long, lbf double")
+    genes = f.select("gene_id").distinct()
+    got = block_queries._crosscell(f.mapInPandas(count, f.schema), genes).collect()
+    assert seen.value == len(rows) and sum(r.note is None for r in got) > 10
+
+
+def test_shared_variants_of_many_cells(spark):
+    """The cells of a variant are bits of several columns where there are more than sixty; counts and sets are those of brute force."""
+    cells = [f"c{k}" for k in range(130)]
+    has = {(c, v) for k, c in enumerate(cells) for v in range(12) if (k * 7 + v * v) % 11 == 0}
+    fits = spark.createDataFrame([("g", "p", c, v) for c, v in has] * 2, "gene_id string, prior string, cell string, variant_key long")
+    shared = X.shared_variants(fits, cells)
+    got = {(r.cell, r.other_cell): r.n_shared for r in X.shared_counts(shared, cells).collect()}
+    want = {(a, b): n for a in cells for b in cells if a != b and (n := sum((a, v) in has and (b, v) in has for v in range(12)))}
+    assert got == want and len(want) > 100
+    members = fits.where("variant_key < 6").select("gene_id", "prior", "cell", (F.col("variant_key") % 2).alias("idx"), "variant_key")
+    left = {(r.cell, r.other_cell, r.idx) for r in X.sets_left(shared, members, cells).collect()}
+    assert left == {(a, b, v % 2) for a, v in has if v < 6 for b in cells if b != a and (b, v) in has}
