@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import written
+
 #: Published settings of the trees.
 PUBLISHED = {"maxDepth": 5, "maxIter": 1000, "stepSize": 0.03, "minInstancesPerNode": 10, "seed": 9448}
 
@@ -23,20 +25,30 @@ def assembled(df: DataFrame, features: list[str], nullable: str | None = None) -
     return VectorAssembler(inputCols=list(clean), outputCol="x").transform(df.withColumns(clean)).drop(*clean)
 
 
+def merged(df: DataFrame, fold: str, label: str, weight: str, least: int) -> DataFrame:
+    """Of the rows of equal fold, `x` and label at most `least`, which share the weight of all.
+
+    Sums of weights stay, and k of them or `least`, whichever is fewer, in place of k rows reach `least` rows in a node exactly where the rows did.
+    """
+    w = F.col(weight)
+    one = df.groupBy(fold, "x", label).agg(F.sum(w).alias("_w"), F.min(w).alias("_m"), F.least(F.count("*"), F.lit(max(least, 1))).cast("int").alias("_k"))
+    each = one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    # All but the first weigh what the lightest row did: whole weights stay whole, so equal gains stay equal.
+    return each.select(fold, "x", label, F.when(F.col("_i") > 1, F.col("_m")).otherwise(F.col("_w") - (F.col("_k") - 1) * F.col("_m")).alias(weight))
+
+
 def train_folds(df: DataFrame, fold: str, folds: list, label: str, weight: str, at_once: int = 4, **params) -> dict[object, GBTClassificationModel]:
     """M6: per fold a model of the rows outside it. df has `x`; the list of folds (chromosomes) is given, so it does not grow with the data.
 
-    The rows are kept once for all folds, and `at_once` folds are fitted side by side: a boosting round's many small jobs leave room on
-    a cluster, which the other folds fill. Each fold's model is that of a fit on its own.
+    The rows are written once for all folds, and `at_once` folds are fitted side by side: a boosting round's many small jobs leave room on
+    a cluster, which the other folds fill. Each fold's model is that of a fit on its own. Rows of equal fold, features and label go
+    through every round together, so they are merged (see merged).
     """
     gbt = GBTClassifier(featuresCol="x", labelCol=label, weightCol=weight, **(PUBLISHED | params))
-    kept = df.select(fold, "x", label, weight).persist()
-    try:
-        fit = inheritable_thread_target(df.sparkSession)(lambda f: gbt.fit(kept.where(F.col(fold) != f)))
-        with ThreadPoolExecutor(max_workers=at_once) as pool:
-            return dict(zip(folds, pool.map(fit, folds), strict=True))
-    finally:
-        kept.unpersist()
+    kept = written(merged(df, fold, label, weight, gbt.getMinInstancesPerNode()), "fold-rows")
+    fit = inheritable_thread_target(df.sparkSession)(lambda f: gbt.fit(kept.where(F.col(fold) != f)))
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return dict(zip(folds, pool.map(fit, folds), strict=True))
 
 
 def node_table(spark, models: dict[object, GBTClassificationModel]) -> DataFrame:
@@ -81,7 +93,8 @@ def score_nodes(df: DataFrame, fold: str, nodes: DataFrame, keys: list[str], dep
 
 def score_folds(df: DataFrame, fold: str, models: dict[object, GBTClassificationModel], keep: list[str], name: str = "pred_prob") -> DataFrame:
     """M7: every row scored by the model that held out its fold; rows of other folds are not scored."""
-    parts = [m.transform(df.where(F.col(fold) == f)).select(*keep, vector_to_array("probability")[1].alias(name)) for f, m in models.items()]
+    alone = {f: m.copy().setRawPredictionCol("").setPredictionCol("") for f, m in models.items()}  # the probability is all that is asked for
+    parts = [m.transform(df.where(F.col(fold) == f)).select(*keep, vector_to_array("probability")[1].alias(name)) for f, m in alone.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
