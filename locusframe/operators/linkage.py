@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusframe.functions.keys import neglog10p
+from locusframe.sources.shared import written
 
 PAIRS = "chr string, key1 {0}, key2 {0}, pos1 bigint, pos2 bigint, r double"
 
@@ -18,9 +20,9 @@ def sample_order(samples: DataFrame) -> Column:
     return samples.agg(F.sort_array(F.collect_set("sample_id"))).scalar()
 
 
-def packed(df: DataFrame, keys: list[str], value: str, samples: Column, name: str) -> DataFrame:
+def packed(df: DataFrame, keys: list[str], value: str, samples: Column, name: str, kind: str = "double") -> DataFrame:
     """One row per key with `name`, the values in the order of the samples; null where a sample has none."""
-    one = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col(value).cast("double").alias("v")))).alias("_m"))
+    one = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col(value).cast(kind).alias("v")))).alias("_m"))
     return one.withColumn("_all", samples).select(*keys, F.transform("_all", lambda s: F.try_element_at("_m", s)).alias(name))
 
 
@@ -125,15 +127,22 @@ def moments(x: np.ndarray, y: np.ndarray, cohort: np.ndarray, maf: float, mac: f
     return {"slope": slope, "se": se, "n": n, "ok": good & (n > 2) & (vx > 1e-9)}
 
 
-def _regress(maf: float, mac: float, missing: float):
-    columns = ["cell", "gene_id", "variant_key", "slope", "se", "n"]
+def _values(t: pa.Table, name: str) -> np.ndarray:
+    """A column of arrays of one length as a matrix; null is NaN."""
+    return t[name].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+def _regress(maf: float, mac: float, missing: float):
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not len(x) or not len(y):
-            return pd.DataFrame(columns=columns)
-        m = moments(_matrix(x["d"]), _matrix(y["y"]), np.array(y["cohort"].tolist(), bool), maf, mac, missing)
-        i, j = np.nonzero(m["ok"])
-        return pd.DataFrame({"cell": y["cell"].to_numpy()[j], "gene_id": x["gene_id"].iloc[0], "variant_key": x["variant_key"].to_numpy()[i], "slope": m["slope"][i, j], "se": m["se"][i, j], "n": m["n"][i, j].astype(np.int64)})
+            x, y = x.slice(0, 0), y.slice(0, 0)
+            i = j = np.zeros(0, int)
+            m = dict.fromkeys(("slope", "se", "n"), np.zeros((0, 0)))
+        else:
+            m = moments(_values(x, "d"), _values(y, "y"), _values(y, "cohort") > 0, maf, mac, missing)
+            i, j = np.nonzero(m["ok"])
+        keys = [y["cell"].take(j), x["gene_id"].take(i), x["variant_key"].take(i)]
+        return pa.table([*keys, m["slope"][i, j], m["se"][i, j], m["n"][i, j].astype(np.int64)], names=["cell", "gene_id", "variant_key", "slope", "se", "n"])
 
     return run
 
@@ -146,20 +155,21 @@ def marginal_regression(geno: DataFrame, expr: DataFrame, pairs: DataFrame, maf:
     it. Pairs of fewer than 3 samples or without spread have no row. Samples without a dosage or an expression are left out of a fit.
 
     Dosages and expressions are packed by sample; a gene's variants, in blocks, meet its expressions of all cells in one product, so
-    rows are shuffled once a pair, not once a pair, sample and cell.
+    rows are shuffled once a pair, not once a pair, sample and cell. They come as Arrow tables, whose arrays are matrices as they stand.
     """
     order = sample_order(geno.select("sample_id").union(expr.select("sample_id")))
-    x = packed(geno, ["variant_key"], "dosage", order, "d")
-    wanted = pairs.select("gene_id", "variant_key").distinct().join(x, "variant_key")
-    sizes = pairs.groupBy("gene_id").agg(F.ceil(F.countDistinct("variant_key") / block).alias("slices"))
+    x = packed(geno, ["variant_key"], "dosage", order, "d", geno.schema["dosage"].dataType.simpleString())  # whole dosages stay whole: a pair ships half the bytes
+    pairs = written(pairs.select("gene_id", "variant_key").distinct(), "regression-pairs")
+    wanted = pairs.join(x, "variant_key")
+    sizes = pairs.groupBy("gene_id").agg(F.ceil(F.count("variant_key") / block).alias("slices"))
     wanted = wanted.join(sizes, "gene_id").withColumn("slice", F.pmod(F.xxhash64("variant_key"), F.col("slices")))
     cohorts = expr.where("y is not null").groupBy("cell").agg(F.collect_set("sample_id").alias("_in")).withColumn("_all", order)
-    cohorts = cohorts.select("cell", F.transform("_all", lambda s: F.array_contains("_in", s)).alias("cohort"))
+    cohorts = cohorts.select("cell", F.transform("_all", lambda s: F.array_contains("_in", s).cast("int")).alias("cohort"))
     y = packed(single_phenotype(expr, ["cell", "gene_id", "sample_id"]), ["cell", "gene_id"], "y", order, "y").join(cohorts, "cell")
     y = y.join(sizes.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))), "gene_id")
     left, right = wanted.select("gene_id", "slice", "variant_key", "d"), y.select(F.col("gene_id").alias("of"), F.col("slice").alias("part"), "cell", "y", "cohort")
     kind = {c: t for c, t in (("cell", expr.schema["cell"]), ("gene_id", pairs.schema["gene_id"]), ("variant_key", pairs.schema["variant_key"]))}
     schema = ", ".join(f"{c} {t.dataType.simpleString()}" for c, t in kind.items()) + ", slope double, se double, n bigint"
-    s = left.groupBy("gene_id", "slice").cogroup(right.groupBy("of", "part")).applyInPandas(_regress(maf, mac, missing), schema)
+    s = left.groupBy("gene_id", "slice").cogroup(right.groupBy("of", "part")).applyInArrow(_regress(maf, mac, missing), schema)
     z = F.try_divide("slope", "se")
     return s.select("cell", "gene_id", "variant_key", "slope", "se", z.alias("z"), neglog10p(z).alias("neglog10p"), "n")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from locusframe.llm import mixing
 from locusframe.llm.common import HashedWords
 from locusframe.operators import aggregates as A
+from locusframe.operators import assemblies as M
 from locusframe.operators import coloc as C
 from locusframe.operators import crosscell as X
-from locusframe.operators import folds
+from locusframe.operators import features, folds
 from locusframe.operators import joins as J
 from locusframe.operators import linkage
 from locusframe.plans import block_queries, registry, table_queries  # noqa: F401 (the import registers its queries)
@@ -184,3 +185,50 @@ def test_equal_rows_are_fitted_together(spark):
     assert [(*key(r), r.feature, r.threshold) for r in got] == [(*key(r), r.feature, r.threshold) for r in want]
     assert all(abs(a.prediction - b.prediction) < 1e-9 for a, b in zip(got, want, strict=True))
     assert folds.score_folds(d, "fold", models, ["id"]).count() == 60_004
+
+
+def sent(spark, df, broadcast="-1"):
+    """Rows that df shuffles."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        d = df()
+        rows = d.collect()
+        todo, n = [d._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            at = todo.pop()
+            todo += [at.children().apply(k) for k in range(at.children().size())]
+            if at.nodeName() == "Exchange":
+                n += at.metrics().apply("shuffleRecordsWritten").value()
+        return n, rows
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def counted(spark, df):
+    """df, and how many of its rows were made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+ROWS = "gene_id string, chr string, pos long, ref string, alt string"
+
+
+def test_regression_reads_its_pairs_once(spark):
+    g = spark.createDataFrame([(s, v, (s * 7 + v * 3 + s * v) % 3) for s in range(30) for v in range(20)], "sample_id int, variant_key long, dosage int")
+    e = spark.createDataFrame([("c", f"g{k}", s, float((s * s + k) % 11)) for s in range(30) for k in range(4)], "cell string, gene_id string, sample_id int, y double")
+    pairs, seen = counted(spark, spark.createDataFrame([(f"g{k}", v) for k in range(4) for v in range(20)] * 2, "gene_id string, variant_key long"))
+    got = linkage.marginal_regression(g, e, pairs, block=6).toPandas()
+    assert seen.value == 160 and len(got) > 40
+    d = g.toPandas().merge(e.toPandas(), on="sample_id")
+    for r in got.itertuples():
+        x = d[(d["gene_id"] == r.gene_id) & (d["variant_key"] == r.variant_key)]
+        assert r.n == 30 and abs(r.slope - np.polyfit(x["dosage"], x["y"], 1)[0]) < 1e-9
