@@ -232,3 +232,23 @@ def test_regression_reads_its_pairs_once(spark):
     for r in got.itertuples():
         x = d[(d["gene_id"] == r.gene_id) & (d["variant_key"] == r.variant_key)]
         assert r.n == 30 and abs(r.slope - np.polyfit(x["dosage"], x["y"], 1)[0]) < 1e-9
+
+
+def test_training_rows_meet_their_features_once(spark):
+    d = spark.createDataFrame([(f"g{k % 3}", "chr1", k, "A", "C", k) for k in range(600)], ROWS + ", k int")
+    cand, seen = counted(spark, d.where("k >= 20"))
+    features, made = counted(spark, d.where("k % 2 = 0").select("gene_id", *A.ALLELES, (F.col("k") * 2).alias("f")))
+    got = M.training_set(d.where("k < 20"), cand, [F.col("k")], 3, features).collect()
+    assert seen.value == 580 and made.value == 300
+    assert sorted(r.k for r in got if r.label) == list(range(0, 20, 2)) and all(r.f == 2 * r.k for r in got) and len(got) == 40
+
+
+def test_only_annotated_variants_are_summarized(spark):
+    """Of 3,000 variants 30 are annotated: best rows, peaks and tracks of the others are not shuffled."""
+    d = spark.createDataFrame([(f"g{k % 2}", "chr1", k * 100, "A", "C", k / 3000, k, "c", "a", 1) for k in range(3000)], ROWS + ", pip double, k int, cell string, assay string, track int")
+    at = spark.createDataFrame([("x", "chr1", 0, 2950)], "annotation string, chr string, start_pos long, end_pos long")
+    genes = spark.createDataFrame([("g0", 10), ("g1", 20)], "gene_id string, gene_tss long")
+    links = spark.createDataFrame([("g0", "chr1", "c", 0, 500, 0.5)], "gene_id string, chr string, cell string, start_pos long, end_pos long, abc_score double")
+    lists = spark.createDataFrame([("c", 1)], "cell string, track int")
+    n, rows = sent(spark, lambda: M.gene_feature_table(d, [F.col("k")], at, genes, links, {"s": "c"}, d, (["c"], ["pip"], ["a"]), d.select(*A.ALLELES, "track", F.col("pip").alias("v")), lists, ("c",)), "10MB")
+    assert n < 1000 and sorted(r.k for r in rows) == list(range(1, 30)) and all(r.c_pip_max_a == r.max_c_TF_score == r.pip for r in rows)
