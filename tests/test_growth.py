@@ -252,3 +252,16 @@ def test_only_annotated_variants_are_summarized(spark):
     lists = spark.createDataFrame([("c", 1)], "cell string, track int")
     n, rows = sent(spark, lambda: M.gene_feature_table(d, [F.col("k")], at, genes, links, {"s": "c"}, d, (["c"], ["pip"], ["a"]), d.select(*A.ALLELES, "track", F.col("pip").alias("v")), lists, ("c",)), "10MB")
     assert n < 1000 and sorted(r.k for r in rows) == list(range(1, 30)) and all(r.c_pip_max_a == r.max_c_TF_score == r.pip for r in rows)
+
+
+def test_bases_are_looked_up_for_scores_only(spark):
+    """Of 4,000 variants 40 have a score and none of training: only those go to the tiles."""
+    v = spark.createDataFrame([("chr1", k + 10, "A", "C") for k in range(4000)] + [("chr1", 5, None, "C")], "chr string, pos long, ref string, alt string")
+    training = v.where("pos % 100 < 50").select("*", F.lit(2.0).alias("llr"))
+    scores = v.where("pos % 50 = 0").select("*", F.lit(1.0).alias("llr"))
+    tiles = spark.createDataFrame([("chr1", t, "ACGTA" * 20) for t in range(50)], "chr string, tile long, seq string")
+    neutral = spark.createDataFrame([("GTAAC_C", 0.25)], "context string, llr double")
+    n, rows = sent(spark, lambda: features.llr_lookup(v, training, scores, neutral, tiles, 100))
+    got = {r.pos: (r.gpn_star_llr, r.source) for r in rows}
+    assert n < 1000 and len(got) == 4001
+    assert all(got[p] == ((2.0, "training") if p % 100 < 50 else (1.25, "scores") if p % 50 == 0 else (None, "none")) for p in range(10, 4010)) and got[5] == (None, "none")
