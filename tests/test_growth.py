@@ -265,3 +265,11 @@ def test_bases_are_looked_up_for_scores_only(spark):
     got = {r.pos: (r.gpn_star_llr, r.source) for r in rows}
     assert n < 1000 and len(got) == 4001
     assert all(got[p] == ((2.0, "training") if p % 100 < 50 else (1.25, "scores") if p % 50 == 0 else (None, "none")) for p in range(10, 4010)) and got[5] == (None, "none")
+
+
+def test_link_scores_shuffle_a_pair_once(spark):
+    v = spark.createDataFrame([(f"g{k % 5}", "chr1", k * 5000, "A", "C") for k in range(1000)], ROWS)
+    links = spark.createDataFrame([("g1", "chr1", c, 5000, 5100, s) for c, s in (("c0", 0.5), ("c0", 0.7), ("c3", 0.2), ("other", 0.9))], "gene_id string, chr string, cell string, start_pos long, end_pos long, abc_score double")
+    cells = [f"c{k}" for k in range(10)]
+    n, rows = sent(spark, lambda: J.max_link_score(v, links, cells))
+    assert n < 5000 and len(rows) == 10_000 and {(r.pos, r.cell): r.abc_score for r in rows if r.abc_score} == {(5000, "c0"): 0.7, (5000, "c3"): 0.2}
