@@ -228,7 +228,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int =
     stars = stars.join(chunks, "c").withColumn("i", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
     ids = stars.select(F.col("x").alias("fp")).union(stars.select("c")).distinct()
     # One document a class brings its text; where an id has several texts, their fingerprints tell them apart.
-    needed = texts(docs).join(classes.join(ids, "fp").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Their ids are written, so that the size of the table is known before texts are sent: while it is small, texts stay where they are.
+    asked = written(classes.join(ids, "fp").select(F.col("rep").alias("doc_id")).distinct(), "asked")
+    needed = texts(docs).join(asked, "doc_id", "left_semi")
     sets = written(sets_of(needed, n).join(ids.withColumnRenamed("fp", "x"), "x", "left_semi").dropDuplicates(["x"]), "shingle-sets", "lz4")
     members = stars.join(sets, "x")
     at = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col("c").alias("cc"), F.col("i").alias("ci"))
