@@ -8,9 +8,10 @@
 3. Signatures are cut into bands; equal bands are buckets. A bucket links its members to one centre only: the member that
    shares most buckets corpus-wide, which in a group of edited copies is the common original. All bands so agree on centres.
 4. Star edges are confirmed on full shingle sets, in chunks bounded in shingles and in rows (a hot centre is spread over many).
+   The sets are written where they are met, by star and chunk, so no later step sends all of them again.
 5. What a star may miss, a member that fails against the centre yet is near another member, is settled exactly: the failed
    members of a star are compared on full sets with its members, chunk against chunk; no pairs are emitted, only the links that join
-   components. Members of a large star lie in chunks by their similarity to the centre: 1 - similarity is a metric, so two members
+   components. A star of one chunk is settled where it is confirmed. Members of a larger star lie in chunks by their similarity to the centre: 1 - similarity is a metric, so two members
    can only be near if their similarities to the centre differ by no more than 1 - the bound, and other chunk pairs are left out. A
    chunk with failed members first meets itself and the chunk with most confirmed members that it can be near; who has joined the
    centre there needs no more, and only the rest meets all other chunks. So every pair that shares a bucket is decided; no bucket is capped.
@@ -108,12 +109,15 @@ def _similar(inter, a, b, percent: int):
 
 
 def _confirm(percent: int):
-    """Star edges of one chunk: its members against the centre's full set."""
+    """One chunk of a star: its members against the centre's full set. Where it is the whole star, its failed members are settled here too: joined is what such a member is linked to."""
+    settle = _settle(percent)
 
-    def run(members: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        members, centre = rows[~rows["centre"]], rows[rows["centre"]]
+        out = members[["c", "x", "n", "k"]].assign(ok=False, sim=0.0, joined=None)
         if not len(members) or not len(centre):
-            return pd.DataFrame({"c": [], "x": [], "ok": [], "sim": []}).astype({"c": object, "x": object, "ok": bool, "sim": float})
-        c = np.frombuffer(centre["cs"].iloc[0], np.uint64)
+            return out[:0]
+        c = np.frombuffer(centre["s"].iloc[0], np.uint64)
         ok, sim = [], []
         for raw in members["s"]:
             x = np.frombuffer(raw, np.uint64)
@@ -121,7 +125,12 @@ def _confirm(percent: int):
             inter = int((c[np.minimum(at, len(c) - 1)] == x).sum())
             ok.append(_similar(inter, len(c), len(x), percent))
             sim.append(inter / (len(c) + len(x) - inter))
-        return pd.DataFrame({"c": members["c"], "x": members["x"], "ok": ok, "sim": sim})
+        out = out.assign(ok=ok, sim=sim)
+        if out["k"].iloc[0] == 1 and len(out) > 1 and not all(ok):
+            found = settle(members[["c", "x", "s"]].assign(ok=ok, i=0, j=0, side=0))
+            to = {bytes(x): t for x, t in zip(found["a"], found["b"], strict=True)}
+            out = out.assign(joined=[to.get(bytes(x)) for x in out["x"]])
+        return out
 
     return run
 
@@ -176,11 +185,10 @@ def _settle(percent: int):
     return run
 
 
-def _settled(checked: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, chunk: int, chunk_rows: int, levels: int) -> list[DataFrame]:
-    """Links (a, b) of the members that failed against their centres: tables whose union joins all they are near to."""
-    open_ = checked.groupBy("c").agg(F.count_if(~F.col("ok")).alias("bad"), F.count("*").alias("m")).where("bad > 0 and m > 1").select("c")
-    state = checked.join(stars.select("c", "x", "n", "k"), ["c", "x"]).join(open_, "c")
-    state = state.withColumn("level", F.when(F.col("k") > 1, F.floor(F.col("sim") * levels)).otherwise(0).cast("bigint"))
+def _settled(checked: DataFrame, sets: DataFrame, percent: int, chunk: int, chunk_rows: int, levels: int) -> list[DataFrame]:
+    """Links (a, b) of the members that failed against the centres of stars of several chunks: tables whose union joins all they are near to."""
+    open_ = checked.groupBy("c").agg(F.count_if(~F.col("ok")).alias("bad")).where("bad > 0").select("c")
+    state = checked.join(open_, "c").withColumn("level", F.floor(F.col("sim") * levels).cast("bigint"))
     slices = state.groupBy("c", "level").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_rows)).alias("slices"))
     at = F.shiftleft("level", 40) + F.pmod(F.xxhash64("x"), F.col("slices"))  # chunks sort by level
     state = written(state.join(slices, ["c", "level"]).select("c", "x", "ok", "level", at.alias("i")), "open-stars")
@@ -197,8 +205,9 @@ def _settled(checked: DataFrame, stars: DataFrame, sets: DataFrame, percent: int
     def compared(state: DataFrame, sides: DataFrame) -> DataFrame:
         ends = sides.select("c", F.col("p").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(0).alias("side")).union(
             sides.where("p < q").select("c", F.col("q").alias("i"), F.col("p").alias("lo"), F.col("q").alias("hi"), F.lit(1).alias("side")))
-        placed = state.join(sets, "x").join(ends, ["c", "i"])
-        placed = placed.select("c", F.col("lo").alias("i"), F.col("hi").alias("j"), "side", "x", "ok", "s")
+        # Sets come last: they are sent to their stars' members once, and then to the chunk pairs.
+        asks = state.join(ends, ["c", "i"]).select("c", F.col("lo").alias("i"), F.col("hi").alias("j"), "side", "x", "ok")
+        placed = asks.join(sets, ["c", "x"])
         return written(placed.groupBy("c", "i", "j").applyInPandas(_settle(percent), "c binary, a binary, b binary"), "settled")
 
     every = written(pairs(state), "chunk-pairs")
@@ -231,14 +240,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bins: int =
     # Their ids are written, so that the size of the table is known before texts are sent: while it is small, texts stay where they are.
     asked = written(classes.join(ids, "fp").select(F.col("rep").alias("doc_id")).distinct(), "asked")
     needed = texts(docs).join(asked, "doc_id", "left_semi")
-    sets = written(sets_of(needed, n).join(ids.withColumnRenamed("fp", "x"), "x", "left_semi").dropDuplicates(["x"]), "shingle-sets", "lz4")
-    members = stars.join(sets, "x")
-    at = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col("c").alias("cc"), F.col("i").alias("ci"))
-    centres = at.join(sets.select(F.col("x").alias("cc"), F.col("s").alias("cs")), "cc")
-    checked = members.groupBy("c", "i").cogroup(centres.groupBy("cc", "ci")).applyInPandas(_confirm(percent), "c binary, x binary, ok boolean, sim double")
+    # A set goes to its stars where copies of it are dropped: as a member to its chunk, as a centre to each of its star's chunks.
+    members = stars.select("c", "x", "n", "k", "i", F.lit(False).alias("centre"))
+    centres = chunks.select("c", F.col("c").alias("x"), F.lit(0).cast("bigint").alias("n"), "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(True).alias("centre"))
+    placed = written(sets_of(needed, n).dropDuplicates(["x"]).join(members.union(centres), "x"), "star-sets", "lz4")
+    checked = placed.groupBy("c", "i").applyInPandas(_confirm(percent), "c binary, x binary, n bigint, k int, ok boolean, sim double, joined binary")
     checked = written(checked, "star-checks")
     edges = checked.where("ok").select(F.col("c").alias("a"), F.col("x").alias("b"))
-    for more in _settled(checked, stars, sets, percent, chunk, chunk_rows, levels):
+    edges = edges.union(checked.where("joined is not null").select(F.col("x").alias("a"), F.col("joined").alias("b")))
+    for more in _settled(checked.where("k > 1"), placed.where("k > 1 and not centre").select("c", "x", "s"), percent, chunk, chunk_rows, levels):
         edges = edges.union(more)
     comp = components(edges).withColumnRenamed("id", "fp")
     of = classes.select("fp", "rep").join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))

@@ -158,6 +158,28 @@ def test_op2_settles_failed_members_of_a_large_star(spark, levels, chunk_rows):
         assert len(set(comp.values())) > 1
 
 
+def test_op2_settles_a_star_of_one_chunk_where_it_is_confirmed(spark, monkeypatch):
+    """Members that fail against a small star's centre are settled without their sets being sent again."""
+    from locusframe.llm import near_dup
+
+    rng, base, rows = np.random.default_rng(5), [f"w{k}" for k in range(120)], {}
+    for i in range(60):
+        start = last if i % 3 else base  # noqa: F821
+        last = [w if k not in set(rng.choice(120, i % 9, replace=False)) else f"x{rng.integers(10**6)}" for k, w in enumerate(start)]
+        rows[i] = " ".join(last)
+    made, write = {}, near_dup.written
+
+    def seen(df, name, *more):
+        made.setdefault(name, []).append(out := write(df, name, *more))
+        return out
+
+    monkeypatch.setattr(near_dup, "written", seen)
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, x, "en", "s", 0, "x", 1, 1) for i, x in rows.items()], SCHEMA), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 1, 80)[1]
+    assert made["star-checks"][0].where("not ok").count() > 0
+    assert [d.count() for d in made["open-stars"]] == [0]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
