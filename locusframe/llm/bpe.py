@@ -27,7 +27,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from locusframe.llm.common import texts
+from locusframe.llm.common import hands_back, texts
 
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -199,6 +199,7 @@ def _some(batch: pd.DataFrame, chars: int = 2_000_000):
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int> and decoded string: the operator's own output."""
 
+    @hands_back
     def run(batches):
         tree = TreeEncoder(path)
         for b in batches:
@@ -216,6 +217,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     space; special tokens are kept.
     """
 
+    @hands_back
     def run(batches):
         tree = TreeEncoder(path)
         shown: dict[str, tuple[str, str, int]] = {}

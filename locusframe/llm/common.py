@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections import defaultdict
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +75,23 @@ class HashedWords:
         return [self.hashes[x] for x in found]
 
 
+def hands_back(run):
+    """run, a function over a task's batches, that returns its freed memory to the machine at the task's end.
+
+    Spark keeps a Python worker between tasks and stages; what a memo or a batch took would else stay with it while other workers run.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches):
+        yield from run(batches)
+        gc.collect()  # HashedWords' table of words refers to itself
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, vectorised."""
     x = x ^ (x >> np.uint64(30))

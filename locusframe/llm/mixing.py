@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusframe.llm.common import HashedWords, written
+from locusframe.llm.common import HashedWords, hands_back, written
 
 DIMENSIONS = ("source", "lang", "topic")
 BUCKETS = 512
@@ -77,6 +77,7 @@ def added_up(parts: DataFrame, key: str) -> DataFrame:
 def language_means(seen: DataFrame) -> DataFrame:
     """(_lang, _mean): the mean vector of all documents of a language that have words, in whole numbers."""
 
+    @hands_back
     def run(batches):
         sums: dict = {}
         for b in chunks(batches):
@@ -106,6 +107,7 @@ def fitted(z: DataFrame, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of all vectors of z (column z, packed). The first is the least vector, then each time the one least like those taken; then rounds of spherical k-means."""
 
     def least_like(c: np.ndarray):
+        @hands_back
         def run(batches):
             best = None
             for b in chunks(batches):
@@ -118,6 +120,7 @@ def fitted(z: DataFrame, k: int, rounds: int = 12) -> np.ndarray:
         return run
 
     def members(c: np.ndarray):
+        @hands_back
         def run(batches):
             n, s = np.zeros(len(c), np.int64), np.zeros(c.shape)
             for b in chunks(batches):
@@ -154,6 +157,7 @@ def with_cells(docs: DataFrame, topic: Column | None = None, topics: int = 8, dr
     """docs (without the columns of `drop`), written once, with _source, _lang, _topic and _tokens; topics are fitted unless a topic column is given."""
     label = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 
+    @hands_back
     def hashed_words(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = HashedWords()
         for t in parts:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import HashedWords, hashed, mix, texts, written
+from locusframe.llm.common import HashedWords, hands_back, hashed, mix, texts, written
 from locusframe.llm.components import components
 
 SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, bands array<bigint>"
@@ -73,6 +73,7 @@ def signature(shingles: np.ndarray, bins: int, order: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
+    @hands_back
     def run(batches):
         order, words = probes(bins), HashedWords()
         salt = mix(np.arange(1, bins // rows + 1, dtype=np.uint64))
@@ -95,6 +96,7 @@ def signed(docs: DataFrame, n: int, bins: int, rows: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    @hands_back
     def run(batches):
         words = HashedWords()
         for b in batches:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod, hashed, written
+from locusframe.llm.common import crc_mod, hands_back, hashed, written
 
 BYTE_CLASSES = {
     "lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": [32], "newline": [10], "high": range(128, 256),
@@ -56,6 +56,7 @@ def statistics(texts_: list[str]) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
+    @hands_back
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "x": list(statistics(b["text"].tolist()))})
@@ -146,6 +147,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     rows = few.orderBy(h, "doc_id", "text_hash").limit(max_train_rows).select("x", "y").toPandas()
     model = fit(np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float))
 
+    @hands_back
     def run(batches):
         for b in batches:
             s = model.score(np.array(b["x"].tolist(), float).reshape(-1, len(FEATURES)))
