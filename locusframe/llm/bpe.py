@@ -13,7 +13,7 @@ stands next to each other in one of the three encodings; a sequence all of whose
 whole.
 
 Ids of units are remembered, so equal words are encoded once a task. Spark only deals out documents: no shuffle, and a task's memory
-is bounded by its batches and a memo that is emptied at `memo_words`.
+is bounded by its batches and a memo that is cut back to the batch's own words at `memo_words`.
 
 Defined results: null text counts as empty (0 tokens, empty decoding); null ids are kept; repeated rows give repeated results;
 extra columns are ignored; very long texts are used whole; an empty table gives an empty result.
@@ -23,13 +23,20 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from locusframe.llm.common import hands_back, texts
 
 SPACES = " \t\n\r\x0b\x0c"
+#: Stands between words that are encoded in one text.
+MARK = "\x00"
 
 
 class TreeEncoder:
@@ -47,6 +54,8 @@ class TreeEncoder:
         self.memo: dict[str, list[int]] = {}
         self.placed: dict[str, list] = {}  # of long fragments: (id, start, end)
         self.joins = self.windows = 0
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _pieces(self, texts_: list[str]) -> list[list[tuple[int, int, int]]]:
         """(id, start, end) of each token, of texts encoded on their own."""
@@ -145,16 +154,40 @@ class TreeEncoder:
             reach *= 2
         return out
 
+    def _remember(self, new: list[str], run: int = 100) -> None:
+        """Put the ids of words into the memo. A run of words is one text with a mark between two words, which is quicker than a text a word.
+
+        If the marks do not count up, since a word holds one or the tokenizer has no id for it alone, the run's words are encoded on their own.
+        """
+        runs = [new[k : k + run] for k in range(0, len(new), run)]
+        alone = []
+        for some, e in zip(runs, self.fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = e.ids
+            marks = [k for k, i in enumerate(ids) if i == self.mark]
+            if len(marks) != len(some) - 1:
+                alone += some
+                continue
+            start = 0
+            for w, end in zip(some, [*marks, len(ids)], strict=True):
+                self.memo[w] = ids[start:end]
+                start = end + 1
+        for w, e in zip(alone, self.fast(alone, add_special_tokens=False), strict=True):
+            self.memo[w] = e.ids
+
     def units(self, texts_: list[str]) -> list[list[str]]:
         """Each text as units whose ids the memo holds; their ids in a row are the text's encoding."""
-        if len(self.memo) > self.memo_words:
+        spans = [self._leaves(t) for t in texts_]
+        words, distinct = _words([t[a:b] for t, s in zip(texts_, spans, strict=True) for a, b in s])
+        if len(self.memo) > self.memo_words:  # words of this batch stay
+            known = {w: self.memo[w] for w in distinct if w in self.memo}
             self.memo.clear()
+            self.memo.update(known)
             self.placed.clear()
-        spans = [self._leaves(t) for t in texts_]
-        pieces = [[_words(t[a:b]) for a, b in s] for t, s in zip(texts_, spans, strict=True)]
-        new = list({w for p in pieces for x in p for w in x if w not in self.memo})
-        for w, e in zip(new, self.fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = e.ids
+        words = iter(words)
+        pieces = [list(islice(words, len(s))) for s in spans]
+        new = [w for w in distinct if w not in self.memo]
+        for k in range(0, len(new), 5000):
+            self._remember(new[k : k + 5000])
         while open_ := [t for t, p in enumerate(pieces) if len(p) > 1]:
             cuts = []
             for t in open_:
@@ -175,11 +208,35 @@ class TreeEncoder:
         return self.tok.decode(ids, skip_special_tokens=False)
 
 
-def _words(text: str) -> list[str]:
-    """Runs without ASCII white space (str.split() would cut at Unicode's too)."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+def _words(texts_: list[str]) -> tuple[list[list[str]], list[str]]:
+    """Of each text its runs without ASCII white space, and all different ones. Equal words are one object, which is hashed once."""
+    split = pc.ascii_split_whitespace(pa.array(texts_, pa.large_string()))
+    full = pc.greater(pc.binary_length(split.values), 0)  # white space at a text's edge leaves empty runs
+    ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()].tolist()
+    words = split.values.filter(full).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False)
+    flat = distinct[words.indices.to_numpy()].tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])], distinct.tolist()  # noqa: B905 (ends is one longer)
+
+
+class _Packed(dict):
+    """Units to their ids as 32-bit integers in bytes, packed once."""
+
+    def __init__(self, memo: dict[str, list[int]]):
+        super().__init__()
+        self.memo = memo
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = self[unit] = array("i", self.memo[unit]).tobytes()
+        return packed
+
+
+def _shas(names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """SHA-256 of each text, whose ids end at `ends`, with its ids put as `names`, a space at each one's end; the last space does not count."""
+    said = names.take(pa.array(ids))
+    at = np.frombuffer(said.buffers()[1], np.int64)[said.offset :][np.concatenate([[0], ends])].tolist()
+    data = memoryview(said.buffers()[2] or b"")
+    return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]  # noqa: B905 (at is one longer)
 
 
 def _some(batch: pd.DataFrame, chars: int = 2_000_000):
@@ -213,31 +270,24 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text, without the ids leaving their task.
 
-    Ids and decoding of a unit are turned to text once. The tokenizer has no decoder, so its decode() joins the tokens by one
-    space; special tokens are kept.
+    The ids of a run of texts are put as text together, by Arrow. The tokenizer has no decoder, so its decode() joins the tokens by
+    one space; special tokens are kept.
     """
 
     @hands_back
     def run(batches):
         tree = TreeEncoder(path)
-        shown: dict[str, tuple[str, str, int]] = {}
-        token: dict[int, str] = {}
+        packed = _Packed(tree.memo)
+        known = range(max(tree.tok.get_vocab(with_added_tokens=True).values()) + 1)
+        numbers = pa.array([f"{i} " for i in known], pa.large_string())
+        tokens = pa.array([f"{tree.tok.id_to_token(i)} " for i in known], pa.large_string())
         for b in batches:
             for doc, some in _some(b):
-                out = []
-                if len(shown) > tree.memo_words:
-                    shown.clear()
-                for i, units in zip(doc, tree.units(some), strict=True):
-                    for u in units:
-                        if u not in shown:
-                            ids = tree.memo[u]
-                            for x in ids:
-                                if x not in token:
-                                    token[x] = tree.tok.id_to_token(x)
-                            shown[u] = (" ".join(map(str, ids)), " ".join([token[x] for x in ids]), len(ids))
-                    found = [f for u in units if (f := shown[u])[2]]
-                    sha = lambda k: hashlib.sha256(" ".join([f[k] for f in found]).encode("utf-8", "surrogatepass")).hexdigest()  # noqa: B023, E731
-                    out.append((i, sum(f[2] for f in found), sha(0), sha(1)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+                if len(packed) > tree.memo_words:
+                    packed.clear()
+                ids = [b"".join(map(packed.__getitem__, units)) for units in tree.units(some)]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids, ends = np.frombuffer(b"".join(ids), np.int32), np.cumsum(n)
+                yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "n_tokens": n, "ids_sha256": _shas(numbers, ids, ends), "decoded_sha256": _shas(tokens, ids, ends)})
 
     return texts(docs).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

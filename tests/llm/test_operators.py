@@ -737,3 +737,31 @@ def test_op4_ends_where_a_window_agrees_at_its_ends_only():
     tree.memo["gamma"] = [0, *tree.memo["gamma"]]  # an encoder whose words depend on what stands around them
     (units,) = tree._level([(left, right, False)])
     assert [i for u in units for i in tree.memo[u]] == whole
+
+
+def test_op4_encodes_new_words_many_to_a_text_and_keeps_what_recurs(spark):
+    import public_tokenizers
+
+    from locusframe.llm.bpe import TreeEncoder, encode_digests
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tree, given = TreeEncoder(path, memo_words=900), []
+    fast = tree.fast
+    tree.fast = lambda texts, **named: given.extend(texts) or fast(texts, **named)
+    rng = np.random.default_rng(5)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijé\u0301'!7"), 9)) for _ in range(n)]
+    common = fresh(500)
+    for k, words in enumerate([[*common, *fresh(500)], [*common, *fresh(500)], ["a\x00b", "\x00", "　", "<|endoftext|>", *common, *fresh(500), "x\x00"]]):
+        given.clear()
+        text = " \n".join(words)
+        assert tree.encode(text) == tree.tok.encode(text, add_special_tokens=False).ids
+        assert any(len(x.split(" \x00 ")) == 100 for x in given)
+        assert sum(x.split() == [x] for x in given) <= 300  # words of runs that hold the mark themselves; a text a word would be 500 and more
+        if k:  # the memo was full: what this batch shares with it has stayed
+            assert not {w for x in given for w in x.split(" \x00 ")} & set(common)
+    odd = ["", " \t\n", "\x00", "a \x00 b", "\u3000", "é\x1cb \x85", None]
+    for some in (odd, ["", None, " "]):  # the second: not one id in the whole batch
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_digests(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1), path).collect()}
+        ids = [tree.tok.encode(x or "", add_special_tokens=False).ids for x in some]
+        assert got == {k: (len(x), sha(" ".join(map(str, x))), sha(tree.tok.decode(x, skip_special_tokens=False))) for k, x in enumerate(ids)}
