@@ -17,6 +17,7 @@ from locusframe.operators import features, folds
 from locusframe.operators import joins as J
 from locusframe.operators import linkage
 from locusframe.plans import block_queries, registry, table_queries  # noqa: F401 (the import registers its queries)
+from locusframe.sources import fixtures
 
 
 def rows_joined(spark, df):
@@ -273,3 +274,64 @@ def test_link_scores_shuffle_a_pair_once(spark):
     cells = [f"c{k}" for k in range(10)]
     n, rows = sent(spark, lambda: J.max_link_score(v, links, cells))
     assert n < 5000 and len(rows) == 10_000 and {(r.pos, r.cell): r.abc_score for r in rows if r.abc_score} == {(5000, "c0"): 0.7, (5000, "c3"): 0.2}
+
+
+def test_samples_go_to_the_variants(spark):
+    """Making genotypes broadcasts the samples, not the variants, and needs no shuffle to bring the rows of a variant together."""
+    d = fixtures.fixture(spark, "/root/testdata/sf0.001", "fx_geno").groupBy("variant_key").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = d.select("*")
+        n = len(d.collect())
+        todo, broadcast, shuffled = [d._jdf.queryExecution().executedPlan()], [], []
+        while todo:
+            at = todo.pop()
+            todo += [at.children().apply(k) for k in range(at.children().size())]
+            if at.nodeName() == "BroadcastExchange":
+                broadcast.append(at.metrics().apply("numOutputRows").value())
+            if at.nodeName() == "Exchange":
+                shuffled.append(at.metrics().apply("shuffleRecordsWritten").value())
+        assert n == 200 and broadcast and max(broadcast) <= 64 and max(shuffled) <= 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_genes_share_the_dosages_of_a_variant(spark, monkeypatch):
+    """Forty genes ask for the same 50 variants: their dosages are sent once, not 2,000 times. Groups and slices of any size give the same rows."""
+    x = np.random.default_rng(8).integers(0, 3, (50, 30)).astype(float)
+    x[::7] += 0.25  # imputed
+    x[3, 5] = np.nan
+    g = spark.createDataFrame([(s, v, None if np.isnan(x[v, s]) else float(x[v, s])) for s in range(30) for v in range(50)], "sample_id int, variant_key long, dosage double")
+    e = spark.createDataFrame([("c", f"g{k}", s, float((s * s + 3 * k) % 11)) for s in range(30) for k in range(40)], "cell string, gene_id string, sample_id int, y double")
+    pairs = spark.createDataFrame([(f"g{k}", v) for k in range(40) for v in range(50)] * 2, "gene_id string, variant_key long")
+    seen, real = spark.sparkContext.accumulator(0), linkage._regress
+
+    def counting(*how):
+        run = real(*how)
+
+        def regress(left, right):
+            seen.add(len(left))
+            return run(left, right)
+
+        return regress
+
+    monkeypatch.setattr(linkage, "_regress", counting)
+    got = {(r.gene_id, r.variant_key): (r.slope, r.n) for r in linkage.marginal_regression(g, e, pairs).collect()}
+    assert seen.value == 50 and len(got) > 1500
+    for (gene, v), (slope, n) in list(got.items())[::37]:
+        at = ~np.isnan(x[v])
+        y = np.array([(s * s + 3 * int(gene[1:])) % 11 for s in range(30)])
+        assert n == at.sum() and abs(slope - np.polyfit(x[v][at], y[at], 1)[0]) < 1e-9
+    for block, at_once in ((7, 20), (1024, 300)):
+        again = {(r.gene_id, r.variant_key): (r.slope, r.n) for r in linkage.marginal_regression(g, e, pairs, block=block, at_once=at_once).collect()}
+        assert again.keys() == got.keys() and all(np.allclose(again[k], got[k]) for k in got)
+
+
+def test_dosages_as_bytes(spark):
+    v = np.array([[0, 1, 2, np.nan, 1], [0.5, 1, 2, np.nan, 7], [2, 2, 2, 2, 2]], float)
+    rows = linkage.to_bytes(v)
+    assert [len(r) for r in rows] == [3, 41, 3]
+    for k in ([0, 1, 2], [0, 2], [1]):
+        d = linkage.from_bytes([rows[i] for i in k])
+        assert np.array_equal(d[:, :5], v[k], equal_nan=True) and np.isnan(d[:, 5:]).all()
+    assert linkage.from_bytes([]).shape == (0, 0)
