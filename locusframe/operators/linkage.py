@@ -133,6 +133,7 @@ def ld_pairs(geno: DataFrame, w: int = 3_000_000, least: float = 0.001, block: i
     pairs = pairs.select("chr", "tile", "b", "tile2", "b2", F.expr("tile = tile2 and b = b2").alias("same"))
     sides = pairs.select("chr", "tile", "b", F.struct("tile", "b", "tile2", "b2").alias("pair"), "same", F.lit(1).alias("side")).union(
         pairs.where("not same").select("chr", F.col("tile2"), F.col("b2"), F.struct("tile", "b", "tile2", "b2"), "same", F.lit(2)))
+    one = one.hint("merge")  # variants take many times their file in memory: not to be broadcast for the size of that
     placed = one.join(sides, ["chr", "tile", "b"]).select("chr", F.col("pair.tile").alias("t1"), F.col("pair.b").alias("b1"), F.col("pair.tile2").alias("t2"), F.col("pair.b2").alias("b2"), "same", "side", "pos", "variant_key", "d")
     schema = PAIRS.format(geno.schema["variant_key"].dataType.simpleString())
     return placed.groupBy("chr", "t1", "b1", "t2", "b2").applyInPandas(_block_pair(w, least), schema)
@@ -140,7 +141,8 @@ def ld_pairs(geno: DataFrame, w: int = 3_000_000, least: float = 0.001, block: i
 
 def ld_scores(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
     """Per variant and annotation the sum of r2 over annotated neighbours (itself included). pairs: of ld_pairs; annotations: chr, key, annotation."""
-    both = pairs.select("chr", "key1", F.col("key2").alias("key"), "r").union(pairs.select("chr", "key2", "key1", "r"))
+    ways = F.array(*[F.struct(F.col(a).alias("key1"), F.col(b).alias("key")) for a, b in (("key1", "key2"), ("key2", "key1"))])
+    both = pairs.withColumn("way", F.explode(ways)).select("chr", "way.key1", "way.key", "r")  # the pairs are made once
     own = annotations.select("chr", F.col("key").alias("key1"), "key", F.lit(1.0).alias("r")).distinct()
     return both.union(own).join(annotations, ["chr", "key"]).groupBy("chr", "key1", "annotation").agg(F.sum(F.col("r") ** 2).alias("ld_score"))
 

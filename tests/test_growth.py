@@ -335,3 +335,27 @@ def test_dosages_as_bytes(spark):
         d = linkage.from_bytes([rows[i] for i in k])
         assert np.array_equal(d[:, :5], v[k], equal_nan=True) and np.isnan(d[:, 5:]).all()
     assert linkage.from_bytes([]).shape == (0, 0)
+
+
+def test_pairs_of_variants_are_made_once(spark, monkeypatch):
+    """Scores read genotypes twice (the samples, the dosages) and make each product once, for both variants of a pair."""
+    x = np.random.default_rng(3).integers(0, 3, (60, 20))
+    g, seen = counted(spark, spark.createDataFrame([(s, "chr1", v * 100, v, int(x[v, s])) for v in range(60) for s in range(20)], "sample_id int, chr string, pos long, variant_key long, dosage int"))
+    notes = spark.createDataFrame([("chr1", v, "a") for v in range(60)], "chr string, key long, annotation string")
+    made, real = spark.sparkContext.accumulator(0), linkage._block_pair
+
+    def counting(*how):
+        run = real(*how)
+
+        def block_pair(rows):
+            made.add(1)
+            return run(rows)
+
+        return block_pair
+
+    monkeypatch.setattr(linkage, "_block_pair", counting)
+    d = linkage.ld_scores(linkage.ld_pairs(g, 1000, 0.0), notes)
+    got = {r.key1: r.ld_score for r in d.collect()}
+    r2 = np.corrcoef(x) ** 2
+    assert all(abs(got[v] - sum(r2[v, u] for u in range(60) if abs(u - v) <= 10)) < 1e-9 for v in range(60))
+    assert seen.value == 2 * 1200 and made.value == 1
