@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusframe.operators.aggregates import credible_set, softmax
+from locusframe.sources.shared import written
 
 
 def poisson_draws(seeds: np.ndarray, counts: np.ndarray, replicates: int) -> np.ndarray:
@@ -160,7 +161,7 @@ def pure_sets(fit: DataFrame, keys: list[str], pairs: DataFrame, coverage: float
     Pairs absent from `pairs` (key1 < key2, r) count as 0; sets under `least` are left out. Purity is counted from the pairs
     that exist: a set of n members is pure only if all n(n-1)/2 pairs are there, so no set is expanded into its pairs.
     """
-    s = credible_set(fit, keys, coverage)
+    s = written(credible_set(fit, keys, coverage), "sets").hint("merge")  # made once; takes many times its file in memory, so not to be broadcast for the size of that
     size = s.groupBy(*keys).agg(F.count("*").alias("size"), F.sum("alpha").alias("coverage"))
     one, two = s.select(*keys, F.col("variant_key").alias("key1")), s.select(*keys, F.col("variant_key").alias("key2"))
     strong = pairs.where(F.abs("r") >= least)

@@ -14,6 +14,7 @@ from locusframe.operators import assemblies as M
 from locusframe.operators import coloc as C
 from locusframe.operators import crosscell as X
 from locusframe.operators import features, folds
+from locusframe.operators import inference as I
 from locusframe.operators import joins as J
 from locusframe.operators import linkage
 from locusframe.plans import block_queries, registry, table_queries  # noqa: F401 (the import registers its queries)
@@ -359,3 +360,10 @@ def test_pairs_of_variants_are_made_once(spark, monkeypatch):
     r2 = np.corrcoef(x) ** 2
     assert all(abs(got[v] - sum(r2[v, u] for u in range(60) if abs(u - v) <= 10)) < 1e-9 for v in range(60))
     assert seen.value == 2 * 1200 and made.value == 1
+
+
+def test_sets_are_made_once(spark):
+    fit, seen = counted(spark, spark.createDataFrame([(f"g{k}", v, 0.25) for k in range(50) for v in range(4)], "gene_id string, variant_key long, alpha double"))
+    pairs = spark.createDataFrame([(a, b, 0.5 + a / 10) for a in range(4) for b in range(a + 1, 4)], "key1 long, key2 long, r double")
+    got = I.pure_sets(fit, ["gene_id"], pairs).collect()
+    assert seen.value == 200 and len(got) == 50 and all((r.size, r.purity) == (4, 0.5) for r in got)
