@@ -367,3 +367,18 @@ def test_sets_are_made_once(spark):
     pairs = spark.createDataFrame([(a, b, 0.5 + a / 10) for a in range(4) for b in range(a + 1, 4)], "key1 long, key2 long, r double")
     got = I.pure_sets(fit, ["gene_id"], pairs).collect()
     assert seen.value == 200 and len(got) == 50 and all((r.size, r.purity) == (4, 0.5) for r in got)
+
+
+def test_every_chromosome_has_its_published_trees(spark, monkeypatch):
+    """M7_score_folds asks for the published rounds and a fold a chromosome; the trees are cut to two here, after they were asked for."""
+    asked, real = [], folds.train_folds
+
+    def train(df, fold, held, *how, **params):
+        asked.append((held, (folds.PUBLISHED | params)["maxIter"]))
+        return real(df, fold, held, *how, **params | {"maxIter": 2})
+
+    monkeypatch.setattr(folds, "train_folds", train)
+    rows = registry.QUERIES["M7_score_folds"](spark, "/root/testdata/sf0.001").collect()
+    chroms = sorted({int(r.chrom[3:]) for r in rows})
+    assert len(rows) == fixtures.fixture(spark, "/root/testdata/sf0.001", "fx_scored").count() and all(r.in_range for r in rows)
+    assert asked == [(chroms, 1000)] and len(chroms) > 4
