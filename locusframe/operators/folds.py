@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import islice
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.sources.shared import written
+from locusframe.sources.shared import shared_folder, written
 
 #: Published settings of the trees.
 PUBLISHED = {"maxDepth": 5, "maxIter": 1000, "stepSize": 0.03, "minInstancesPerNode": 10, "seed": 9448}
@@ -108,3 +113,203 @@ def wide_scores(long: dict[str, DataFrame], keys: list[str], name: str = "pred_p
         part = d.select(*keys, F.lit(model).alias("_m"), name)
         marked = part if marked is None else marked.unionByName(part)
     return marked.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == m, F.col(name))).alias(f"pred_{m}") for m in long])
+
+
+# --- all folds side by side ------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Forests:
+    """The trees of all folds as arrays, fold x tree x node: node k has children 2k + 1 and 2k + 2; a leaf has feature -1. Rows whose feature is at most the threshold go left."""
+
+    folds: list
+    depth: int
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray  # by the tree's weight
+
+    def score(self, k: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The probability of each row of x by the trees of fold k."""
+        out, rows = np.zeros(len(x)), np.arange(len(x))[:, None]
+        for t in range(0, self.feature.shape[1], 100):
+            tree, of, at = np.arange(t, min(t + 100, self.feature.shape[1]))[None], k[:, None], np.zeros((len(x), 1), int)
+            for _ in range(self.depth):
+                f = self.feature[of, tree, at]
+                at = np.where(f < 0, at, 2 * at + 1 + (x[rows, f] > self.threshold[of, tree, at]))
+            out += self.value[of, tree, at].sum(1)
+        return 1 / (1 + np.exp(-2 * out))
+
+
+def candidate_cuts(kinds: DataFrame, most: int) -> list[np.ndarray]:
+    """Per feature at most `most` - 1 thresholds: between all neighbouring values where they are few, else quantiles."""
+    each = kinds.select(F.posexplode(vector_to_array("x")).alias("f", "v"))
+    values = each.distinct()
+    few = values.groupBy("f").count().where(F.col("count") <= most).select("f")
+    lists = {r.f: np.sort(r.v) for r in values.join(few, "f").groupBy("f").agg(F.collect_list("v").alias("v")).collect()}
+    rest = each.join(few, "f", "left_anti").groupBy("f").agg(F.percentile_approx("v", [k / most for k in range(1, most)], F.lit(10_000)).alias("v"))
+    cuts = {f: (v[1:] + v[:-1]) / 2 for f, v in lists.items()} | {r.f: np.unique(r.v) for r in rest.collect()}
+    return [cuts[f] for f in sorted(cuts)]
+
+
+def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, steps: int) -> np.ndarray:
+    """Fold x row: the node that a row reaches in the fold's tree."""
+    at, h, rows = np.zeros((len(feature), len(bins)), int), np.arange(len(feature))[:, None], np.arange(len(bins))[None]
+    for _ in range(steps):
+        f = feature[h, at]
+        at = np.where(f < 0, at, 2 * at + 1 + (bins[rows, f] > cut[h, at]))
+    return at
+
+
+def _sums(first: bool, level: int, feature: np.ndarray, cut: np.ndarray, width: int):
+    """Per fold and node of a level the sums of a block by feature and bin: rows, weights, weighted residuals and their squares."""
+
+    def run(block):
+        bins, own, y, w, n, raw = block
+        h, at = np.arange(len(feature))[:, None], _walk(bins, feature, cut, level) - (2**level - 1)
+        k, i = np.nonzero((at >= 0) & (own[None] != h))
+        r = (np.broadcast_to(y, raw.shape) if first else 4 * y / (1 + np.exp(2 * y * raw)))[k, i]
+        of, parts = (k * 2**level + at[k, i]) * width, (n[i], w[i], w[i] * r, w[i] * r * r)
+        out = np.empty((len(feature), 2**level, bins.shape[1], width, 4))
+        for f in range(bins.shape[1]):
+            for s, part in enumerate(parts):
+                out[:, :, f, :, s] = np.bincount(of + bins[i, f], part, len(feature) * 2**level * width).reshape(len(feature), 2**level, width)
+        return [(j, out[j]) for j in range(len(feature))]
+
+    return run
+
+
+def _best(least: int):
+    """Per node its mean, the best cut (feature -1 without one) and the means of its sides."""
+
+    def run(sums):
+        total = sums[:, 0].sum(1)
+        left = np.cumsum(sums, 2)[:, :, :-1].reshape(len(sums), -1, 4)
+        right = total[:, None] - left
+        with np.errstate(all="ignore"):
+            spread = lambda s: (s[..., 3] - s[..., 2] ** 2 / s[..., 1]) / s[..., 1]
+            mean = lambda s: np.where(s[..., 1] > 0, s[..., 2] / s[..., 1], 0.0)
+            gain = spread(total)[:, None] - (left[..., 1] * spread(left) + right[..., 1] * spread(right)) / total[:, None, 1]
+            gain = np.where((left[..., 0] >= least) & (right[..., 0] >= least) & (gain > 0) & (spread(total) > 2.3e-16)[:, None], gain, 0.0)
+            at, rows = gain.argmax(1), np.arange(len(sums))
+            f, c = np.divmod(at, sums.shape[2] - 1)
+            return np.where(gain[rows, at] > 0, f, -1), c, mean(total), mean(left[rows, at]), mean(right[rows, at])
+
+    return run
+
+
+def _boosted(n: int, cuts: list[np.ndarray], how: dict, best, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rounds: best(first, level, feature, cut) gives (fold, cuts of the level's nodes), step(round, feature, cut, value) takes a tree of every fold."""
+    depth, size = how["maxDepth"], (n, how["maxIter"], 2 ** (how["maxDepth"] + 1) - 1)
+    trees = np.full(size, -1, np.int16), np.zeros(size), np.zeros(size)
+    for t in range(how["maxIter"]):
+        feature, cut, value = np.full(size[::2], -1), np.zeros(size[::2], int), np.zeros(size[::2])
+        for level in range(depth):
+            to = slice(2**level - 1, 2 ** (level + 1) - 1)
+            for k, (f, c, m, one, two) in best(t == 0, level, feature, cut):
+                feature[k, to], cut[k, to] = f, c
+                value[k, 0] = m[0] if level == 0 else value[k, 0]
+                value[k, to.stop : 2 * to.stop : 2], value[k, to.stop + 1 : 2 * to.stop + 1 : 2] = one, two
+            if (feature[:, to] < 0).all():
+                break
+        value *= 1.0 if t == 0 else how["stepSize"]
+        trees[0][:, t], trees[2][:, t] = feature, value
+        trees[1][:, t] = [[cuts[f][c] if f >= 0 else 0.0 for f, c in zip(*r, strict=True)] for r in zip(feature, cut, strict=True)]
+        step(t, feature, cut, value)
+    return trees
+
+
+def _added(block, feature, cut, value, depth):
+    return (*block[:5], block[5] + np.take_along_axis(value, _walk(block[0], feature, cut, depth), 1))
+
+
+def boost_folds(df: DataFrame, fold: str, folds: list, label: str, weight: str, together: int = 300_000, every: int = 25, block: int = 16_384, **params) -> Forests:
+    """M6 for many rounds: the trees that train_folds fits, without its jobs for each level of each round of each fold.
+
+    Rows of equal fold, features and label are summed up, which is all that boosting asks of them. Where that leaves at most `together`
+    values (rows by features), each fold is fitted on them in a task of its own. Else they stay spread, in blocks that hold the predictions of every fold's trees:
+    a job a level of a round adds up sums by fold, so a task holds those of one fold, and the driver holds the trees; predictions are saved
+    every `every` rounds. Rounds follow Spark ML's boosting (variance of pseudo-residuals of the logistic loss, the first tree at weight 1).
+    """
+    how = {"maxBins": 32} | PUBLISHED | params
+    depth, spark = how["maxDepth"], df.sparkSession
+    kinds = written(df.groupBy(fold, "x", label).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n")), "fold-kinds")
+    cuts = candidate_cuts(kinds, how["maxBins"])
+    number, width, best = {f: k for k, f in enumerate(folds)}, max([1, *map(len, cuts)]) + 1, _best(how["minInstancesPerNode"])
+    kinds = kinds.select(F.col(fold).alias("_fold"), vector_to_array("x").alias("_x"), F.col(label).cast("double").alias("_y"), F.col("_w").cast("double"), F.col("_n").cast("double"))
+
+    def binned(x):
+        return np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        y, w, n = (rows[c].to_numpy() for c in ("_y", "_w", "_n"))
+        now = [(binned(np.array(rows["_x"].tolist())), np.full(len(rows), -1), 2 * y - 1, w, n, np.zeros((1, len(rows))))]
+
+        def sums(first, level, feature, cut):
+            return [(k, best(s)) for k, s in _sums(first, level, feature, cut, width)(now[0])]
+
+        def step(t, *tree):
+            now[0] = _added(now[0], *tree, depth)
+
+        return pd.DataFrame({"held": rows["held"].iloc[:1], **{c: [v.tobytes()] for c, v in zip("ftv", _boosted(1, cuts, how, sums, step), strict=True)}})
+
+    if kinds.count() * len(cuts) <= together:
+        held = kinds.withColumn("held", F.explode(F.array(*[F.lit(f) for f in folds]))).where(~F.col("_fold").eqNullSafe(F.col("held"))).repartitionByRange(len(folds), "held")
+        got = held.groupBy("held").applyInPandas(alone, f"held {held.schema['held'].dataType.simpleString()}, f binary, t binary, v binary").collect()
+        by = {r.held: r for r in got}
+        size = (how["maxIter"], 2 ** (depth + 1) - 1)
+        none = (np.full(size, -1, np.int16), np.zeros(size), np.zeros(size))  # no rows but the fold's own
+        trees = [np.stack([np.frombuffer(by[f][c], e.dtype).reshape(size) if f in by else e for f in folds]) for c, e in zip("ftv", none, strict=True)]
+        return Forests(folds, depth, *trees)
+
+    def blocks(rows):
+        while part := list(islice(rows, block)):
+            x, own = np.array([r[1] for r in part], float), np.array([number.get(r[0], -1) for r in part])
+            y, w, n = np.array([r[2:] for r in part]).T
+            yield binned(x), own, 2 * y - 1, w, n, np.zeros((len(number), len(part)))
+
+    now = [kinds.rdd.mapPartitions(blocks).persist(StorageLevel.MEMORY_AND_DISK)]
+    parts = min(len(folds), now[0].getNumPartitions())
+
+    def spread(first, level, feature, cut):
+        got = now[-1].flatMap(_sums(first, level, feature, cut, width)).reduceByKey(np.add, parts).mapValues(best).collect()
+        for old in now[:-1]:
+            now.remove(old.unpersist())
+        return got
+
+    def step(t, feature, cut, value):
+        state = now[-1].map(lambda b: _added(b, feature, cut, value, depth))
+        if t % every == every - 1:  # ends the line of what is computed from what
+            path = shared_folder(spark, "fold-predictions")
+            state.saveAsPickleFile(path)
+            state = spark.sparkContext.pickleFile(path)
+        now.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+
+    trees = _boosted(len(folds), cuts, how, spread, step)
+    for state in now:
+        state.unpersist()
+    return Forests(folds, depth, *trees)
+
+
+def score_forests(df: DataFrame, fold: str, forests: Forests, keep: list[str], name: str = "pred_prob", most: int = 100_000) -> DataFrame:
+    """M7: every row scored by the trees that held out its fold; rows of other folds are not scored. A task scores equal rows once, while it remembers at most `most`."""
+    held = df.sparkSession.sparkContext.broadcast(forests)
+    rows = df.select(*keep, F.array_position(F.array(*[F.lit(f) for f in forests.folds]), F.col(fold)).cast("int").alias("_k"), vector_to_array("x").alias("_x")).where("_k > 0")
+
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            if len(b):
+                x = b["_x"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                each = np.ascontiguousarray(np.column_stack([b["_k"].to_numpy() - 1.0, x]))
+                _, at, back = np.unique(each.view(f"V{each.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+                keys = [each[i].tobytes() for i in at]
+                if new := [j for j, key in enumerate(keys) if key not in known]:
+                    if len(known) + len(new) > most:
+                        known.clear()
+                        new = range(len(keys))
+                    got = each[at[list(new)]]
+                    known.update(zip((keys[j] for j in new), held.value.score(got[:, 0].astype(int), got[:, 1:]), strict=True))
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(np.array([known[key] for key in keys])[back])], names=[*keep, name])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{schema}, {name} double")

@@ -370,15 +370,34 @@ def test_sets_are_made_once(spark):
 
 
 def test_every_chromosome_has_its_published_trees(spark, monkeypatch):
-    """M7_score_folds asks for the published rounds and a fold a chromosome; the trees are cut to two here, after they were asked for."""
-    asked, real = [], folds.train_folds
+    """M7_score_folds scores with 1,000 trees a chromosome; all rows are scored."""
+    asked, real = [], folds.score_forests
 
-    def train(df, fold, held, *how, **params):
-        asked.append((held, (folds.PUBLISHED | params)["maxIter"]))
-        return real(df, fold, held, *how, **params | {"maxIter": 2})
+    def score(df, fold, forests, *how):
+        asked.append((forests.folds, forests.feature.shape))
+        return real(df, fold, forests, *how)
 
-    monkeypatch.setattr(folds, "train_folds", train)
+    monkeypatch.setattr(folds, "score_forests", score)
     rows = registry.QUERIES["M7_score_folds"](spark, "/root/testdata/sf0.001").collect()
     chroms = sorted({int(r.chrom[3:]) for r in rows})
     assert len(rows) == fixtures.fixture(spark, "/root/testdata/sf0.001", "fx_scored").count() and all(r.in_range for r in rows)
-    assert asked == [(chroms, 1000)] and len(chroms) > 4
+    assert asked == [(chroms, (len(chroms), 1000, 63))] and len(chroms) > 4
+
+
+def test_folds_boosted_together_have_the_trees_of_spark(spark):
+    """Fitted a fold a task or spread in blocks, the probabilities are those of Spark ML's boosting, also where few rows are of a kind."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, int(rng.random() < 0.2 + 0.5 * (i % 5 == 0)), float(i % 5), float(round(rng.normal() * 2)), 1.0 + i % 2) for i in range(1500)]
+    d = folds.assembled(spark.createDataFrame(rows, "id long, fold int, y int, u double, v double, w double"), ["u", "v"])
+    how = {"maxIter": 6, "maxDepth": 4}
+    want = {r.id: r.pred_prob for r in folds.score_folds(d, "fold", folds.train_folds(d, "fold", [0, 1, 2], "y", "w", **how), ["id"]).collect()}
+    for together, most in ((0, 5), (300_000, 100_000)):
+        forests = folds.boost_folds(d, "fold", [0, 1, 2], "y", "w", together=together, every=2, block=40, **how)
+        got = {r.id: r.pred_prob for r in folds.score_forests(d, "fold", forests, ["id"], most=most).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-9 and len(set(got.values())) > 20
+    # A feature of many values is cut at quantiles, alike both ways.
+    d = folds.assembled(spark.createDataFrame([(i, i % 2, int(x + 0.3 * rng.normal() > 0), float(x), 1.0) for i, x in enumerate(rng.normal(size=600))], "id long, fold int, y int, u double, w double"), ["u"])
+    p = [{r.id: (r.p, r.y) for r in folds.score_forests(d, "fold", folds.boost_folds(d, "fold", [0, 1], "y", "w", together=k, block=100, maxIter=3), ["id", "y"], "p").collect()} for k in (0, 300_000)]
+    assert p[0].keys() == p[1].keys() and max(abs(p[0][k][0] - p[1][k][0]) for k in p[0]) < 1e-9 and len({x for x, _ in p[0].values()}) > 20
+    right = [(x > 0.5) == y for x, y in p[0].values()]
+    assert len(right) == 600 and np.mean(right) > 0.85
